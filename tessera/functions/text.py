@@ -69,7 +69,7 @@ def min_ngram(c, n: int = 1) -> Column:
     if n == 1:
         return F.array_min(w)
     grams = F.transform(
-        F.sequence(F.lit(0), F.size(w) - n),
+        F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))),
         lambda i: F.array_join(F.slice(w, i + 1, n), " "),
     )
     return F.when(F.size(w) >= n, F.array_min(grams))

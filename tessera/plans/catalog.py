@@ -147,3 +147,149 @@ def q_join_question_table(spark, d):
     q = roles.questions(spark, d)
     t = R.render_rows(roles.conversation_rows(spark, d))
     return R.join_question_table(q, t).select("qid", "table_id", "table_text")
+
+
+# ====================================================================== 2.2 normalise
+
+def _headers(spark, d):
+    p = roles.table(spark, d, "part")
+    return p.select(F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("table_id"),
+                    F.col("p_partkey").alias("col_idx"),
+                    F.concat(F.lit("  "), F.col("p_type"), F.lit(" ")).alias("col_name"))
+
+
+@register("tbl_header_clean", f"""
+WITH h AS (SELECT concat_ws('/', p_brand, CAST(p_size AS VARCHAR)) AS table_id, p_partkey AS col_idx,
+                  regexp_replace('  ' || p_type || ' ', '{TRIM_RE}', '', 'g') AS n FROM part)
+SELECT table_id, col_idx,
+       CASE WHEN row_number() OVER (PARTITION BY table_id, n ORDER BY col_idx) > 1
+            THEN n || '.' || CAST(row_number() OVER (PARTITION BY table_id, n ORDER BY col_idx) - 1 AS VARCHAR)
+            ELSE n END AS col_name
+FROM h""")
+def q_tbl_header_clean(spark, d):
+    from tessera.operators.cells import header_clean
+    return header_clean(_headers(spark, d))
+
+
+@register("tbl_cell_trim", f"""
+SELECT p_partkey, regexp_replace(chr(160) || ' ' || p_name || chr(9) || ' ' || chr(12288), '{TRIM_RE}', '', 'g') AS value
+FROM part""")
+def q_tbl_cell_trim(spark, d):
+    from tessera.operators.cells import cell_trim
+    p = roles.table(spark, d, "part").select(
+        "p_partkey", F.concat(F.lit("  "), F.col("p_name"), F.lit("\t 　")).alias("value"))
+    return cell_trim(p)
+
+
+@register("txt_nfkd", r"""
+SELECT doc_id, strip_accents(text) AS base_text FROM documents""")
+def q_txt_nfkd(spark, d):
+    from tessera.functions.unicode import nfkd_columns
+    docs = roles.table(spark, d, "documents").select("doc_id", "text")
+    n = nfkd_columns(docs, ["text"])
+    # NFKD then dropping combining marks is what DuckDB's strip_accents computes
+    return n.select("doc_id", F.regexp_replace("text", r"\p{Mn}", "").alias("base_text"))
+
+
+MIXED_SQL = """mixed AS (
+  SELECT o_orderkey,
+         CASE WHEN o_orderkey % 7 = 0 THEN '1d'
+              WHEN o_orderkey % 5 = 0 THEN o_orderstatus
+              ELSE format('{:,.2f}', o_totalprice) END AS value
+  FROM orders)"""
+
+
+def _mixed(spark, d):
+    o = roles.table(spark, d, "orders")
+    v = (F.when(F.col("o_orderkey") % 7 == 0, F.lit("1d"))
+          .when(F.col("o_orderkey") % 5 == 0, F.col("o_orderstatus"))
+          .otherwise(F.format_number("o_totalprice", 2)))
+    return o.select("o_orderkey", v.alias("value"))
+
+
+@register("tbl_numeric_coerce", "WITH " + MIXED_SQL + r"""
+SELECT o_orderkey, value,
+       CASE WHEN regexp_matches(replace(value, ',', ''), '^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$')
+            THEN TRY_CAST(replace(value, ',', '') AS DOUBLE) END AS num
+FROM mixed""")
+def q_tbl_numeric_coerce(spark, d):
+    from tessera.operators.cells import numeric_coerce
+    return numeric_coerce(_mixed(spark, d))
+
+
+@register("tbl_na_tokens", """
+WITH t AS (SELECT p_partkey, CASE WHEN p_size < 4 THEN 'NA' WHEN p_size < 8 THEN ''
+                                  WHEN p_size < 10 THEN 'null' WHEN p_size < 12 THEN 'n/a'
+                                  ELSE p_name END AS raw FROM part)
+SELECT p_partkey, raw, CASE WHEN raw IN ('', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN',
+  '-nan', '1.#IND', '1.#QNAN', '<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null')
+  THEN NULL ELSE raw END AS value
+FROM t""")
+def q_tbl_na_tokens(spark, d):
+    from tessera.operators.cells import na_tokens
+    p = roles.table(spark, d, "part")
+    raw = (F.when(F.col("p_size") < 4, F.lit("NA")).when(F.col("p_size") < 8, F.lit(""))
+            .when(F.col("p_size") < 10, F.lit("null")).when(F.col("p_size") < 12, F.lit("n/a"))
+            .otherwise(F.col("p_name")))
+    t = p.select("p_partkey", raw.alias("raw"), raw.alias("value"))
+    return na_tokens(t)
+
+
+@register("tbl_column_kind", _with(roles.ORDERS_CELLS_SQL) + r""",
+c AS (SELECT *, CASE WHEN regexp_matches(replace(value, ',', ''), '^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$')
+                     THEN TRY_CAST(replace(value, ',', '') AS DOUBLE) END AS num FROM cells)
+SELECT table_id, col_idx,
+       CASE WHEN count(*) FILTER (WHERE num IS NULL AND value IS NOT NULL) > 0 THEN 'object'
+            WHEN count(*) FILTER (WHERE num <> floor(num)) > 0 OR count(*) FILTER (WHERE value IS NULL) > 0 THEN 'float'
+            ELSE 'int' END AS kind,
+       count(*) AS n_cells
+FROM c GROUP BY table_id, col_idx""")
+def q_tbl_column_kind(spark, d):
+    from tessera.operators.cells import column_kind
+    return column_kind(roles.orders_cells(spark, d))
+
+
+@register("code_newline_decode", "WITH " + roles.CODE_SQL + """
+SELECT p_partkey, replace(code, '@@@', chr(10)) AS code FROM code""")
+def q_code_newline_decode(spark, d):
+    return roles.code_strings(spark, d).select("p_partkey", TX.decode_code_newlines("code").alias("code"))
+
+
+@register("txt_casefold", """
+SELECT conv_id, turn, lower(text) AS nl FROM conversations""")
+def q_txt_casefold(spark, d):
+    c = roles.table(spark, d, "conversations")
+    return c.select("conv_id", "turn", TX.casefold("text").alias("nl"))
+
+
+@register("code_mask_literals", "WITH " + roles.CODE_SQL + """
+SELECT p_partkey,
+       array_to_string(list_filter(string_split(code, ''''), lambda x, i: i % 2 = 1), '''MASK''') AS masked_code,
+       array_to_string(list_filter(string_split(pred, ''''), lambda x, i: i % 2 = 1), '''MASK''') AS masked_pred
+FROM code""")
+def q_code_mask_literals(spark, d):
+    c = roles.code_strings(spark, d)
+    return c.select("p_partkey", TX.mask_literals("code").alias("masked_code"),
+                    TX.mask_literals("pred").alias("masked_pred"))
+
+
+@register("txt_min_ngram", f"""
+WITH w AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '{WORD_RE}') AS w FROM conversations
+           WHERE role = 'user')
+SELECT conv_id, turn, list_min(w) AS kw1,
+       CASE WHEN len(w) >= 2 THEN list_min(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS kw2
+FROM w""")
+def q_txt_min_ngram(spark, d):
+    c = roles.table(spark, d, "conversations").filter(F.col("role") == "user")
+    return c.select("conv_id", "turn", TX.min_ngram("text", 1).alias("kw1"),
+                    TX.min_ngram("text", 2).alias("kw2"))
+
+
+@register("key_table_path", """
+SELECT page_id, split_part(url, '.', 1) || '.table' AS table_file,
+       'csv/' || split_part(url, '/', 2) || '/' || replace(split_part(url, '/', 3), '_table', '') AS csv_path
+FROM pages""")
+def q_key_table_path(spark, d):
+    p = roles.table(spark, d, "pages")
+    return p.select("page_id", TX.table_file("url").alias("table_file"),
+                    TX.csv_path("url").alias("csv_path"))
