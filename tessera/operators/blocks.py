@@ -69,14 +69,15 @@ def _postings(tok_lists: pd.Series, vocab: dict) -> tuple[np.ndarray, np.ndarray
     return uniq >> 32, uniq & ((1 << 32) - 1), tf.astype(np.float64)
 
 
-def sparse_cosine(qt: pd.Series, bt: pd.Series, dense_cols: int = 1024,
-                  chunk_pairs: int = 4_000_000) -> np.ndarray:
-    """Cosine of term-frequency vectors of every row pair of two token columns.
+def sparse_dot(qt: pd.Series, bt: pd.Series, dense_cols: int = 1024,
+               chunk_pairs: int = 4_000_000):
+    """Dot products of term-frequency vectors of every row pair, plus norms.
 
     Exact. Tokens shared by many rows on both sides (largest df_q x df_b) are
     scored by a dense matmul over at most ``dense_cols`` columns; the rest by
     joining postings on the token in chunks of at most ``chunk_pairs``
     products, so memory stays bounded however common a token is.
+    Returns ``(dots, q_norms, b_norms)``.
     """
     nq, nb = len(qt), len(bt)
     vocab: dict = {}
@@ -122,10 +123,15 @@ def sparse_cosine(qt: pd.Series, bt: pd.Series, dense_cols: int = 1024,
                                         minlength=nq * nb)
     qn = np.sqrt(np.bincount(qr, weights=qw * qw, minlength=nq)) if len(qr) else np.zeros(nq)
     bn = np.sqrt(np.bincount(br, weights=bw * bw, minlength=nb)) if len(br) else np.zeros(nb)
+    return s, qn, bn
+
+
+def sparse_cosine(qt: pd.Series, bt: pd.Series) -> np.ndarray:
+    """Cosine of term-frequency vectors of every row pair (empty -> 0)."""
+    s, qn, bn = sparse_dot(qt, bt)
     denom = qn[:, None] * bn[None, :]
     with np.errstate(divide="ignore", invalid="ignore"):
-        out = np.where(denom > 0, s / np.where(denom > 0, denom, 1.0), 0.0)
-    return out
+        return np.where(denom > 0, s / np.where(denom > 0, denom, 1.0), 0.0)
 
 
 # ---------------------------------------------------------------- local top-k
@@ -265,6 +271,9 @@ def grid_scores(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str,
             parts.append(pd.DataFrame(d))
         return pd.concat(parts, ignore_index=True)[names]
 
+    # fresh attribute ids: both sides may come from one source DataFrame
+    qx = qx.select(*[F.col(c).alias(c) for c in qx.columns])
+    bx = bx.select(*[F.col(c).alias(c) for c in bx.columns])
     keys = [gcol, "_qb", "_bb"]
     return qx.groupBy(*keys).cogroup(bx.groupBy(*keys)).applyInPandas(tile, schema)
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import casefold, mask_literals, min_ngram, words
+from tessera.functions.text import casefold, decode_code_newlines, mask_literals, min_ngram, words
 from tessera.operators import blocks
 from tessera.operators.blocks import Kernel, dense_cosine, merge_stats, merge_topk, sparse_cosine
 
@@ -111,13 +111,22 @@ def keyword_gate_tiles(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key
 
 def keyword_gate(tiles: DataFrame, *, q_key: str, b_key: str, k: int,
                  tie_cols: list[str] | None = None) -> DataFrame:
-    """Top-k of the keyword strategy from :func:`keyword_gate_tiles`."""
-    hits = merge_stats(tiles, q_key).select(q_key, F.col("hits"))
-    gated = merge_topk(tiles, q_key, b_key, k, tie_cols, mode="gated")
-    raw = merge_topk(tiles, q_key, b_key, k, tie_cols, mode="raw")
-    g = gated.join(hits, q_key).filter(F.col("hits") > 0).drop("hits")
-    r = raw.join(hits, q_key).filter(F.col("hits") == 0).drop("hits")
-    return g.unionByName(r)
+    """Top-k of the keyword strategy from :func:`keyword_gate_tiles`.
+
+    One shuffle by question: the global hit count is a window sum over the
+    question's tiles, it selects the ranking (``gated`` if any example of
+    the bank holds the keyword, else ``raw``), then the top-k window runs on
+    the same partitioning.
+    """
+    tie_cols = list(tie_cols or [])
+    wq = Window.partitionBy(q_key)
+    hits = F.sum(F.when(F.col("mode") == "#hits", F.col("sim"))).over(wq)
+    t = tiles.withColumn("_hits", hits)
+    t = t.filter(F.col("mode") == F.when(F.col("_hits") > 0, F.lit("gated")).otherwise(F.lit("raw")))
+    w = Window.partitionBy(q_key).orderBy(
+        F.col("sim").desc(), *[F.col(c).asc() for c in tie_cols], F.col(b_key).asc())
+    return (t.withColumn("rank", F.row_number().over(w).cast("long"))
+             .filter(F.col("rank") <= k).drop("mode", "_hits"))
 
 
 def keyword_stats(tiles: DataFrame, q_key: str) -> DataFrame:
@@ -136,7 +145,7 @@ def code_masked_topk(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key:
                      tie_cols: list[str] | None = None) -> DataFrame:
     """Top-k by similarity of masked predicted code to masked example code."""
     q = queries.withColumn("_mq", mask_literals(q_code))
-    b = bank.withColumn("_mb", mask_literals(b_code))
+    b = bank.withColumn("_mb", mask_literals(decode_code_newlines(b_code)))
     return sparse_topk(q, b, q_key=q_key, b_key=b_key, q_text="_mq", b_text="_mb", k=k,
                        tie_cols=tie_cols)
 
@@ -205,19 +214,20 @@ def table_then_question(questions: DataFrame, bank: DataFrame, q_heads: DataFram
 
 def select_rows(rows: DataFrame, questions: DataFrame, *, k: int = 5) -> DataFrame:
     """The ``k`` table rows most similar to the table's question, most similar
-    first, re-rendered after the header piece.
+    first, appended to the header piece with ROWSEP.
 
     ``rows``: ``table_id, row_idx, row_text`` (row_idx 0 is the header piece);
-    ``questions``: ``table_id, question``. Pairs are formed inside a table only.
-    Returns ``table_id, text``.
+    ``questions``: ``table_id, question``. Pairs are formed inside a table
+    only (grouped tiles). Returns ``table_id, text``.
     """
     from tessera.functions.literals import ROWSEP
 
-    body = rows.filter(F.col("row_idx") > 0).withColumn("rkey", F.struct("table_id", "row_idx"))
+    body = rows.filter(F.col("row_idx") > 0)
     q = questions.withColumn("qkey", F.col("table_id"))
-    top = sparse_topk(q, body, q_key="qkey", b_key="rkey", q_text="question", b_text="row_text",
+    top = sparse_topk(q, body, q_key="qkey", b_key="row_idx", q_text="question", b_text="row_text",
                       k=k, group="table_id")
-    picked = top.join(body.select("rkey", "row_text"), "rkey")
+    picked = top.join(body.select(F.col("table_id").alias("qkey"), "row_idx", "row_text"),
+                      ["qkey", "row_idx"])
     sel = (picked.groupBy(F.col("qkey").alias("table_id"))
                  .agg(F.array_join(F.transform(F.array_sort(F.collect_list(
                      F.struct("rank", "row_text"))), lambda s: s["row_text"]), ROWSEP).alias("sel")))
@@ -272,11 +282,8 @@ def token_jaccard_topk(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key
     b = bank.withColumn("_bs", F.array_distinct(words(b_text)))
 
     def score(qp, bp):
-        inter = sparse_cosine(qp["_ts"], bp["_bs"])  # cosine of 0/1 sets = |A&B|/sqrt(|A||B|)
-        na = np.array([len(t) for t in qp["_ts"]], dtype=np.float64)
-        nb = np.array([len(t) for t in bp["_bs"]], dtype=np.float64)
-        common = inter * np.sqrt(na[:, None] * nb[None, :])
-        union = na[:, None] + nb[None, :] - common
+        common, qn, bn = blocks.sparse_dot(qp["_ts"], bp["_bs"])  # set sizes are norm**2
+        union = np.round(qn * qn)[:, None] + np.round(bn * bn)[None, :] - common
         with np.errstate(divide="ignore", invalid="ignore"):
             return {"sim": np.where(union > 0, common / np.where(union > 0, union, 1), 0.0)}, {}
 

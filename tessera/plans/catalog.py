@@ -293,3 +293,170 @@ def q_key_table_path(spark, d):
     p = roles.table(spark, d, "pages")
     return p.select("page_id", TX.table_file("url").alias("table_file"),
                     TX.csv_path("url").alias("csv_path"))
+
+
+# ====================================================================== 2.4 strategies
+
+KW_SQL = f"""kw AS (SELECT qid, list_min(regexp_extract_all(lower(question), '{WORD_RE}')) AS kw FROM questions)"""
+HITS_SQL = """hits AS (
+  SELECT k.qid, coalesce(sum(CASE WHEN contains(b.nl, k.kw) THEN b.n_dup ELSE 0 END), 0) AS hits
+  FROM kw k CROSS JOIN dbank b GROUP BY k.qid)"""
+
+
+def _kw_tiles(spark, d):
+    q = roles.questions(spark, d)
+    b = strategies.dedup_bank(spark, d)
+    return S.keyword_gate_tiles(q, b, q_key="qid", b_key="bid", q_text="question", b_text="nl",
+                                k=K_NL, tie_cols=strategies.BANK_TIES, weight_col="n_dup")
+
+
+@register("sim_keyword_gate", _with(roles.QUESTIONS_SQL, roles.BANK_SQL, roles.DBANK_SQL)
+          + G.sparse_pairs_sql("questions", "qid", "question", "dbank", "bid", "nl",
+                               extra_cols=", bb.first_conv_id, bb.first_turn, bb.nl")
+          + ",\n" + KW_SQL + ",\n" + HITS_SQL + """,
+gp AS (SELECT p.*, CASE WHEN h.hits = 0 OR contains(p.nl, k.kw) THEN p.sim ELSE 0 END AS gsim
+       FROM pairs p JOIN hits h ON h.qid = p.qk JOIN kw k ON k.qid = p.qk)"""
+          + G.topk_select("qid", "bid", K_NL, ["first_conv_id", "first_turn"], sim_expr="gsim", src="gp"))
+def q_sim_keyword_gate(spark, d):
+    return S.keyword_gate(_kw_tiles(spark, d), q_key="qid", b_key="bid", k=K_NL,
+                          tie_cols=strategies.BANK_TIES)
+
+
+@register("sim_keyword_stats", _with(roles.QUESTIONS_SQL, roles.BANK_SQL, roles.DBANK_SQL, KW_SQL, HITS_SQL)
+          + """
+SELECT CAST(sum(hits) AS BIGINT) AS total_hits, avg(hits) AS avg_hits,
+       count(*) FILTER (WHERE hits = 0) AS fallbacks FROM hits""")
+def q_sim_keyword_stats(spark, d):
+    return S.keyword_stats(_kw_tiles(spark, d), "qid")
+
+
+@register("sim_code_masked", "WITH " + roles.CODE_SQL + """,
+mc AS (SELECT p_partkey,
+              array_to_string(list_filter(string_split(replace(code, '@@@', chr(10)), ''''), lambda x, i: i % 2 = 1), '''MASK''') AS mcode,
+              array_to_string(list_filter(string_split(pred, ''''), lambda x, i: i % 2 = 1), '''MASK''') AS mpred
+       FROM code)"""
+          + G.sparse_pairs_sql("mc", "p_partkey", "mpred", "mc", "p_partkey", "mcode")
+          + G.topk_select("q_part", "b_part", K_NL))
+def q_sim_code_masked(spark, d):
+    c = roles.code_strings(spark, d)
+    q = c.select(F.col("p_partkey").alias("q_part"), "pred")
+    b = c.select(F.col("p_partkey").alias("b_part"), "code")
+    return S.code_masked_topk(q, b, q_key="q_part", b_key="b_part", q_code="pred", b_code="code",
+                              k=K_NL).select("q_part", "b_part", "rank", "sim")
+
+
+@register("sim_threshold_rank", f"""
+WITH e AS (SELECT vec_id, embedding FROM embeddings),
+pairs AS (SELECT q.vec_id AS qk, b.vec_id AS bk,
+                 CASE WHEN coalesce(list_cosine_similarity(CAST(q.embedding[1:32] AS DOUBLE[]), CAST(b.embedding[1:32] AS DOUBLE[])), 0) > {VEC_THRESHOLD}
+                      THEN coalesce(list_cosine_similarity(CAST(q.embedding[33:64] AS DOUBLE[]), CAST(b.embedding[33:64] AS DOUBLE[])), 0)
+                      ELSE 0 END AS sim
+          FROM e q, e b WHERE q.vec_id <> b.vec_id)""" + G.topk_select("q_vec", "b_vec", K_VEC))
+def q_sim_threshold_rank(spark, d):
+    e = roles.table(spark, d, "embeddings")
+    halves = e.select("vec_id", F.slice("embedding", 1, 32).alias("gate"),
+                      F.slice("embedding", 33, 32).alias("rank_vec"))
+    q = halves.withColumnRenamed("vec_id", "q_vec")
+    b = halves.withColumnRenamed("vec_id", "b_vec")
+    return S.threshold_rank_topk(q, b, q_key="q_vec", b_key="b_vec", q_gate="gate", b_gate="gate",
+                                 q_rank="rank_vec", b_rank="rank_vec", k=K_VEC,
+                                 threshold=VEC_THRESHOLD, include_self=False)
+
+
+HEADS_SQL = """heads AS (
+  SELECT table_id, ' | ' || max(header_text) || ' | ' || chr(10) || ' | ' ||
+         string_agg(row_text, ' | ' || chr(10) || ' | ' ORDER BY row_idx) || ' | ' AS text
+  FROM conv_rows WHERE row_idx < 1 GROUP BY table_id)"""
+
+
+@register("sim_table_then_question",
+          _with(roles.QUESTIONS_SQL, roles.BANK_SQL, roles.CONV_ROWS_SQL, HEADS_SQL) + """,
+qh AS (SELECT DISTINCT q.table_id AS qtab, h.text AS qhead FROM questions q JOIN heads h USING (table_id)),
+bh AS (SELECT DISTINCT b.table_id AS btab, h.text AS bhead FROM bank b JOIN heads h USING (table_id))"""
+          + G.sparse_pairs_sql("qh", "qtab", "qhead", "bh", "btab", "bhead", p="t_") + """,
+best AS (SELECT qk AS qtab, bk AS example_table, round(sim, 6) AS table_sim FROM (
+           SELECT *, row_number() OVER (PARTITION BY qk ORDER BY round(sim, 6) DESC, bk) AS rn FROM t_pairs)
+         WHERE rn = 1),
+q2 AS (SELECT q.qid, q.question, b.example_table, b.table_sim FROM questions q JOIN best b ON q.table_id = b.qtab),
+b2 AS (SELECT bid, lower(question) AS nl, table_id, conv_id, turn FROM bank)"""
+          + G.sparse_pairs_sql("q2", "qid", "question", "b2", "bid", "nl",
+                               extra_cols=", bb.conv_id, bb.turn", join_on="bb.table_id = qq.example_table",
+                               p="s_") + """
+SELECT p.qid, p.bid, p.question_sim, q2.example_table, q2.table_sim FROM (
+  SELECT qk AS qid, bk AS bid, round(sim, 6) AS question_sim,
+         row_number() OVER (PARTITION BY qk ORDER BY round(sim, 6) DESC, conv_id, turn, bk) AS rn
+  FROM s_pairs) p JOIN q2 USING (qid) WHERE rn = 1""")
+def q_sim_table_then_question(spark, d):
+    q = roles.questions(spark, d)
+    b = roles.bank(spark, d).withColumn("nl", F.lower("question"))
+    heads = R.render_head(roles.conversation_rows(spark, d), 2)
+    return S.table_then_question(q, b, heads, heads, q_key="qid", b_key="bid", q_text="question",
+                                 b_text="nl", tie_cols=["conv_id", "turn"]).select(
+        "qid", "bid", "question_sim", "example_table", "table_sim")
+
+
+LINES_SQL = """lines AS (
+  SELECT doc_id AS table_id, i - 1 AS row_idx, ls[i] AS row_text FROM (
+    SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)))"""
+
+
+@register("sim_row_select", "WITH " + LINES_SQL + """,
+qs AS (SELECT table_id, row_text AS question FROM lines WHERE row_idx = 0),
+body AS (SELECT *, concat(table_id, ':', row_idx) AS rk FROM lines WHERE row_idx > 0)"""
+          + G.sparse_pairs_sql("qs", "table_id", "question", "body", "rk", "row_text",
+                               extra_cols=", bb.row_text, bb.row_idx", join_on="bb.table_id = qq.table_id") + """,
+top AS (SELECT * FROM (SELECT qk, bk, row_text,
+               row_number() OVER (PARTITION BY qk ORDER BY round(sim, 6) DESC, row_idx) AS rn FROM pairs)
+        WHERE rn <= 5),
+sel AS (SELECT qk AS table_id, string_agg(row_text, '| ' || chr(10) || ' |' ORDER BY rn) AS sel FROM top GROUP BY qk)
+SELECT qs.table_id, CASE WHEN sel.sel IS NULL THEN qs.question ELSE qs.question || '| ' || chr(10) || ' |' || sel.sel END AS text
+FROM qs LEFT JOIN sel USING (table_id)""")
+def q_sim_row_select(spark, d):
+    docs = roles.table(spark, d, "documents")
+    rows = docs.select(F.col("doc_id").alias("table_id"),
+                       F.posexplode(F.split("text", "\n", -1)).alias("row_idx", "row_text"))
+    rows = rows.withColumn("row_idx", F.col("row_idx").cast("long"))
+    qs = rows.filter(F.col("row_idx") == 0).select("table_id", F.col("row_text").alias("question"))
+    return S.select_rows(rows, qs, k=5)
+
+
+@register("fewshot_random", """
+WITH h AS (SELECT vec_id, ('0x' || substr(md5('123|' || CAST(vec_id AS VARCHAR)), 1, 15))::BIGINT AS h FROM embeddings)
+SELECT q_vec, b_vec, CAST(rank AS BIGINT) AS rank FROM (
+  SELECT q.vec_id AS q_vec, b.vec_id AS b_vec,
+         row_number() OVER (PARTITION BY q.vec_id ORDER BY xor(q.h, b.h) >> 8, b.vec_id) AS rank
+  FROM h q, h b) WHERE rank <= 2""")
+def q_fewshot_random(spark, d):
+    e = roles.table(spark, d, "embeddings").select("vec_id")
+    return S.fewshot_random(e.withColumnRenamed("vec_id", "q_vec"),
+                            e.withColumnRenamed("vec_id", "b_vec"), q_key="q_vec", b_key="b_vec",
+                            k=2, seed=123)
+
+
+@register("sim_token_jaccard", _with(roles.QUESTIONS_SQL, roles.BANK_SQL, roles.DBANK_SQL)
+          + G.sparse_pairs_sql("questions", "qid", "question", "dbank", "bid", "nl",
+                               extra_cols=", bb.first_conv_id, bb.first_turn", sets=True) + """,
+jp AS (SELECT *, CASE WHEN qn2 + bn2 - dot > 0 THEN dot / (qn2 + bn2 - dot) ELSE 0 END AS jac FROM pairs)"""
+          + G.topk_select("qid", "bid", K_NL, ["first_conv_id", "first_turn"], sim_expr="jac", src="jp"))
+def q_sim_token_jaccard(spark, d):
+    q = roles.questions(spark, d)
+    b = strategies.dedup_bank(spark, d)
+    return S.token_jaccard_topk(q, b, q_key="qid", b_key="bid", q_text="question", b_text="nl",
+                                k=K_NL, tie_cols=strategies.BANK_TIES)
+
+
+@register("bank_leak_antijoin", """
+SELECT d.doc_id AS qdoc FROM documents d
+WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)
+  AND lower(d.text) NOT IN (SELECT lower(b.text) FROM documents b JOIN labels l USING (doc_id))""")
+def q_bank_leak_antijoin(spark, d):
+    qs, bk = roles.doc_split(spark, d)
+    return S.bank_leak_antijoin(qs, bk, "text", "text").select("qdoc")
+
+
+@register("sel_correct_bank", """
+SELECT d.doc_id AS bdoc FROM documents d JOIN labels l USING (doc_id) WHERE l.quality IN (1)""")
+def q_sel_correct_bank(spark, d):
+    _, bk = roles.doc_split(spark, d)
+    return bk.filter(F.col("quality").isin(1)).select("bdoc")

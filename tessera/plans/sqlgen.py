@@ -17,21 +17,29 @@ def tf_sql(name: str, src: str, key: str, text: str) -> str:
 
 
 def sparse_pairs_sql(q: str, q_key: str, q_text: str, b: str, b_key: str, b_text: str,
-                     extra_cols: str = "", where: str = "", join_on: str = "TRUE") -> str:
-    """CTEs ending in ``pairs(qk, bk, <extra>, sim)``: cosine of word counts."""
+                     extra_cols: str = "", where: str = "", join_on: str = "TRUE",
+                     p: str = "", sets: bool = False) -> str:
+    """CTEs ending in ``{p}pairs(qk, bk, <extra>, sim)``: cosine of word
+    counts (``sets``: also ``dot``, ``qn2``, ``bn2`` over distinct words)."""
+    tf = tf_sql
+    qtok, btok = tf(f"{p}qtok", q, q_key, q_text), tf(f"{p}btok", b, b_key, b_text)
+    if sets:
+        qtok = qtok.replace("count(*)::DOUBLE AS tf", "1.0::DOUBLE AS tf")
+        btok = btok.replace("count(*)::DOUBLE AS tf", "1.0::DOUBLE AS tf")
     return f""",
-{tf_sql('qtok', q, q_key, q_text)},
-{tf_sql('btok', b, b_key, b_text)},
-qn AS (SELECT k, sqrt(sum(tf * tf)) AS n FROM qtok GROUP BY k),
-bn AS (SELECT k, sqrt(sum(tf * tf)) AS n FROM btok GROUP BY k),
-dots AS (SELECT q.k AS qk, b.k AS bk, sum(q.tf * b.tf) AS dot
-         FROM qtok q JOIN btok b ON q.tok = b.tok GROUP BY q.k, b.k),
-pairs AS (
+{qtok},
+{btok},
+{p}qn AS (SELECT k, sqrt(sum(tf * tf)) AS n, sum(tf * tf) AS n2 FROM {p}qtok GROUP BY k),
+{p}bn AS (SELECT k, sqrt(sum(tf * tf)) AS n, sum(tf * tf) AS n2 FROM {p}btok GROUP BY k),
+{p}dots AS (SELECT q.k AS qk, b.k AS bk, sum(q.tf * b.tf) AS dot
+         FROM {p}qtok q JOIN {p}btok b ON q.tok = b.tok GROUP BY q.k, b.k),
+{p}pairs AS (
   SELECT qq.{q_key} AS qk, bb.{b_key} AS bk{extra_cols},
-         CASE WHEN qn.n > 0 AND bn.n > 0 THEN coalesce(d.dot, 0) / (qn.n * bn.n) ELSE 0 END AS sim
+         CASE WHEN qn.n > 0 AND bn.n > 0 THEN coalesce(d.dot, 0) / (qn.n * bn.n) ELSE 0 END AS sim,
+         coalesce(d.dot, 0) AS dot, coalesce(qn.n2, 0) AS qn2, coalesce(bn.n2, 0) AS bn2
   FROM {q} qq JOIN {b} bb ON {join_on}
-  LEFT JOIN qn ON qn.k = qq.{q_key} LEFT JOIN bn ON bn.k = bb.{b_key}
-  LEFT JOIN dots d ON d.qk = qq.{q_key} AND d.bk = bb.{b_key}
+  LEFT JOIN {p}qn qn ON qn.k = qq.{q_key} LEFT JOIN {p}bn bn ON bn.k = bb.{b_key}
+  LEFT JOIN {p}dots d ON d.qk = qq.{q_key} AND d.bk = bb.{b_key}
   {('WHERE ' + where) if where else ''})"""
 
 
