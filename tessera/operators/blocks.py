@@ -214,6 +214,9 @@ def grid_scores(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str,
         b = b.withColumn("_g", F.lit(0))
         gcol = "_g"
     else:
+        # Per-group grid shape. A group needing one tile shares a "pack" with
+        # other small groups (hash of the group); a larger group gets its own
+        # grid of tiles, so one hot group is spread over many tasks.
         gcol = group
         sizes = (
             q.groupBy(gcol).agg(F.count("*").alias("_nq"))
@@ -222,6 +225,12 @@ def grid_scores(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str,
                     F.ceil(F.col("_nq") / block_rows).cast("int").alias("_nqb"),
                     F.ceil(F.col("_nb") / block_rows).cast("int").alias("_nbb"))
         )
+        n_packs = int(spark.conf.get("spark.sql.shuffle.partitions", "200")) * 2
+        single = (F.col("_nqb") == 1) & (F.col("_nbb") == 1)
+        pack = F.when(single, F.concat(F.lit("p"), F.pmod(F.xxhash64(F.col(gcol)), F.lit(n_packs))
+                                      .cast("string"))).otherwise(
+            F.concat(F.lit("g"), F.col(gcol).cast("string")))
+        sizes = sizes.withColumn("_pack", pack)
         q = q.join(sizes, gcol)  # inner: groups without a bank side give nothing
         b = b.join(sizes, gcol)
         gq, gb = F.col("_nqb"), F.col("_nbb")
@@ -229,8 +238,10 @@ def grid_scores(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str,
             .withColumn("_bb", F.explode(F.sequence(F.lit(0), gb - 1))))
     bx = (b.withColumn("_bb", F.pmod(F.xxhash64(F.col(b_key)), gb.cast("long")).cast("int"))
             .withColumn("_qb", F.explode(F.sequence(F.lit(0), gq - 1))))
-    qx = qx.select(gcol, "_qb", "_bb", q_key, *kernel.q_cols)
-    bx = bx.select(gcol, "_qb", "_bb", b_key, *tie_cols, *kernel.b_cols)
+    tile_col = "_g" if group is None else "_pack"
+    gsel = [gcol] if group is None else [gcol, "_pack"]
+    qx = qx.select(*gsel, "_qb", "_bb", q_key, *kernel.q_cols)
+    bx = bx.select(*gsel, "_qb", "_bb", b_key, *tie_cols, *kernel.b_cols)
 
     qkt, bkt = _spark_type(queries, q_key), _spark_type(bank, b_key)
     fields = [T.StructField(q_key, qkt), T.StructField(b_key, bkt)]
@@ -244,6 +255,15 @@ def grid_scores(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str,
     def tile(qpdf: pd.DataFrame, bpdf: pd.DataFrame) -> pd.DataFrame:
         if qpdf.empty or bpdf.empty:
             return pd.DataFrame({n: [] for n in names})
+        if group is not None and qpdf[gcol].nunique() > 1:
+            bgroups = dict(tuple(bpdf.groupby(gcol, sort=False)))
+            outs = [one_group(qg, bgroups[g]) for g, qg in qpdf.groupby(gcol, sort=False)
+                    if g in bgroups]
+            outs = [o for o in outs if len(o)]
+            return pd.concat(outs, ignore_index=True) if outs else pd.DataFrame({n: [] for n in names})
+        return one_group(qpdf, bpdf)
+
+    def one_group(qpdf: pd.DataFrame, bpdf: pd.DataFrame) -> pd.DataFrame:
         bpdf = bpdf.reset_index(drop=True)
         qpdf = qpdf.reset_index(drop=True)
         modes, stats = kernel.score(qpdf, bpdf)
@@ -274,7 +294,7 @@ def grid_scores(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str,
     # fresh attribute ids: both sides may come from one source DataFrame
     qx = qx.select(*[F.col(c).alias(c) for c in qx.columns])
     bx = bx.select(*[F.col(c).alias(c) for c in bx.columns])
-    keys = [gcol, "_qb", "_bb"]
+    keys = [tile_col, "_qb", "_bb"]
     return qx.groupBy(*keys).cogroup(bx.groupBy(*keys)).applyInPandas(tile, schema)
 
 

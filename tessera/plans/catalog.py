@@ -460,3 +460,221 @@ SELECT d.doc_id AS bdoc FROM documents d JOIN labels l USING (doc_id) WHERE l.qu
 def q_sel_correct_bank(spark, d):
     _, bk = roles.doc_split(spark, d)
     return bk.filter(F.col("quality").isin(1)).select("bdoc")
+
+
+# ====================================================================== helpers for SQL text
+
+def lit_sql(s: str) -> str:
+    """A Python string as a DuckDB expression (quotes doubled, newlines chr(10))."""
+    parts = s.split("\n")
+    return " || chr(10) || ".join("'" + p.replace("'", "''") + "'" for p in parts)
+
+
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '{TRIM_RE}', '', 'g')"
+
+
+# ====================================================================== 2.1 sources / sinks
+
+def _scratch(spark, name):
+    from tessera.session import scratch_path
+    return scratch_path(spark, name)
+
+
+QSET_SQL = """qset AS (
+  SELECT concat(u.conv_id, ':', u.turn) AS id, u.text AS utterance, concat('conv/', u.conv_id) AS context,
+         a.text AS targetValue
+  FROM conversations u LEFT JOIN conversations a
+    ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+  WHERE u.role = 'user')"""
+
+
+def _qset(spark, d):
+    c = roles.table(spark, d, "conversations")
+    u = c.filter(F.col("role") == "user")
+    a = c.filter(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("targetValue"))
+    return u.join(a, ["conv_id", "turn"], "left").select(
+        F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
+        F.col("text").alias("utterance"),
+        F.concat(F.lit("conv/"), F.col("conv_id").cast("string")).alias("context"), "targetValue")
+
+
+@register("src_questions_tsv", "WITH " + QSET_SQL + " SELECT * FROM qset")
+def q_src_questions_tsv(spark, d):
+    from tessera.sources import files
+    path = _scratch(spark, "questions-tsv")
+    files.write_questions_tsv(_qset(spark, d), path)
+    return files.read_questions_tsv(spark, path)
+
+
+@register("src_bank_json", "WITH " + roles.CODE_SQL + """
+SELECT p.p_brand AS table_id, c.code, p.p_name AS question, c.pred AS prompt,
+       CAST(p.p_retailprice AS VARCHAR) AS answer, CAST(p.p_size AS VARCHAR) AS prediction,
+       CASE WHEN p.p_size > 30 THEN 1 WHEN p.p_size > 10 THEN 0 ELSE -1 END AS correct,
+       p.p_type AS reply, p.p_partkey AS seq
+FROM part p JOIN code c USING (p_partkey)""")
+def q_src_bank_json(spark, d):
+    from tessera.sources import files
+    p = roles.table(spark, d, "part")
+    c = roles.code_strings(spark, d)
+    recs = p.join(c, "p_partkey").select(
+        F.col("p_brand").alias("table_id"), "code", F.col("p_name").alias("question"),
+        F.col("pred").alias("prompt"), F.col("p_retailprice").cast("string").alias("answer"),
+        F.col("p_size").cast("string").alias("prediction"),
+        F.when(F.col("p_size") > 30, 1).when(F.col("p_size") > 10, 0).otherwise(-1).alias("correct"),
+        F.col("p_type").alias("reply"), F.col("p_partkey").alias("seq"))
+    path = _scratch(spark, "bank-json")
+    files.write_json_records(recs, path)
+    return files.read_bank_json(spark, path)
+
+
+@register("src_results_jsonl", """
+SELECT CAST(doc_id AS VARCHAR) AS key, CAST(quality AS VARCHAR) AS prediction FROM labels""")
+def q_src_results_jsonl(spark, d):
+    from tessera.sources import files
+    lab = roles.table(spark, d, "labels")
+    path = _scratch(spark, "results-jsonl")
+    files.write_exec_log(lab.select(F.col("doc_id").cast("string").alias("key"),
+                                    F.col("quality").cast("string").alias("prediction")), path)
+    return files.read_results_jsonl(spark, path)
+
+
+def _nation_pipe_text(spark, d):
+    """Each region's nations as a pipe-delimited text table (header first)."""
+    from tessera.operators.sequence import ordered_concat
+    n = roles.table(spark, d, "nation")
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", F.col("n_nationkey").cast("string"), "n_name",
+                                             F.col("n_regionkey").cast("string")), F.lit(" |"))
+    lines = n.select(F.concat(F.lit("region-"), F.col("n_regionkey").cast("string")).alias("table_id"),
+                     F.col("n_nationkey").alias("o"), line.alias("line"))
+    body = ordered_concat(lines, "table_id", "o", "line", "\n")
+    return body.select("table_id", F.concat(F.lit("| n_nationkey | n_name | n_regionkey |\n"),
+                                            F.col("line"), F.lit("\n")).alias("raw"))
+
+
+NATION_PARSED_SQL = """
+WITH n AS (SELECT *, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS BIGINT) AS row_idx
+           FROM nation)
+SELECT 'region-' || n_regionkey AS table_id, row_idx, 0::BIGINT AS col_idx, 'n_nationkey' AS col_name,
+       CAST(n_nationkey AS VARCHAR) AS value FROM n
+UNION ALL SELECT 'region-' || n_regionkey, row_idx, 1, 'n_name', n_name FROM n
+UNION ALL SELECT 'region-' || n_regionkey, row_idx, 2, 'n_regionkey', CAST(n_regionkey AS VARCHAR) FROM n"""
+
+
+@register("src_pipe_tables", NATION_PARSED_SQL)
+def q_src_pipe_tables(spark, d):
+    from tessera.sources import tables
+    texts = _nation_pipe_text(spark, d)
+    path = _scratch(spark, "pipe-tables")
+    texts.write.mode("overwrite").partitionBy("table_id").text(path)
+    return tables.parse_pipe_tables(
+        spark.read.text(path, wholetext=True).select("table_id", F.col("value").alias("raw")))
+
+
+@register("src_html_tables", NATION_PARSED_SQL)
+def q_src_html_tables(spark, d):
+    from tessera.operators.sequence import ordered_concat
+    from tessera.sources import tables
+    n = roles.table(spark, d, "nation")
+    tr = F.concat(F.lit("<tr><td>"), F.col("n_nationkey").cast("string"), F.lit("</td><td>"),
+                  F.replace(F.col("n_name"), F.lit("&"), F.lit("&amp;")), F.lit("</td><td>"),
+                  F.col("n_regionkey").cast("string"), F.lit("</td></tr>"))
+    rows = n.select(F.concat(F.lit("region-"), F.col("n_regionkey").cast("string")).alias("page_id"),
+                    F.col("n_nationkey").alias("o"), tr.alias("tr"))
+    body = ordered_concat(rows, "page_id", "o", "tr", "\n")
+    html = body.select("page_id", F.concat(
+        F.lit("<html><body><p>Nations</p><table class=\"wikitable\">\n"
+              "<tr><th>n_nationkey</th><th>n_name</th><th>n_regionkey</th></tr>\n"),
+        F.col("tr"), F.lit("\n</table></body></html>")).alias("html"))
+    return tables.parse_html_tables(html)
+
+
+@register("snk_prompt_json", "WITH " + roles.QUESTIONS_SQL + " SELECT qid, question, table_id FROM questions")
+def q_snk_prompt_json(spark, d):
+    from tessera.sources import files
+    q = roles.questions(spark, d).select("qid", "question", "table_id")
+    path = _scratch(spark, "prompts-json")
+    files.write_json_records(q, path)
+    return spark.read.schema("qid string, question string, table_id string").json(path)
+
+
+@register("snk_exec_jsonl", "WITH " + roles.REPLIES_SQL + " SELECT rid AS key, reply AS prediction FROM replies")
+def q_snk_exec_jsonl(spark, d):
+    from tessera.sources import files
+    r = roles.replies(spark, d).select(F.col("rid").alias("key"), F.col("reply").alias("prediction"))
+    path = _scratch(spark, "exec-jsonl")
+    files.write_exec_log(r, path)
+    files.write_exec_log(r, path)  # a second run replaces the log, never appends
+    return files.read_results_jsonl(spark, path)
+
+
+# ====================================================================== 2.6 selection
+
+@register("sel_sample_n", """
+SELECT doc_id FROM documents ORDER BY md5('123|' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 100""")
+def q_sel_sample_n(spark, d):
+    from tessera.operators.select import sample_n
+    return sample_n(roles.table(spark, d, "documents").select("doc_id"), "doc_id", 100, 123)
+
+
+@register("sel_first_n", "SELECT doc_id FROM documents ORDER BY doc_id LIMIT 1000")
+def q_sel_first_n(spark, d):
+    from tessera.operators.select import first_n
+    return first_n(roles.table(spark, d, "documents").select("doc_id"), "doc_id", 1000)
+
+
+# ====================================================================== 2.7 replies
+
+AI_SQL = f"""ai AS (
+  SELECT rid, reply,
+         CASE WHEN contains(reply, 'Action Input:')
+              THEN {strip_sql("split_part(split_part(reply, 'Action Input:', 2), 'Observation:', 1)")}
+              ELSE {strip_sql('reply')} END AS code_keep,
+         CASE WHEN contains(reply, 'Action Input: ')
+              THEN {strip_sql("split_part(split_part(reply, 'Action Input: ', 2), 'Observation: ', 1)")} END AS code_strict
+  FROM replies),
+sf AS (SELECT rid, code_keep,
+              CASE WHEN contains(code_keep, '```python')
+                   THEN replace(replace(code_keep, '```python', ''), '```', '') ELSE code_keep END AS code
+       FROM ai),
+ln AS (SELECT rid, code, list_filter(string_split({strip_sql('code')}, chr(10)), lambda l: NOT contains(l, 'Output')) AS lines
+       FROM sf)"""
+
+
+@register("reply_action_input", "WITH " + roles.REPLIES_SQL + ",\n" + AI_SQL
+          + " SELECT rid, code_keep, code_strict FROM ai")
+def q_reply_action_input(spark, d):
+    from tessera.functions.replies import action_input
+    r = roles.replies(spark, d)
+    return r.select("rid", action_input("reply").alias("code_keep"),
+                    action_input("reply", on_missing="null", trailing_space=True).alias("code_strict"))
+
+
+def _fenced(spark, d):
+    from tessera.functions.replies import action_input, strip_fence
+    return roles.replies(spark, d).select("rid", strip_fence(action_input("reply")).alias("code"))
+
+
+@register("reply_strip_fence", "WITH " + roles.REPLIES_SQL + ",\n" + AI_SQL + " SELECT rid, code FROM sf")
+def q_reply_strip_fence(spark, d):
+    return _fenced(spark, d)
+
+
+@register("reply_drop_output_lines", "WITH " + roles.REPLIES_SQL + ",\n" + AI_SQL
+          + " SELECT rid, array_to_string(lines, chr(10)) AS code FROM ln")
+def q_reply_drop_output_lines(spark, d):
+    from tessera.functions.replies import drop_output_lines
+    return _fenced(spark, d).select("rid", drop_output_lines("code").alias("code"))
+
+
+@register("reply_program_shape", "WITH " + roles.REPLIES_SQL + ",\n" + AI_SQL + f"""
+SELECT rid,
+       CASE WHEN len(lines) > 1 THEN 'block' WHEN contains(code, ' = ') THEN 'assign' ELSE 'expr' END AS shape,
+       CASE WHEN len(lines) > 1 THEN lines[-1] WHEN contains(code, ' = ') THEN split_part(code, ' = ', 1)
+            ELSE {strip_sql('code')} END AS result_expr
+FROM ln""")
+def q_reply_program_shape(spark, d):
+    from tessera.functions.replies import program_shape
+    return _fenced(spark, d).select("rid", program_shape("code").alias("s")).select(
+        "rid", "s.shape", "s.result_expr")
