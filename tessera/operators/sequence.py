@@ -11,6 +11,9 @@ third of the data. Here instead:
 3. per (key, partition) totals -- at most #partitions rows per key -- give
    each partition's offset by a small window;
 4. offsets are joined back: global running sum = local + offset.
+
+The local sums are checkpointed once (reliable checkpoint in the shared
+``spark.checkpoint.dir``) so both uses see one partitioning.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.session import cut_lineage
+
 
 def running_sum(df: DataFrame, key: str, order_cols: list[str], value_cols: list[str],
                 out_prefix: str = "cum_", num_partitions: int | None = None) -> DataFrame:
@@ -50,9 +55,13 @@ def running_sum(df: DataFrame, key: str, order_cols: list[str], value_cols: list
                 out[o] = cums[v].to_numpy()
             yield out
 
-    loc = r.mapInPandas(local, schema)
-    totals = (r.groupBy(key, "_pid").agg(*[F.sum(F.col(v).cast("double")).alias("_t_" + v)
-                                           for v in value_cols]))
+    # One materialisation of the local sums, to the shared checkpoint folder:
+    # the partition a row landed in must be the same for the sums and for the
+    # totals below, and a lost executor must not re-partition it differently.
+    loc = cut_lineage(r.mapInPandas(local, schema))
+    last = F.struct(*[F.col(c) for c in order_cols])
+    totals = loc.groupBy(key, "_pid").agg(*[F.max_by(F.col(o), last).alias("_t_" + v)
+                                            for v, o in zip(value_cols, outs)])
     w = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = totals.select(key, "_pid", *[F.coalesce(F.sum("_t_" + v).over(w), F.lit(0.0))
                                         .alias("_o_" + v) for v in value_cols])

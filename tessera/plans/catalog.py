@@ -678,3 +678,218 @@ def q_reply_program_shape(spark, d):
     from tessera.functions.replies import program_shape
     return _fenced(spark, d).select("rid", program_shape("code").alias("s")).select(
         "rid", "s.shape", "s.result_expr")
+
+
+# ====================================================================== 2.8 evaluation
+
+def _event_labels(spark, d):
+    from tessera.operators.evaluate import outcome_label
+    e = roles.table(spark, d, "events")
+    ans = F.when(F.col("value") > 10, F.lit("purchase")).otherwise(F.lit("view"))
+    pred = F.when(F.col("event_type") == "error", F.concat(F.lit("Traceback (most recent call last): "),
+                                                           F.col("props"))).otherwise(F.col("event_type"))
+    x = e.select("user_id", "event_id", ans.alias("answer"), pred.alias("prediction"))
+    return x.withColumn("label", outcome_label("answer", "prediction"))
+
+
+LABEL_SQL = """lab AS (
+  SELECT user_id, event_id, answer, prediction,
+         CASE WHEN answer = prediction THEN 1 WHEN contains(prediction, 'Traceback') THEN -1 ELSE 0 END AS label
+  FROM (SELECT user_id, event_id, CASE WHEN value > 10 THEN 'purchase' ELSE 'view' END AS answer,
+               CASE WHEN event_type = 'error' THEN 'Traceback (most recent call last): ' || props
+                    ELSE event_type END AS prediction FROM events))"""
+
+
+@register("eval_exact_match", f"""
+WITH g AS (SELECT o_orderkey, o_orderstatus AS answer,
+                  CASE WHEN o_totalprice > 200000 THEN ' F' || chr(160) ELSE 'O ' END AS prediction FROM orders)
+SELECT count(*) AS n, count(*) FILTER (WHERE {strip_sql('answer')} = {strip_sql('prediction')}) AS hits,
+       count(*) FILTER (WHERE {strip_sql('answer')} = {strip_sql('prediction')}) / count(*) AS ratio
+FROM g""")
+def q_eval_exact_match(spark, d):
+    from tessera.operators.evaluate import exact_match
+    o = roles.table(spark, d, "orders")
+    gold = o.select("o_orderkey", F.col("o_orderstatus").alias("answer"))
+    pred = o.select("o_orderkey", F.when(F.col("o_totalprice") > 200000, F.lit(" F "))
+                    .otherwise(F.lit("O ")).alias("prediction"))
+    return exact_match(gold, pred, "o_orderkey")
+
+
+@register("eval_outcome_label", "WITH " + LABEL_SQL + " SELECT label, count(*) AS n FROM lab GROUP BY label")
+def q_eval_outcome_label(spark, d):
+    from tessera.operators.evaluate import label_counts
+    return label_counts(_event_labels(spark, d))
+
+
+@register("eval_progress", "WITH " + LABEL_SQL + """,
+p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos FROM lab),
+b AS (SELECT user_id, (pos - 1) // 50 AS batch, count(*) AS n, count(*) FILTER (WHERE label = 1) AS b1,
+             count(*) FILTER (WHERE label = 0) AS b0, count(*) FILTER (WHERE label = -1) AS berr
+      FROM p GROUP BY user_id, (pos - 1) // 50)
+SELECT user_id, CAST(batch AS BIGINT) AS batch,
+       CAST(sum(n) OVER w AS BIGINT) AS n_items, CAST(sum(b1) OVER w AS BIGINT) AS c1,
+       CAST(sum(b0) OVER w AS BIGINT) AS c0, CAST(sum(berr) OVER w AS BIGINT) AS cerr
+FROM b WINDOW w AS (PARTITION BY user_id ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def q_eval_progress(spark, d):
+    from tessera.operators.evaluate import progress
+    return progress(_event_labels(spark, d), "user_id", "event_id").withColumn(
+        "batch", F.col("batch").cast("long"))
+
+
+@register("eval_compare_runs", """
+SELECT count(*) FILTER (WHERE a = p1 AND a = p2) AS both, count(*) FILTER (WHERE a = p1 AND a <> p2) AS only1,
+       count(*) FILTER (WHERE a <> p1 AND a = p2) AS only2, count(*) FILTER (WHERE a <> p1 AND a <> p2) AS neither
+FROM (SELECT doc_id, '1' AS a, CAST(quality AS VARCHAR) AS p1, CAST(toxic AS VARCHAR) AS p2 FROM labels)""")
+def q_eval_compare_runs(spark, d):
+    from tessera.operators.evaluate import compare_runs
+    lab = roles.table(spark, d, "labels")
+    gold = lab.select("doc_id", F.lit("1").alias("answer"))
+    r1 = lab.select("doc_id", F.col("quality").cast("string").alias("p1"))
+    r2 = lab.select("doc_id", F.col("toxic").cast("string").alias("p2"))
+    return compare_runs(gold, r1, r2, "doc_id")
+
+
+@register("eval_only_first_right", """
+SELECT doc_id FROM labels WHERE CAST(quality AS VARCHAR) = '1' AND CAST(toxic AS VARCHAR) <> '1'""")
+def q_eval_only_first_right(spark, d):
+    from tessera.operators.evaluate import only_first_right
+    lab = roles.table(spark, d, "labels")
+    gold = lab.select("doc_id", F.lit("1").alias("answer"))
+    r1 = lab.select("doc_id", F.col("quality").cast("string").alias("p1"))
+    r2 = lab.select("doc_id", F.col("toxic").cast("string").alias("p2"))
+    return only_first_right(gold, r1, r2, "doc_id")
+
+
+@register("attempts_fold", """
+WITH a AS (SELECT user_id, CAST(event_id AS VARCHAR) AS reply, event_type <> 'error' AS ok,
+                  row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+g AS (SELECT user_id, min(n) FILTER (WHERE ok AND n <= 3) AS ok_n,
+             arg_min(reply, n) FILTER (WHERE ok AND n <= 3) AS ok_reply,
+             arg_max(reply, n) FILTER (WHERE n <= 4) AS last_reply, count(*) AS m FROM a GROUP BY user_id)
+SELECT user_id, coalesce(ok_reply, last_reply) AS reply, CAST(coalesce(ok_n, least(m, 3)) AS BIGINT) AS tries FROM g""")
+def q_attempts_fold(spark, d):
+    from tessera.operators.evaluate import attempts_fold
+    e = roles.table(spark, d, "events").select(
+        "user_id", "event_id", F.col("event_id").cast("string").alias("reply"),
+        (F.col("event_type") != "error").alias("ok"))
+    return attempts_fold(e, "user_id", "event_id", "reply", "ok", cap=3)
+
+
+@register("attempts_until_match", """
+WITH a AS (SELECT user_id, CAST(event_id AS VARCHAR) AS reply, event_type = 'purchase' AS hit,
+                  row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+g AS (SELECT user_id, arg_min(reply, n) FILTER (WHERE hit AND n <= 1) AS hit_reply,
+             arg_max(reply, n) FILTER (WHERE n <= 1) AS cap_reply FROM a GROUP BY user_id)
+SELECT user_id, coalesce(hit_reply, cap_reply) AS reply, hit_reply IS NOT NULL AS hit FROM g""")
+def q_attempts_until_match(spark, d):
+    from tessera.operators.evaluate import attempts_until_match
+    e = roles.table(spark, d, "events").select(
+        "user_id", "event_id", F.col("event_id").cast("string").alias("reply"),
+        (F.col("event_type") == "purchase").alias("hit"))
+    return attempts_until_match(e, "user_id", "event_id", "reply", "hit", cap=1)
+
+
+# ====================================================================== 2.5 prompts
+
+from tessera.functions.literals import BUDGET_MARKER, TABLE_BUDGET, TOKEN_RE  # noqa: E402
+from tessera.operators import prompts as P  # noqa: E402
+
+RENDER_SQL = """{name} AS (
+  SELECT table_id, ' | ' || max(header_text) || ' | ' || chr(10) || ' | ' ||
+         string_agg(row_text, ' | ' || chr(10) || ' | ' ORDER BY row_idx) || ' | ' AS text
+  FROM conv_rows WHERE row_idx < {rows} GROUP BY table_id)"""
+
+
+def budget_sql(name: str, src: str, budget: int = TABLE_BUDGET) -> str:
+    return f"""{name} AS (
+  SELECT table_id, CASE WHEN len(toks) > {budget}
+                        THEN array_to_string(toks[1:{budget}], '') || {lit_sql(BUDGET_MARKER)} ELSE text END AS text
+  FROM (SELECT table_id, text, regexp_extract_all(text, '{TOKEN_RE}') AS toks FROM {src}))"""
+
+
+def _ranked_sql() -> str:
+    return "ranked AS (" + ORACLES["txt_sparse_topk"] + ")"
+
+
+BLOCK_SQL = f"""blocks AS (
+  SELECT r.qid, {lit_sql(P.FEWSHOT_LEAD)} || string_agg({lit_sql(P.EXAMPLE_Q)} || b.nl || {lit_sql(P.EXAMPLE_CODE)}
+         || replace(b.code, '@@@', chr(10)) || {lit_sql(P.EXAMPLE_END)}, '' ORDER BY r.rank) AS block
+  FROM ranked r JOIN dbank b USING (bid) GROUP BY r.qid)"""
+
+
+@register("prompt_fewshot_block", _with(roles.QUESTIONS_SQL, roles.BANK_SQL, roles.DBANK_SQL, _ranked_sql(),
+                                        BLOCK_SQL) + " SELECT qid, block FROM blocks")
+def q_prompt_fewshot_block(spark, d):
+    ranked = strategies.nl_topk(spark, d, K_NL)
+    return strategies.fewshot(ranked, strategies.dedup_bank(spark, d))
+
+
+@register("prompt_code_template", _with(roles.QUESTIONS_SQL, roles.BANK_SQL, roles.DBANK_SQL, _ranked_sql(),
+                                        BLOCK_SQL, roles.CONV_ROWS_SQL,
+                                        RENDER_SQL.format(name="fullt", rows=TABLE_BUDGET),
+                                        budget_sql("tb", "fullt")) + f"""
+SELECT q.qid, coalesce(bl.block, {lit_sql(P.FEWSHOT_LEAD)}) || {lit_sql(P.TABLE_LEAD)} || coalesce(tb.text, '')
+       || {lit_sql(P.QUESTION_LEAD)} || q.question || {lit_sql(P.CODE_CUE)} AS prompt
+FROM questions q LEFT JOIN blocks bl USING (qid) LEFT JOIN tb USING (table_id)""")
+def q_prompt_code_template(spark, d):
+    return strategies.nl_prompts(spark, d, K_NL)
+
+
+@register("prompt_agent_template", _with(roles.QUESTIONS_SQL, roles.CONV_ROWS_SQL,
+                                         RENDER_SQL.format(name="fullt", rows=1 << 30)) + f"""
+SELECT q.qid, {lit_sql(P.AGENT_HEAD)} || coalesce(t.text, '') || {lit_sql(P.AGENT_QUESTION)} || q.question AS prompt
+FROM questions q LEFT JOIN fullt t USING (table_id)""")
+def q_prompt_agent_template(spark, d):
+    q = roles.questions(spark, d)
+    t = R.render_rows(roles.conversation_rows(spark, d))
+    return P.agent_prompt(R.join_question_table(q, t), "qid")
+
+
+@register("prompt_table_example", _with(roles.QUESTIONS_SQL, roles.BANK_SQL, roles.CONV_ROWS_SQL,
+                                        "tq AS (" + ORACLES["sim_table_then_question"] + ")",
+                                        RENDER_SQL.format(name="head6", rows=5),
+                                        RENDER_SQL.format(name="fullt", rows=TABLE_BUDGET),
+                                        budget_sql("tb", "fullt")) + f"""
+SELECT q.qid, {lit_sql(P.EXAMPLE_HEAD)} || coalesce(h.text, '') || {lit_sql(P.EXAMPLE_QUESTION)}
+       || coalesce(lower(b.question), '') || {lit_sql(P.EXAMPLE_ANSWER)} || coalesce(b.answer, '')
+       || {lit_sql(P.EXAMPLE_TAIL)} || {lit_sql(P.AGENT_HEAD)} || coalesce(tb.text, '')
+       || {lit_sql(P.AGENT_QUESTION)} || q.question AS prompt
+FROM questions q LEFT JOIN tq USING (qid) LEFT JOIN bank b ON b.bid = tq.bid
+     LEFT JOIN head6 h ON h.table_id = tq.example_table LEFT JOIN tb ON tb.table_id = q.table_id""")
+def q_prompt_table_example(spark, d):
+    q = roles.questions(spark, d)
+    b = roles.bank(spark, d).withColumn("nl", F.lower("question"))
+    rows = roles.conversation_rows(spark, d)
+    heads = R.render_head(rows, 2)
+    tq = S.table_then_question(q, b, heads, heads, q_key="qid", b_key="bid", q_text="question",
+                               b_text="nl", tie_cols=["conv_id", "turn"])
+    head6 = R.render_head(rows, 6).select(F.col("table_id").alias("example_table"),
+                                          F.col("text").alias("example_table_text"))
+    ex = (tq.join(b.select("bid", F.col("nl").alias("example_question"),
+                           F.col("answer").alias("example_answer")), "bid")
+            .join(head6, "example_table", "left").select("qid", "example_table_text",
+                                                         "example_question", "example_answer"))
+    qt = R.join_question_table(q, strategies.tables(spark, d)).join(ex, "qid", "left")
+    return P.table_example_prompt(qt, "qid")
+
+
+@register("prompt_post_answer", _with(roles.BANK_SQL, roles.CONV_ROWS_SQL,
+                                      RENDER_SQL.format(name="fullt", rows=TABLE_BUDGET),
+                                      budget_sql("tb", "fullt")) + f"""
+SELECT b.bid, {lit_sql(P.POST_HEAD)} || coalesce(tb.text, '') || {lit_sql(P.POST_QUESTION)} || b.question
+       || {lit_sql(P.POST_CODE)} || coalesce(b.code, '') || {lit_sql(P.POST_RESULT)} || coalesce(b.answer, '')
+       || {lit_sql(P.POST_TAIL)} AS prompt
+FROM bank b LEFT JOIN tb USING (table_id)""")
+def q_prompt_post_answer(spark, d):
+    b = roles.bank(spark, d)
+    j = R.join_question_table(b, strategies.tables(spark, d))
+    return P.post_answer_prompt(j.withColumnRenamed("code", "prediction").withColumnRenamed("answer", "result"),
+                                "bid")
+
+
+@register("prompt_history_fold", """
+SELECT conv_id, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY turn) AS prompt, count(*) AS n_turns
+FROM conversations GROUP BY conv_id""")
+def q_prompt_history_fold(spark, d):
+    c = roles.table(spark, d, "conversations")
+    return P.history_fold(c, "conv_id", "turn", "text")
