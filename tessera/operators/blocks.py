@@ -142,6 +142,9 @@ def local_topk(score: np.ndarray, valid: np.ndarray | None, tie_rank: np.ndarray
 
     Order: score rounded to 6 dp descending, then ``tie_rank`` ascending (a
     total order over the block's bank rows). Invalid cells never qualify.
+    Linear per row even when every score ties: the k-th value is found by a
+    partition, entries above it are kept, and the remaining places go to the
+    smallest tie ranks among entries equal to it (a second partition).
     """
     nq, nb = score.shape
     r = np.round(score, 6)
@@ -152,14 +155,22 @@ def local_topk(score: np.ndarray, valid: np.ndarray | None, tie_rank: np.ndarray
         e = np.zeros(0, dtype=np.int64)
         return e, e, np.zeros(0)
     kth = -np.partition(-r, kk - 1, axis=1)[:, kk - 1]
-    cand = (r >= kth[:, None]) & np.isfinite(r)
-    qi, bi = np.nonzero(cand)
+    greater = r > kth[:, None]
+    need = kk - greater.sum(axis=1)
+    big = np.iinfo(np.int64).max
+    ties = np.where((r == kth[:, None]) & np.isfinite(r), tie_rank[None, :].astype(np.int64), big)
+    smallest = np.sort(np.partition(ties, kk - 1, axis=1)[:, :kk], axis=1)
+    take = (np.arange(kk)[None, :] < need[:, None]) & (smallest < big)
+    col_of_rank = np.empty(nb, dtype=np.int64)
+    col_of_rank[tie_rank] = np.arange(nb)
+    tq, tpos = np.nonzero(take)
+    tb = col_of_rank[smallest[tq, tpos]]
+    gq, gb = np.nonzero(greater)
+    qi = np.concatenate([gq, tq])
+    bi = np.concatenate([gb, tb])
     vals = r[qi, bi]
     o = np.lexsort((tie_rank[bi], -vals, qi))
-    qi, bi, vals = qi[o], bi[o], vals[o]
-    start = np.searchsorted(qi, qi, side="left")
-    keep = (np.arange(len(qi)) - start) < kk
-    return qi[keep], bi[keep], vals[keep]
+    return qi[o], bi[o], vals[o]
 
 
 # ---------------------------------------------------------------- grid
