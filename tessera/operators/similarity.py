@@ -40,22 +40,25 @@ def bank_dedup_last(bank: DataFrame, text_col: str, seq_cols: list[str]) -> Data
 
 def sparse_topk(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str,
                 q_text: str, b_text: str, k: int, tie_cols: list[str] | None = None,
-                group: str | None = None, exclude_self: bool = False) -> DataFrame:
+                group: str | None = None, exclude_self: bool = False,
+                block_rows: int = blocks.DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Top-k bank rows per question by word-count cosine (exact, pads with 0)."""
     q = queries.withColumn("_tok", words(q_text))
     b = bank.withColumn("_btok", words(b_text))
     return blocks.topk(q, b, q_key=q_key, b_key=b_key, kernel=blocks.sparse_kernel("_tok", "_btok"),
-                       k=k, tie_cols=tie_cols, group=group, exclude_self=exclude_self)
+                       k=k, tie_cols=tie_cols, group=group, exclude_self=exclude_self,
+                       block_rows=block_rows)
 
 
 def vector_topk(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str,
                 q_vec: str, b_vec: str, k: int, tie_cols: list[str] | None = None,
-                include_self: bool = True) -> DataFrame:
+                include_self: bool = True, group: str | None = None,
+                block_rows: int = blocks.DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Top-k by cosine of supplied vectors. ``include_self=False`` drops the
     pair of a key with itself (when both sides share key values)."""
     return blocks.topk(queries, bank, q_key=q_key, b_key=b_key,
                        kernel=blocks.dense_kernel(q_vec, b_vec), k=k, tie_cols=tie_cols,
-                       exclude_self=not include_self)
+                       exclude_self=not include_self, group=group, block_rows=block_rows)
 
 
 def vector_pairs_above(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str,
