@@ -893,3 +893,24 @@ FROM conversations GROUP BY conv_id""")
 def q_prompt_history_fold(spark, d):
     c = roles.table(spark, d, "conversations")
     return P.history_fold(c, "conv_id", "turn", "text")
+
+
+# ====================================================================== streaming
+
+@register("stream_progress_counts", "WITH " + LABEL_SQL + """
+SELECT user_id AS run, count(*) AS n_items, count(*) FILTER (WHERE label = 1) AS c1,
+       count(*) FILTER (WHERE label = 0) AS c0, count(*) FILTER (WHERE label = -1) AS cerr
+FROM lab GROUP BY user_id""")
+def q_stream_progress_counts(spark, d):
+    """The execution log (derived from ``events``) arrives as several appended
+    files; the stream folds them into per-run counts."""
+    from tessera.streaming.progress import start_progress
+    base = _scratch(spark, "stream")
+    log_dir, out_dir, ckpt = f"{base}/log", f"{base}/out", f"{base}/ckpt"
+    logs = _event_labels(spark, d).select(F.col("user_id").alias("run"), F.col("event_id").alias("seq"),
+                                          "answer", "prediction")
+    # appended in four parts, as a log grows
+    logs.repartition(4, "seq").write.mode("overwrite").json(log_dir)
+    q = start_progress(spark, log_dir, out_dir, ckpt, available_now=True, max_files_per_trigger=1)
+    q.awaitTermination()
+    return spark.read.parquet(out_dir)

@@ -1 +1 @@
-"""tessera.streaming"""
+"""Structured Streaming: incremental scoring of a growing execution log."""
