@@ -105,3 +105,25 @@ def attempts_until_match(attempts: DataFrame, item: str, order: str, reply: str,
         F.max_by(F.col(reply), F.when(F.col("n") <= cap, F.col("n"))).alias("_cap_reply"))
     return g.select(item, F.coalesce("_hit_reply", "_cap_reply").alias("reply"),
                     F.col("_hit_reply").isNotNull().alias("hit"))
+
+
+def canonical_answer(c) -> F.Column:
+    """Normalise a printed prediction before comparing (optional rules).
+
+    In order: ``True``/``False`` -> ``yes``/``no``; three or more ``", "``
+    parts -> joined by ``|``; a printed one-column series (holds
+    ``dtype: object``) -> its first line without the index; double quotes
+    removed; a printed list (``[`` and ``]``) loses brackets and quotes.
+    """
+    p = F.col(c) if isinstance(c, str) else c
+    p = (F.when(p.isin("False", "false"), F.lit("no"))
+          .when(p.isin("True", "true"), F.lit("yes")).otherwise(p))
+    p = F.when(F.size(F.split(p, ", ", -1)) > 2, F.replace(p, F.lit(", "), F.lit("|"))).otherwise(p)
+    first = F.split(F.split_part(p, F.lit("\n"), F.lit(1)), " ", -1)
+    p = F.when(F.contains(p, F.lit("dtype: object")),
+               F.array_join(F.slice(first, 2, F.greatest(F.size(first) - 1, F.lit(0))), " ")).otherwise(p)
+    p = F.replace(p, F.lit('"'), F.lit(""))
+    p = F.when(F.contains(p, F.lit("[")) & F.contains(p, F.lit("]")),
+               F.replace(F.replace(F.replace(p, F.lit("["), F.lit("")), F.lit("]"), F.lit("")),
+                         F.lit("'"), F.lit(""))).otherwise(p)
+    return p

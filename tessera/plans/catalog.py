@@ -914,3 +914,45 @@ def q_stream_progress_counts(spark, d):
     q = start_progress(spark, log_dir, out_dir, ckpt, available_now=True, max_files_per_trigger=1)
     q.awaitTermination()
     return spark.read.parquet(out_dir)
+
+
+# ====================================================================== optional (commented in the source)
+
+@register("eval_answer_canonical", """
+WITH p AS (SELECT p_partkey,
+  CASE WHEN p_size < 5 THEN CASE WHEN p_partkey % 2 = 0 THEN 'True' ELSE 'false' END
+       WHEN p_size < 15 THEN p_name || ', ' || p_brand || ', ' || p_type
+       WHEN p_size < 25 THEN '0    ' || p_name || chr(10) || 'Name: x, dtype: object'
+       WHEN p_size < 35 THEN '["' || p_name || '"]'
+       WHEN p_size < 45 THEN '[''' || p_brand || ''', ''' || p_type || ''']'
+       ELSE p_name END AS raw FROM part),
+s1 AS (SELECT p_partkey, raw, CASE WHEN raw IN ('False', 'false') THEN 'no' WHEN raw IN ('True', 'true') THEN 'yes' ELSE raw END AS p FROM p),
+s2 AS (SELECT p_partkey, raw, CASE WHEN len(string_split(p, ', ')) > 2 THEN replace(p, ', ', '|') ELSE p END AS p FROM s1),
+s3 AS (SELECT p_partkey, raw, CASE WHEN contains(p, 'dtype: object')
+                                   THEN array_to_string(string_split(split_part(p, chr(10), 1), ' ')[2:], ' ') ELSE p END AS p FROM s2),
+s4 AS (SELECT p_partkey, raw, replace(p, '"', '') AS p FROM s3)
+SELECT p_partkey, raw, CASE WHEN contains(p, '[') AND contains(p, ']')
+                            THEN replace(replace(replace(p, '[', ''), ']', ''), '''', '') ELSE p END AS answer
+FROM s4""")
+def q_eval_answer_canonical(spark, d):
+    from tessera.operators.evaluate import canonical_answer
+    p = roles.table(spark, d, "part")
+    raw = (F.when(F.col("p_size") < 5, F.when(F.col("p_partkey") % 2 == 0, F.lit("True")).otherwise(F.lit("false")))
+            .when(F.col("p_size") < 15, F.concat_ws(", ", "p_name", "p_brand", "p_type"))
+            .when(F.col("p_size") < 25, F.concat(F.lit("0    "), F.col("p_name"), F.lit("\nName: x, dtype: object")))
+            .when(F.col("p_size") < 35, F.concat(F.lit('["'), F.col("p_name"), F.lit('"]')))
+            .when(F.col("p_size") < 45, F.concat(F.lit("['"), F.col("p_brand"), F.lit("', '"), F.col("p_type"), F.lit("']")))
+            .otherwise(F.col("p_name")))
+    return p.select("p_partkey", raw.alias("raw")).withColumn("answer", canonical_answer("raw"))
+
+
+@register("sim_keyword_vector", _with(roles.QUESTIONS_SQL, roles.BANK_SQL, roles.DBANK_SQL, KW_SQL)
+          + G.sparse_pairs_sql("kw", "qid", "kw", "dbank", "bid", "nl",
+                               extra_cols=", bb.first_conv_id, bb.first_turn")
+          + G.topk_select("qid", "bid", K_NL, ["first_conv_id", "first_turn"]))
+def q_sim_keyword_vector(spark, d):
+    """Rank examples by similarity to the question's keyword alone."""
+    q = roles.questions(spark, d).withColumn("kw", TX.min_ngram("question", 1))
+    b = strategies.dedup_bank(spark, d)
+    return S.sparse_topk(q, b, q_key="qid", b_key="bid", q_text="kw", b_text="nl", k=K_NL,
+                         tie_cols=strategies.BANK_TIES)
