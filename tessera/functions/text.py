@@ -18,6 +18,7 @@ from tessera.functions.literals import (
     NUM_RE,
     TOKEN_RE,
     TRIM_RE,
+    NON_WORD_RE,
     WORD_RE,
 )
 
@@ -54,9 +55,14 @@ def mask_literals(c) -> Column:
 
 
 def words(c, lower: bool = True) -> Column:
-    """Word tokens of two or more letters, digits or underscores."""
+    """Word tokens of two or more letters, digits or underscores.
+
+    Same tokens as extracting every ``WORD_RE`` match (maximal runs of word
+    characters, runs of one character skipped), computed by one split on the
+    complement class, which the JVM runs faster.
+    """
     src = F.lower(_c(c)) if lower else _c(c)
-    return F.regexp_extract_all(src, F.lit(WORD_RE), 0)
+    return F.filter(F.split(src, NON_WORD_RE, -1), lambda x: F.length(x) >= 2)
 
 
 def min_ngram(c, n: int = 1) -> Column:

@@ -3,7 +3,7 @@ col_name, value)`` -- one DataFrame holds every table."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.literals import NA_TOKENS
@@ -15,12 +15,16 @@ def header_clean(headers: DataFrame) -> DataFrame:
     """Strip header names and number duplicates ``X, X.1, X.2`` in column
     order, as a CSV reader does. ``headers(table_id, col_idx, col_name)``.
 
-    The window is partitioned by (table, name): a group is the set of equal
-    names of one table's header, bounded by the header width.
+    Duplicates are numbered by the skew-safe running count keyed by
+    (table, stripped name), so even a header with millions of equal names is
+    spread over tasks.
     """
+    from tessera.operators.sequence import positions
+
     h = headers.withColumn("_n", py_strip("col_name"))
-    w = Window.partitionBy("table_id", "_n").orderBy("col_idx")
-    dup = F.row_number().over(w) - 1
+    h = h.withColumn("_k", F.concat_ws("\u0001", F.col("table_id").cast("string"), F.col("_n")))
+    h = positions(h, "_k", ["col_idx"], "_pos")
+    dup = F.col("_pos") - 1
     return h.select("table_id", "col_idx",
                     F.when(dup > 0, F.concat(F.col("_n"), F.lit("."), dup.cast("string")))
                      .otherwise(F.col("_n")).alias("col_name"))

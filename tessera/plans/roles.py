@@ -106,10 +106,13 @@ def nation_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cells_from_wide(df: DataFrame, table_id, order_col: str, cols: list[str]) -> DataFrame:
-    from pyspark.sql import Window
+    """Rows numbered within their table by the skew-safe running count (a
+    table holding a third of all rows is not one task), then one cell per
+    column."""
+    from tessera.operators.sequence import positions
 
-    w = Window.partitionBy("table_id").orderBy(order_col)
-    d = df.withColumn("table_id", table_id).withColumn("row_idx", F.row_number().over(w) - 1)
+    d = positions(df.withColumn("table_id", table_id), "table_id", [order_col], "row_idx")
+    d = d.withColumn("row_idx", F.col("row_idx") - 1)
     stack = F.explode(F.array(*[
         F.struct(F.lit(i).alias("col_idx"), F.lit(c).alias("col_name"),
                  F.col(c).cast("string").alias("value")) for i, c in enumerate(cols)]))
