@@ -32,8 +32,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.session import cut_lineage
+
 DEFAULT_BLOCK_ROWS = 2048
 STAT_PREFIX = "#"
+PACK_MAX_GROUP_PAIRS = 65536  # larger groups of a pack are scored one by one
 
 
 # ---------------------------------------------------------------- kernels
@@ -134,6 +137,34 @@ def sparse_cosine(qt: pd.Series, bt: pd.Series) -> np.ndarray:
         return np.where(denom > 0, s / np.where(denom > 0, denom, 1.0), 0.0)
 
 
+def sparse_pack_pairs(qt: pd.Series, qg: np.ndarray, bt: pd.Series, bg: np.ndarray):
+    """Positive word-count cosines of every same-group row pair of a pack of
+    many small groups, in one postings merge on (group, token): ``(qi, bi,
+    sim)``. Pairs absent from the result score 0."""
+    vocab: dict = {}
+    qr, qc, qw = _postings(qt, vocab)
+    br, bc, bw = _postings(bt, vocab)
+    nq, nb = len(qt), len(bt)
+    qn = np.sqrt(np.bincount(qr, weights=qw * qw, minlength=nq)) if len(qr) else np.zeros(nq)
+    bn = np.sqrt(np.bincount(br, weights=bw * bw, minlength=nb)) if len(br) else np.zeros(nb)
+    if not len(qr) or not len(br):
+        e = np.zeros(0, dtype=np.int64)
+        return e, e, np.zeros(0)
+    codes, _ = pd.factorize(np.concatenate([np.asarray(qg, dtype=object), np.asarray(bg, dtype=object)]))
+    qgc, bgc = codes[:nq], codes[nq:]
+    qdf = pd.DataFrame({"g": qgc[qr], "t": qc, "q": qr, "wq": qw})
+    bdf = pd.DataFrame({"g": bgc[br], "t": bc, "b": br, "wb": bw})
+    j = qdf.merge(bdf, on=["g", "t"])
+    if not len(j):
+        e = np.zeros(0, dtype=np.int64)
+        return e, e, np.zeros(0)
+    j["x"] = j["wq"].to_numpy() * j["wb"].to_numpy()
+    dot = j.groupby(["q", "b"], sort=False)["x"].sum()
+    qi = dot.index.get_level_values(0).to_numpy()
+    bi = dot.index.get_level_values(1).to_numpy()
+    return qi, bi, dot.to_numpy() / (qn[qi] * bn[bi])
+
+
 # ---------------------------------------------------------------- local top-k
 
 
@@ -189,6 +220,10 @@ class Kernel:
     b_cols: list[str]
     score: object
     modes: list[str] = field(default_factory=lambda: ["sim"])
+    # optional: scores of a pack of small groups at once, (q_pdf, b_pdf, group
+    # col) -> (qi, bi, sim) for positive pairs (absent pairs score 0, no
+    # negative scores); only for the single mode "sim" without stats
+    pack: object = None
 
 
 def dense_kernel(q_vec: str, b_vec: str) -> Kernel:
@@ -196,7 +231,9 @@ def dense_kernel(q_vec: str, b_vec: str) -> Kernel:
 
 
 def sparse_kernel(q_tok: str, b_tok: str) -> Kernel:
-    return Kernel([q_tok], [b_tok], lambda q, b: ({"sim": sparse_cosine(q[q_tok], b[b_tok])}, {}))
+    return Kernel([q_tok], [b_tok], lambda q, b: ({"sim": sparse_cosine(q[q_tok], b[b_tok])}, {}),
+                  pack=lambda q, b, g: sparse_pack_pairs(q[q_tok], q[g].to_numpy(),
+                                                         b[b_tok], b[g].to_numpy()))
 
 
 def _spark_type(df: DataFrame, c: str) -> T.DataType:
@@ -206,7 +243,7 @@ def _spark_type(df: DataFrame, c: str) -> T.DataType:
 def grid_scores(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str,
                 kernel: Kernel, k: int, tie_cols: list[str] | None = None,
                 group: str | None = None, exclude_self: bool = False,
-                block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                block_rows: int = DEFAULT_BLOCK_ROWS, materialize: bool = False) -> DataFrame:
     """Local top-k rows of every tile: ``q_key, b_key, tie cols, mode, sim``.
 
     Rows whose mode starts with ``#`` carry per-question statistics in
@@ -216,6 +253,11 @@ def grid_scores(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str,
     spark = queries.sparkSession
     q = queries.select(q_key, *([group] if group else []), *kernel.q_cols)
     b = bank.select(b_key, *([group] if group else []), *tie_cols, *kernel.b_cols)
+    if materialize:
+        # Both sides are used more than once (grid shape, replication); write
+        # them once to the shared checkpoint folder instead of recomputing
+        # their lineage, which also cuts it before the expensive tile stage.
+        q, b = cut_lineage(q), cut_lineage(b)
     if group is None:
         # Two scalar counts pick the grid shape; nothing else reaches the driver.
         nqb = max(1, math.ceil(q.count() / block_rows))
@@ -267,13 +309,60 @@ def grid_scores(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str,
         if qpdf.empty or bpdf.empty:
             return pd.DataFrame({n: [] for n in names})
         if group is not None and qpdf[gcol].nunique() > 1:
-            bgroups = dict(tuple(bpdf.groupby(gcol, sort=False)))
-            outs = [one_group(qg, bgroups[g]) for g, qg in qpdf.groupby(gcol, sort=False)
-                    if g in bgroups]
+            outs = []
+            if kernel.pack is not None:
+                qn = qpdf[gcol].value_counts()
+                bn = bpdf[gcol].value_counts()
+                pairs = (qn * bn.reindex(qn.index).fillna(0))
+                small = pairs.index[(pairs > 0) & (pairs <= PACK_MAX_GROUP_PAIRS)]
+                qs = qpdf[qpdf[gcol].isin(small)]
+                if len(qs):
+                    outs.append(packed(qs, bpdf[bpdf[gcol].isin(small)]))
+                qpdf = qpdf[~qpdf[gcol].isin(small)]
+            if len(qpdf):
+                bgroups = dict(tuple(bpdf.groupby(gcol, sort=False)))
+                outs += [one_group(qg, bgroups[g]) for g, qg in qpdf.groupby(gcol, sort=False)
+                         if g in bgroups]
             outs = [o for o in outs if len(o)]
             return pd.concat(outs, ignore_index=True) if outs else pd.DataFrame({n: [] for n in names})
         return one_group(qpdf, bpdf)
 
+    def packed(qpdf: pd.DataFrame, bpdf: pd.DataFrame) -> pd.DataFrame:
+        """Many small groups at once: positive pairs from one merge, zero
+        scores from each group's first k bank rows in tie order (a question
+        with p positive pairs needs at most k - p zeros, all among them; one
+        more row when the question itself is excluded)."""
+        qpdf = qpdf.reset_index(drop=True)
+        bpdf = bpdf.reset_index(drop=True)
+        qkeys, bkeys = qpdf[q_key].to_numpy(), bpdf[b_key].to_numpy()
+        order_keys = [bkeys] + [bpdf[c].to_numpy() for c in reversed(tie_cols)]
+        tie_rank = np.empty(len(bpdf), dtype=np.int64)
+        tie_rank[np.lexsort(order_keys)] = np.arange(len(bpdf))
+        pq, pb, ps = kernel.pack(qpdf, bpdf, gcol)
+        firsts = (pd.DataFrame({"g": bpdf[gcol].to_numpy(), "tr": tie_rank, "b": np.arange(len(bpdf))})
+                  .sort_values("tr").groupby("g", sort=False).head(k + int(exclude_self)))
+        zeros = pd.DataFrame({"g": qpdf[gcol].to_numpy(), "q": np.arange(len(qpdf))}).merge(firsts, on="g")
+        qi = np.concatenate([pq, zeros["q"].to_numpy()])
+        bi = np.concatenate([pb, zeros["b"].to_numpy()])
+        sc = np.concatenate([np.round(ps, 6), np.zeros(len(zeros))])
+        # a pair listed twice keeps its positive score (listed first)
+        uniq = ~pd.DataFrame({"q": qi, "b": bi}).duplicated().to_numpy()
+        qi, bi, sc = qi[uniq], bi[uniq], sc[uniq]
+        if exclude_self:
+            keep = qkeys[qi] != bkeys[bi]
+            qi, bi, sc = qi[keep], bi[keep], sc[keep]
+        o = np.lexsort((tie_rank[bi], -sc, qi))
+        qi, bi, sc = qi[o], bi[o], sc[o]
+        first = np.searchsorted(qi, qi, side="left")
+        keep = (np.arange(len(qi)) - first) < k
+        qi, bi, sc = qi[keep], bi[keep], sc[keep]
+        d = {q_key: qkeys[qi], b_key: bkeys[bi]}
+        for c in tie_cols:
+            d[c] = bpdf[c].to_numpy()[bi]
+        d["mode"] = "sim"
+        d["sim"] = sc
+        return pd.DataFrame(d)[names]
+
     def one_group(qpdf: pd.DataFrame, bpdf: pd.DataFrame) -> pd.DataFrame:
         bpdf = bpdf.reset_index(drop=True)
         qpdf = qpdf.reset_index(drop=True)

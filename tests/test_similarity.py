@@ -131,3 +131,30 @@ def test_dedup_keeps_last_values_first_position(spark):
                               "seq long, question string, code string")
     d = {r.nl: r for r in S.bank_dedup_last(b, "question", ["seq"]).collect()}
     assert d["same q"].code == "c3" and d["same q"].first_seq == 1 and d["same q"].n_dup == 2
+
+
+@pytest.mark.parametrize("exclude_self", [False, True])
+def test_packed_small_groups_equal_brute_force(spark, exclude_self):
+    rng = np.random.default_rng(4)
+    words = ["a1", "b2", "c3", "d4"]
+    rows = []
+    for i in range(150):
+        g = int(rng.integers(0, 40))  # many tiny groups share packs
+        n = int(rng.integers(0, 3))
+        rows.append((i, g, " ".join(rng.choice(words, size=n)) if n else None, int(rng.integers(0, 3))))
+    q = spark.createDataFrame(rows, "q long, g long, t string, pos long")
+    b = spark.createDataFrame(rows, "b long, g long, t string, pos long")
+    got = spark_topk(S.sparse_topk(q, b, q_key="q", b_key="b", q_text="t", b_text="t", k=3,
+                                   group="g", tie_cols=["pos"], exclude_self=exclude_self), "q", "b")
+    vocab = sorted(set(words))
+    m = np.array([[(r[2] or "").split().count(w) for w in vocab] for r in rows], dtype=float)
+    norm = np.linalg.norm(m, axis=1)
+    dots = m @ m.T
+    den = norm[:, None] * norm[None, :]
+    sim = np.where(den > 0, dots / np.where(den > 0, den, 1), 0.0)
+    valid = np.array([[r1[1] == r2[1] for r2 in rows] for r1 in rows])
+    if exclude_self:
+        valid &= ~np.eye(len(rows), dtype=bool)
+    ties = [(r[3], r[0]) for r in rows]
+    want = brute_topk(sim, [r[0] for r in rows], [r[0] for r in rows], ties, 3, valid)
+    assert got == {k: v for k, v in want.items() if v}
