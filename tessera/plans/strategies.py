@@ -1,8 +1,17 @@
 """End-to-end prompt plans, one per retrieval strategy of the source.
 
-Each plan is one lazy Spark DataFrame: roles -> de-duplicated bank ->
-similarity top-k -> few-shot block -> table text -> prompt. Nothing is
+Each plan is one lazy Spark DataFrame: de-duplicated bank -> similarity
+top-k -> few-shot block -> budgeted table text -> prompt. Nothing is
 collected; call an action or a sink on the result.
+
+Generic inputs (any source can provide them):
+
+* ``questions``: ``qid, question, table_id`` [+ ``answer``] [+ ``prediction``
+  for the code-based strategies]
+* ``bank``: ``bid, question, code, answer, table_id`` + order columns
+  (``seq_cols``) that define first/last among duplicates
+* ``rows``: table rows ``table_id, row_idx, row_text, header_text`` (from
+  :func:`tessera.operators.render.rows_from_cells` or ``rows_from_frame``)
 """
 
 from __future__ import annotations
@@ -10,7 +19,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.literals import FEW_SHOT, TABLE_BUDGET
+from tessera.functions.literals import (
+    CODE_SIM_THRESHOLD,
+    EXAMPLE_TABLE_ROWS,
+    FEW_SHOT,
+    HEAD_ROWS_FOR_TABLE_SIM,
+    KEYWORD_NGRAM,
+    ROW_SELECT_K,
+    TABLE_BUDGET,
+)
+from tessera.functions.text import min_ngram
 from tessera.operators import prompts as P
 from tessera.operators import render as R
 from tessera.operators import similarity as S
@@ -19,6 +37,155 @@ from tessera.plans import roles
 BANK_TIES = ["first_conv_id", "first_turn"]
 
 
+# ------------------------------------------------------------ generic plans
+
+def _ties(seq_cols: list[str]) -> list[str]:
+    return ["first_" + c for c in seq_cols]
+
+
+def dedup(bank: DataFrame, seq_cols: list[str]) -> DataFrame:
+    return S.bank_dedup_last(bank, "question", seq_cols)
+
+
+def fewshot(ranked: DataFrame, dbank: DataFrame) -> DataFrame:
+    """``qid, rank, bid`` + de-duplicated bank -> ``qid, block``."""
+    ex = ranked.join(dbank.select("bid", F.col("nl").alias("example_question"),
+                                  F.col("code").alias("example_code")), "bid")
+    return P.fewshot_block(ex, "qid")
+
+
+def _code_prompts(questions: DataFrame, ranked: DataFrame, dbank: DataFrame, rows: DataFrame,
+                  budget: int) -> DataFrame:
+    qt = R.join_question_table(questions, R.budgeted_tables(rows, budget))
+    return P.code_prompt(qt, fewshot(ranked, dbank), "qid")
+
+
+def nl_plan(questions: DataFrame, bank: DataFrame, rows: DataFrame, seq_cols: list[str],
+            k: int = FEW_SHOT, budget: int = TABLE_BUDGET) -> DataFrame:
+    """Examples ranked by question similarity: ``qid, prompt``."""
+    b = dedup(bank, seq_cols)
+    ranked = S.sparse_topk(questions, b, q_key="qid", b_key="bid", q_text="question",
+                           b_text="nl", k=k, tie_cols=_ties(seq_cols))
+    return _code_prompts(questions, ranked, b, rows, budget)
+
+
+def keyword_plan(questions: DataFrame, bank: DataFrame, rows: DataFrame, seq_cols: list[str],
+                 k: int = FEW_SHOT, n: int = KEYWORD_NGRAM, budget: int = TABLE_BUDGET) -> DataFrame:
+    """Question similarity gated by the question's keyword: ``qid, prompt, keyword``."""
+    b = dedup(bank, seq_cols)
+    tiles = S.keyword_gate_tiles(questions, b, q_key="qid", b_key="bid", q_text="question",
+                                 b_text="nl", k=k, n=n, tie_cols=_ties(seq_cols), weight_col="n_dup")
+    ranked = S.keyword_gate(tiles, q_key="qid", b_key="bid", k=k, tie_cols=_ties(seq_cols))
+    out = _code_prompts(questions, ranked, b, rows, budget)
+    kw = questions.select("qid", min_ngram("question", n).alias("keyword"))
+    return out.join(kw, "qid", "left")
+
+
+def code_plan(questions: DataFrame, bank: DataFrame, rows: DataFrame, seq_cols: list[str],
+              k: int = FEW_SHOT, budget: int = TABLE_BUDGET) -> DataFrame:
+    """Examples ranked by similarity of masked predicted code to masked
+    example code: ``qid, prompt, pre_predicted``."""
+    b = dedup(bank, seq_cols)
+    ranked = S.code_masked_topk(questions, b, q_key="qid", b_key="bid", q_code="prediction",
+                                b_code="code", k=k, tie_cols=_ties(seq_cols))
+    out = _code_prompts(questions, ranked, b, rows, budget)
+    return out.join(questions.select("qid", F.col("prediction").alias("pre_predicted")), "qid")
+
+
+def two_signal_plan(questions: DataFrame, bank: DataFrame, rows: DataFrame, seq_cols: list[str],
+                    k: int = FEW_SHOT, threshold: float = CODE_SIM_THRESHOLD,
+                    budget: int = TABLE_BUDGET) -> DataFrame:
+    """Code similarity above ``threshold`` gates, question similarity ranks:
+    ``qid, prompt, pre_predicted``."""
+    from tessera.functions.text import decode_code_newlines, mask_literals
+
+    b = dedup(bank, seq_cols).withColumn("_mcode", mask_literals(decode_code_newlines("code")))
+    q = questions.withColumn("_mpred", mask_literals("prediction"))
+    ranked = S.threshold_rank_topk(q, b, q_key="qid", b_key="bid", q_gate="_mpred", b_gate="_mcode",
+                                   q_rank="question", b_rank="nl", k=k, threshold=threshold,
+                                   kind="sparse", tie_cols=_ties(seq_cols))
+    out = _code_prompts(questions, ranked, b, rows, budget)
+    return out.join(questions.select("qid", F.col("prediction").alias("pre_predicted")), "qid")
+
+
+def self_check_plan(bank: DataFrame, rows: DataFrame, seq_cols: list[str], k: int = FEW_SHOT,
+                    budget: int = TABLE_BUDGET) -> DataFrame:
+    """Every bank example against the bank itself (self included):
+    ``qid, prompt, code, answer``."""
+    b = dedup(bank, seq_cols)
+    q = b.select(F.col("bid").alias("qid"), F.col("nl").alias("question"), "table_id", "code", "answer")
+    ranked = S.sparse_topk(q, b, q_key="qid", b_key="bid", q_text="question", b_text="nl", k=k,
+                           tie_cols=_ties(seq_cols))
+    out = _code_prompts(q, ranked, b, rows, budget)
+    return out.join(q.select("qid", "code", "answer"), "qid")
+
+
+def agent_plan(questions: DataFrame, rows: DataFrame, row_selection: bool = False,
+               k_rows: int = ROW_SELECT_K) -> DataFrame:
+    """Zero-shot agent prompt over the whole table (no budget), or over the
+    header and the ``k_rows`` rows most similar to the question."""
+    if row_selection:
+        pieces = rows.select("table_id", (F.col("row_idx") + 1).alias("row_idx"), "row_text")
+        heads = rows.groupBy("table_id").agg(F.min_by("header_text", "row_idx").alias("row_text"))
+        pieces = pieces.unionByName(heads.select("table_id", F.lit(0).cast("long").alias("row_idx"),
+                                                 "row_text"))
+        qrows = questions.select("qid", "question", "table_id")
+        # one row-selection per (question, table): key the pieces by question
+        per_q = pieces.join(qrows.select("qid", "table_id"), "table_id").select(
+            F.col("qid").alias("table_id"), "row_idx", "row_text")
+        sel = S.select_rows(per_q, qrows.select(F.col("qid").alias("table_id"), "question"), k=k_rows)
+        qt = questions.join(sel.select(F.col("table_id").alias("qid"), F.col("text").alias("table_text")),
+                            "qid", "left")
+    else:
+        qt = R.join_question_table(questions, R.render_rows(rows))
+    return P.agent_prompt(qt, "qid")
+
+
+def table_plan(questions: DataFrame, bank: DataFrame, rows: DataFrame, seq_cols: list[str],
+               budget: int = TABLE_BUDGET) -> DataFrame:
+    """Best example table by header + first row, then its best question;
+    agent prompt with that example: ``qid, prompt``."""
+    b = bank.withColumn("nl", F.lower("question"))
+    heads = R.render_head(rows, HEAD_ROWS_FOR_TABLE_SIM)
+    tq = S.table_then_question(questions, b, heads, heads, q_key="qid", b_key="bid",
+                               q_text="question", b_text="nl", tie_cols=seq_cols)
+    ex_tables = R.render_head(rows, EXAMPLE_TABLE_ROWS).select(
+        F.col("table_id").alias("example_table"), F.col("text").alias("example_table_text"))
+    ex = (tq.join(b.select("bid", F.col("nl").alias("example_question"),
+                           F.col("answer").alias("example_answer")), "bid")
+            .join(ex_tables, "example_table", "left")
+            .select("qid", "example_table_text", "example_question", "example_answer"))
+    qt = R.join_question_table(questions, R.budgeted_tables(rows, budget)).join(ex, "qid", "left")
+    return P.table_example_prompt(qt, "qid")
+
+
+PLANS = {
+    "nl_sim": nl_plan,
+    "keyword_sim": keyword_plan,
+    "code_sim": code_plan,
+    "dail_sim": two_signal_plan,
+    "table_sim": table_plan,
+}
+
+
+def build_prompts(strategy: str, questions: DataFrame, bank: DataFrame, rows: DataFrame,
+                  seq_cols: list[str], **kw) -> DataFrame:
+    """Dispatch by the source's strategy names (``nl_sim``, ``keyword_sim``,
+    ``code_sim``, ``dail_sim``, ``table_sim``, ``self_check``, ``pyagent``).
+    The bank is filtered to correct examples first, as the source does."""
+    from tessera.operators.select import correct_bank
+
+    if "correct" in bank.columns:
+        bank = correct_bank(bank)
+    if strategy == "self_check":
+        return self_check_plan(bank, rows, seq_cols, **kw)
+    if strategy == "pyagent":
+        return agent_plan(questions, rows, **kw)
+    return PLANS[strategy](questions, bank, rows, seq_cols, **kw)
+
+
+# ------------------------------------------------------------ the flagship on the fixtures
+
 def dedup_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.bank_dedup_last(roles.bank(spark, sf_dir), "question", ["conv_id", "turn"])
 
@@ -31,22 +198,12 @@ def nl_topk(spark: SparkSession, sf_dir: str, k: int = FEW_SHOT) -> DataFrame:
                          k=k, tie_cols=BANK_TIES)
 
 
-def fewshot(ranked: DataFrame, bank: DataFrame) -> DataFrame:
-    ex = ranked.join(bank.select("bid", F.col("nl").alias("example_question"),
-                                 F.col("code").alias("example_code")), "bid")
-    return P.fewshot_block(ex, "qid")
-
-
 def tables(spark: SparkSession, sf_dir: str, budget: int = TABLE_BUDGET) -> DataFrame:
     return R.budgeted_tables(roles.conversation_rows(spark, sf_dir), budget)
 
 
 def nl_prompts(spark: SparkSession, sf_dir: str, k: int = FEW_SHOT,
                budget: int = TABLE_BUDGET) -> DataFrame:
-    """The nl strategy: ``qid, prompt``."""
-    q = roles.questions(spark, sf_dir)
-    b = dedup_bank(spark, sf_dir)
-    ranked = S.sparse_topk(q, b, q_key="qid", b_key="bid", q_text="question", b_text="nl",
-                           k=k, tie_cols=BANK_TIES)
-    qt = R.join_question_table(q, tables(spark, sf_dir, budget))
-    return P.code_prompt(qt, fewshot(ranked, b), "qid")
+    """The nl strategy on the fixture roles: ``qid, prompt``."""
+    return nl_plan(roles.questions(spark, sf_dir), roles.bank(spark, sf_dir),
+                   roles.conversation_rows(spark, sf_dir), ["conv_id", "turn"], k, budget)
