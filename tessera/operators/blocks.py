@@ -259,9 +259,13 @@ def grid_scores(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str,
         # their lineage, which also cuts it before the expensive tile stage.
         q, b = cut_lineage(q), cut_lineage(b)
     if group is None:
-        # Two scalar counts pick the grid shape; nothing else reaches the driver.
-        nqb = max(1, math.ceil(q.count() / block_rows))
-        nbb = max(1, math.ceil(b.count() / block_rows))
+        # Two scalar counts (one job) pick the grid shape; nothing else
+        # reaches the driver.
+        sides = (q.select(F.lit(0).alias("_side")).unionByName(b.select(F.lit(1).alias("_side")))
+                 .groupBy("_side").count().collect())
+        n = {r["_side"]: r["count"] for r in sides}
+        nqb = max(1, math.ceil(n.get(0, 0) / block_rows))
+        nbb = max(1, math.ceil(n.get(1, 0) / block_rows))
         gq, gb = F.lit(nqb), F.lit(nbb)
         q = q.withColumn("_g", F.lit(0))
         b = b.withColumn("_g", F.lit(0))
