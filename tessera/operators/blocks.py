@@ -35,6 +35,7 @@ from pyspark.sql import types as T
 from tessera.session import cut_lineage
 
 DEFAULT_BLOCK_ROWS = 2048
+DEFAULT_BLOCK_WEIGHT = 2_000_000  # tokens per block side for token-list kernels
 STAT_PREFIX = "#"
 PACK_MAX_GROUP_PAIRS = 65536  # larger groups of a pack are scored one by one
 
@@ -224,6 +225,10 @@ class Kernel:
     # col) -> (qi, bi, sim) for positive pairs (absent pairs score 0, no
     # negative scores); only for the single mode "sim" without stats
     pack: object = None
+    # optional row weights (functions of the functions module -> Column) that
+    # bound a block's total weight, e.g. the number of tokens of a document
+    q_weight: object = None
+    b_weight: object = None
 
 
 def dense_kernel(q_vec: str, b_vec: str) -> Kernel:
@@ -233,7 +238,13 @@ def dense_kernel(q_vec: str, b_vec: str) -> Kernel:
 def sparse_kernel(q_tok: str, b_tok: str) -> Kernel:
     return Kernel([q_tok], [b_tok], lambda q, b: ({"sim": sparse_cosine(q[q_tok], b[b_tok])}, {}),
                   pack=lambda q, b, g: sparse_pack_pairs(q[q_tok], q[g].to_numpy(),
-                                                         b[b_tok], b[g].to_numpy()))
+                                                         b[b_tok], b[g].to_numpy()),
+                  q_weight=token_weight(q_tok), b_weight=token_weight(b_tok))
+
+
+def token_weight(col: str):
+    """Weight of a row = number of tokens in its token-list column."""
+    return lambda f: f.coalesce(f.size(f.col(col)), f.lit(0)).cast("long")
 
 
 def _spark_type(df: DataFrame, c: str) -> T.DataType:
@@ -243,7 +254,8 @@ def _spark_type(df: DataFrame, c: str) -> T.DataType:
 def grid_scores(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str,
                 kernel: Kernel, k: int, tie_cols: list[str] | None = None,
                 group: str | None = None, exclude_self: bool = False,
-                block_rows: int = DEFAULT_BLOCK_ROWS, materialize: bool = False) -> DataFrame:
+                block_rows: int = DEFAULT_BLOCK_ROWS, materialize: bool = False,
+                block_weight: float = DEFAULT_BLOCK_WEIGHT) -> DataFrame:
     """Local top-k rows of every tile: ``q_key, b_key, tie cols, mode, sim``.
 
     Rows whose mode starts with ``#`` carry per-question statistics in
@@ -258,14 +270,26 @@ def grid_scores(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str,
         # them once to the shared checkpoint folder instead of recomputing
         # their lineage, which also cuts it before the expensive tile stage.
         q, b = cut_lineage(q), cut_lineage(b)
+    # Row weights: a tile is bounded by rows and, for weighted kernels (token
+    # lists), by total weight, so long documents make more, smaller blocks.
+    qw = kernel.q_weight(F) if kernel.q_weight else F.lit(1)
+    bw = kernel.b_weight(F) if kernel.b_weight else F.lit(1)
+    wmax = block_weight
+
+    def nblocks(n, w):
+        return F.greatest(F.lit(1), F.ceil(n / block_rows), F.ceil(w / wmax)).cast("int")
+
     if group is None:
-        # Two scalar counts (one job) pick the grid shape; nothing else
-        # reaches the driver.
-        sides = (q.select(F.lit(0).alias("_side")).unionByName(b.select(F.lit(1).alias("_side")))
-                 .groupBy("_side").count().collect())
-        n = {r["_side"]: r["count"] for r in sides}
-        nqb = max(1, math.ceil(n.get(0, 0) / block_rows))
-        nbb = max(1, math.ceil(n.get(1, 0) / block_rows))
+        # Counts and weights of both sides in one job pick the grid shape;
+        # nothing else reaches the driver.
+        sides = (q.select(F.lit(0).alias("_side"), qw.cast("double").alias("_w"))
+                 .unionByName(b.select(F.lit(1).alias("_side"), bw.cast("double").alias("_w")))
+                 .groupBy("_side").agg(F.count("*").alias("n"), F.sum("_w").alias("w")).collect())
+        n = {r["_side"]: (r["n"], r["w"] or 0.0) for r in sides}
+        nq, wq = n.get(0, (0, 0.0))
+        nb, wb = n.get(1, (0, 0.0))
+        nqb = max(1, math.ceil(nq / block_rows), math.ceil(wq / wmax))
+        nbb = max(1, math.ceil(nb / block_rows), math.ceil(wb / wmax))
         gq, gb = F.lit(nqb), F.lit(nbb)
         q = q.withColumn("_g", F.lit(0))
         b = b.withColumn("_g", F.lit(0))
@@ -276,11 +300,10 @@ def grid_scores(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str,
         # grid of tiles, so one hot group is spread over many tasks.
         gcol = group
         sizes = (
-            q.groupBy(gcol).agg(F.count("*").alias("_nq"))
-            .join(b.groupBy(gcol).agg(F.count("*").alias("_nb")), gcol)
-            .select(gcol,
-                    F.ceil(F.col("_nq") / block_rows).cast("int").alias("_nqb"),
-                    F.ceil(F.col("_nb") / block_rows).cast("int").alias("_nbb"))
+            q.groupBy(gcol).agg(F.count("*").alias("_nq"), F.sum(qw).alias("_wq"))
+            .join(b.groupBy(gcol).agg(F.count("*").alias("_nb"), F.sum(bw).alias("_wb")), gcol)
+            .select(gcol, nblocks(F.col("_nq"), F.col("_wq")).alias("_nqb"),
+                    nblocks(F.col("_nb"), F.col("_wb")).alias("_nbb"))
         )
         n_packs = int(spark.conf.get("spark.sql.shuffle.partitions", "200")) * 2
         single = (F.col("_nqb") == 1) & (F.col("_nbb") == 1)
@@ -422,9 +445,10 @@ def merge_stats(tiles: DataFrame, q_key: str) -> DataFrame:
 
 def topk(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str, kernel: Kernel,
          k: int, tie_cols: list[str] | None = None, group: str | None = None,
-         exclude_self: bool = False, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+         exclude_self: bool = False, block_rows: int = DEFAULT_BLOCK_ROWS,
+         block_weight: float = DEFAULT_BLOCK_WEIGHT) -> DataFrame:
     """Top-k bank rows per question: ``q_key, rank, b_key, tie cols, sim``."""
     tiles = grid_scores(queries, bank, q_key=q_key, b_key=b_key, kernel=kernel, k=k,
                         tie_cols=tie_cols, group=group, exclude_self=exclude_self,
-                        block_rows=block_rows)
+                        block_rows=block_rows, block_weight=block_weight)
     return merge_topk(tiles, q_key, b_key, k, tie_cols)

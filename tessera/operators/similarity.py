@@ -41,13 +41,14 @@ def bank_dedup_last(bank: DataFrame, text_col: str, seq_cols: list[str]) -> Data
 def sparse_topk(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str,
                 q_text: str, b_text: str, k: int, tie_cols: list[str] | None = None,
                 group: str | None = None, exclude_self: bool = False,
-                block_rows: int = blocks.DEFAULT_BLOCK_ROWS) -> DataFrame:
+                block_rows: int = blocks.DEFAULT_BLOCK_ROWS,
+                block_weight: float = blocks.DEFAULT_BLOCK_WEIGHT) -> DataFrame:
     """Top-k bank rows per question by word-count cosine (exact, pads with 0)."""
     q = queries.withColumn("_tok", words(q_text))
     b = bank.withColumn("_btok", words(b_text))
     return blocks.topk(q, b, q_key=q_key, b_key=b_key, kernel=blocks.sparse_kernel("_tok", "_btok"),
                        k=k, tie_cols=tie_cols, group=group, exclude_self=exclude_self,
-                       block_rows=block_rows)
+                       block_rows=block_rows, block_weight=block_weight)
 
 
 def vector_topk(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str,
@@ -108,8 +109,9 @@ def keyword_gate_tiles(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key
         return ({"gated": np.where(hit, s, 0.0), "raw": s},
                 {"hits": (hit * w[None, :]).sum(axis=1)})
 
-    return blocks.grid_scores(q, b, q_key=q_key, b_key=b_key,
-                              kernel=Kernel(["_tok", "_kw"], bcols, score), k=k, tie_cols=tie_cols)
+    kernel = Kernel(["_tok", "_kw"], bcols, score, q_weight=blocks.token_weight("_tok"),
+                    b_weight=blocks.token_weight("_btok"))
+    return blocks.grid_scores(q, b, q_key=q_key, b_key=b_key, kernel=kernel, k=k, tie_cols=tie_cols)
 
 
 def keyword_gate(tiles: DataFrame, *, q_key: str, b_key: str, k: int,
@@ -173,8 +175,11 @@ def threshold_rank_topk(queries: DataFrame, bank: DataFrame, *, q_key: str, b_ke
         r = sim(q[q_rank], b[b_rank])
         return {"sim": np.where(g > threshold, r, 0.0)}, {}
 
-    return blocks.topk(queries, bank, q_key=q_key, b_key=b_key,
-                       kernel=Kernel([q_gate, q_rank], [b_gate, b_rank], score), k=k,
+    kernel = Kernel([q_gate, q_rank], [b_gate, b_rank], score)
+    if kind == "sparse":
+        kernel.q_weight = lambda f: f.size(f.col(q_gate)) + f.size(f.col(q_rank))
+        kernel.b_weight = lambda f: f.size(f.col(b_gate)) + f.size(f.col(b_rank))
+    return blocks.topk(queries, bank, q_key=q_key, b_key=b_key, kernel=kernel, k=k,
                        tie_cols=tie_cols, exclude_self=not include_self)
 
 
@@ -290,7 +295,9 @@ def token_jaccard_topk(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key
         with np.errstate(divide="ignore", invalid="ignore"):
             return {"sim": np.where(union > 0, common / np.where(union > 0, union, 1), 0.0)}, {}
 
-    return blocks.topk(q, b, q_key=q_key, b_key=b_key, kernel=Kernel(["_ts"], ["_bs"], score),
+    return blocks.topk(q, b, q_key=q_key, b_key=b_key,
+                       kernel=Kernel(["_ts"], ["_bs"], score, q_weight=blocks.token_weight("_ts"),
+                                     b_weight=blocks.token_weight("_bs")),
                        k=k, tie_cols=tie_cols)
 
 

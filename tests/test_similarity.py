@@ -158,3 +158,22 @@ def test_packed_small_groups_equal_brute_force(spark, exclude_self):
     ties = [(r[3], r[0]) for r in rows]
     want = brute_topk(sim, [r[0] for r in rows], [r[0] for r in rows], ties, 3, valid)
     assert got == {k: v for k, v in want.items() if v}
+
+
+def test_weight_bounded_tiles_equal_brute_force(spark):
+    """Tiles bounded by token weight (many small tiles) give the same top-k."""
+    rng = np.random.default_rng(6)
+    words = ["aa", "bb", "cc", "dd", "ee", "ff"]
+    rows = [(i, i % 4, " ".join(rng.choice(words, size=int(rng.integers(1, 6))))) for i in range(90)]
+    q = spark.createDataFrame(rows, "q long, g long, t string")
+    b = spark.createDataFrame(rows, "b long, g long, t string")
+    m = np.array([[r[2].split().count(w) for w in words] for r in rows], dtype=float)
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    keys = [r[0] for r in rows]
+    got = spark_topk(S.sparse_topk(q, b, q_key="q", b_key="b", q_text="t", b_text="t", k=3,
+                                   block_weight=25), "q", "b")
+    assert got == brute_topk(u @ u.T, keys, keys, keys, 3)
+    same = np.array([[r1[1] == r2[1] for r2 in rows] for r1 in rows])
+    got_g = spark_topk(S.sparse_topk(q, b, q_key="q", b_key="b", q_text="t", b_text="t", k=3,
+                                     group="g", block_weight=25), "q", "b")
+    assert got_g == brute_topk(u @ u.T, keys, keys, keys, 3, same)
