@@ -436,11 +436,12 @@ def merge_topk(tiles: DataFrame, q_key: str, b_key: str, k: int,
             .filter(F.col("rank") <= k))
 
 
-def merge_stats(tiles: DataFrame, q_key: str) -> DataFrame:
-    """Per-question statistics: one column per ``#name`` mode, summed."""
+def merge_stats(tiles: DataFrame, q_key: str, names: list[str]) -> DataFrame:
+    """Per-question statistics: one column per name (``#name`` mode), summed
+    over the question's tiles (partial aggregation, no pivot pass)."""
     st = tiles.filter(F.startswith(F.col("mode"), F.lit(STAT_PREFIX)))
-    return (st.withColumn("stat", F.substring(F.col("mode"), 2, 1 << 20))
-              .groupBy(q_key).pivot("stat").agg(F.sum("sim")))
+    return st.groupBy(q_key).agg(*[F.sum(F.when(F.col("mode") == STAT_PREFIX + n, F.col("sim")))
+                                   .alias(n) for n in names])
 
 
 def topk(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str, kernel: Kernel,

@@ -136,7 +136,7 @@ def keyword_gate(tiles: DataFrame, *, q_key: str, b_key: str, k: int,
 
 def keyword_stats(tiles: DataFrame, q_key: str) -> DataFrame:
     """Total matches, average per question and number of fallbacks."""
-    hits = merge_stats(tiles, q_key)
+    hits = merge_stats(tiles, q_key, ["hits"])
     return hits.agg(F.sum("hits").cast("long").alias("total_hits"),
                     F.avg("hits").alias("avg_hits"),
                     F.count_if(F.col("hits") == 0).alias("fallbacks"))
