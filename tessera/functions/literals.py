@@ -41,5 +41,6 @@ TRIM_RE = r"^[\s\p{Z}]+|[\s\p{Z}]+$"                       # Python-like strip
 NUM_RE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"   # numeric gate
 WORD_RE = r"[\p{L}\p{N}_]{2,}"                               # vectoriser words
 NON_WORD_RE = r"[^\p{L}\p{N}_]+"                              # separators between words
+WORD_RUN_RE = r"[\p{L}\p{N}_]+"                               # one budget word token
 TOKEN_RE = r"\s*(?:[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s])"         # budget tokens
 NON_ASCII_RE = r"[^\x00-\x7F]"

@@ -82,7 +82,7 @@ SELECT doc_id, len(toks) AS n_tokens,
 FROM d""")
 def q_txt_token_budget(spark, d):
     docs = roles.table(spark, d, "documents")
-    return docs.select("doc_id", F.size(TX.budget_tokens("text")).cast("long").alias("n_tokens"),
+    return docs.select("doc_id", TX.token_count("text").cast("long").alias("n_tokens"),
                        TX.token_budget("text", 50).alias("text"))
 
 

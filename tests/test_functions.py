@@ -90,3 +90,11 @@ def test_nfkd(spark):
     df = spark.createDataFrame([(1, "café ﬁ"), (2, "plain")], "k int, v string")
     out = {r.k: r.v for r in nfkd_columns(df, ["v"]).collect()}
     assert out[1] == "café fi" and out[2] == "plain"
+
+
+def test_token_budget_prefix_fallback_and_count(spark):
+    text = "a" + " " * 100 + "b, c d"
+    # the 32-character prefix holds one token only: the whole text is cut
+    assert one(spark, TX.token_budget("v", 2), text) == "a" + " " * 100 + "b\n*syncopation*\n"
+    assert one(spark, TX.token_count("v"), text) == 5  # a b , c d
+    assert one(spark, TX.token_count("v"), "x y") == 3  # no-break space is a symbol token
