@@ -19,7 +19,6 @@ from tessera.functions.literals import (
     TOKEN_RE,
     TRIM_RE,
     NON_WORD_RE,
-    WORD_RE,
     WORD_RUN_RE,
 )
 

@@ -18,7 +18,6 @@ The local sums are checkpointed once (reliable checkpoint in the shared
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T

@@ -306,7 +306,3 @@ def bank_leak_antijoin(questions: DataFrame, bank: DataFrame, q_text: str, b_tex
     keys = bank.select(casefold(b_text).alias("_nl")).distinct()
     return (questions.withColumn("_nl", casefold(q_text))
                      .join(keys, "_nl", "left_anti").drop("_nl"))
-
-
-def rank_window(q_key: str, order_cols: list) -> Window:
-    return Window.partitionBy(q_key).orderBy(*order_cols)
