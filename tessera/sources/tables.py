@@ -17,7 +17,7 @@ from tessera.functions.text import py_strip
 def read_text_tables(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: ``table_id`` (the file path), ``raw`` (its text)."""
     return (spark.read.text(path, wholetext=True)
-            .select(F.input_file_name().alias("table_id"), F.col("value").alias("raw")))
+            .select(F.col("_metadata.file_path").alias("table_id"), F.col("value").alias("raw")))
 
 
 def parse_pipe_tables(raw: DataFrame) -> DataFrame:

@@ -137,3 +137,16 @@ def test_oracles_agree_on_a_sample_of_queries(spark):
         assert cols == sorted(dd.columns), key
         norm = lambda df: sorted(map(repr, df[cols].astype(str).itertuples(index=False)))
         assert norm(sp) == norm(dd), key
+
+
+def test_read_pipe_table_files_and_pages_without_tables(spark):
+    path = scratch_path(spark, "pipe-files")
+    local = path[len("file:"):] if path.startswith("file:") else path
+    os.makedirs(local)
+    with open(os.path.join(local, "t1.table"), "w") as f:
+        f.write("| a | b |\n| 1 | 2 |\n")
+    cells = tables.read_pipe_tables(spark, path).collect()
+    assert [(r.col_name, r.value) for r in sorted(cells, key=lambda r: r.col_idx)] == [("a", "1"), ("b", "2")]
+    assert cells[0].table_id.endswith("t1.table")
+    pages = spark.read.parquet(f"{SF_SMALL}/pages.parquet")
+    assert tables.parse_html_tables(pages).count() == 0  # the provided pages hold no <table>
