@@ -58,21 +58,36 @@ def dense_cosine(qv: pd.Series, bv: pd.Series) -> np.ndarray:
     return q @ b.T
 
 
-def _postings(tok_lists: pd.Series, vocab: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, token id, term frequency) for a column of token arrays."""
+def _flat(tok_lists: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Row index and token of every token of a column of token arrays."""
     lens = np.fromiter((0 if t is None else len(t) for t in tok_lists), dtype=np.int64,
                        count=len(tok_lists))
     if lens.sum() == 0:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=object)
+    flat = np.concatenate([np.asarray(t, dtype=object) for t in tok_lists if t is not None and len(t)])
+    return np.repeat(np.arange(len(tok_lists)), lens), flat
+
+
+def _tf(rows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, token id, term frequency) from per-token rows and ids."""
+    if not len(rows):
         e = np.zeros(0, dtype=np.int64)
         return e, e, np.zeros(0)
-    flat = np.concatenate([np.asarray(t, dtype=object) for t in tok_lists if t is not None and len(t)])
-    rows = np.repeat(np.arange(len(tok_lists)), lens)
-    ids = np.fromiter((vocab.setdefault(t, len(vocab)) for t in flat), dtype=np.int64, count=len(flat))
     pair = rows * (1 << 32) + ids
     uniq, tf = np.unique(pair, return_counts=True)
     return uniq >> 32, uniq & ((1 << 32) - 1), tf.astype(np.float64)
 
 
+def _postings_pair(qt: pd.Series, bt: pd.Series):
+    """Term-frequency postings of both sides over one shared vocabulary
+    (token ids from a single hash pass in C)."""
+    qrow, qflat = _flat(qt)
+    brow, bflat = _flat(bt)
+    ids, vocab = pd.factorize(np.concatenate([qflat, bflat]))
+    return (_tf(qrow, ids[:len(qflat)].astype(np.int64)), _tf(brow, ids[len(qflat):].astype(np.int64)),
+            len(vocab))
+
+
 def sparse_dot(qt: pd.Series, bt: pd.Series, dense_cols: int = 1024,
                chunk_pairs: int = 4_000_000):
     """Dot products of term-frequency vectors of every row pair, plus norms.
@@ -84,12 +99,9 @@ def sparse_dot(qt: pd.Series, bt: pd.Series, dense_cols: int = 1024,
     Returns ``(dots, q_norms, b_norms)``.
     """
     nq, nb = len(qt), len(bt)
-    vocab: dict = {}
-    qr, qc, qw = _postings(qt, vocab)
-    br, bc, bw = _postings(bt, vocab)
+    (qr, qc, qw), (br, bc, bw), v = _postings_pair(qt, bt)
     s = np.zeros((nq, nb))
     if len(qc) and len(bc):
-        v = len(vocab)
         dfq = np.bincount(qc, minlength=v)
         dfb = np.bincount(bc, minlength=v)
         work = dfq.astype(np.float64) * dfb
@@ -133,18 +145,18 @@ def sparse_dot(qt: pd.Series, bt: pd.Series, dense_cols: int = 1024,
 def sparse_cosine(qt: pd.Series, bt: pd.Series) -> np.ndarray:
     """Cosine of term-frequency vectors of every row pair (empty -> 0)."""
     s, qn, bn = sparse_dot(qt, bt)
-    denom = qn[:, None] * bn[None, :]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(denom > 0, s / np.where(denom > 0, denom, 1.0), 0.0)
+    # dot / (|q| |b|) exactly as written (same IEEE operations as the SQL
+    # oracle; dots and squared norms are exact integer sums), in place
+    denom = np.multiply.outer(qn, bn)
+    np.divide(s, denom, out=s, where=denom > 0)
+    return s
 
 
 def sparse_pack_pairs(qt: pd.Series, qg: np.ndarray, bt: pd.Series, bg: np.ndarray):
     """Positive word-count cosines of every same-group row pair of a pack of
     many small groups, in one postings merge on (group, token): ``(qi, bi,
     sim)``. Pairs absent from the result score 0."""
-    vocab: dict = {}
-    qr, qc, qw = _postings(qt, vocab)
-    br, bc, bw = _postings(bt, vocab)
+    (qr, qc, qw), (br, bc, bw), _ = _postings_pair(qt, bt)
     nq, nb = len(qt), len(bt)
     qn = np.sqrt(np.bincount(qr, weights=qw * qw, minlength=nq)) if len(qr) else np.zeros(nq)
     bn = np.sqrt(np.bincount(br, weights=bw * bw, minlength=nb)) if len(br) else np.zeros(nb)
