@@ -48,8 +48,11 @@ def parse_pipe_tables(raw: DataFrame) -> DataFrame:
                  F.when(F.col("_ragged"), p2).otherwise(F.col("_p1")).alias("cells"),
                  F.when(F.col("_ragged"), h2).otherwise(F.col("_h1")).alias("header"))
     data = j.filter(F.col("line_idx") > F.col("_hidx"))
-    # data rows are numbered by line order; row_idx = rank among data lines
-    data = data.withColumn("row_idx", F.col("line_idx") - F.col("_hidx") - 1)
+    # row_idx = rank among the non-blank data lines (dense, as renderers
+    # assume), by the skew-safe running count: a huge table is not one task
+    from tessera.operators.sequence import positions
+    data = positions(data, "table_id", ["line_idx"], "row_idx").withColumn(
+        "row_idx", F.col("row_idx") - 1)
     cells = data.select("table_id", "row_idx", "header",
                         F.posexplode("cells").alias("col_idx", "value"))
     return cells.select("table_id", F.col("row_idx").cast("long"), F.col("col_idx").cast("long"),

@@ -150,3 +150,9 @@ def test_read_pipe_table_files_and_pages_without_tables(spark):
     assert cells[0].table_id.endswith("t1.table")
     pages = spark.read.parquet(f"{SF_SMALL}/pages.parquet")
     assert tables.parse_html_tables(pages).count() == 0  # the provided pages hold no <table>
+
+
+def test_pipe_table_rows_are_dense_after_blank_lines(spark):
+    raw = spark.createDataFrame([("t", "| a |\n\n| 1 |\n   \n| 2 |\n")], "table_id string, raw string")
+    rows = sorted((r.row_idx, r.value) for r in tables.parse_pipe_tables(raw).collect())
+    assert rows == [(0, "1"), (1, "2")]
