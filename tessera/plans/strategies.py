@@ -169,14 +169,27 @@ PLANS = {
 
 
 def build_prompts(strategy: str, questions: DataFrame, bank: DataFrame, rows: DataFrame,
-                  seq_cols: list[str], **kw) -> DataFrame:
+                  seq_cols: list[str], nfkd: bool = False, sample: int | None = None,
+                  seed: int = 123, **kw) -> DataFrame:
     """Dispatch by the source's strategy names (``nl_sim``, ``keyword_sim``,
     ``code_sim``, ``dail_sim``, ``table_sim``, ``self_check``, ``pyagent``).
-    The bank is filtered to correct examples first, as the source does."""
-    from tessera.operators.select import correct_bank
+
+    The bank is filtered to correct examples first, as the source does.
+    ``nfkd`` normalises every text column once at ingest (the source
+    normalises all strings it loads); ``sample`` keeps a reproducible sample
+    of that many questions (the source samples before asking).
+    """
+    from tessera.functions.unicode import nfkd_columns
+    from tessera.operators.select import correct_bank, sample_n
 
     if "correct" in bank.columns:
         bank = correct_bank(bank)
+    if nfkd:
+        questions = nfkd_columns(questions, [c for c in ("question", "prediction") if c in questions.columns])
+        bank = nfkd_columns(bank, [c for c in ("question", "code", "answer") if c in bank.columns])
+        rows = nfkd_columns(rows, ["row_text", "header_text"])
+    if sample is not None:
+        questions = sample_n(questions, "qid", sample, seed)
     if strategy == "self_check":
         return self_check_plan(bank, rows, seq_cols, **kw)
     if strategy == "pyagent":

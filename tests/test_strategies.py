@@ -44,3 +44,12 @@ def test_bank_filtered_to_correct(spark, inputs):
     # zero-shot: every question still gets a prompt, with no examples
     assert out.count() == q.count()
     assert out.filter(F.col("prompt").contains("/* Question: ") & F.col("prompt").contains("Code: ")).count() == 0
+
+
+def test_nfkd_and_sample_options(spark, inputs):
+    q, b, rows = inputs
+    out = strategies.build_prompts("nl_sim", q, b, rows, ["conv_id", "turn"], nfkd=True, sample=5)
+    got = out.collect()
+    assert len(got) == min(5, q.count())
+    import unicodedata
+    assert all(unicodedata.normalize("NFKD", r.prompt) == r.prompt for r in got)
