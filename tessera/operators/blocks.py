@@ -267,7 +267,8 @@ def grid_scores(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str,
                 kernel: Kernel, k: int, tie_cols: list[str] | None = None,
                 group: str | None = None, exclude_self: bool = False,
                 block_rows: int = DEFAULT_BLOCK_ROWS, materialize: bool = False,
-                block_weight: float = DEFAULT_BLOCK_WEIGHT) -> DataFrame:
+                block_weight: float = DEFAULT_BLOCK_WEIGHT,
+                broadcast_small: bool = True) -> DataFrame:
     """Local top-k rows of every tile: ``q_key, b_key, tie cols, mode, sim``.
 
     Rows whose mode starts with ``#`` carry per-question statistics in
@@ -302,11 +303,16 @@ def grid_scores(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str,
         nb, wb = n.get(1, (0, 0.0))
         nqb = max(1, math.ceil(nq / block_rows), math.ceil(wq / wmax))
         nbb = max(1, math.ceil(nb / block_rows), math.ceil(wb / wmax))
+        # The question side fits one block (rows and weight counted above):
+        # ship it once to the executors and score the bank where it lies,
+        # so the bank is never shuffled. Beyond that bound the grid runs.
+        small_questions = broadcast_small and nq > 0 and nqb == 1
         gq, gb = F.lit(nqb), F.lit(nbb)
         q = q.withColumn("_g", F.lit(0))
         b = b.withColumn("_g", F.lit(0))
         gcol = "_g"
     else:
+        small_questions = False
         # Per-group grid shape. A group needing one tile shares a "pack" with
         # other small groups (hash of the group); a larger group gets its own
         # grid of tiles, so one hot group is spread over many tasks.
@@ -430,6 +436,10 @@ def grid_scores(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str,
             parts.append(pd.DataFrame(d))
         return pd.concat(parts, ignore_index=True)[names]
 
+    if small_questions:
+        return _scan_bank(spark, q.drop("_g"), b.drop("_g").withColumn("_w", bw.cast("double")),
+                          one_group, schema, block_rows, wmax)
+
     # fresh attribute ids: both sides may come from one source DataFrame
     qx = qx.select(*[F.col(c).alias(c) for c in qx.columns])
     bx = bx.select(*[F.col(c).alias(c) for c in bx.columns])
@@ -437,6 +447,31 @@ def grid_scores(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str,
     return qx.groupBy(*keys).cogroup(bx.groupBy(*keys)).applyInPandas(tile, schema)
 
 
+def _scan_bank(spark, q: DataFrame, b: DataFrame, score_block, schema: T.StructType,
+               block_rows: int, block_weight: float) -> DataFrame:
+    """Score every bank partition in place against the broadcast question
+    block (at most ``block_rows`` rows and ``block_weight`` weight, checked
+    by the caller's count). Bank batches are cut into chunks bounded the
+    same way; each chunk emits its local top-k like a tile."""
+    q_block = spark.sparkContext.broadcast(q.toPandas())
+
+    def scan(batches):
+        qp = q_block.value
+        for bp in batches:
+            w = np.cumsum(bp["_w"].fillna(0).to_numpy())
+            start, n = 0, len(bp)
+            while start < n:
+                base = w[start - 1] if start else 0.0
+                end = min(start + block_rows, int(np.searchsorted(w, base + block_weight, "right")))
+                end = max(end, start + 1)
+                out = score_block(qp, bp.iloc[start:end])
+                if len(out):
+                    yield out
+                start = end
+
+    return b.mapInPandas(scan, schema)
+
+
 def merge_topk(tiles: DataFrame, q_key: str, b_key: str, k: int,
                tie_cols: list[str] | None = None, mode: str = "sim") -> DataFrame:
     """Global top-k per question from the tiles' local lists: ``rank`` 1..k."""

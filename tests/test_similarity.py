@@ -177,3 +177,25 @@ def test_weight_bounded_tiles_equal_brute_force(spark):
     got_g = spark_topk(S.sparse_topk(q, b, q_key="q", b_key="b", q_text="t", b_text="t", k=3,
                                      group="g", block_weight=25), "q", "b")
     assert got_g == brute_topk(u @ u.T, keys, keys, keys, 3, same)
+
+
+def test_broadcast_scan_equals_grid_and_brute_force(spark):
+    """A question side within one block is broadcast and the bank scanned in
+    place (in chunks); the result equals the grid's and brute force."""
+    rng = np.random.default_rng(8)
+    qv = rng.integers(-2, 3, size=(5, 4)).astype(float)
+    bv = rng.integers(-2, 3, size=(200, 4)).astype(float)
+    q = spark.createDataFrame([(i, qv[i].tolist()) for i in range(5)], "q long, v array<double>")
+    b = spark.createDataFrame([(100 + i, bv[i].tolist()) for i in range(200)], "b long, v array<double>")
+    kern = blocks.dense_kernel("v", "v")
+    scan = blocks.grid_scores(q, b, q_key="q", b_key="b", kernel=kern, k=4, block_rows=8)
+    assert "MapInPandas" in scan._jdf.queryExecution().executedPlan().toString()
+    grid = blocks.grid_scores(q, b, q_key="q", b_key="b", kernel=kern, k=4, block_rows=8,
+                              broadcast_small=False)
+    got_scan = spark_topk(blocks.merge_topk(scan, "q", "b", 4), "q", "b")
+    got_grid = spark_topk(blocks.merge_topk(grid, "q", "b", 4), "q", "b")
+    nq = lambda m: np.where(np.linalg.norm(m, axis=1, keepdims=True) > 0,
+                            m / np.where(np.linalg.norm(m, axis=1, keepdims=True) > 0,
+                                         np.linalg.norm(m, axis=1, keepdims=True), 1), 0)
+    want = brute_topk(nq(qv) @ nq(bv).T, list(range(5)), list(range(100, 300)), list(range(200)), 4)
+    assert got_scan == got_grid == want
