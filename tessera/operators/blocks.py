@@ -437,8 +437,14 @@ def grid_scores(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str,
         return pd.concat(parts, ignore_index=True)[names]
 
     if small_questions:
-        return _scan_bank(spark, q.drop("_g"), b.drop("_g").withColumn("_w", bw.cast("double")),
-                          one_group, schema, block_rows, wmax)
+        bank_in = b.drop("_g").withColumn("_w", bw.cast("double"))
+        cores = spark.sparkContext.defaultParallelism
+        if nb <= 64 * block_rows and cores > 1:
+            # a small bank may sit in one coalesced partition: spread it over
+            # the cores (cheap at this size); a large bank keeps its own
+            # partitioning and is never shuffled
+            bank_in = bank_in.repartition(min(cores, max(1, math.ceil(nb / 64))))
+        return _scan_bank(spark, q.drop("_g"), bank_in, one_group, schema, block_rows, wmax)
 
     # fresh attribute ids: both sides may come from one source DataFrame
     qx = qx.select(*[F.col(c).alias(c) for c in qx.columns])
