@@ -40,6 +40,8 @@ def nfkd_columns(df: DataFrame, cols: list[str]) -> DataFrame:
     """
     if not cols:
         return df
+    from tessera.session import ship_package
+    ship_package(df.sparkSession)
     any_non_ascii = None
     for c in cols:
         cond = F.coalesce(F.col(c).rlike(NON_ASCII_RE), F.lit(False))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.session import cut_lineage
+from tessera.session import cut_lineage, ship_package
 
 DEFAULT_BLOCK_ROWS = 2048
 DEFAULT_BLOCK_WEIGHT = 2_000_000  # tokens per block side for token-list kernels
@@ -276,6 +276,7 @@ def grid_scores(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str,
     """
     tie_cols = list(tie_cols or [])
     spark = queries.sparkSession
+    ship_package(spark)
     q = queries.select(q_key, *([group] if group else []), *kernel.q_cols)
     b = bank.select(b_key, *([group] if group else []), *tie_cols, *kernel.b_cols)
     if materialize:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.session import cut_lineage
+from tessera.session import cut_lineage, ship_package
 
 
 def running_sum(df: DataFrame, key: str, order_cols: list[str], value_cols: list[str],
@@ -30,6 +30,7 @@ def running_sum(df: DataFrame, key: str, order_cols: list[str], value_cols: list
     """Add ``cum_<v>``: inclusive running sum of each value column within
     ``key``, in ``order_cols`` order (which must be unique within the key)."""
     spark = df.sparkSession
+    ship_package(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     r = (df.repartitionByRange(n, F.col(key), *[F.col(c) for c in order_cols])
            .sortWithinPartitions(key, *order_cols)
