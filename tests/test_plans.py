@@ -35,10 +35,11 @@ def test_samples_are_top_n_not_global_sorts(plans):
         assert "TakeOrderedAndProject" in plans[key], key
 
 
-def test_topk_merge_is_limited_before_the_shuffle(plans):
+def test_topk_merge_is_group_limited(plans):
+    # the merge window keeps k rows per question as it streams; when a shuffle
+    # precedes it, a partial limit runs map-side (see test_similarity)
     for key in ["txt_sparse_topk", "vec_topk", "sim_code_masked", "sim_threshold_rank"]:
-        p = plans[key]
-        assert "WindowGroupLimit" in p and "Partial" in p, key
+        assert "WindowGroupLimit" in plans[key], key
 
 
 def test_streaming_progress_counts(spark):

@@ -1,5 +1,7 @@
 """Block-grid top-k equals brute force; plans hold no cross join."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -199,3 +201,13 @@ def test_broadcast_scan_equals_grid_and_brute_force(spark):
                                          np.linalg.norm(m, axis=1, keepdims=True), 1), 0)
     want = brute_topk(nq(qv) @ nq(bv).T, list(range(5)), list(range(100, 300)), list(range(200)), 4)
     assert got_scan == got_grid == want
+
+
+def test_grid_merge_limits_before_the_shuffle(spark):
+    rows = [(i, [float(i % 7), 1.0]) for i in range(50)]
+    q = spark.createDataFrame(rows, "q long, v array<double>")
+    b = spark.createDataFrame(rows, "b long, v array<double>")
+    df = S.vector_topk(q, b, q_key="q", b_key="b", q_vec="v", b_vec="v", k=2, block_rows=8)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan  # 50 questions > one block: the grid
+    assert re.search(r"WindowGroupLimit .*Partial", plan)
