@@ -39,6 +39,7 @@ NA_TOKENS = (
 # Our own patterns (documented in SURVEY §2.0).
 TRIM_RE = r"^[\s\p{Z}]+|[\s\p{Z}]+$"                       # Python-like strip
 NUM_RE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"   # numeric gate
+SPECIAL_NUM_RE = r"^\s*[+-]?(?i:inf|infinity|nan)\s*$"         # words Python's float() reads
 WORD_RE = r"[\p{L}\p{N}_]{2,}"                               # vectoriser words
 NON_WORD_RE = r"[^\p{L}\p{N}_]+"                              # separators between words
 WORD_RUN_RE = r"[\p{L}\p{N}_]+"                               # one budget word token

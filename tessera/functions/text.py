@@ -16,6 +16,7 @@ from tessera.functions.literals import (
     MASK,
     NA_TOKENS,
     NUM_RE,
+    SPECIAL_NUM_RE,
     TOKEN_RE,
     TRIM_RE,
     NON_WORD_RE,
@@ -131,10 +132,11 @@ def numeric_value(c) -> Column:
     """A cell's number after removing commas, or null when not numeric.
 
     Gated by a regex: Spark's cast accepts ``1d``/``2f`` suffixes, Python's
-    ``float`` does not.
+    ``float`` does not. ``inf``/``infinity``/``nan`` words (any case, signed)
+    parse as in Python: to +-infinity and NaN.
     """
     nc = F.replace(_c(c), F.lit(","), F.lit(""))
-    return F.when(nc.rlike(NUM_RE), nc.try_cast("double"))
+    return F.when(nc.rlike(NUM_RE) | nc.rlike(SPECIAL_NUM_RE), nc.try_cast("double"))
 
 
 def na_to_null(c, tokens=NA_TOKENS) -> Column:

@@ -54,14 +54,14 @@ def column_kind(cells: DataFrame) -> DataFrame:
     """Implied type per column after coercion: ``int``, ``float`` or ``object``.
 
     ``object`` when a non-missing cell is not numeric; ``float`` when a value
-    has a fraction or a column has missing cells (NaN makes a float column);
-    ``int`` otherwise. Partial aggregation keeps a wide table cheap.
+    has a fraction, is NaN, or a column has missing cells (NaN makes a float
+    column); ``int`` otherwise. Partial aggregation keeps a wide table cheap.
     """
     c = cells if "num" in cells.columns else numeric_coerce(cells)
     agg = c.groupBy("table_id", "col_idx").agg(
         F.count_if(F.col("num").isNull() & F.col("value").isNotNull()).alias("n_text"),
         F.count_if(F.col("value").isNull()).alias("n_missing"),
-        F.count_if(F.col("num") != F.floor(F.col("num"))).alias("n_frac"),
+        F.count_if((F.col("num") != F.floor(F.col("num"))) | F.isnan(F.col("num"))).alias("n_frac"),
         F.count("*").alias("n_cells"))
     kind = (F.when(F.col("n_text") > 0, F.lit("object"))
              .when((F.col("n_frac") > 0) | (F.col("n_missing") > 0), F.lit("float"))

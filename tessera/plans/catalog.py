@@ -210,7 +210,8 @@ def _mixed(spark, d):
 
 @register("tbl_numeric_coerce", "WITH " + MIXED_SQL + r"""
 SELECT o_orderkey, value,
-       CASE WHEN regexp_matches(replace(value, ',', ''), '^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$')
+       CASE WHEN (regexp_matches(replace(value, ',', ''), '^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$')
+                 OR regexp_matches(replace(value, ',', ''), '^\s*[+-]?(?i:inf|infinity|nan)\s*$'))
             THEN TRY_CAST(replace(value, ',', '') AS DOUBLE) END AS num
 FROM mixed""")
 def q_tbl_numeric_coerce(spark, d):
@@ -237,11 +238,12 @@ def q_tbl_na_tokens(spark, d):
 
 
 @register("tbl_column_kind", _with(roles.ORDERS_CELLS_SQL) + r""",
-c AS (SELECT *, CASE WHEN regexp_matches(replace(value, ',', ''), '^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$')
+c AS (SELECT *, CASE WHEN (regexp_matches(replace(value, ',', ''), '^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$')
+                 OR regexp_matches(replace(value, ',', ''), '^\s*[+-]?(?i:inf|infinity|nan)\s*$'))
                      THEN TRY_CAST(replace(value, ',', '') AS DOUBLE) END AS num FROM cells)
 SELECT table_id, col_idx,
        CASE WHEN count(*) FILTER (WHERE num IS NULL AND value IS NOT NULL) > 0 THEN 'object'
-            WHEN count(*) FILTER (WHERE num <> floor(num)) > 0 OR count(*) FILTER (WHERE value IS NULL) > 0 THEN 'float'
+            WHEN count(*) FILTER (WHERE num <> floor(num) OR isnan(num)) > 0 OR count(*) FILTER (WHERE value IS NULL) > 0 THEN 'float'
             ELSE 'int' END AS kind,
        count(*) AS n_cells
 FROM c GROUP BY table_id, col_idx""")

@@ -27,9 +27,12 @@ def test_min_ngram_empty_vocabulary_and_bigram(spark):
 
 def test_numeric_value_gate(spark):
     cases = {"1,234": 1234.0, " 7 ": 7.0, "1e5": 1e5, "+3": 3.0, ".5": 0.5, "1d": None,
-             "2f": None, "1_000": None, "inf": None, "abc": None, "1,2,3": 123.0}
+             "2f": None, "1_000": None, "inf": float("inf"), " -Infinity ": float("-inf"),
+             "infx": None, "abc": None, "1,2,3": 123.0}
     for raw, want in cases.items():
         assert one(spark, TX.numeric_value("v"), raw) == want, raw
+    import math
+    assert math.isnan(one(spark, TX.numeric_value("v"), "NaN"))
 
 
 def test_py_strip_unicode_spaces(spark):
