@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, near_dup, pieces, quality, secrets
+from tessera.llm import chat, decontaminate, html_extract, near_dup, pieces, quality, rules, secrets, token_counts, url_filter
 from tessera.llm.common import read
 
 
@@ -24,10 +25,54 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, quality.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = rules.statistics(read(spark, sf_dir, "documents", "doc_id", "text"))
+    learned = rules.train(stats, read(spark, sf_dir, "labels"))
+    return stats.withColumn("rule", rules.matched(learned)).withColumn("kept", rules.verdict(learned))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+#: Entries of the lists, by a hash of the pattern: (list, share of patterns, days listed).
+_LISTS = (("block", 3, 90), ("allow", 7, 45))
+_YEAR = 365
+
+
+def url_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a capture; the day of its fetch follows from its id."""
+    return read(spark, sf_dir, "pages", "page_id", "url").select(
+        F.col("page_id").alias("id"), "url", F.pmod(F.col("page_id") * 37, F.lit(_YEAR)).cast("int").alias("day"))
+
+
+def url_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dated entries for hosts, their parent domains and path prefixes that the pages have."""
+    found = read(spark, sf_dir, "pages", "url").where("url is not null").distinct()
+    patterns = found.select(F.explode(url_filter.patterns_of(
+        url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url")))).alias("pattern")).distinct()
+    number = F.conv(F.substring(F.md5(F.encode("pattern", "UTF-8")), 1, 6), 16, 10).cast("int")
+    parts = []
+    for k, (name, share, days) in enumerate(_LISTS):
+        mine = patterns.where((number % share == k) & (F.length("pattern") > 12)).withColumn("first", number % _YEAR)
+        for shift, listed in ((0, True), (days, False), (2 * days, True)):
+            parts.append(mine.select(F.lit(name).alias("list"), "pattern", (F.col("first") + shift).alias("day"),
+                                     F.lit(listed).alias("listed")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(url_captures(spark, sf_dir), url_entries(spark, sf_dir))
+    return judged.select(F.col("id").alias("page_id"), "url", "day", "host", "n_active", "decision", "list", "pattern")
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(read(spark, sf_dir, "documents", "doc_id", "text"), piece_model())
 
@@ -36,6 +81,113 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.section_tokens(read(spark, sf_dir, "documents", "doc_id", "text"),
+                                       public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")],
+                                "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_conversations(given.unionByName(own)))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_decontamination, op2_quality_classifier, op5_near_duplicates, op7_sentencepiece, op9_secret_scan)}
-ORACLES: dict[str, str] = {}
+    op1_decontamination, op2_quality_classifier, op3_html_extraction, op4_quality_rules, op5_near_duplicates,
+    op6_url_filters, op7_sentencepiece, op8_token_counts, op9_secret_scan, op10_chat_format)}
+
+
+def _op10_sql() -> str:
+    controls = chat.CONTROLS
+    escaped = "length(x) + length(x) - length(replace(x, '\\', ''))" + "".join(
+        f" + (length(x) - length(replace(x, '{c}', ''))) // {len(c)}" for c in controls)
+    size = lambda c: "(" + escaped.replace("(x", f"({c}") + ")"
+    u, a = (len(chat.USER_OPEN + chat.USER_CLOSE), len(chat.ASSISTANT_OPEN + chat.ASSISTANT_CLOSE))
+    o = len(chat.OTHER_OPEN + chat.OTHER_ROLE + chat.OTHER_CLOSE)
+    return f"""
+    WITH given AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+      UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+    marked AS (
+      SELECT *, contains(text, '\\') OR CASE role WHEN 'user' THEN contains(text, '{chat.USER_CLOSE}')
+             WHEN 'assistant' THEN contains(text, '{chat.ASSISTANT_CLOSE}')
+             ELSE contains(role, '\\') OR contains(role, '{chat.OTHER_ROLE}') OR contains(text, '{chat.OTHER_CLOSE}') END AS odd
+      FROM given),
+    sized AS (
+      SELECT *, CASE WHEN odd THEN {size('text')} ELSE length(text) END
+             + CASE role WHEN 'user' THEN {u} WHEN 'assistant' THEN {a}
+               ELSE {o} + CASE WHEN odd THEN {size('role')} ELSE length(role) END END AS chars
+      FROM marked)
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+           CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           CAST(sum(chars) AS BIGINT) AS formatted_chars
+    FROM sized GROUP BY conv_id
+    """.replace("\\\\", "\\")
+
+
+_OP1_SQL = """
+    WITH own AS (
+      SELECT row_number() OVER () AS r, doc_id,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+    item AS (
+      SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+    win AS (
+      SELECT DISTINCT item, least(10, len(w)) AS n, w[i:i + least(10, len(w)) - 1] AS v
+      FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM item WHERE len(w) > 0)),
+    size AS (SELECT DISTINCT n FROM win),
+    place AS (
+      SELECT r, i, n, w[i:i + n - 1] AS v
+      FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM own, size WHERE len(w) >= n)),
+    hit AS (SELECT r, i, place.n, item FROM place JOIN win USING (n, v)),
+    words AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM hit) GROUP BY r),
+    items AS (SELECT r, count(*) AS n_items, list(item ORDER BY item) AS items
+              FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           coalesce(items, []) AS items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
+           n_hit IS NOT NULL AS contaminated
+    FROM own LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+"""
+
+_OP6_SQL = """
+    WITH given AS (
+      SELECT page_id, url, CAST((page_id * 37) % 365 AS INTEGER) AS day,
+             regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)),
+                            '^www\\.|\\.$', '', 'g') AS host,
+             regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) AS path
+      FROM pages),
+    split AS (SELECT *, string_split(host, '.') AS labels, list_filter(string_split(path, '/'), lambda s: s <> '') AS steps FROM given),
+    asked AS (
+      SELECT page_id, url, day, host, unnest(list_distinct(list_concat(
+        list_transform(range(1, greatest(len(labels) - 1, 1) + 1), lambda k: array_to_string(labels[k:], '.')),
+        list_transform(range(1, len(steps) + 1), lambda k: host || '/' || array_to_string(steps[:k], '/'))))) AS pattern
+      FROM split WHERE host <> ''),
+    pattern AS (
+      SELECT DISTINCT pattern, CAST('0x' || substr(md5(pattern), 1, 6) AS INTEGER) AS number FROM asked),
+    entry AS (
+      SELECT list, pattern, number % 365 + shift * days AS day, shift <> 1 AS listed
+      FROM pattern JOIN (VALUES ('block', 3, 0, 90), ('allow', 7, 1, 45)) l(list, share, k, days) ON number % share = k,
+           (VALUES (0), (1), (2)) s(shift) WHERE length(pattern) > 12),
+    span AS (
+      SELECT list, pattern, day AS from_day, lead(day) OVER (PARTITION BY list, pattern ORDER BY day) AS to_day, listed FROM entry),
+    active AS (
+      SELECT a.page_id, a.url, a.day, count(*) AS n_active,
+             max({'length': length(a.pattern), 'allow': CAST(s.list = 'allow' AS INTEGER), 'list': s.list, 'pattern': s.pattern}) AS best
+      FROM (SELECT DISTINCT page_id, url, day, pattern FROM asked) a JOIN span s ON a.pattern = s.pattern AND s.listed
+           AND a.day >= s.from_day AND (s.to_day IS NULL OR a.day < s.to_day)
+      GROUP BY ALL)
+    SELECT g.page_id, g.url, g.day, g.host, coalesce(n_active, 0) AS n_active,
+           CASE WHEN best IS NULL THEN 'none' WHEN best.allow = 1 THEN 'allow' ELSE 'block' END AS decision,
+           best.list AS list, best.pattern AS pattern
+    FROM given g LEFT JOIN active a ON g.page_id = a.page_id AND g.url = a.url AND g.day = a.day
+"""
+
+ORACLES = {"op1_decontamination": _OP1_SQL, "op6_url_filters": _OP6_SQL, "op10_chat_format": _op10_sql()}

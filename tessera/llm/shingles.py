@@ -24,11 +24,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
 _SEEDS = _mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def word_hashes(texts: pa.Array, words: str = "space") -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words (A-Z lower-cased, parted by ASCII white space), and how many each text has."""
+def word_hashes(texts: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words (parted by ASCII white space), and how many each text has.
+
+    ``fold`` lower-cases A-Z first.
+    """
     import xxhash
 
-    low = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    low = pc.fill_null(texts.cast(pa.large_string()), "")
+    low = pc.ascii_lower(low) if fold else low
     parts = pc.ascii_split_whitespace(low)
     coded = parts.flatten().dictionary_encode()
     vocabulary = coded.dictionary.cast(pa.large_binary()).to_pylist()
