@@ -34,20 +34,13 @@ def nfkd(c) -> Column:
 def nfkd_columns(df: DataFrame, cols: list[str]) -> DataFrame:
     """NFKD every listed string column.
 
-    ASCII-only rows are unchanged by NFKD; a ``CASE`` does not stop Spark
-    from evaluating the UDF on them, so the rows are split by a regex and
-    only the non-ASCII part crosses into Python.
+    ASCII-only values are unchanged by NFKD; they cross into Python as nulls,
+    so the input is read once and only non-ASCII text is copied.
     """
     if not cols:
         return df
     from tessera.session import ship_package
     ship_package(df.sparkSession)
-    any_non_ascii = None
     for c in cols:
-        cond = F.coalesce(F.col(c).rlike(NON_ASCII_RE), F.lit(False))
-        any_non_ascii = cond if any_non_ascii is None else (any_non_ascii | cond)
-    ascii_rows = df.filter(~any_non_ascii)
-    other = df.filter(any_non_ascii)
-    for c in cols:
-        other = other.withColumn(c, nfkd(c))
-    return ascii_rows.unionByName(other)
+        df = df.withColumn(c, F.coalesce(nfkd(F.when(F.col(c).rlike(NON_ASCII_RE), F.col(c))), F.col(c)))
+    return df

@@ -51,11 +51,28 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
     return out
 
 
+def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
+    """Unit rows; a null vector, one of another length and one with a null or
+    non-finite element become zero rows."""
+    out = np.zeros((len(vectors), width))
+    for k, v in enumerate(vectors):
+        if v is not None and np.ndim(v) == 1 and len(v) == width:
+            row = np.array([np.nan if x is None else x for x in v] if np.asarray(v).dtype == object else v, dtype=np.float64)
+            if np.isfinite(row).all():
+                out[k] = row
+    return _unit_rows(out)
+
+
 def dense_cosine(qv: pd.Series, bv: pd.Series) -> np.ndarray:
-    """Cosine of every row pair of two vector columns (zero vector -> 0)."""
-    q = _unit_rows(np.vstack([np.asarray(v, dtype=np.float64) for v in qv]))
-    b = _unit_rows(np.vstack([np.asarray(v, dtype=np.float64) for v in bv]))
-    return q @ b.T
+    """Cosine of every row pair of two vector columns.
+
+    Pairs of different lengths and pairs with a null, zero or bad vector score 0.
+    """
+    lens = lambda s: {len(v) for v in s if v is not None and np.ndim(v) == 1 and len(v)}
+    out = np.zeros((len(qv), len(bv)))
+    for width in sorted(lens(qv) & lens(bv)):
+        out += _matrix(qv, width) @ _matrix(bv, width).T
+    return out
 
 
 def _flat(tok_lists: pd.Series) -> tuple[np.ndarray, np.ndarray]:

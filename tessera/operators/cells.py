@@ -69,8 +69,23 @@ def column_kind(cells: DataFrame) -> DataFrame:
     return agg.select("table_id", "col_idx", kind.alias("kind"), "n_cells")
 
 
+def ingest(raw: DataFrame, nfkd: bool = True) -> DataFrame:
+    """``raw(table_id, raw)`` pipe texts -> clean cells with ``num``.
+
+    Parse, number duplicate headers, missing tokens to null, strip, NFKD,
+    numeric value: what every strategy reads its tables through.
+    """
+    from tessera.sources.tables import parse_pipe_tables
+
+    cells = parse_pipe_tables(raw)
+    heads = header_clean(cells.filter(F.col("col_name").isNotNull())
+                         .groupBy("table_id", "col_idx").agg(F.min("col_name").alias("col_name")))
+    named = cells.drop("col_name").join(heads, ["table_id", "col_idx"], "left")
+    return normalise(named.select("table_id", "row_idx", "col_idx", "col_name", "value"), nfkd)
+
+
 def normalise(cells: DataFrame, nfkd: bool = True) -> DataFrame:
-    """The ingest chain: missing tokens, strip, NFKD, numeric value."""
+    """The ingest chain after parsing: missing tokens, strip, NFKD, numeric value."""
     c = na_tokens(cells)
     c = cell_trim(c)
     if nfkd:

@@ -6,22 +6,32 @@ every input carries a key and is joined on it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.literals import ERROR_MARK, PROGRESS_EVERY, REPAIR_ATTEMPTS
 from tessera.functions.text import py_strip
-from tessera.operators.sequence import positions, running_sum
+from tessera.functions.unicode import nfkd_columns
+from tessera.operators.sequence import running_sum
+
+
+def _one_per_key(pred: DataFrame, key: str, col: str) -> DataFrame:
+    """One prediction per key, the least if a key was answered more than once."""
+    return pred.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.col(col).cast("string")).alias(col))
 
 
 def exact_match(gold: DataFrame, pred: DataFrame, key: str, answer: str = "answer",
                 prediction: str = "prediction") -> DataFrame:
-    """``n, hits, ratio``: stripped answer equals stripped prediction.
+    """``n, hits, ratio``: stripped answer equals stripped prediction, both in
+    NFKD (a composed and a decomposed spelling are equal).
 
-    Plain equality: a null answer never matches (not even a null prediction).
+    Every gold row counts: an unanswered question is a miss, and a null answer
+    never matches (not even a null prediction).
     """
-    j = gold.join(pred, key)
-    hit = py_strip(F.col(answer).cast("string")) == py_strip(F.col(prediction).cast("string"))
+    gold = nfkd_columns(gold.select(key, F.col(answer).cast("string").alias(answer)), [answer])
+    pred = nfkd_columns(_one_per_key(pred, key, prediction), [prediction])
+    j = gold.join(pred, key, "left")
+    hit = py_strip(F.col(answer)) == py_strip(F.col(prediction))
     return j.agg(F.count("*").alias("n"), F.count_if(hit).alias("hits")).select(
         "n", "hits", F.try_divide(F.col("hits"), F.col("n")).alias("ratio"))
 
@@ -43,28 +53,33 @@ def progress(labelled: DataFrame, run: str, seq: str, label: str = "label",
     """Cumulative 1 / 0 / -1 counts per run after every ``every`` items (and
     after the last one): ``run, batch, n_items, c1, c0, cerr``.
 
-    Positions and running counts use the skew-safe running sum, so one run
-    holding most items is still spread over many tasks.
+    One skew-safe running sum of (1, hit, miss, error), so one run holding most
+    items is still spread over many tasks; the counts never fall, so a batch's
+    last ones are its largest.
     """
-    p = positions(labelled.select(run, seq, label), run, [seq])
-    per_batch = (p.groupBy(run, F.floor((F.col("pos") - 1) / every).alias("batch"))
-                  .agg(F.count("*").alias("n"),
-                       F.count_if(F.col(label) == 1).alias("b1"),
-                       F.count_if(F.col(label) == 0).alias("b0"),
-                       F.count_if(F.col(label) == -1).alias("berr")))
-    c = running_sum(per_batch, run, ["batch"], ["n", "b1", "b0", "berr"])
-    return c.select(run, "batch", F.col("cum_n").cast("long").alias("n_items"),
-                    F.col("cum_b1").cast("long").alias("c1"),
-                    F.col("cum_b0").cast("long").alias("c0"),
-                    F.col("cum_berr").cast("long").alias("cerr"))
+    is_ = lambda v: F.coalesce(F.col(label) == v, F.lit(False)).cast("long")
+    marked = labelled.select(run, seq, F.lit(1).cast("long").alias("n"), is_(1).alias("b1"), is_(0).alias("b0"),
+                             is_(-1).alias("berr"))
+    c = running_sum(marked, run, [seq], ["n", "b1", "b0", "berr"])
+    return c.groupBy(run, F.floor((F.col("cum_n") - 1) / every).alias("batch")).agg(
+        F.max("cum_n").alias("n_items"), F.max("cum_b1").alias("c1"), F.max("cum_b0").alias("c0"),
+        F.max("cum_berr").alias("cerr"))
+
+
+def _two_runs(gold: DataFrame, run1: DataFrame, run2: DataFrame, key: str, answer: str, p1: str, p2: str):
+    """Gold rows with both runs' predictions (null where unanswered), and whether each is right (in NFKD)."""
+    gold = nfkd_columns(gold.select(key, F.col(answer).cast("string").alias(answer)), [answer])
+    j = gold
+    for run, p in ((run1, p1), (run2, p2)):
+        j = j.join(nfkd_columns(_one_per_key(run, key, p), [p]), key, "left")
+    right = [F.coalesce(F.col(answer) == F.col(p), F.lit(False)) for p in (p1, p2)]
+    return j, *right
 
 
 def compare_runs(gold: DataFrame, run1: DataFrame, run2: DataFrame, key: str,
                  answer: str = "answer", p1: str = "p1", p2: str = "p2") -> DataFrame:
-    """``both, only1, only2, neither`` right-counts of two runs."""
-    j = gold.join(run1, key).join(run2, key)
-    r1 = F.coalesce(F.col(answer) == F.col(p1), F.lit(False))
-    r2 = F.coalesce(F.col(answer) == F.col(p2), F.lit(False))
+    """``both, only1, only2, neither`` right-counts of two runs, over all gold rows."""
+    j, r1, r2 = _two_runs(gold, run1, run2, key, answer, p1, p2)
     return j.agg(F.count_if(r1 & r2).alias("both"), F.count_if(r1 & ~r2).alias("only1"),
                  F.count_if(~r1 & r2).alias("only2"), F.count_if(~r1 & ~r2).alias("neither"))
 
@@ -72,18 +87,22 @@ def compare_runs(gold: DataFrame, run1: DataFrame, run2: DataFrame, key: str,
 def only_first_right(gold: DataFrame, run1: DataFrame, run2: DataFrame, key: str,
                      answer: str = "answer", p1: str = "p1", p2: str = "p2") -> DataFrame:
     """Keys the first run got right and the second did not."""
-    j = gold.join(run1, key).join(run2, key)
-    r1 = F.coalesce(F.col(answer) == F.col(p1), F.lit(False))
-    r2 = F.coalesce(F.col(answer) == F.col(p2), F.lit(False))
+    j, r1, r2 = _two_runs(gold, run1, run2, key, answer, p1, p2)
     return j.filter(r1 & ~r2).select(key)
 
 
+def _first(attempts: DataFrame, item: str, order: str, n: int) -> DataFrame:
+    """The first ``n`` attempts of each item, numbered; the limit is pushed below the shuffle."""
+    w = Window.partitionBy(item).orderBy(order)
+    return attempts.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= n)
+
+
 def attempts_fold(attempts: DataFrame, item: str, order: str, reply: str, ok: str,
                   cap: int = REPAIR_ATTEMPTS) -> DataFrame:
     """Repair loop on a log of attempts: execute replies in order, stop at the
     first success; after ``cap`` failed executions the next reply is kept
     unexecuted. ``item, reply, tries`` (executions made)."""
-    a = positions(attempts.select(item, order, reply, ok), item, [order], "n")
+    a = _first(attempts.select(item, order, reply, ok), item, order, cap + 1)
     good = F.col(ok) & (F.col("n") <= cap)
     g = a.groupBy(item).agg(
         F.min_by(F.col(reply), F.when(good, F.col("n"))).alias("_ok_reply"),
@@ -98,7 +117,7 @@ def attempts_until_match(attempts: DataFrame, item: str, order: str, reply: str,
                          cap: int = 1) -> DataFrame:
     """Ask again until the prediction matches the gold answer or ``cap``
     attempts are used: ``item, reply, hit``."""
-    a = positions(attempts.select(item, order, reply, hit), item, [order], "n")
+    a = _first(attempts.select(item, order, reply, hit), item, order, cap)
     good = F.col(hit) & (F.col("n") <= cap)
     g = a.groupBy(item).agg(
         F.min_by(F.col(reply), F.when(good, F.col("n"))).alias("_hit_reply"),

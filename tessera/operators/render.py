@@ -13,7 +13,7 @@ parallel before its final concatenation.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.literals import ROWSEP, TABLE_BUDGET
@@ -63,15 +63,11 @@ def render_rows(rows: DataFrame, max_rows: int | None = None,
                 chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Row texts -> ``table_id, n_rows, text``.
 
-    ``max_rows`` keeps only the first data rows (by ``row_idx`` rank within
-    the table, so gaps are fine) and is applied before any collect.
-    ``n_rows`` counts the rows rendered.
+    ``max_rows`` keeps the first data rows by their rank within the table
+    (``row_idx`` may have gaps or start anywhere); the limit is pushed below
+    the shuffle. ``n_rows`` counts the rows rendered.
     """
-    r = rows
-    if max_rows is not None:
-        # rank within table without a per-table window: row_idx are dense
-        # 0..n-1 for every producer in this package.
-        r = r.filter(F.col("row_idx") < max_rows)
+    r = rows if max_rows is None else first_rows(rows, max_rows)
     chunks = (r.groupBy("table_id", F.floor(F.col("row_idx") / chunk_rows).alias("chunk"))
                .agg(F.array_join(_sorted_texts("row_idx", "row_text"), ROW_JOIN).alias("ctext"),
                     F.min_by("header_text", "row_idx").alias("header_text"),
@@ -85,6 +81,12 @@ def render_rows(rows: DataFrame, max_rows: int | None = None,
                                    F.lit(ROW_JOIN), F.col("body"), F.lit(" | ")).alias("text")))
 
 
+def first_rows(rows: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows of each table by rank (ties by text)."""
+    w = Window.partitionBy("table_id").orderBy("row_idx", "row_text")
+    return rows.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n).drop("_rank")
+
+
 def render_cells(cells: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Cell table -> ``table_id, n_rows, text`` (header + data rows)."""
     return render_rows(rows_from_cells(cells), max_rows=max_rows)
@@ -95,13 +97,29 @@ def render_head(rows: DataFrame, n_text_rows: int) -> DataFrame:
     return render_rows(rows, max_rows=n_text_rows - 1)
 
 
+def render_heads(rows: DataFrame, sizes: list[int]) -> DataFrame:
+    """Heads of several sizes at once: ``table_id, n_text_rows, n_rows, text``.
+
+    The rows of the largest head are gathered once; the others are its prefixes.
+    """
+    top = first_rows(rows, max(sizes) - 1).groupBy("table_id").agg(
+        F.array_sort(F.collect_list(F.struct("row_idx", "row_text"))).alias("rows"),
+        F.min_by("header_text", "row_idx").alias("header_text"))
+    one = top.withColumn("n_text_rows", F.explode(F.array(*[F.lit(n) for n in sizes])))
+    own = F.slice("rows", F.lit(1), F.col("n_text_rows") - 1)
+    return one.select("table_id", "n_text_rows", F.size(own).cast("long").alias("n_rows"),
+                      F.concat(F.lit(" | "), F.col("header_text"), F.lit(ROW_JOIN),
+                               F.array_join(F.transform(own, lambda r: r["row_text"]), ROW_JOIN),
+                               F.lit(" | ")).alias("text"))
+
+
 def budgeted_tables(rows: DataFrame, budget: int = TABLE_BUDGET) -> DataFrame:
     """Table text cut to ``budget`` tokens, marker appended when cut.
 
-    Every rendered row holds at least one token (a pipe), so rows at index
-    >= budget can never reach the first ``budget`` tokens; they are dropped
-    before the collect, which bounds every group -- the result is identical
-    to rendering the whole table and then cutting it.
+    Every rendered row holds at least one token (a pipe), so rows of a rank
+    above ``budget`` can never reach the first ``budget`` tokens; they are
+    dropped before the collect, which bounds every group -- the result is
+    identical to rendering the whole table and then cutting it.
     """
     t = render_rows(rows, max_rows=budget)
     return t.select("table_id", "n_rows", token_budget("text", budget).alias("text"))

@@ -1,19 +1,17 @@
-"""Skew-safe running sums and positions within a key.
+"""Skew-safe running sums, positions and ordered concatenation within a key.
 
-A ``row_number``/running ``sum`` window partitioned by a key puts the whole
-key in one task; when one key holds a third of all rows that task holds a
-third of the data. Here instead:
+A window partitioned by a key alone puts the whole key in one task. Here the
+order column cuts each key into buckets of ``BUCKET`` consecutive values:
 
-1. ``repartitionByRange(key, order)`` cuts the sorted data into contiguous
-   ranges of similar size, so a hot key spans several partitions;
-2. each partition computes local running sums per key (``mapInPandas``,
-   state carried across Arrow batches of the same partition);
-3. per (key, partition) totals -- at most #partitions rows per key -- give
-   each partition's offset by a small window;
-4. offsets are joined back: global running sum = local + offset.
+1. a window over (key, bucket) gives local running sums, so a hot key is
+   spread over as many tasks as it has buckets;
+2. the last local sum of each bucket (one row per bucket) is summed up over
+   the buckets of the key, which gives each bucket's offset;
+3. offsets are joined back on (key, bucket): running sum = local + offset.
 
-The local sums are checkpointed once (reliable checkpoint in the shared
-``spark.checkpoint.dir``) so both uses see one partitioning.
+All of it is built-in windows and joins: no job runs while a plan is built,
+and both uses of the local sums share one exchange. Keys are compared
+null-safe, so rows without a key keep theirs.
 """
 
 from __future__ import annotations
@@ -22,60 +20,38 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.session import cut_lineage, ship_package
+BUCKET = 4096
+
+
+def _bucket(df: DataFrame, column: str) -> F.Column:
+    """Bucket of an integer order column; other types have one bucket per key."""
+    if isinstance(df.schema[column].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return F.floor(F.col(column) / F.lit(BUCKET))
+    return F.lit(0).cast("long")
 
 
 def running_sum(df: DataFrame, key: str, order_cols: list[str], value_cols: list[str],
-                out_prefix: str = "cum_", num_partitions: int | None = None) -> DataFrame:
+                out_prefix: str = "cum_") -> DataFrame:
     """Add ``cum_<v>``: inclusive running sum of each value column within
     ``key``, in ``order_cols`` order (which must be unique within the key)."""
-    spark = df.sparkSession
-    ship_package(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    r = (df.repartitionByRange(n, F.col(key), *[F.col(c) for c in order_cols])
-           .sortWithinPartitions(key, *order_cols)
-           .withColumn("_pid", F.spark_partition_id()))
     outs = [out_prefix + v for v in value_cols]
-    schema = T.StructType(r.schema.fields + [T.StructField(o, T.DoubleType()) for o in outs])
-
-    def local(batches):
-        carry_key, carry = None, None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            vals = pdf[value_cols].astype("float64")
-            cums = vals.groupby(pdf[key].to_numpy(), sort=False).cumsum()
-            if carry_key is not None:
-                same = (pdf[key] == carry_key).to_numpy()
-                cums.loc[same] = cums.loc[same].to_numpy() + carry
-            last = pdf[key].iloc[-1]
-            carry_key, carry = last, cums.iloc[-1].to_numpy()
-            out = pdf.copy()
-            for v, o in zip(value_cols, outs):
-                out[o] = cums[v].to_numpy()
-            yield out
-
-    # One materialisation of the local sums, to the shared checkpoint folder:
-    # the partition a row landed in must be the same for the sums and for the
-    # totals below, and a lost executor must not re-partition it differently.
-    loc = cut_lineage(r.mapInPandas(local, schema))
+    own = Window.partitionBy(key, "_b").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+    local = df.withColumn("_b", _bucket(df, order_cols[0]))
+    local = local.select("*", *[F.sum(v).over(own).alias(o) for v, o in zip(value_cols, outs)])
     last = F.struct(*[F.col(c) for c in order_cols])
-    totals = loc.groupBy(key, "_pid").agg(*[F.max_by(F.col(o), last).alias("_t_" + v)
-                                            for v, o in zip(value_cols, outs)])
-    w = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = totals.select(key, "_pid", *[F.coalesce(F.sum("_t_" + v).over(w), F.lit(0.0))
-                                        .alias("_o_" + v) for v in value_cols])
-    res = loc.join(offs, [key, "_pid"])
-    for v, o in zip(value_cols, outs):
-        res = res.withColumn(o, F.col(o) + F.col("_o_" + v))
-    return res.drop("_pid", *["_o_" + v for v in value_cols])
+    totals = local.groupBy(F.col(key).alias("_of_key"), F.col("_b").alias("_of_bucket")).agg(
+        *[F.max_by(F.col(o), last).alias("_t_" + o) for o in outs])
+    before = Window.partitionBy("_of_key").orderBy("_of_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_of_key", "_of_bucket", *[F.coalesce(F.sum("_t_" + o).over(before), F.lit(0)).alias("_o_" + o)
+                                           for o in outs])
+    both = local.join(offsets, local[key].eqNullSafe(offsets["_of_key"]) & local["_b"].eqNullSafe(offsets["_of_bucket"]))
+    return both.select(*df.columns, *[(F.coalesce(F.col(o), F.lit(0)) + F.col("_o_" + o)).alias(o) for o in outs])
 
 
 def positions(df: DataFrame, key: str, order_cols: list[str], name: str = "pos") -> DataFrame:
     """1-based position of each row within ``key`` by ``order_cols``."""
-    d = df.withColumn("_one", F.lit(1))
-    r = running_sum(d, key, order_cols, ["_one"])
-    return r.withColumn(name, F.col("cum__one").cast("long")).drop("_one", "cum__one")
+    out = running_sum(df.withColumn("_one", F.lit(1)), key, order_cols, ["_one"])
+    return out.withColumn(name, F.col("cum__one").cast("long")).drop("_one", "cum__one")
 
 
 def ordered_concat(df: DataFrame, key: str, order_col: str, text: str, sep: str,

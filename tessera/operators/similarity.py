@@ -16,39 +16,106 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import casefold, decode_code_newlines, mask_literals, min_ngram, words
 from tessera.operators import blocks
-from tessera.operators.blocks import Kernel, dense_cosine, merge_stats, merge_topk, sparse_cosine
+from tessera.operators.blocks import Kernel, dense_cosine, merge_stats, sparse_cosine
 
 
 def bank_dedup_last(bank: DataFrame, text_col: str, seq_cols: list[str]) -> DataFrame:
     """One entry per lower-cased question: the **last** duplicate's values,
     the **first** duplicate's position (``first_<seq>`` columns), ``n_dup``.
 
-    This is the dict-keyed-by-question behaviour of the source, expressed as
-    one aggregation (partial aggregation happens map-side, so a question
-    repeated a billion times is combined before the shuffle).
+    This is the dict-keyed-by-question behaviour of the source. The aggregation
+    is keyed by a 256-bit hash of the question and carries positions only
+    (combined map-side, so a question repeated a billion times is one row
+    before the shuffle); the winners' rows are joined back by position, which
+    must be unique.
     """
-    key = casefold(text_col)
+    keyed = bank.withColumn("_h", F.unhex(F.sha2(F.encode(casefold(text_col), "UTF-8"), 256)))
     seq = F.struct(*[F.col(c) for c in seq_cols])
-    others = [c for c in bank.columns]
-    agg = (bank.groupBy(key.alias("nl"))
-               .agg(F.max_by(F.struct(*[F.col(c) for c in others]), seq).alias("last"),
-                    F.min(seq).alias("first"),
-                    F.count("*").alias("n_dup")))
-    return agg.select("nl", "last.*", *[F.col("first")[c].alias("first_" + c) for c in seq_cols],
-                      "n_dup")
+    agg = keyed.groupBy("_h").agg(F.max(seq).alias("_last"), F.min(seq).alias("_first"), F.count("*").alias("n_dup"))
+    agg = agg.select(F.col("_h").alias("_gh"), *[F.col("_last")[c].alias("_last_" + c) for c in seq_cols],
+                     *[F.col("_first")[c].alias("first_" + c) for c in seq_cols], "n_dup")
+    same = keyed["_h"].eqNullSafe(agg["_gh"])
+    for c in seq_cols:
+        same = same & keyed[c].eqNullSafe(agg["_last_" + c])
+    return keyed.join(agg, same).select(casefold(text_col).alias("nl"), *bank.columns,
+                                        *["first_" + c for c in seq_cols], "n_dup")
+
+
+def _token_texts(df: DataFrame, key: str, text: str, group: str | None, sets: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows with the id of their word bag, and the bags' word counts with their squared norm.
+
+    Texts with equal bags (or sets) of words score alike with everything, so
+    only distinct bags are paired: ``rows(key, _g, _t)``, ``words(_g, _t, _w, _n, _norm)``.
+    """
+    bag = words(text)
+    bag = F.array_sort(F.array_distinct(bag) if sets else bag)
+    rows = df.withColumn("_g", F.col(group).cast("string") if group else F.lit("")).withColumn("_bag", bag)
+    rows = rows.withColumn("_t", F.unhex(F.sha2(F.encode(F.array_join("_bag", " "), "UTF-8"), 256)))
+    one = rows.select("_g", "_t", "_bag").dropDuplicates(["_g", "_t"])
+    counts = one.select("_g", "_t", F.explode("_bag").alias("_w")).groupBy("_g", "_t", "_w").agg(F.count("*").alias("_n"))
+    norm = counts.groupBy("_g", "_t").agg(F.sum(F.col("_n") * F.col("_n")).alias("_norm"))
+    return rows.drop("_bag"), counts.join(norm, ["_g", "_t"])
+
+
+def token_topk(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str, q_text: str, b_text: str, k: int,
+               tie_cols: list[str] | None = None, group: str | None = None, exclude_self: bool = False,
+               sets: bool = False) -> DataFrame:
+    """Top-k bank rows per question by word-count cosine (``sets``: by Jaccard), exact, in built-in operations.
+
+    Words are joined on (group, word), dot products are summed per pair of
+    distinct bags (combined before the shuffle), and the k best bags per
+    question bag are kept by a group limit. Ordering: score rounded to 6 dp,
+    then tie columns, then key. A question with fewer than k related rows is
+    filled with score 0 from the first bank rows in tie order, of which
+    ``2k + 1`` per group suffice.
+    """
+    tie_cols = list(tie_cols or [])
+    order = [*tie_cols, b_key]
+    kk = k + int(exclude_self)
+    q, q_words = _token_texts(queries, q_key, q_text, group, sets)
+    b, b_words = _token_texts(bank, b_key, b_text, group, sets)
+    q = q.select(q_key, F.col("_g").alias("_qg"), F.col("_t").alias("_qt"))
+    b = b.select(*[F.col(c) for c in order], F.col("_g").alias("_bg"), F.col("_t").alias("_bt"))
+    # the first rows of each distinct bag stand for it
+    own = Window.partitionBy("_bg", "_bt").orderBy(*order)
+    members = b.withColumn("_m", F.row_number().over(own)).filter(F.col("_m") <= kk)
+    first = members.filter(F.col("_m") == 1).select("_bg", "_bt", F.struct(*order).alias("_first"))
+    qw = q_words.select(F.col("_g").alias("_qg"), F.col("_t").alias("_qt"), "_w", F.col("_n").alias("_qn"), F.col("_norm").alias("_qnorm"))
+    bw = b_words.select(F.col("_g").alias("_bg"), F.col("_t").alias("_bt"), F.col("_w").alias("_bw"),
+                        F.col("_n").alias("_bn"), F.col("_norm").alias("_bnorm"))
+    pairs = (qw.join(bw, (qw["_qg"] == bw["_bg"]) & (qw["_w"] == bw["_bw"]))
+             .groupBy("_qg", "_qt", "_bt", "_qnorm", "_bnorm").agg(F.sum(F.col("_qn") * F.col("_bn")).alias("_dot")))
+    score = (F.col("_dot") / (F.col("_qnorm") + F.col("_bnorm") - F.col("_dot")) if sets else
+             F.col("_dot") / F.sqrt(F.col("_qnorm").cast("double")) / F.sqrt(F.col("_bnorm").cast("double")))
+    pairs = pairs.select("_qg", "_qt", "_bt", F.round(score, 6).alias("sim"))
+    pairs = pairs.join(first, (pairs["_qg"] == first["_bg"]) & (pairs["_bt"] == first["_bt"])).select(
+        "_qg", "_qt", pairs["_bt"], "sim", "_first")
+    best = Window.partitionBy("_qg", "_qt").orderBy(F.col("sim").desc(), "_first")
+    top = pairs.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= kk).drop("_r", "_first")
+    held = members.select(F.col("_bg").alias("_mg"), F.col("_bt").alias("_mt"), *order)
+    related = top.join(held, (top["_qg"] == held["_mg"]) & (top["_bt"] == held["_mt"])).select("_qg", "_qt", *order, "sim")
+    if group:
+        ahead = Window.partitionBy("_bg").orderBy(*order)
+        filler = b.withColumn("_r", F.row_number().over(ahead)).filter(F.col("_r") <= 2 * k + 1)
+        filler = filler.select(F.col("_bg").alias("_qg"), *order)
+        zeros = q.join(filler, "_qg").select(q_key, *order, F.lit(0.0).alias("sim"))
+    else:  # 2k + 1 rows, as one value that every question reads
+        filler = b.orderBy(*order).limit(2 * k + 1).agg(F.collect_list(F.struct(*order)).alias("rows"))
+        zeros = q.select(q_key, F.explode(filler.scalar()).alias("f")).select(q_key, "f.*", F.lit(0.0).alias("sim"))
+    found = q.join(related, ["_qg", "_qt"]).select(q_key, *order, "sim").unionByName(zeros)
+    if exclude_self:
+        found = found.filter(F.col(q_key) != F.col(b_key))
+    found = found.groupBy(q_key, *order).agg(F.max("sim").alias("sim"))
+    rank = Window.partitionBy(q_key).orderBy(F.col("sim").desc(), *order)
+    return found.withColumn("rank", F.row_number().over(rank).cast("long")).filter(F.col("rank") <= k)
 
 
 def sparse_topk(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str,
                 q_text: str, b_text: str, k: int, tie_cols: list[str] | None = None,
-                group: str | None = None, exclude_self: bool = False,
-                block_rows: int = blocks.DEFAULT_BLOCK_ROWS,
-                block_weight: float = blocks.DEFAULT_BLOCK_WEIGHT) -> DataFrame:
+                group: str | None = None, exclude_self: bool = False) -> DataFrame:
     """Top-k bank rows per question by word-count cosine (exact, pads with 0)."""
-    q = queries.withColumn("_tok", words(q_text))
-    b = bank.withColumn("_btok", words(b_text))
-    return blocks.topk(q, b, q_key=q_key, b_key=b_key, kernel=blocks.sparse_kernel("_tok", "_btok"),
-                       k=k, tie_cols=tie_cols, group=group, exclude_self=exclude_self,
-                       block_rows=block_rows, block_weight=block_weight)
+    return token_topk(queries, bank, q_key=q_key, b_key=b_key, q_text=q_text, b_text=b_text, k=k,
+                      tie_cols=tie_cols, group=group, exclude_self=exclude_self)
 
 
 def vector_topk(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str,
@@ -199,7 +266,8 @@ def table_then_question(questions: DataFrame, bank: DataFrame, q_heads: DataFram
 
     ``questions``: ``q_key, table_id, q_text``; ``bank``: ``b_key, table_id,
     b_text, tie cols, answer``; heads: ``table_id, text``.
-    Returns ``q_key, example_table, table_sim, b_key, question_sim``.
+    Returns ``q_key, example_table, table_sim, b_key, question_sim``, one row
+    per question; a question whose table has no head has nulls.
     """
     qt = (questions.select("table_id").distinct().join(q_heads, "table_id")
                    .select(F.col("table_id").alias("qtab"), F.col("text").alias("qhead")))
@@ -213,8 +281,9 @@ def table_then_question(questions: DataFrame, bank: DataFrame, q_heads: DataFram
     b2 = bank.withColumnRenamed("table_id", "example_table")
     best_q = sparse_topk(q2, b2, q_key=q_key, b_key=b_key, q_text=q_text, b_text=b_text, k=1,
                          tie_cols=tie_cols, group="example_table")
-    return (best_q.select(q_key, b_key, F.col("sim").alias("question_sim"))
-                  .join(q2.select(q_key, "example_table", "table_sim"), q_key))
+    found = (best_q.select(q_key, b_key, F.col("sim").alias("question_sim"))
+                   .join(q2.select(q_key, "example_table", "table_sim"), q_key))
+    return questions.select(q_key).join(found, q_key, "left")
 
 
 # ------------------------------------------------------------ row selection
@@ -250,33 +319,58 @@ def select_rows(rows: DataFrame, questions: DataFrame, *, k: int = 5) -> DataFra
 # ------------------------------------------------------------ random few-shot
 
 
-def seeded_hash(c, seed: int):
-    """A 60-bit hash of ``seed|value`` from md5 (same in DuckDB)."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col(c).cast("string"))), 1, 15),
-                  16, 10).cast("long")
+HASH_BUCKETS = 3  # hex digits of the bucket a bank key is numbered in
 
 
-def fewshot_random(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str, k: int,
-                   seed: int = 123, include_self: bool = True) -> DataFrame:
-    """A seeded shuffle of the bank per question, first ``k`` kept.
+def bank_positions(bank: DataFrame, b_key: str) -> tuple[DataFrame, int]:
+    """``b_key, pos`` and their number: rows numbered 0.. by (bucket of the key's md5, key).
 
-    Order of a pair: ``hash(seed|q) XOR hash(seed|b)`` ascending, then the
-    bank key -- a different pseudo-random permutation per question, the same
-    on every run and every engine.
+    Numbers are local to a bucket plus the bucket's offset, so no task numbers
+    the whole bank. The driver sees one count per bucket, 16 ** HASH_BUCKETS at most.
     """
-    q = queries.withColumn("_hq", seeded_hash(q_key, seed))
-    b = bank.withColumn("_hb", seeded_hash(b_key, seed))
+    keys = bank.select(b_key, F.substring(F.md5(F.col(b_key).cast("string")), 1, HASH_BUCKETS).alias("_bucket"))
+    sizes = sorted((r["_bucket"] or "", r["n"]) for r in keys.groupBy("_bucket").agg(F.count("*").alias("n")).collect())
+    before, total = [], 0
+    for name, n in sizes:
+        before.append((name, total))
+        total += n
+    offsets = bank.sparkSession.createDataFrame(before, "_bucket string, _before long")
+    own = Window.partitionBy("_bucket").orderBy(b_key)
+    local = keys.withColumn("_bucket", F.coalesce("_bucket", F.lit(""))).withColumn("_n", F.row_number().over(own) - 1)
+    return local.join(F.broadcast(offsets), "_bucket").select(b_key, (F.col("_n") + F.col("_before")).alias("pos")), total
 
-    def score(qp, bp):
-        x = np.bitwise_xor(qp["_hq"].to_numpy(dtype=np.int64)[:, None],
-                           bp["_hb"].to_numpy(dtype=np.int64)[None, :])
-        # smaller xor ranks first; scores are exact in double (< 2**53 after shift)
-        return {"sim": -(x >> 8).astype(np.float64)}, {}
 
-    tiles = blocks.grid_scores(q, b, q_key=q_key, b_key=b_key,
-                               kernel=Kernel(["_hq"], ["_hb"], score), k=k,
-                               exclude_self=not include_self)
-    return merge_topk(tiles, q_key, b_key, k).drop("sim")
+def fewshot_random(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str, k: int,
+                   seed: int = 123, include_self: bool = False) -> DataFrame:
+    """``k`` distinct random bank rows per question, the same on every run and engine.
+
+    Draws are positions in the numbered bank, from a keyed hash of (seed,
+    question, draw), distinct by Floyd's sampling: draw ``j`` takes a random
+    place up to ``N - m + j``, or that place itself if the random one is taken.
+    They are equi-joined to the bank's positions, so the work is k rows per
+    question and no pair is scored. One draw more replaces the question itself,
+    which is excluded by default.
+    """
+    numbered, size = bank_positions(bank, b_key)
+    m = min(size, k + (0 if include_self else 1))
+    if m == 0:
+        kind = bank.schema[b_key].dataType
+        return queries.limit(0).select(q_key, F.lit(None).cast(kind).alias(b_key), F.lit(1).cast("long").alias("rank"))
+
+    def draw(taken, j):
+        top = F.lit(size - m) + j
+        hashed = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col(q_key).cast("string"), F.lit("|"), j.cast("string"))),
+                                    1, 15), 16, 10).cast("long")
+        place = F.pmod(hashed, top + 1)
+        return F.concat(taken, F.array(F.when(F.array_contains(taken, place), top).otherwise(place)))
+
+    draws = F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")), F.array().cast("array<bigint>"), draw)
+    drawn = queries.select(q_key).select(q_key, F.posexplode(draws).alias("_draw", "pos")).join(numbered, "pos")
+    if not include_self:
+        drawn = drawn.filter(~F.col(q_key).eqNullSafe(F.col(b_key)))
+    w = Window.partitionBy(q_key).orderBy("_draw")
+    return (drawn.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+            .select(q_key, b_key, "rank"))
 
 
 # ------------------------------------------------------------ optional strategies
@@ -285,24 +379,13 @@ def fewshot_random(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: st
 def token_jaccard_topk(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str,
                        q_text: str, b_text: str, k: int,
                        tie_cols: list[str] | None = None) -> DataFrame:
-    """Top-k by Jaccard similarity of word sets (exact, tiles)."""
-    q = queries.withColumn("_ts", F.array_distinct(words(q_text)))
-    b = bank.withColumn("_bs", F.array_distinct(words(b_text)))
-
-    def score(qp, bp):
-        common, qn, bn = blocks.sparse_dot(qp["_ts"], bp["_bs"])  # set sizes are norm**2
-        union = np.round(qn * qn)[:, None] + np.round(bn * bn)[None, :] - common
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return {"sim": np.where(union > 0, common / np.where(union > 0, union, 1), 0.0)}, {}
-
-    return blocks.topk(q, b, q_key=q_key, b_key=b_key,
-                       kernel=Kernel(["_ts"], ["_bs"], score, q_weight=blocks.token_weight("_ts"),
-                                     b_weight=blocks.token_weight("_bs")),
-                       k=k, tie_cols=tie_cols)
+    """Top-k by Jaccard similarity of word sets (exact)."""
+    return token_topk(queries, bank, q_key=q_key, b_key=b_key, q_text=q_text, b_text=b_text, k=k,
+                      tie_cols=tie_cols, sets=True)
 
 
 def bank_leak_antijoin(questions: DataFrame, bank: DataFrame, q_text: str, b_text: str) -> DataFrame:
     """Drop questions whose lower-cased text is already a bank question."""
-    keys = bank.select(casefold(b_text).alias("_nl")).distinct()
-    return (questions.withColumn("_nl", casefold(q_text))
-                     .join(keys, "_nl", "left_anti").drop("_nl"))
+    digest = lambda c: F.unhex(F.sha2(F.encode(casefold(c), "UTF-8"), 256))  # noqa: E731 - texts are not shuffled as keys
+    keys = bank.select(digest(b_text).alias("_h")).distinct()
+    return questions.withColumn("_h", digest(q_text)).join(keys, "_h", "left_anti").drop("_h")

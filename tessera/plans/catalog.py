@@ -65,13 +65,11 @@ h AS (SELECT 2 AS n UNION ALL SELECT 6)
 SELECT table_id, n AS n_text_rows, count(*) AS n_rows,
        ' | ' || max(header_text) || ' | ' || chr(10) || ' | ' ||
        string_agg(row_text, ' | ' || chr(10) || ' | ' ORDER BY row_idx) || ' | ' AS text
-FROM rows JOIN h ON rows.row_idx < h.n - 1
+FROM rows JOIN h ON rows.row_idx < h.n - 1  -- a rank: numbered by row_number()
 GROUP BY table_id, n""")
 def q_tbl_render_head(spark, d):
-    rows = R.rows_from_cells(roles.orders_cells(spark, d))
-    two = R.render_head(rows, 2).withColumn("n_text_rows", F.lit(2))
-    six = R.render_head(rows, 6).withColumn("n_text_rows", F.lit(6))
-    return two.unionByName(six)
+    rows = R.rows_from_cells(roles.orders_cells(spark, d, numbered=False))
+    return R.render_heads(rows, [2, 6])
 
 
 @register("txt_token_budget", """
@@ -249,7 +247,7 @@ SELECT table_id, col_idx,
 FROM c GROUP BY table_id, col_idx""")
 def q_tbl_column_kind(spark, d):
     from tessera.operators.cells import column_kind
-    return column_kind(roles.orders_cells(spark, d))
+    return column_kind(roles.orders_cells(spark, d, numbered=False))
 
 
 @register("code_newline_decode", "WITH " + roles.CODE_SQL + """
@@ -369,7 +367,8 @@ def q_sim_threshold_rank(spark, d):
 HEADS_SQL = """heads AS (
   SELECT table_id, ' | ' || max(header_text) || ' | ' || chr(10) || ' | ' ||
          string_agg(row_text, ' | ' || chr(10) || ' | ' ORDER BY row_idx) || ' | ' AS text
-  FROM conv_rows WHERE row_idx < 1 GROUP BY table_id)"""
+  FROM (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY row_idx, row_text) AS rk FROM conv_rows)
+  WHERE rk <= 1 GROUP BY table_id)"""
 
 
 @register("sim_table_then_question",
@@ -425,11 +424,20 @@ def q_sim_row_select(spark, d):
 
 
 @register("fewshot_random", """
-WITH h AS (SELECT vec_id, ('0x' || substr(md5('123|' || CAST(vec_id AS VARCHAR)), 1, 15))::BIGINT AS h FROM embeddings)
+WITH bank AS (SELECT vec_id, row_number() OVER (ORDER BY substr(md5(CAST(vec_id AS VARCHAR)), 1, 3), vec_id) - 1 AS pos
+              FROM embeddings),
+n AS (SELECT count(*) AS n FROM embeddings),
+h AS (SELECT vec_id, n - 3 AS t0, n - 2 AS t1, n - 1 AS t2,
+             ('0x' || substr(md5('123|' || CAST(vec_id AS VARCHAR) || '|0'), 1, 15))::BIGINT % (n - 2) AS p0,
+             ('0x' || substr(md5('123|' || CAST(vec_id AS VARCHAR) || '|1'), 1, 15))::BIGINT % (n - 1) AS p1,
+             ('0x' || substr(md5('123|' || CAST(vec_id AS VARCHAR) || '|2'), 1, 15))::BIGINT % n AS p2
+      FROM embeddings, n),
+a AS (SELECT vec_id, p0 AS a0, CASE WHEN p1 = p0 THEN t1 ELSE p1 END AS a1, p2, t2 FROM h),
+d AS (SELECT vec_id, 0 AS draw, a0 AS pos FROM a UNION ALL SELECT vec_id, 1, a1 FROM a
+      UNION ALL SELECT vec_id, 2, CASE WHEN p2 IN (a0, a1) THEN t2 ELSE p2 END FROM a)
 SELECT q_vec, b_vec, CAST(rank AS BIGINT) AS rank FROM (
-  SELECT q.vec_id AS q_vec, b.vec_id AS b_vec,
-         row_number() OVER (PARTITION BY q.vec_id ORDER BY xor(q.h, b.h) >> 8, b.vec_id) AS rank
-  FROM h q, h b) WHERE rank <= 2""")
+  SELECT d.vec_id AS q_vec, bank.vec_id AS b_vec, row_number() OVER (PARTITION BY d.vec_id ORDER BY draw) AS rank
+  FROM d JOIN bank USING (pos) WHERE d.vec_id <> bank.vec_id) WHERE rank <= 2""")
 def q_fewshot_random(spark, d):
     e = roles.table(spark, d, "embeddings").select("vec_id")
     return S.fewshot_random(e.withColumnRenamed("vec_id", "q_vec"),
@@ -575,6 +583,32 @@ def q_src_pipe_tables(spark, d):
         spark.read.text(path, wholetext=True).select("table_id", F.col("value").alias("raw")))
 
 
+@register("ingest_chain", """
+WITH n AS (SELECT 'region-' || n_regionkey AS table_id, n_nationkey AS k, n_name || 'e' || chr(769) AS a,
+                  CASE WHEN n_nationkey % 3 <> 0 THEN n_name END AS b,
+                  CASE WHEN n_nationkey % 4 <> 1 THEN n_nationkey || ',000' END AS v,
+                  CASE WHEN n_nationkey % 4 <> 1 THEN n_nationkey * 1000.0 END AS num FROM nation)
+SELECT table_id, count(*) AS n_rows, CAST(sum(num) AS DOUBLE) AS total,
+       ' | n_name | n_name.1 | v | ' || chr(10) || ' | ' ||
+       string_agg(a || ' | ' || coalesce(b, 'nan') || ' | ' || coalesce(v, 'nan'), ' | ' || chr(10) || ' | ' ORDER BY k) || ' | ' AS text
+FROM n GROUP BY table_id""")
+def q_ingest_chain(spark, d):
+    """Pipe texts with a repeated header name, missing tokens, short rows, composed letters and
+    grouped numbers, through parse -> headers -> missing -> strip -> NFKD -> numbers -> render."""
+    from tessera.operators.cells import ingest
+    from tessera.operators.sequence import ordered_concat
+    n = roles.table(spark, d, "nation")
+    k = F.col("n_nationkey")
+    line = F.concat(F.lit("| "), F.col("n_name"), F.lit("\u00e9 |  "), F.when(k % 3 == 0, F.lit("NA")).otherwise(F.col("n_name")),
+                    F.when(k % 4 == 1, F.lit(" |")).otherwise(F.concat(F.lit(" | "), k.cast("string"), F.lit(",000 |"))))
+    lines = n.select(F.concat(F.lit("region-"), F.col("n_regionkey").cast("string")).alias("table_id"), k.alias("o"), line.alias("line"))
+    raw = ordered_concat(lines, "table_id", "o", "line", "\n").select(
+        "table_id", F.concat(F.lit("| n_name | n_name | v |\n"), F.col("line"), F.lit("\n")).alias("raw"))
+    cells = ingest(raw)
+    totals = cells.groupBy("table_id").agg(F.sum("num").alias("total"))
+    return R.render_cells(cells).join(totals, "table_id")
+
+
 @register("src_html_tables", NATION_PARSED_SQL)
 def q_src_html_tables(spark, d):
     from tessera.operators.sequence import ordered_concat
@@ -792,6 +826,20 @@ def q_attempts_until_match(spark, d):
     return attempts_until_match(e, "user_id", "event_id", "reply", "hit", cap=1)
 
 
+@register("attempts_until_match_3", """
+WITH a AS (SELECT user_id, CAST(event_id AS VARCHAR) AS reply, event_type = 'purchase' AS hit,
+                  row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+g AS (SELECT user_id, arg_min(reply, n) FILTER (WHERE hit AND n <= 3) AS hit_reply,
+             arg_max(reply, n) FILTER (WHERE n <= 3) AS cap_reply FROM a GROUP BY user_id)
+SELECT user_id, coalesce(hit_reply, cap_reply) AS reply, hit_reply IS NOT NULL AS hit FROM g""")
+def q_attempts_until_match_3(spark, d):
+    from tessera.operators.evaluate import attempts_until_match
+    e = roles.table(spark, d, "events").select(
+        "user_id", "event_id", F.col("event_id").cast("string").alias("reply"),
+        (F.col("event_type") == "purchase").alias("hit"))
+    return attempts_until_match(e, "user_id", "event_id", "reply", "hit", cap=3)
+
+
 # ====================================================================== 2.5 prompts
 
 from tessera.functions.literals import BUDGET_MARKER, TABLE_BUDGET, TOKEN_RE  # noqa: E402
@@ -912,9 +960,9 @@ def q_stream_progress_counts(spark, d):
     log_dir, out_dir, ckpt = f"{base}/log", f"{base}/out", f"{base}/ckpt"
     logs = _event_labels(spark, d).select(F.col("user_id").alias("run"), F.col("event_id").alias("seq"),
                                           "answer", "prediction")
-    # appended in four parts, as a log grows
-    logs.repartition(4, "seq").write.mode("overwrite").json(log_dir)
-    q = start_progress(spark, log_dir, out_dir, ckpt, available_now=True, max_files_per_trigger=1)
+    # as many files as the log has partitions
+    logs.write.mode("overwrite").json(log_dir)
+    q = start_progress(spark, log_dir, out_dir, ckpt, available_now=True, max_files_per_trigger=1000)
     q.awaitTermination()
     return spark.read.parquet(out_dir)
 

@@ -105,14 +105,18 @@ def nation_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
                             "n_nationkey", cols)
 
 
-def _cells_from_wide(df: DataFrame, table_id, order_col: str, cols: list[str]) -> DataFrame:
-    """Rows numbered within their table by the skew-safe running count (a
-    table holding a third of all rows is not one task), then one cell per
-    column."""
+def _cells_from_wide(df: DataFrame, table_id, order_col: str, cols: list[str],
+                     numbered: bool = True) -> DataFrame:
+    """One cell per row and column. Rows are numbered within their table by the
+    skew-safe running count (a table holding a third of all rows is not one
+    task); ``numbered=False`` keeps the order column itself as ``row_idx``."""
     from tessera.operators.sequence import positions
 
-    d = positions(df.withColumn("table_id", table_id), "table_id", [order_col], "row_idx")
-    d = d.withColumn("row_idx", F.col("row_idx") - 1)
+    d = df.withColumn("table_id", table_id)
+    if numbered:
+        d = positions(d, "table_id", [order_col], "row_idx").withColumn("row_idx", F.col("row_idx") - 1)
+    else:
+        d = d.withColumn("row_idx", F.col(order_col).cast("long"))
     stack = F.explode(F.array(*[
         F.struct(F.lit(i).alias("col_idx"), F.lit(c).alias("col_name"),
                  F.col(c).cast("string").alias("value")) for i, c in enumerate(cols)]))
@@ -120,12 +124,12 @@ def _cells_from_wide(df: DataFrame, table_id, order_col: str, cols: list[str]) -
         "table_id", "row_idx", "c.col_idx", "c.col_name", "c.value")
 
 
-def orders_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def orders_cells(spark: SparkSession, sf_dir: str, numbered: bool = True) -> DataFrame:
     """``orders`` grouped by customer (rows ordered by the unique order key)."""
     o = table(spark, sf_dir, "orders")
     cols = ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
     return _cells_from_wide(o, F.concat(F.lit("cust/"), F.col("o_custkey").cast("string")),
-                            "o_orderkey", cols)
+                            "o_orderkey", cols, numbered)
 
 
 def cells_sql(name: str, src: str, table_expr: str, order_col: str, cols: list[str]) -> str:

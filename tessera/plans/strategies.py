@@ -160,19 +160,19 @@ def table_plan(questions: DataFrame, bank: DataFrame, rows: DataFrame, seq_cols:
 
 
 PLANS = {
-    "nl_sim": nl_plan,
-    "keyword_sim": keyword_plan,
-    "code_sim": code_plan,
-    "dail_sim": two_signal_plan,
-    "table_sim": table_plan,
+    "question": nl_plan,
+    "keyword": keyword_plan,
+    "code": code_plan,
+    "two_signal": two_signal_plan,
+    "table": table_plan,
 }
 
 
 def build_prompts(strategy: str, questions: DataFrame, bank: DataFrame, rows: DataFrame,
                   seq_cols: list[str], nfkd: bool = False, sample: int | None = None,
                   seed: int = 123, **kw) -> DataFrame:
-    """Dispatch by the source's strategy names (``nl_sim``, ``keyword_sim``,
-    ``code_sim``, ``dail_sim``, ``table_sim``, ``self_check``, ``pyagent``).
+    """Dispatch by strategy: ``question``, ``keyword``, ``code``, ``two_signal``,
+    ``table``, ``self_check`` or ``agent``.
 
     The bank is filtered to correct examples first, as the source does.
     ``nfkd`` normalises every text column once at ingest (the source
@@ -192,7 +192,7 @@ def build_prompts(strategy: str, questions: DataFrame, bank: DataFrame, rows: Da
         questions = sample_n(questions, "qid", sample, seed)
     if strategy == "self_check":
         return self_check_plan(bank, rows, seq_cols, **kw)
-    if strategy == "pyagent":
+    if strategy == "agent":
         return agent_plan(questions, rows, **kw)
     return PLANS[strategy](questions, bank, rows, seq_cols, **kw)
 

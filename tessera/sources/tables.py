@@ -26,8 +26,8 @@ def parse_pipe_tables(raw: DataFrame) -> DataFrame:
     Lines split on PIPE_RE with the border columns dropped. A table where a
     row has more cells than the header (a ragged table, which the first
     reading rejects) is split on PIPE_RE2 instead, keeping every column,
-    each cell stripped. Blank lines are skipped; the first line is the
-    header.
+    each cell stripped. A row shorter than the header ends in null cells.
+    Blank lines are skipped; the first line is the header.
     """
     lines = (raw.select("table_id", F.posexplode(F.split(F.col("raw"), "\r?\n", -1))
                         .alias("line_idx", "line"))
@@ -47,7 +47,9 @@ def parse_pipe_tables(raw: DataFrame) -> DataFrame:
     j = j.select("table_id", "line_idx", "_hidx",
                  F.when(F.col("_ragged"), p2).otherwise(F.col("_p1")).alias("cells"),
                  F.when(F.col("_ragged"), h2).otherwise(F.col("_h1")).alias("header"))
-    data = j.filter(F.col("line_idx") > F.col("_hidx"))
+    missing = F.greatest(F.size("header") - F.size("cells"), F.lit(0))
+    data = j.filter(F.col("line_idx") > F.col("_hidx")).withColumn(
+        "cells", F.concat("cells", F.array_repeat(F.lit(None).cast("string"), missing)))
     # row_idx = rank among the non-blank data lines (dense, as renderers
     # assume), by the skew-safe running count: a huge table is not one task
     from tessera.operators.sequence import positions
@@ -72,7 +74,8 @@ _TD_RE = r"(?i)<td"
 def _cell_text(c):
     t = F.regexp_replace(c, r"<[^>]+>", "")
     for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-                    ("&nbsp;", " "), ("&amp;", "&")):
+                    ("&nbsp;", " "), ("&apos;", "'"), ("&ndash;", "–"), ("&mdash;", "—"), ("&minus;", "−"), ("&deg;", "°"),
+                    ("&copy;", "©"), ("&middot;", "·"), ("&hellip;", "…"), ("&times;", "×"), ("&amp;", "&")):
         t = F.replace(t, F.lit(ent), F.lit(ch))
     return py_strip(t)
 
@@ -80,17 +83,19 @@ def _cell_text(c):
 def parse_html_tables(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """The first ``<table>`` of each page -> cells.
 
-    Header = the last all-``th`` row (the second level of a two-level
-    header); data rows = rows holding a ``td``. Pages without a table give
-    no rows.
+    Header = the last all-``th`` row before the first data row (the second
+    level of a two-level header; a footer in ``th`` is no header); data rows =
+    rows holding a ``td``. Pages without a table give no rows.
     """
     t = pages.select(F.col(key).alias("table_id"),
                      F.regexp_extract(F.col("html"), _TABLE_RE, 1).alias("_t"))
     t = t.filter(F.col("_t") != "")
     rows = F.regexp_extract_all(F.col("_t"), F.lit(_TR_RE), 1)
-    t = t.select("table_id",
-                 F.filter(rows, lambda r: r.rlike(_TD_RE)).alias("_data"),
-                 F.try_element_at(F.filter(rows, lambda r: ~r.rlike(_TD_RE)), F.lit(-1)).alias("_head"))
+    t = t.select("table_id", rows.alias("_rows"))
+    first = F.array_position(F.transform("_rows", lambda r: r.rlike(_TD_RE)), F.lit(True))  # 0: no data row
+    above = F.when(first > 0, F.slice("_rows", F.lit(1), first.cast("int") - 1)).otherwise(F.col("_rows"))
+    t = t.select("table_id", F.filter("_rows", lambda r: r.rlike(_TD_RE)).alias("_data"),
+                 F.try_element_at(above, F.lit(-1)).alias("_head"))
     t = t.withColumn("header", F.transform(
         F.coalesce(F.regexp_extract_all(F.col("_head"), F.lit(_CELL_RE), 1), F.array().cast("array<string>")),
         lambda c: _cell_text(c)))

@@ -51,7 +51,7 @@ def test_sparse_grid_pads_with_zero_by_tie_order(spark):
         [(10, "red red fox", 5), (11, "blue fox", 1), (12, "green", 0), (13, "grey", 2)],
         "b long, t string, pos long")
     got = spark_topk(S.sparse_topk(q, b, q_key="q", b_key="b", q_text="t", b_text="t", k=3,
-                                   tie_cols=["pos"], block_rows=2), "q", "b")
+                                   tie_cols=["pos"]), "q", "b")
     # q1: cos with "red red fox" = 3/sqrt(2*5), with "blue fox" = 1/2
     assert got[1] == [(10, round(3 / np.sqrt(10), 6)), (11, 0.5), (12, 0.0)]
     # no shared word: zero scores, first positions first
@@ -69,7 +69,7 @@ def test_grouped_grid_splits_a_hot_group(spark):
     q = spark.createDataFrame(rows, "q long, g long, t string")
     b = spark.createDataFrame(rows, "b long, g long, t string")
     got = spark_topk(S.sparse_topk(q, b, q_key="q", b_key="b", q_text="t", b_text="t", k=2,
-                                   group="g", block_rows=16), "q", "b")
+                                   group="g"), "q", "b")
     toks = [r[2].split() for r in rows]
     vocab = sorted(set(words))
     m = np.array([[t.count(w) for w in vocab] for t in toks], dtype=float)
@@ -126,6 +126,10 @@ def test_fewshot_random_is_reproducible(spark):
                          q_key="q", b_key="b", k=3, seed=7)
     assert sorted(a.collect()) == sorted(b.collect())
     assert a.count() == 90
+    assert a.filter("q = b").count() == 0 and a.select("q", "b").distinct().count() == 90
+    every = S.fewshot_random(e.withColumnRenamed("k", "q"), e.withColumnRenamed("k", "b"),
+                             q_key="q", b_key="b", k=50, seed=7)
+    assert every.count() == 30 * 29  # a bank smaller than k is given whole
 
 
 def test_dedup_keeps_last_values_first_position(spark):
@@ -162,8 +166,8 @@ def test_packed_small_groups_equal_brute_force(spark, exclude_self):
     assert got == {k: v for k, v in want.items() if v}
 
 
-def test_weight_bounded_tiles_equal_brute_force(spark):
-    """Tiles bounded by token weight (many small tiles) give the same top-k."""
+def test_token_topk_with_repeated_texts_equals_brute_force(spark):
+    """Distinct bags stand for all their rows; ties go by key."""
     rng = np.random.default_rng(6)
     words = ["aa", "bb", "cc", "dd", "ee", "ff"]
     rows = [(i, i % 4, " ".join(rng.choice(words, size=int(rng.integers(1, 6))))) for i in range(90)]
@@ -172,12 +176,12 @@ def test_weight_bounded_tiles_equal_brute_force(spark):
     m = np.array([[r[2].split().count(w) for w in words] for r in rows], dtype=float)
     u = m / np.linalg.norm(m, axis=1, keepdims=True)
     keys = [r[0] for r in rows]
-    got = spark_topk(S.sparse_topk(q, b, q_key="q", b_key="b", q_text="t", b_text="t", k=3,
-                                   block_weight=25), "q", "b")
+    got = spark_topk(S.sparse_topk(q, b, q_key="q", b_key="b", q_text="t", b_text="t", k=3),
+                     "q", "b")
     assert got == brute_topk(u @ u.T, keys, keys, keys, 3)
     same = np.array([[r1[1] == r2[1] for r2 in rows] for r1 in rows])
     got_g = spark_topk(S.sparse_topk(q, b, q_key="q", b_key="b", q_text="t", b_text="t", k=3,
-                                     group="g", block_weight=25), "q", "b")
+                                     group="g"), "q", "b")
     assert got_g == brute_topk(u @ u.T, keys, keys, keys, 3, same)
 
 
@@ -211,3 +215,18 @@ def test_grid_merge_limits_before_the_shuffle(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInPandas" in plan  # 50 questions > one block: the grid
     assert re.search(r"WindowGroupLimit .*Partial", plan)
+
+
+def test_token_topk_plan_is_built_in(spark):
+    q = spark.createDataFrame([(1, "a b")], "q long, t string")
+    b = spark.createDataFrame([(2, "b c")], "b long, t string")
+    plan = S.sparse_topk(q, b, q_key="q", b_key="b", q_text="t", b_text="t", k=1)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Pandas", "Python", "Arrow", "sequence("))
+
+
+def test_bad_vectors_score_zero(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, [0.0, 0.0])], "q long, v array<double>")
+    b = spark.createDataFrame([(11, [2.0, 0.0]), (12, None), (13, [5.0]), (14, [1.0, None]), (15, [float("nan"), 1.0])],
+                              "b long, v array<double>")
+    got = spark_topk(S.vector_topk(q, b, q_key="q", b_key="b", q_vec="v", b_vec="v", k=2), "q", "b")
+    assert got == {1: [(11, 1.0), (12, 0.0)], 2: [(11, 0.0), (12, 0.0)], 3: [(13, 1.0), (11, 0.0)], 4: [(11, 0.0), (12, 0.0)]}

@@ -156,3 +156,70 @@ def test_pipe_table_rows_are_dense_after_blank_lines(spark):
     raw = spark.createDataFrame([("t", "| a |\n\n| 1 |\n   \n| 2 |\n")], "table_id string, raw string")
     rows = sorted((r.row_idx, r.value) for r in tables.parse_pipe_tables(raw).collect())
     assert rows == [(0, "1"), (1, "2")]
+
+
+def test_heads_and_budget_rank_rows_whatever_their_index(spark):
+    rows = spark.createDataFrame([("t", 9, "c", "h"), ("t", 5, "a", "h"), ("t", 7, "b", "h"), (None, 3, "x", "h")],
+                                 "table_id string, row_idx long, row_text string, header_text string")
+    two = {r.table_id: (r.n_rows, r.text) for r in R.render_head(rows, 3).collect()}
+    assert two == {"t": (2, " | h | \n | a | \n | b | "), None: (1, " | h | \n | x | ")}
+    both = {(r.table_id, r.n_text_rows): (r.n_rows, r.text) for r in R.render_heads(rows, [2, 3]).collect()}
+    assert both[("t", 3)] == two["t"] and both[("t", 2)] == (1, " | h | \n | a | ") and len(both) == 4
+    assert R.budgeted_tables(rows, 1000).filter("table_id = 't'").first().n_rows == 3
+
+
+def test_positions_keep_rows_without_a_key(spark):
+    from tessera.operators.sequence import BUCKET, positions, running_sum
+    rows = [("a", BUCKET * k + k) for k in range(5)] + [(None, 3), (None, 10 * BUCKET)]
+    out = positions(spark.createDataFrame(rows, "k string, o long"), "k", ["o"])
+    assert sorted((r.o, r.pos) for r in out.filter("k is null").collect()) == [(3, 1), (10 * BUCKET, 2)]
+    assert [r.pos for r in out.filter("k = 'a'").orderBy("o").collect()] == [1, 2, 3, 4, 5]
+    sums = running_sum(spark.createDataFrame(rows, "k string, o long").withColumn("v", F.lit(2)), "k", ["o"], ["v"])
+    assert sums.agg(F.max("cum_v")).first()[0] == 10
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert "Pandas" not in plan and "Python" not in plan
+
+
+def test_unanswered_and_repeated_predictions_are_counted(spark):
+    gold = spark.createDataFrame([(1, "a"), (2, "b"), (3, "e\u0301")], "k long, answer string")
+    pred = spark.createDataFrame([(1, "a"), (1, "a"), (3, "\u00e9"), (9, "z")], "k long, prediction string")
+    r = EV.exact_match(gold, pred, "k").first()
+    assert (r.n, r.hits) == (3, 2)  # composed and decomposed spellings are equal
+    one = pred.withColumnRenamed("prediction", "p1")
+    two = spark.createDataFrame([(2, "b")], "k long, p2 string")
+    c = EV.compare_runs(gold, one, two, "k").first()
+    assert (c.both, c.only1, c.only2, c.neither) == (0, 2, 1, 0)
+    assert sorted(r.k for r in EV.only_first_right(gold, one, two, "k").collect()) == [1, 3]
+
+
+def test_html_footer_is_no_header_and_short_pipe_rows_end_in_nulls(spark):
+    html = ("<table><tr><th>Name</th><th>N</th></tr><tr><td>A</td><td>1 &ndash; 2</td></tr>"
+            "<tr><th>Total</th><th>9</th></tr></table>")
+    rows = tables.parse_html_tables(spark.createDataFrame([(1, html)], "page_id long, html string")).collect()
+    assert [(r.col_name, r.value) for r in rows] == [("Name", "A"), ("N", "1 – 2")]
+    raw = spark.createDataFrame([("t", "| a | a | c |\n| NA | \u00e9 |\n| 1,000 | x | 2 |\n")], "table_id string, raw string")
+    short = {(r.row_idx, r.col_idx): r.value for r in tables.parse_pipe_tables(raw).collect()}
+    assert short[(0, 2)] is None and len(short) == 6
+    from tessera.operators.cells import ingest
+    clean = {(r.row_idx, r.col_idx): (r.col_name, r.value, r.num) for r in ingest(raw).collect()}
+    assert clean[(0, 0)] == ("a", None, None) and clean[(0, 1)] == ("a.1", "e\u0301", None)
+    assert clean[(1, 0)] == ("a", "1,000", 1000.0) and clean[(1, 2)] == ("c", "2", 2.0)
+
+
+def test_a_cluster_needs_a_shared_checkpoint_folder():
+    import pytest
+
+    from tessera.session import ensure_checkpoint_dir
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session())

@@ -17,8 +17,8 @@ def inputs(spark):
     return q, b, rows
 
 
-@pytest.mark.parametrize("strategy", ["nl_sim", "keyword_sim", "code_sim", "dail_sim", "table_sim",
-                                      "pyagent"])
+@pytest.mark.parametrize("strategy", ["question", "keyword", "code", "two_signal", "table",
+                                      "agent"])
 def test_strategy_gives_one_prompt_per_question(spark, inputs, strategy):
     q, b, rows = inputs
     out = strategies.build_prompts(strategy, q, b, rows, ["conv_id", "turn"])
@@ -33,14 +33,14 @@ def test_self_check_and_row_selection(spark, inputs):
     sc = strategies.build_prompts("self_check", q, b, rows, ["conv_id", "turn"])
     n_distinct = b.select(F.lower("question")).distinct().count()
     assert sc.count() == n_distinct
-    ag = strategies.build_prompts("pyagent", q, b, rows, ["conv_id", "turn"], row_selection=True)
+    ag = strategies.build_prompts("agent", q, b, rows, ["conv_id", "turn"], row_selection=True)
     assert ag.count() == q.count()
 
 
 def test_bank_filtered_to_correct(spark, inputs):
     q, b, rows = inputs
     none_correct = b.withColumn("correct", F.lit(0))
-    out = strategies.build_prompts("nl_sim", q, none_correct, rows, ["conv_id", "turn"])
+    out = strategies.build_prompts("question", q, none_correct, rows, ["conv_id", "turn"])
     # zero-shot: every question still gets a prompt, with no examples
     assert out.count() == q.count()
     assert out.filter(F.col("prompt").contains("/* Question: ") & F.col("prompt").contains("Code: ")).count() == 0
@@ -48,7 +48,7 @@ def test_bank_filtered_to_correct(spark, inputs):
 
 def test_nfkd_and_sample_options(spark, inputs):
     q, b, rows = inputs
-    out = strategies.build_prompts("nl_sim", q, b, rows, ["conv_id", "turn"], nfkd=True, sample=5)
+    out = strategies.build_prompts("question", q, b, rows, ["conv_id", "turn"], nfkd=True, sample=5)
     got = out.collect()
     assert len(got) == min(5, q.count())
     import unicodedata
