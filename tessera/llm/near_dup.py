@@ -33,7 +33,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window  # noqa: F401
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import map_slices, write_stage
@@ -41,6 +41,7 @@ from tessera.llm.shingles import LANE, SYMBOLS, set_key, shingle_sets, signature
 
 MAX_DISTANCE = 31  # symbols
 BLOCK = 256  # texts on a side of a block task
+BROADCAST_IDS = 1 << 22  # ids that are broadcast, once counted, to pick texts; more are joined by a shuffle
 _PER_LONG = 4
 _MASKS = [~(((1 << LANE) - 1) << (LANE * k)) for k in range(_PER_LONG)]
 
@@ -242,6 +243,8 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
         .agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")), "near-classes")
     family = write_stage(families(classes), "near-families")
     involved = family.select("rep").distinct()
+    if family.count() <= BROADCAST_IDS:  # else the texts are shuffled by id
+        involved = F.broadcast(involved)
     texts = write_stage(documents.select(F.col(id_col).alias("rep"), F.col(text_col).cast("string").alias("text"))
                         .join(involved, "rep", "left_semi"), "near-texts")
     star = write_stage(star_links(family, texts), "near-star")
@@ -270,8 +273,16 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 def deduplicate(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents kept: one row of each group, all columns as they are.
 
-    Rows that repeat an id are copies too; the least by content stays.
+    Of rows that repeat an id the least by content stays; rows without an id all stay.
     """
-    gone = near_duplicates(documents, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = documents.join(gone, documents[id_col] == gone["_gone"], "left_anti")
-    return left
+    near = write_stage(near_duplicates(documents, id_col, text_col), "near-result")
+    gone = near.where("not kept").select(F.col("doc_id").alias("_id")).distinct()
+    gone = F.broadcast(gone) if near.where("not kept").count() <= BROADCAST_IDS else gone  # else by a shuffle
+    left = documents.join(gone, documents[id_col] == gone["_id"], "left_anti")
+    twice = near.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n")).where("n > 1")
+    if twice.isEmpty():
+        return left
+    single = left.join(twice, left[id_col] == twice["_id"], "left_anti")
+    several = left.join(twice, left[id_col] == twice["_id"], "left_semi")
+    one = several.groupBy(F.col(id_col).alias("_id")).agg(F.min(F.struct(*documents.columns)).alias("r")).select("r.*")
+    return single.unionByName(one)
