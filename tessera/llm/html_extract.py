@@ -45,21 +45,23 @@ BROADCAST_BYTES = 4 << 20
 
 # Element kinds of HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea title iframe object svg math select head".split())
+_RAW = frozenset("script style noscript template textarea title iframe object svg math select button head".split())
 _BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _CLOSES_P = _BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot"}
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
-_NOISE_TAGS = frozenset("nav footer aside form menu dialog button".split())
+_NOISE_TAGS = frozenset("nav footer aside form menu dialog".split())
 _CONTENT_TAGS = frozenset("article main".split())
 # Words in class, id or role that name what is not the article.
 _NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu "
-    "breadcrumb breadcrumbs sidebar footer comment comments respond disqus cookie cookies consent gdpr notice popup modal "
+    "breadcrumb breadcrumbs sidebar footer comment comments reply replies respond disqus cookie cookies consent gdpr notice popup modal "
     "newsletter subscribe subscription signup login search share sharing social related recommended pagination pager "
     "widget toolbar skip masthead alert complementary contentinfo".split())
+#: Words that turn such a name into one of the whole page (``has-sidebar``).
+_LAYOUT_WORDS = frozenset("with has no without layout free".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -69,10 +71,11 @@ def _label(tag: str, attributes: str) -> tuple[str, bool]:
     """The node's label, and whether its names say that it is not the article."""
     if not attributes:
         return tag, False
-    names = " ".join(f"{m[1].lower()}={' '.join(sorted((m[2] or m[3] or m[4] or '').lower().split()))}"
-                     for m in _NAMES.finditer(attributes))
-    words = _WORD.findall(" ".join((m[2] or m[3] or m[4] or "").lower() for m in _NAMES.finditer(attributes)))
-    return (f"{tag}[{names}]" if names else tag), any(w in _NOISE_WORDS for w in words)
+    found = sorted((m[1].lower(), sorted((m[2] or m[3] or m[4] or "").lower().split())) for m in _NAMES.finditer(attributes))
+    names = " ".join(f"{kind}={' '.join(values)}" for kind, values in found)
+    named = any(not _NOISE_WORDS.isdisjoint(words) and _LAYOUT_WORDS.isdisjoint(words)
+                for _, values in found for words in map(_WORD.findall, values))
+    return (f"{tag}[{names}]" if names else tag), named and tag not in ("html", "body")
 
 
 class Block:
@@ -165,7 +168,11 @@ def _style(labels: list[str]) -> str:
     return " ".join(a for k, a in enumerate(labels) if not k or labels[k - 1] != a)
 
 
-_PROSE = re.compile(r"/(?:p|h[1-6]|pre|blockquote|ul|ol|li|dl|dt|dd|table|tbody|thead|tfoot|tr|td|th|figure|figcaption|article|main|html|body)(?=/|$)")
+_PROSE = re.compile(r"/(?:p|h[1-6]|pre|blockquote|ul|ol|li|dl|dt|dd|table|tbody|thead|tfoot|tr|td|th|figure|figcaption|header|hgroup|section|div)(?=/|$)")
+
+
+#: What a path has below its article.
+_ARTICLE = re.compile(r"/(?:article|main)(?:\[[^\]]*\])?((?:/.*)?)$")
 
 
 def main_text(page: str, removed: frozenset[str] = frozenset()) -> tuple[str, int]:
@@ -178,7 +185,8 @@ def main_text(page: str, removed: frozenset[str] = frozenset()) -> tuple[str, in
         if b.noise or (article and not b.content):
             continue
         # prose inside an article is its text, whatever copies of the page the site has
-        if removed and not (b.content and not _PROSE.sub("", b.path)) and low(b.path):
+        inner = _ARTICLE.search(b.path)
+        if removed and not (inner and not _PROSE.sub("", inner[1])) and low(b.path):
             continue
         kept.append(b.text)
     return " ".join(kept), len(found) - len(kept)

@@ -73,11 +73,12 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - np.asarray(score)[:, None], -60, 60)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 300, decay: float = 1e-3) -> OrdinalModel | None:
+def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 300, decay: float = 1e-4, least: float = 2.0) -> OrdinalModel | None:
     """Cumulative-link maximum likelihood by Adam over all rows; None without two grades.
 
     Each token's column is scaled by how far its rate differs between the grade
-    halves, shrunk for rare tokens, so that rare tokens can't be learned by heart.
+    halves, less ``least`` standard errors, so that rare tokens can't be learned
+    by heart.
     """
     grades = np.asarray(grades, np.int64)
     if len(set(grades.tolist())) < 2:
@@ -99,7 +100,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 300, decay: flo
         # in units of its standard error: chance differences count little
         error = np.sqrt(1 / (in_high + 0.5) + 1 / (total - in_high + 0.5))
         z = np.abs(ratio) / error
-        scale = np.maximum(scale, np.where(z > 2.0, np.minimum(np.abs(ratio), 4.0) * (1 - 2.0 / np.maximum(z, 2.0)), 0))
+        scale = np.maximum(scale, np.where(z > least, np.minimum(np.abs(ratio), 4.0) * (1 - least / np.maximum(z, least)), 0))
     weight, gaps = np.zeros(len(used)), np.zeros(top)
     share = np.array([(grades >= k).mean() for k in range(1, top + 1)]).clip(1e-3, 1 - 1e-3)
     start = -np.log(share / (1 - share))
