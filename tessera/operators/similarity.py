@@ -10,13 +10,12 @@ column are scored with the dense kernel instead.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import casefold, decode_code_newlines, mask_literals, min_ngram, words
 from tessera.operators import blocks
-from tessera.operators.blocks import Kernel, dense_cosine, merge_stats, sparse_cosine
+from tessera.operators.blocks import Kernel, dense_cosine, sparse_cosine
 
 
 def bank_dedup_last(bank: DataFrame, text_col: str, seq_cols: list[str]) -> DataFrame:
@@ -59,15 +58,15 @@ def _token_texts(df: DataFrame, key: str, text: str, group: str | None, sets: bo
 
 def token_topk(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str, q_text: str, b_text: str, k: int,
                tie_cols: list[str] | None = None, group: str | None = None, exclude_self: bool = False,
-               sets: bool = False) -> DataFrame:
+               sets: bool = False, fill: DataFrame | None = None) -> DataFrame:
     """Top-k bank rows per question by word-count cosine (``sets``: by Jaccard), exact, in built-in operations.
 
     Words are joined on (group, word), dot products are summed per pair of
     distinct bags (combined before the shuffle), and the k best bags per
     question bag are kept by a group limit. Ordering: score rounded to 6 dp,
     then tie columns, then key. A question with fewer than k related rows is
-    filled with score 0 from the first bank rows in tie order, of which
-    ``2k + 1`` per group suffice.
+    filled with score 0 from the first bank rows in tie order (those of its
+    group, or of ``fill``), of which ``2k + 1`` suffice.
     """
     tie_cols = list(tie_cols or [])
     order = [*tie_cols, b_key]
@@ -94,13 +93,13 @@ def token_topk(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str, q
     top = pairs.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= kk).drop("_r", "_first")
     held = members.select(F.col("_bg").alias("_mg"), F.col("_bt").alias("_mt"), *order)
     related = top.join(held, (top["_qg"] == held["_mg"]) & (top["_bt"] == held["_mt"])).select("_qg", "_qt", *order, "sim")
-    if group:
+    if group and fill is None:
         ahead = Window.partitionBy("_bg").orderBy(*order)
         filler = b.withColumn("_r", F.row_number().over(ahead)).filter(F.col("_r") <= 2 * k + 1)
         filler = filler.select(F.col("_bg").alias("_qg"), *order)
         zeros = q.join(filler, "_qg").select(q_key, *order, F.lit(0.0).alias("sim"))
     else:  # 2k + 1 rows, as one value that every question reads
-        filler = b.orderBy(*order).limit(2 * k + 1).agg(F.collect_list(F.struct(*order)).alias("rows"))
+        filler = (b if fill is None else fill).orderBy(*order).limit(2 * k + 1).agg(F.collect_list(F.struct(*order)).alias("rows"))
         zeros = q.select(q_key, F.explode(filler.scalar()).alias("f")).select(q_key, "f.*", F.lit(0.0).alias("sim"))
     found = q.join(related, ["_qg", "_qt"]).select(q_key, *order, "sim").unionByName(zeros)
     if exclude_self:
@@ -147,65 +146,55 @@ def vector_pairs_above(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key
 # ------------------------------------------------------------ keyword gate
 
 
-def keyword_gate_tiles(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str,
-                       q_text: str, b_text: str, k: int, n: int = 1,
-                       tie_cols: list[str] | None = None, weight_col: str | None = None) -> DataFrame:
-    """Tiles for the keyword strategy.
+def keyword_rows(queries: DataFrame, bank: DataFrame, *, b_key: str, q_text: str, b_text: str, n: int = 1) -> DataFrame:
+    """``_kw, b_key``: each distinct keyword with the bank rows whose lower-cased text contains it.
 
-    keyword = alphabetically first n-gram of the question. An example keeps
-    its score only if its lower-cased question contains the keyword; the
-    others score 0. If no example of the whole bank contains it, every
-    example keeps its score. Each tile ranks both ways (``gated``, ``raw``)
-    and counts hits (``#hits``, weighted by ``weight_col`` so duplicates
-    removed by de-duplication still count); :func:`keyword_gate` picks per
-    question from the global hit count.
+    A keyword is the alphabetically first n-gram of a question. Its first word
+    lies inside a word of any text that contains it, so candidates come from
+    the bank's vocabulary: distinct words are joined to keywords on the first
+    two or three letters (at any place of the word) and tested there, then
+    joined back to the rows that have the word.
     """
-    q = queries.withColumn("_tok", words(q_text)).withColumn("_kw", min_ngram(q_text, n))
-    b = bank.withColumn("_btok", words(b_text)).withColumn("_bnl", casefold(b_text))
-    bcols = ["_btok", "_bnl"] + ([weight_col] if weight_col else [])
-
-    def score(qp: pd.DataFrame, bp: pd.DataFrame):
-        s = sparse_cosine(qp["_tok"], bp["_btok"])
-        nl = bp["_bnl"].fillna("")
-        hit = np.zeros(s.shape, dtype=bool)
-        kws = qp["_kw"]
-        for kw in kws.dropna().unique():
-            col = nl.str.contains(kw, regex=False).to_numpy()
-            hit[(kws == kw).to_numpy()] = col
-        w = bp[weight_col].to_numpy(dtype=np.float64) if weight_col else np.ones(len(bp))
-        return ({"gated": np.where(hit, s, 0.0), "raw": s},
-                {"hits": (hit * w[None, :]).sum(axis=1)})
-
-    kernel = Kernel(["_tok", "_kw"], bcols, score, q_weight=blocks.token_weight("_tok"),
-                    b_weight=blocks.token_weight("_btok"))
-    return blocks.grid_scores(q, b, q_key=q_key, b_key=b_key, kernel=kernel, k=k, tie_cols=tie_cols)
-
-
-def keyword_gate(tiles: DataFrame, *, q_key: str, b_key: str, k: int,
-                 tie_cols: list[str] | None = None) -> DataFrame:
-    """Top-k of the keyword strategy from :func:`keyword_gate_tiles`.
-
-    One shuffle by question: the global hit count is a window sum over the
-    question's tiles, it selects the ranking (``gated`` if any example of
-    the bank holds the keyword, else ``raw``), then the top-k window runs on
-    the same partitioning.
+    kws = queries.select(min_ngram(q_text, n).alias("_kw")).filter("_kw is not null").distinct()
+    kws = kws.withColumn("_head", F.split_part("_kw", F.lit(" "), F.lit(1))).withColumn("_gram", F.substring("_head", 1, 3))
+    tokens = bank.select(b_key, F.explode(F.array_distinct(words(b_text))).alias("_tok"))
+    grams = lambda size: F.transform(F.sequence(F.lit(1), F.greatest(F.length("_tok") - size + 1, F.lit(1))),
+                                     lambda at: F.substr(F.col("_tok"), at, F.lit(size)))
+    vocabulary = tokens.select("_tok").distinct().select(
+        "_tok", F.explode(F.array_distinct(F.concat(grams(2), grams(3)))).alias("_gram"))
+    inside = kws.join(vocabulary, "_gram").filter(F.contains("_tok", "_head")).select("_kw", "_tok")
+    found = inside.join(tokens, "_tok").select("_kw", b_key).distinct()
+    if n > 1:  # the other words, with the space between
+        texts = bank.select(b_key, casefold(b_text).alias("_nl"))
+        found = found.join(texts, b_key).filter(F.contains("_nl", "_kw")).select("_kw", b_key)
+    return found
+
+
+def keyword_gate(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str, q_text: str, b_text: str, k: int,
+                 n: int = 1, tie_cols: list[str] | None = None) -> DataFrame:
+    """Top-k of the keyword strategy.
+
+    An example keeps its score only if its lower-cased question contains the
+    keyword; the others score 0. If no example of the whole bank contains it,
+    every example keeps its score.
     """
-    tie_cols = list(tie_cols or [])
-    wq = Window.partitionBy(q_key)
-    hits = F.sum(F.when(F.col("mode") == "#hits", F.col("sim"))).over(wq)
-    t = tiles.withColumn("_hits", hits)
-    t = t.filter(F.col("mode") == F.when(F.col("_hits") > 0, F.lit("gated")).otherwise(F.lit("raw")))
-    w = Window.partitionBy(q_key).orderBy(
-        F.col("sim").desc(), *[F.col(c).asc() for c in tie_cols], F.col(b_key).asc())
-    return (t.withColumn("rank", F.row_number().over(w).cast("long"))
-             .filter(F.col("rank") <= k).drop("mode", "_hits"))
-
-
-def keyword_stats(tiles: DataFrame, q_key: str) -> DataFrame:
-    """Total matches, average per question and number of fallbacks."""
-    hits = merge_stats(tiles, q_key, ["hits"])
-    return hits.agg(F.sum("hits").cast("long").alias("total_hits"),
-                    F.avg("hits").alias("avg_hits"),
+    cols = dict(q_key=q_key, b_key=b_key, q_text=q_text, b_text=b_text, k=k, tie_cols=tie_cols)
+    rows = keyword_rows(queries, bank, b_key=b_key, q_text=q_text, b_text=b_text, n=n)
+    q = queries.withColumn("_kw", F.coalesce(min_ngram(q_text, n), F.lit("")))
+    hit = rows.select("_kw").distinct()
+    gated = token_topk(q.join(hit, "_kw", "left_semi"), bank.join(rows, b_key), group="_kw", fill=bank, **cols)
+    return gated.unionByName(token_topk(q.join(hit, "_kw", "left_anti"), bank, **cols))
+
+
+def keyword_stats(queries: DataFrame, bank: DataFrame, *, b_key: str, q_text: str, b_text: str, n: int = 1,
+                  weight_col: str | None = None) -> DataFrame:
+    """Total matches, average per question and number of fallbacks; duplicates
+    removed by de-duplication count by ``weight_col``. Nothing is scored."""
+    rows = keyword_rows(queries, bank, b_key=b_key, q_text=q_text, b_text=b_text, n=n)
+    weight = F.col(weight_col) if weight_col else F.lit(1)
+    hits = rows.join(bank.select(b_key, weight.alias("_weight")), b_key).groupBy("_kw").agg(F.sum("_weight").alias("hits"))
+    each = queries.select(min_ngram(q_text, n).alias("_kw")).join(hits, "_kw", "left").select(F.coalesce("hits", F.lit(0)).alias("hits"))
+    return each.agg(F.sum("hits").cast("long").alias("total_hits"), F.avg("hits").alias("avg_hits"),
                     F.count_if(F.col("hits") == 0).alias("fallbacks"))
 
 

@@ -304,13 +304,6 @@ HITS_SQL = """hits AS (
   FROM kw k CROSS JOIN dbank b GROUP BY k.qid)"""
 
 
-def _kw_tiles(spark, d):
-    q = roles.questions(spark, d)
-    b = strategies.dedup_bank(spark, d)
-    return S.keyword_gate_tiles(q, b, q_key="qid", b_key="bid", q_text="question", b_text="nl",
-                                k=K_NL, tie_cols=strategies.BANK_TIES, weight_col="n_dup")
-
-
 @register("sim_keyword_gate", _with(roles.QUESTIONS_SQL, roles.BANK_SQL, roles.DBANK_SQL)
           + G.sparse_pairs_sql("questions", "qid", "question", "dbank", "bid", "nl",
                                extra_cols=", bb.first_conv_id, bb.first_turn, bb.nl")
@@ -319,8 +312,8 @@ gp AS (SELECT p.*, CASE WHEN h.hits = 0 OR contains(p.nl, k.kw) THEN p.sim ELSE
        FROM pairs p JOIN hits h ON h.qid = p.qk JOIN kw k ON k.qid = p.qk)"""
           + G.topk_select("qid", "bid", K_NL, ["first_conv_id", "first_turn"], sim_expr="gsim", src="gp"))
 def q_sim_keyword_gate(spark, d):
-    return S.keyword_gate(_kw_tiles(spark, d), q_key="qid", b_key="bid", k=K_NL,
-                          tie_cols=strategies.BANK_TIES)
+    return S.keyword_gate(roles.questions(spark, d), strategies.dedup_bank(spark, d), q_key="qid", b_key="bid",
+                          q_text="question", b_text="nl", k=K_NL, tie_cols=strategies.BANK_TIES)
 
 
 @register("sim_keyword_stats", _with(roles.QUESTIONS_SQL, roles.BANK_SQL, roles.DBANK_SQL, KW_SQL, HITS_SQL)
@@ -328,7 +321,8 @@ def q_sim_keyword_gate(spark, d):
 SELECT CAST(sum(hits) AS BIGINT) AS total_hits, avg(hits) AS avg_hits,
        count(*) FILTER (WHERE hits = 0) AS fallbacks FROM hits""")
 def q_sim_keyword_stats(spark, d):
-    return S.keyword_stats(_kw_tiles(spark, d), "qid")
+    return S.keyword_stats(roles.questions(spark, d), strategies.dedup_bank(spark, d), b_key="bid",
+                           q_text="question", b_text="nl", weight_col="n_dup")
 
 
 @register("sim_code_masked", "WITH " + roles.CODE_SQL + """,

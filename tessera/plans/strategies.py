@@ -73,9 +73,8 @@ def keyword_plan(questions: DataFrame, bank: DataFrame, rows: DataFrame, seq_col
                  k: int = FEW_SHOT, n: int = KEYWORD_NGRAM, budget: int = TABLE_BUDGET) -> DataFrame:
     """Question similarity gated by the question's keyword: ``qid, prompt, keyword``."""
     b = dedup(bank, seq_cols)
-    tiles = S.keyword_gate_tiles(questions, b, q_key="qid", b_key="bid", q_text="question",
-                                 b_text="nl", k=k, n=n, tie_cols=_ties(seq_cols), weight_col="n_dup")
-    ranked = S.keyword_gate(tiles, q_key="qid", b_key="bid", k=k, tie_cols=_ties(seq_cols))
+    ranked = S.keyword_gate(questions, b, q_key="qid", b_key="bid", q_text="question", b_text="nl", k=k, n=n,
+                            tie_cols=_ties(seq_cols))
     out = _code_prompts(questions, ranked, b, rows, budget)
     kw = questions.select("qid", min_ngram("question", n).alias("keyword"))
     return out.join(kw, "qid", "left")

@@ -83,17 +83,27 @@ def test_keyword_gate_fallback_and_stats(spark):
     q = spark.createDataFrame([(1, "the red car"), (2, "zebra")], "q long, t string")
     b = spark.createDataFrame([(10, "a red bus", 1, 2), (11, "the car", 2, 1), (12, "blue", 3, 1)],
                               "b long, t string, pos long, n_dup long")
-    tiles = S.keyword_gate_tiles(q, b, q_key="q", b_key="b", q_text="t", b_text="t", k=2,
-                                 tie_cols=["pos"], weight_col="n_dup")
-    got = spark_topk(S.keyword_gate(tiles, q_key="q", b_key="b", k=2, tie_cols=["pos"]), "q", "b")
+    got = spark_topk(S.keyword_gate(q, b, q_key="q", b_key="b", q_text="t", b_text="t", k=2, tie_cols=["pos"]), "q", "b")
     # q1 keyword "car": only "the car" keeps its score, others score 0
     assert got[1][0][0] == 11 and got[1][1] == (10, 0.0)
     # q2 keyword "zebra" in no example: fallback to plain scores (all 0 here)
     assert got[2] == [(10, 0.0), (11, 0.0)]
-    st = S.keyword_stats(tiles, "q").first()
+    st = S.keyword_stats(q, b, b_key="b", q_text="t", b_text="t", weight_col="n_dup").first()
     assert (st.total_hits, st.fallbacks) == (1, 1)
 
 
+@pytest.mark.parametrize("n", [1, 2])
+def test_keyword_rows_equal_contains(spark, n):
+    rng = np.random.default_rng(9)
+    parts = ["ab", "abc", "b", "cab", "Abcab", "c_d", "é1", "-", "x"]
+    text = lambda: " ".join(rng.choice(parts, size=int(rng.integers(0, 6))))
+    q = spark.createDataFrame([(k, text()) for k in range(40)] + [(99, None)], "q long, t string")
+    b = spark.createDataFrame([(k, text()) for k in range(60)] + [(99, None)], "b long, t string")
+    got = {(r["_kw"], r["b"]) for r in S.keyword_rows(q, b, b_key="b", q_text="t", b_text="t", n=n).collect()}
+    kws = {r[0] for r in q.select(S.min_ngram("t", n)).collect() if r[0]}
+    assert got == {(k, r["b"]) for r in b.collect() for k in kws if k in (r["t"] or "").lower()}
+
+
 def test_local_topk_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(200):
