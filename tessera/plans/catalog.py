@@ -842,7 +842,8 @@ from tessera.operators import prompts as P  # noqa: E402
 RENDER_SQL = """{name} AS (
   SELECT table_id, ' | ' || max(header_text) || ' | ' || chr(10) || ' | ' ||
          string_agg(row_text, ' | ' || chr(10) || ' | ' ORDER BY row_idx) || ' | ' AS text
-  FROM conv_rows WHERE row_idx < {rows} GROUP BY table_id)"""
+  FROM (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY row_idx, row_text) AS rk FROM conv_rows)
+  WHERE rk <= {rows} GROUP BY table_id)"""
 
 
 def budget_sql(name: str, src: str, budget: int = TABLE_BUDGET) -> str:
@@ -880,6 +881,84 @@ def q_prompt_code_template(spark, d):
     return strategies.nl_prompts(spark, d, K_NL)
 
 
+def _code_prompt_sql(questions: str = "questions", extra: str = "") -> str:
+    """CTEs and SELECT of the code prompt over ``ranked`` and the de-duplicated bank."""
+    return ",\n" + ",\n".join([BLOCK_SQL, roles.CONV_ROWS_SQL, RENDER_SQL.format(name="fullt", rows=TABLE_BUDGET),
+                               budget_sql("tb", "fullt")]) + f"""
+SELECT q.qid, coalesce(bl.block, {lit_sql(P.FEWSHOT_LEAD)}) || {lit_sql(P.TABLE_LEAD)} || coalesce(tb.text, '')
+       || {lit_sql(P.QUESTION_LEAD)} || q.question || {lit_sql(P.CODE_CUE)} AS prompt{extra}
+FROM {questions} q LEFT JOIN blocks bl USING (qid) LEFT JOIN tb USING (table_id)"""
+
+
+def _mask_sql(x: str) -> str:
+    return f"array_to_string(list_filter(string_split({x}, ''''), lambda s, i: i % 2 = 1), '''MASK''')"
+
+
+_TIE_COLS = ", bb.first_conv_id, bb.first_turn"
+_BANK_SQL = _with(roles.QUESTIONS_SQL, roles.BANK_SQL, roles.DBANK_SQL)
+_MASKED_SQL = f""",
+qp AS (SELECT *, 'df[df[''turn'']==''' || turn || '''].text' AS prediction FROM questions),
+mq AS (SELECT qid, {_mask_sql('prediction')} AS mtext FROM qp),
+mb AS (SELECT bid, first_conv_id, first_turn, {_mask_sql("replace(code, '@@@', chr(10))")} AS mtext FROM dbank)"""
+
+
+def _ranked_of(src: str) -> str:
+    return ",\nranked AS (" + G.topk_select("qid", "bid", 1, ["first_conv_id", "first_turn"], src=src) + ")"
+
+
+def _strategy(name: str, spark, d, **kw):
+    q = roles.questions(spark, d).withColumn(
+        "prediction", F.concat(F.lit("df[df['turn']=='"), F.col("turn").cast("string"), F.lit("'].text")))
+    return strategies.build_prompts(name, q, roles.bank(spark, d), roles.conversation_rows(spark, d),
+                                    ["conv_id", "turn"], **kw)
+
+
+@register("strategy_keyword", _with(roles.QUESTIONS_SQL, roles.BANK_SQL, roles.DBANK_SQL,
+                                    "ranked AS (SELECT * FROM (" + ORACLES["sim_keyword_gate"] + ") WHERE rank = 1)", KW_SQL)
+          + _code_prompt_sql(extra=", (SELECT kw FROM kw WHERE kw.qid = q.qid) AS keyword"))
+def q_strategy_keyword(spark, d):
+    return _strategy("keyword", spark, d)
+
+
+@register("strategy_code", _BANK_SQL + _MASKED_SQL
+          + G.sparse_pairs_sql("mq", "qid", "mtext", "mb", "bid", "mtext", extra_cols=_TIE_COLS) + _ranked_of("pairs")
+          + _code_prompt_sql("qp", ", q.prediction AS pre_predicted"))
+def q_strategy_code(spark, d):
+    return _strategy("code", spark, d)
+
+
+@register("strategy_two_signal", _BANK_SQL + _MASKED_SQL
+          + G.sparse_pairs_sql("mq", "qid", "mtext", "mb", "bid", "mtext", p="g_")
+          + G.sparse_pairs_sql("questions", "qid", "question", "dbank", "bid", "nl", extra_cols=_TIE_COLS, p="r_") + """,
+both_pairs AS (SELECT r.qk, r.bk, r.first_conv_id, r.first_turn, CASE WHEN g.sim > 0.9 THEN r.sim ELSE 0 END AS sim
+               FROM r_pairs r JOIN g_pairs g ON g.qk = r.qk AND g.bk = r.bk)""" + _ranked_of("both_pairs")
+          + _code_prompt_sql("qp", ", q.prediction AS pre_predicted"))
+def q_strategy_two_signal(spark, d):
+    return _strategy("two_signal", spark, d)
+
+
+@register("strategy_self_check", _BANK_SQL + """,
+sq AS (SELECT bid AS qid, nl AS question, table_id, code, answer FROM dbank)"""
+          + G.sparse_pairs_sql("sq", "qid", "question", "dbank", "bid", "nl", extra_cols=_TIE_COLS) + _ranked_of("pairs")
+          + _code_prompt_sql("sq", ", q.code, q.answer"))
+def q_strategy_self_check(spark, d):
+    return _strategy("self_check", spark, d)
+
+
+@register("strategy_agent_rows", _with(roles.QUESTIONS_SQL, roles.CONV_ROWS_SQL) + """,
+body AS (SELECT q.qid AS own, q.qid || '#' || r.row_idx AS rk, r.row_idx, r.row_text, r.header_text
+         FROM questions q JOIN conv_rows r USING (table_id))"""
+          + G.sparse_pairs_sql("questions", "qid", "question", "body", "rk", "row_text",
+                               extra_cols=", bb.row_text, bb.row_idx, bb.header_text", join_on="bb.own = qq.qid") + f""",
+top AS (SELECT *, row_number() OVER (PARTITION BY qk ORDER BY round(sim, 6) DESC, row_idx) AS rn FROM pairs),
+sel AS (SELECT qk AS qid, max(header_text) || '| ' || chr(10) || ' |' ||
+               string_agg(row_text, '| ' || chr(10) || ' |' ORDER BY rn) AS text FROM top WHERE rn <= 5 GROUP BY qk)
+SELECT q.qid, {lit_sql(P.AGENT_HEAD)} || coalesce(sel.text, '') || {lit_sql(P.AGENT_QUESTION)} || q.question AS prompt
+FROM questions q LEFT JOIN sel USING (qid)""")
+def q_strategy_agent_rows(spark, d):
+    return _strategy("agent", spark, d, row_selection=True)
+
+
 @register("prompt_agent_template", _with(roles.QUESTIONS_SQL, roles.CONV_ROWS_SQL,
                                          RENDER_SQL.format(name="fullt", rows=1 << 30)) + f"""
 SELECT q.qid, {lit_sql(P.AGENT_HEAD)} || coalesce(t.text, '') || {lit_sql(P.AGENT_QUESTION)} || q.question AS prompt
