@@ -1028,7 +1028,7 @@ FROM lab GROUP BY user_id""")
 def q_stream_progress_counts(spark, d):
     """The execution log (derived from ``events``) arrives as several appended
     files; the stream folds them into per-run counts."""
-    from tessera.streaming.progress import start_progress
+    from tessera.streaming.progress import current, start_progress
     base = _scratch(spark, "stream")
     log_dir, out_dir, ckpt = f"{base}/log", f"{base}/out", f"{base}/ckpt"
     logs = _event_labels(spark, d).select(F.col("user_id").alias("run"), F.col("event_id").alias("seq"),
@@ -1037,7 +1037,7 @@ def q_stream_progress_counts(spark, d):
     logs.write.mode("overwrite").json(log_dir)
     q = start_progress(spark, log_dir, out_dir, ckpt, available_now=True, max_files_per_trigger=1000)
     q.awaitTermination()
-    return spark.read.parquet(out_dir)
+    return current(spark, out_dir)
 
 
 # ====================================================================== optional (commented in the source)

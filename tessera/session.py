@@ -33,10 +33,6 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     )
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    if master and master.startswith("local"):
-        # Single machine: text tables cost much CPU per byte, so smaller input
-        # splits keep every core busy. A cluster keeps its deployment's value.
-        b = b.config("spark.sql.files.maxPartitionBytes", "4m")
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)

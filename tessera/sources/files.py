@@ -1,13 +1,14 @@
 """Readers and writers of question sets, example banks, prompts and logs.
 
 Every reader takes an explicit schema (no inference pass over the data).
-JSON arrays (one array per file, as small hand-made banks are stored) are
+Question sets are written one record per line, so they split per block. JSON arrays (one array per file, as small hand-made banks are stored) are
 read with ``multiLine``; at scale write JSON lines, which split per block.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 QUESTION_SCHEMA = T.StructType([
@@ -36,14 +37,42 @@ RESULT_SCHEMA = T.StructType([
 
 
 def read_questions_tsv(spark: SparkSession, path: str, schema: T.StructType = QUESTION_SCHEMA) -> DataFrame:
-    """Tab-separated question set with a header line (quoted fields may hold
-    newlines, so records can span lines)."""
+    """Tab-separated question set with a header line, as written below: a record
+    is a line (``\\n``, ``\\t``, ``\\r`` and ``\\\\`` are escapes), so large files split."""
+    raw = (spark.read.schema(schema).option("sep", "\t").option("header", True)
+           .option("quote", '"').option("escape", '"').csv(path))
+    return raw.select(*[_unescape(c).alias(c) for c in raw.columns])
+
+
+def read_quoted_tsv(spark: SparkSession, path: str, schema: T.StructType = QUESTION_SCHEMA) -> DataFrame:
+    """A foreign file whose quoted fields hold line ends: records span lines, so
+    each file is one task."""
     return (spark.read.schema(schema).option("sep", "\t").option("header", True)
             .option("multiLine", True).option("quote", '"').option("escape", '"').csv(path))
 
 
+_ESCAPES = (("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r"))
+
+
+def _escape(c: str) -> F.Column:
+    out = F.replace(F.col(c), F.lit("\\"), F.lit("\\\\"))
+    for char, mark in _ESCAPES:
+        out = F.replace(out, F.lit(char), F.lit(mark))
+    return out
+
+
+def _unescape(c: str) -> F.Column:
+    def plain(part):
+        for char, mark in _ESCAPES:
+            part = F.replace(part, F.lit(mark), F.lit(char))
+        return part
+
+    return F.array_join(F.transform(F.split(F.col(c), r"\\\\", -1), plain), "\\")
+
+
 def write_questions_tsv(df: DataFrame, path: str) -> None:
-    (df.write.mode("overwrite").option("sep", "\t").option("header", True)
+    """One record per line; line ends, tabs and backslashes are escaped."""
+    (df.select(*[_escape(c).alias(c) for c in df.columns]).write.mode("overwrite").option("sep", "\t").option("header", True)
        .option("quote", '"').option("escape", '"').csv(path))
 
 

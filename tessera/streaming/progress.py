@@ -3,9 +3,11 @@
 The source appends one result line per executed prediction and prints the
 1 / 0 / -1 counts as it goes. Here the log directory is a file stream:
 each new file is labelled against its gold answer and folded into per-run
-counts kept in Spark's state store; every micro-batch rewrites the current
-counts to a table in the shared folder (``foreachBatch``), so nothing is
-collected to the driver and a restarted query resumes from its checkpoint.
+counts kept in Spark's state store; every micro-batch writes the runs that
+changed to its own part of a table in the shared folder (``foreachBatch``). A
+part is never rewritten by a later batch and a repeated batch writes the same
+part again, so readers see whole batches and a restarted query resumes from
+its checkpoint. ``current`` reads the latest counts of each run.
 """
 
 from __future__ import annotations
@@ -45,9 +47,16 @@ def start_progress(spark: SparkSession, log_dir: str, out_dir: str, checkpoint:
     counts = labelled_counts(reader.json(log_dir))
 
     def publish(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out_dir)
+        batch.write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch}")
 
-    w = (counts.writeStream.outputMode("complete").foreachBatch(publish)
+    w = (counts.writeStream.outputMode("update").foreachBatch(publish)
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
+
+
+def current(spark: SparkSession, out_dir: str) -> DataFrame:
+    """Latest counts of each run from the parts written so far."""
+    cols = ["n_items", "c1", "c0", "cerr"]
+    last = spark.read.parquet(out_dir).groupBy("run").agg(F.max_by(F.struct(*cols), "epoch").alias("last"))
+    return last.select("run", "last.*")

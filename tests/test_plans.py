@@ -47,7 +47,7 @@ def test_streaming_progress_counts(spark):
     import os
 
     from tessera.session import scratch_path
-    from tessera.streaming.progress import start_progress
+    from tessera.streaming.progress import current, start_progress
 
     base = scratch_path(spark, "stream-test")
     local = base[len("file:"):] if base.startswith("file:") else base
@@ -63,5 +63,5 @@ def test_streaming_progress_counts(spark):
             f.write("\n".join(json.dumps(r) for r in part))
     q = start_progress(spark, base + "/log", base + "/out", base + "/ckpt", max_files_per_trigger=1)
     q.awaitTermination()
-    got = {r.run: (r.n_items, r.c1, r.c0, r.cerr) for r in spark.read.parquet(base + "/out").collect()}
+    got = {r.run: (r.n_items, r.c1, r.c0, r.cerr) for r in current(spark, base + "/out").collect()}
     assert got == {1: (3, 2, 0, 1), 2: (1, 0, 1, 0)}

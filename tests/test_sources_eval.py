@@ -55,8 +55,8 @@ def test_bank_json_array_file(spark):
 
 
 def test_questions_tsv_round_trip_with_newlines(spark):
-    q = spark.createDataFrame([("1", "a\tb\nc", "csv/1.csv", "x"), ("2", 'say "hi"', "csv/2.csv", None)],
-                              files.QUESTION_SCHEMA)
+    q = spark.createDataFrame([("1", "a\tb\nc", "csv/1.csv", "x"), ("2", 'say "hi"', "csv/2.csv", None),
+                               ("3", "back\\\\slash \\n not a line\r", "c", "\\")], files.QUESTION_SCHEMA)
     path = scratch_path(spark, "qtsv")
     files.write_questions_tsv(q, path)
     back = files.read_questions_tsv(spark, path)
