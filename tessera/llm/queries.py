@@ -17,7 +17,8 @@ def piece_model() -> str:
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    found = decontaminate.contamination(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    return found.drop("items")
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,8 +91,9 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
-    own = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")],
-                                "conv_id long, turn long, role string, text string")
+    own = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     return chat.digests(chat.format_conversations(given.unionByName(own)))
 
 
@@ -152,7 +154,7 @@ _OP1_SQL = """
     items AS (SELECT r, count(*) AS n_items, list(item ORDER BY item) AS items
               FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
     SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-           coalesce(items, []) AS items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
+           sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
            n_hit IS NOT NULL AS contaminated
     FROM own LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
