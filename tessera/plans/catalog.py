@@ -1011,6 +1011,46 @@ def q_prompt_post_answer(spark, d):
                                 "bid")
 
 
+_RESULT_SQL = "CASE conv_id % 3 WHEN 0 THEN answer WHEN 1 THEN 'Traceback (most recent call last): x' ELSE 'other' END"
+_RECORDS_SQL = f"""strict AS (
+  SELECT rid, CASE WHEN contains(code_strict, '```python')
+                   THEN replace(replace(code_strict, '```python', ''), '```', '') ELSE code_strict END AS code FROM ai),
+records AS (
+  SELECT b.bid, b.table_id, replace(array_to_string(list_filter(string_split({strip_sql('s.code')}, chr(10)),
+                                    lambda l: NOT contains(l, 'Output')), chr(10)), chr(10), '@@@') AS code,
+         b.question, 'ask ' || b.bid AS prompt, b.answer, {_RESULT_SQL} AS prediction,
+         CASE WHEN answer = ({_RESULT_SQL}) THEN 1 WHEN contains({_RESULT_SQL}, 'Traceback') THEN -1 ELSE 0 END AS correct,
+         r.reply
+  FROM bank b LEFT JOIN replies r ON r.rid = b.bid LEFT JOIN strict s ON s.rid = b.bid)"""
+
+
+def _records(spark, d):
+    from tessera.operators.bank import bank_records
+    b = roles.bank(spark, d).withColumn("prompt", F.concat(F.lit("ask "), F.col("bid")))
+    third = F.col("conv_id") % 3
+    results = b.select("bid", F.when(third == 0, F.col("answer"))
+                       .when(third == 1, "Traceback (most recent call last): x").otherwise("other").alias("prediction"))
+    return bank_records(b, roles.replies(spark, d).withColumnRenamed("rid", "bid"), results, "bid")
+
+
+@register("bank_builder", _with(roles.BANK_SQL, roles.REPLIES_SQL, AI_SQL, _RECORDS_SQL) + " SELECT * FROM records")
+def q_bank_builder(spark, d):
+    """Replies -> code -> outcome -> bank records."""
+    return _records(spark, d)
+
+
+@register("second_pass", _with(roles.BANK_SQL, roles.REPLIES_SQL, AI_SQL, _RECORDS_SQL, roles.CONV_ROWS_SQL,
+                               RENDER_SQL.format(name="fullt", rows=TABLE_BUDGET), budget_sql("tb", "fullt")) + f"""
+SELECT bid, {lit_sql(P.POST_HEAD)} || coalesce(tb.text, '') || {lit_sql(P.POST_QUESTION)} || r.question
+       || {lit_sql(P.POST_CODE)} || coalesce(replace(r.code, '@@@', chr(10)), '') || {lit_sql(P.POST_RESULT)}
+       || coalesce(r.prediction, '') || {lit_sql(P.POST_TAIL)} AS prompt
+FROM records r LEFT JOIN tb USING (table_id) WHERE correct <> 1""")
+def q_second_pass(spark, d):
+    """Bank records that aren't right, asked again with their code and its result."""
+    from tessera.operators.bank import second_pass
+    return second_pass(_records(spark, d), strategies.tables(spark, d), "bid")
+
+
 @register("prompt_history_fold", """
 SELECT conv_id, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY turn) AS prompt, count(*) AS n_turns
 FROM conversations GROUP BY conv_id""")
