@@ -35,6 +35,8 @@ SPACE = "▁"
 _NONE = np.iinfo(np.int32).max
 #: Words of more characters merge through a heap; the ids are the same.
 LONG = 512
+#: Characters of a text that are encoded at once.
+PART_CHARS = 1 << 22
 
 
 class PieceModel:
@@ -307,6 +309,16 @@ class PieceModel:
         return every.take(pa.array(_ranges(begin, counts))), counts
 
     def encode_texts(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text. A very long text goes in parts, so that memory stays bounded."""
+        if not (pc.max(pc.utf8_length(texts)).as_py() or 0) > PART_CHARS:
+            return self._encode(texts)
+        out = []
+        for text in texts.to_pylist():
+            parts = [self._encode(pa.array([p], pa.large_string()))[0] for p in parts_of(text)]
+            out.append(np.concatenate(parts))
+        return out
+
+    def _encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text; every distinct word is encoded once."""
         words, counts = self._words(texts)
         coded = words.dictionary_encode()
@@ -349,6 +361,20 @@ class PieceModel:
         return text[1:] if ids and self.surface.get(ids[0], b"")[:1] == b" " and self.plain[ids[0]] is not None else text
 
 
+def parts_of(text: str) -> list[str]:
+    """A text cut at single spaces, which go: the space before a text stands for each."""
+    out, at = [], 0
+    while len(text) - at > PART_CHARS:
+        k = text.find(" ", at + PART_CHARS)
+        while k >= 0 and (text[k - 1] in (" ", SPACE) or text[k + 1:k + 2] in ("", " ", SPACE)):
+            k = text.find(" ", k + 1)
+        if k < 0:
+            break
+        out.append(text[at:k])
+        at = k + 1
+    return [*out, text[at:]]
+
+
 def _rows(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(values), np.uint8), np.concatenate([[0], np.cumsum([len(v) for v in values])])
 
