@@ -15,7 +15,7 @@ each candidate pair lies in some family. Then
 2. connected components of those links label the members;
 3. what may be missed are pairs of different labels inside a family. Members
    outside the family's largest label meet all its members, in tasks of at most
-   ``BLOCK`` x ``BLOCK`` texts; signatures further apart than 31 are skipped,
+   ``BLOCK`` x ``BLOCK`` texts, fewer if they are long; signatures further apart than 31 are skipped,
    all others are compared on the full sets;
 4. the links of 1 and 3 give the components.
 
@@ -40,7 +40,8 @@ from tessera.llm.common import map_slices, write_stage
 from tessera.llm.shingles import LANE, SYMBOLS, set_key, shingle_sets, signature
 
 MAX_DISTANCE = 31  # symbols
-BLOCK = 256  # texts on a side of a block task
+BLOCK = 256  # texts on a side of a block task, on average
+BLOCK_SHINGLES = 1 << 22  # shingles on a side, on average: long texts make more blocks
 BROADCAST_IDS = 1 << 22  # ids that are broadcast, once counted, to pick texts; more are joined by a shuffle
 _PER_LONG = 4
 _MASKS = [~(((1 << LANE) - 1) << (LANE * k)) for k in range(_PER_LONG)]
@@ -70,14 +71,16 @@ def index_keys(sig) -> F.Column:
 
 
 def families(classes: DataFrame) -> DataFrame:
-    """(hub, rep): who shares a key with a bucket's hub, the hub itself included."""
+    """(hub, rep, size): who shares a key with a bucket's hub, the hub itself included, and its shingles."""
     members = classes.select("rep", F.explode(index_keys("sig")).alias("key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # written, so that the joins read plain tables and a hot key or hub can be split
+    shared = write_stage(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-keys")
     multi = write_stage(members.join(shared, "key"), "near-multi")
     central = multi.groupBy("rep").agg(F.sum("n").alias("central"))
     ranked = multi.join(central, "rep").select("key", "rep", "central")
     hubs = ranked.groupBy("key").agg(F.max_by("rep", F.struct("central", F.xxhash64("rep"), "rep")).alias("hub"))
-    return multi.join(hubs, "key").select("hub", "rep").distinct()
+    hubs = write_stage(hubs, "near-hubs")
+    return multi.join(hubs, "key").select("hub", "rep").distinct().join(classes.select("rep", "size"), "rep")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -193,13 +196,13 @@ def held_type(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
 
-def _blocks(count) -> F.Column:
-    return F.ceil(F.col(count) / F.lit(BLOCK)).cast("int")
+def _blocks(count, shingles) -> F.Column:
+    return F.greatest(F.ceil(count / F.lit(BLOCK)), F.ceil(shingles / F.lit(BLOCK_SHINGLES))).cast("int")
 
 
 def star_links(family: DataFrame, texts: DataFrame) -> DataFrame:
     """Links of members with their hub."""
-    sizes = family.groupBy("hub").agg(_blocks_of("*"))
+    sizes = write_stage(family.groupBy("hub").agg(_blocks(F.count("*"), F.sum("size")).alias("blocks")), "near-sizes")
     rows = family.where("hub <> rep").join(sizes, "hub").select(
         "hub", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("i"), "rep",
         F.lit(False).alias("as_left"), F.lit(True).alias("as_right"))
@@ -209,19 +212,16 @@ def star_links(family: DataFrame, texts: DataFrame) -> DataFrame:
     return _block_tasks(rows.join(texts, "rep"), True)
 
 
-def _blocks_of(what) -> F.Column:
-    return F.ceil(F.count(what) / F.lit(BLOCK)).cast("int").alias("blocks")
-
-
 def cross_links(family: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
     """Links inside families between members whose labels differ so far."""
     named = (family.where("hub <> rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
              .withColumn("label", F.coalesce("label", "rep")))
-    by_label = named.groupBy("hub", "label").agg(F.count("*").alias("n"))
-    top = (by_label.groupBy("hub").agg(F.count("*").alias("labels"), F.sum("n").alias("all"), F.max("n").alias("most"),
-                                       F.max_by("label", F.struct("n", "label")).alias("main")).where("labels > 1"))
-    top = top.select("hub", "main", _blocks("all").alias("right_blocks"),
-                     F.ceil((F.col("all") - F.col("most")) / F.lit(BLOCK)).cast("int").alias("left_blocks"))
+    by_label = named.groupBy("hub", "label").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    top = by_label.groupBy("hub").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.sum("size").alias("size"),
+                                      F.max(F.struct("n", "label", "size")).alias("main")).where("labels > 1")
+    top = top.select("hub", F.col("main.label").alias("main"), _blocks(F.col("n"), F.col("size")).alias("right_blocks"),
+                     _blocks(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")).alias("left_blocks"))
+    top = write_stage(top, "near-top")
     rows = named.join(top, "hub").withColumn("other", F.col("label") != F.col("main")).withColumn("h", F.xxhash64("rep"))
     i, j = (F.pmod("h", F.col(c)).cast("int") for c in ("left_blocks", "right_blocks"))
     task = lambda a, b, left, right: F.struct(a.alias("i"), b.alias("j"), F.lit(left).alias("as_left"), F.lit(right).alias("as_right"))
@@ -240,7 +240,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     sigs = write_stage(signatures(documents, id_col, text_col), "near-signatures")
     classes = write_stage(
         sigs.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2")
-        .agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")), "near-classes")
+        .agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"), F.min("n_shingles").alias("size")), "near-classes")
     family = write_stage(families(classes), "near-families")
     involved = family.select("rep").distinct()
     if family.count() <= BROADCAST_IDS:  # else the texts are shuffled by id
@@ -262,6 +262,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     final = final.unionByName(alone)
     named = classes.join(final, classes["rep"] == final["node"], "left").select(
         "h1", "h2", "rep", F.coalesce("component", "rep").alias("component"))
+    named = write_stage(named, "near-named")
     out = sigs.drop("sig").join(named, ["h1", "h2"], "left")
     none = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     component = F.when(none, F.col("doc_id")).otherwise(F.col("component"))
