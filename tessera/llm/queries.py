@@ -31,9 +31,9 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = rules.statistics(read(spark, sf_dir, "documents", "doc_id", "text"))
-    learned = rules.train(stats, read(spark, sf_dir, "labels"))
-    return stats.withColumn("rule", rules.matched(learned)).withColumn("kept", rules.verdict(learned))
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    learned = rules.train(docs, read(spark, sf_dir, "labels"))
+    return rules.statistics(docs).withColumn("rule", rules.matched(learned)).withColumn("kept", rules.verdict(learned))
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -177,12 +177,16 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, ids: list, min_precision: f
     return rules
 
 
-def train(stats: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> list[Rule]:
-    """Rules for labelled rows of low quality that pass the base rule."""
+def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+          max_train: int = MAX_TRAIN) -> list[Rule]:
+    """Rules for labelled documents of low quality that pass the base rule; only those texts are counted."""
     marked = (labels.where("doc_id is not null and quality is not null").groupBy("doc_id")
               .agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train))
+    marked = F.broadcast(marked)  # max_train rows of two numbers
+    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    stats = statistics(docs.join(marked, "doc_id", "left_semi"))
     features = [F.expr(e).alias(n) for n, e in FEATURES.items()]
-    rows = (stats.where("not base_failed").join(F.broadcast(marked), "doc_id")  # max_train rows of two numbers
+    rows = (stats.where("not base_failed").join(marked, "doc_id")
             .select("doc_id", "quality", *features).toPandas().sort_values(["doc_id", *FEATURES]))
     if rows.empty:
         return []

@@ -209,10 +209,10 @@ def test_decision_list_finds_planted_conjunctions(spark):
 
 def test_rules_on_odd_rows(spark, odd, empty, documents):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
-    learned = rules.train(rules.statistics(documents), labels)
+    learned = rules.train(documents, labels)
     out = rows_of(rules.statistics(odd).withColumn("kept", rules.verdict(learned)))
     assert len(out) == len(ODD) and not any(r["kept"] for r in out if r["n_words"] < 50)
-    assert rules.train(rules.statistics(empty), labels) == [] and rules.statistics(empty).count() == 0
+    assert rules.train(empty, labels) == [] and rules.statistics(empty).count() == 0
 
 
 # -- 5: near duplicates ------------------------------------------------------
@@ -335,6 +335,15 @@ def test_ids_and_decoding_equal_the_library(spark, documents):
         assert model.decode(ids) == library.decode(ids)
 
 
+def test_long_texts_in_parts_have_the_same_ids(monkeypatch):
+    model, rng = pieces.model(queries.piece_model()), random.Random(5)
+    texts = ["".join(rng.choices(["a", "the", " ", "  ", "\n", "▁", " x", "é "], k=200)) for _ in range(200)]
+    whole = [i.tolist() for i in model.encode_texts(pa.array(texts))]
+    monkeypatch.setattr(pieces, "PART_CHARS", 7)
+    assert [i.tolist() for i in model.encode_texts(pa.array(texts))] == whole
+    assert max(len(pieces.parts_of(t)) for t in texts) > 5
+
+
 def test_pieces_of_odd_rows(spark, odd, empty):
     out = {r["doc_id"]: r for r in rows_of(pieces.encode_decode(odd, queries.piece_model(), with_output=True))}
     assert out[1]["n_tokens"] == 0 and out[1]["ids_sha256"] == out[2]["decoded_sha256"] == sha("")
