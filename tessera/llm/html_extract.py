@@ -9,8 +9,9 @@ boilerplate is near 1, an article's own text 0. The importance of a node is one
 less the mean entropy of its contents; presentation alone (the same menu frame
 on all pages) adds no importance. Hosts with few pages can't show what they
 repeat, so the same figures are also taken over the tree of all hosts, and a
-node has the lesser of both. Nodes under ``LOW`` are removed from each page with
-all that is below them.
+node has the lesser of both. From each page the own text of the nodes under
+``LOW`` is removed. A node below them is judged by its own contents: a wrapper
+that repeats a line does not take its article along.
 
 Marks of HTML itself go first, because a single page suffices for them: an
 element that says what it is (``nav``, ``footer``, ``form``, class ``ad``,
@@ -179,14 +180,13 @@ def main_text(page: str, removed: frozenset[str] = frozenset()) -> tuple[str, in
     """The text kept and the number of blocks removed; ``removed`` are low-importance paths of the site."""
     found, _ = blocks(page)
     article = any(b.content for b in found)
-    low = lambda path: any(path == r or path.startswith(r + "/") for r in removed)
     kept = []
     for b in found:
         if b.noise or (article and not b.content):
             continue
         # prose inside an article is its text, whatever copies of the page the site has
         inner = _ARTICLE.search(b.path)
-        if removed and not (inner and not _PROSE.sub("", inner[1])) and low(b.path):
+        if b.path in removed and not (inner and not _PROSE.sub("", inner[1])):
             continue
         kept.append(b.text)
     return " ".join(kept), len(found) - len(kept)

@@ -163,6 +163,22 @@ def test_tree_removes_what_a_site_repeats(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def extracted(spark, rows):
+    pages = spark.createDataFrame([(k, url, page) for k, (url, page, _) in enumerate(rows)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in rows_of(html_extract.extract(pages))} == {k: want for k, (_, _, want) in enumerate(rows)}
+
+
+def test_a_wrapper_that_repeats_a_line_keeps_what_is_below_it(spark):
+    own = lambda k: f"own sentence number {k} of its page"
+    rows = []
+    for k in range(8):
+        rows.append(("http://wrap.example/x", f"<body><div class=post><span>Posted by Staff</span><p>{own(k)}</p></div></body>", own(k)))
+        rows.append(("http://body.example/x", f"<body>Welcome to us<p>{own(k)}</p></body>", own(k)))
+        rows.append(("http://part.example/x", f"<body><article><div class=lead>By Staff<div class=rest>{own(k)}</div></div></article></body>", own(k)))
+        rows.append(("http://ids.example/x", f"<body><div class=post>By Staff<div id=post{k}><p>{own(k)}</p></div></div></body>", own(k)))
+    extracted(spark, rows)
+
+
 def test_extraction_joins_the_removed_paths_when_they_are_many(spark, monkeypatch):
     pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html")
     small = {r["page_id"]: r["text"] for r in rows_of(html_extract.extract(pages))}
