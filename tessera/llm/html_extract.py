@@ -7,20 +7,25 @@ distinct sequences of child elements (its presentation styles). A content that
 occurs in k of m pages has the entropy ``log k / log m`` over the pages: shared
 boilerplate is near 1, an article's own text 0. The importance of a node is one
 less the mean entropy of its contents; presentation alone (the same menu frame
-on all pages) adds no importance. Hosts with few pages can't show what they
-repeat, so the same figures are also taken over the tree of all hosts, and a
-node has the lesser of both. From each page the own text of the nodes under
+on all pages) adds no importance. From each page the own text of the nodes under
 ``LOW`` is removed. A node below them is judged by its own contents: a wrapper
 that repeats a line does not take its article along.
 
+Pages of a host with the same nodes and texts are copies and count once. Hosts
+with fewer than ``MIN_PAGES`` distinct pages can't show what they repeat, so they
+are judged by the tree of all hosts: there each host has the weight 1 and a page
+that several hosts have belongs to the first of them, so neither a large host nor
+mirrors decide for others.
+
 Marks of HTML itself go first, because a single page suffices for them: an
 element that says what it is (``nav``, ``footer``, ``form``, class ``ad``,
 ``comments`` ...) is removed, and where a page has an article (``article``,
 ``main``), its prose is what is kept; the tree decides about all else.
 
-Scale: two passes over the pages. The first emits, per page, (host, path,
-content hash) rows that are aggregated map-side, so a host with a third of all
-pages is no hot task. The second reads a page with the removed paths of its
+Scale: two passes over the pages. The first emits one row of (path, content hash)
+lists per page; copies are dropped by a hash of the lists, map-side first, and
+what remains is aggregated map-side by (host, path, content hash), so a host with
+a third of all pages is no hot task. The second reads a page with the removed paths of its
 host; they are broadcast if a count shows they are small, else joined by host.
 
 Defined cases: null or empty html has the empty text; a null url is the host
@@ -199,7 +204,7 @@ def _site(url) -> F.Column:
 def style_trees(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(site, path, pages, styles, importance) of every node of every site's tree.
 
-    The importance is the lesser of the site's own and that of the path in the tree of all sites.
+    ``pages`` are distinct pages. A site of fewer than MIN_PAGES has the importance of the tree of all sites.
     """
     rows = pages.select(_site(F.col(url_col)).alias("site"), F.col(html_col).cast("string").alias("html"))
 
@@ -209,39 +214,51 @@ def style_trees(pages: DataFrame, url_col: str = "url", html_col: str = "html")
         name = lambda t: xxhash.xxh64_intdigest(t) - (1 << 63)
         for batch in batches:
             for part in slices(batch):
-                sites, paths, kinds, values = [], [], [], []
-                for site, page in zip(part.column(0).to_pylist(), str_texts(part.column(1))):
+                keys, paths, kinds, values = [], [], [], []
+                for page in str_texts(part.column(1)):
                     found, styles = blocks(page)
-                    own = ({(b.path, 1, name(b.text)) for b in found} | {(b.path, 0, 0) for b in found}
-                           | {(p, 2, name(s)) for p, s in styles.items()})
-                    for path, kind, value in sorted(own):
-                        sites.append(site)
-                        paths.append(path)
-                        kinds.append(kind)
-                        values.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(sites, pa.string()), pa.array(paths, pa.string()),
-                                                  pa.array(kinds, pa.int32()), pa.array(values, pa.int64())],
-                                                 ["site", "path", "kind", "value"])
+                    own = sorted({(b.path, 1, name(b.text)) for b in found} | {(b.path, 0, 0) for b in found}
+                                 | {(p, 2, name(s)) for p, s in styles.items()})
+                    keys.append(xxhash.xxh128_digest(repr(own)))
+                    paths.append([p for p, _, _ in own])
+                    kinds.append([k for _, k, _ in own])
+                    values.append([v for _, _, v in own])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(keys, pa.binary()), pa.array(paths, pa.list_(pa.string())),
+                     pa.array(kinds, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.int64()))],
+                    ["site", "page", "path", "kind", "value"])
 
     # kind 0: the node occurs in the page; 1: a content of it; 2: a style of it
-    seen = rows.mapInArrow(run, "site string, path string, kind int, value long")
-    counts = write_stage(seen.groupBy("site", "path", "kind", "value").agg(F.count("*").alias("k")), "site-trees")
-    every = counts.groupBy("path", "kind", "value").agg(F.sum("k").alias("k"))
+    seen = rows.mapInArrow(run, "site string, page binary, path array<string>, kind array<int>, value array<long>")
+    own = write_stage(seen.where(F.array_contains("kind", 0)).dropDuplicates(["site", "page"]), "site-pages")
+    shared = own.groupBy("page").agg(F.min("site").alias("owner"), F.count("*").alias("sites")).where("sites > 1")
+    nodes = own.join(shared, "page", "left").select(
+        "site", (F.col("site") == F.coalesce("owner", "site")).cast("int").alias("owned"),
+        F.inline(F.arrays_zip("path", "kind", "value")))
+    counts = write_stage(nodes.groupBy("site", "path", "kind", "value")
+                         .agg(F.count("*").cast("double").alias("k"), F.sum("owned").alias("owned")), "site-trees")
+
+    # each site has the weight 1 at a node: a content that all pages of one site have counts 1
+    weights = counts.where("kind = 0 and owned > 0").select("site", "path", F.col("owned").alias("m"))
+    every = (counts.where("owned > 0").join(weights, ["site", "path"]).groupBy("path", "kind", "value")
+             .agg(F.sum(F.when(F.col("kind") == 0, 1.0).otherwise(F.col("owned") / F.col("m"))).alias("k")))
     site = _importance(counts, "site", "path")
     whole = _importance(every, "path").select("path", F.col("importance").alias("whole"))
-    return site.join(whole, "path").select("site", "path", "pages", "styles",
-                                           F.least("importance", "whole").alias("importance"))
+    few = own.groupBy("site").agg(F.count("*").alias("n")).where(F.col("n") < MIN_PAGES).select("site", F.lit(True).alias("few"))
+    return site.join(few, "site", "left").join(whole, "path", "left").select(
+        "site", "path", "pages", "styles",
+        F.when(F.col("few"), F.coalesce("whole", F.lit(1.0))).otherwise(F.col("importance")).alias("importance"))
 
 
 def _importance(counts: DataFrame, *node: str) -> DataFrame:
     """One less the mean entropy of a node's contents: log k / log pages for one that k pages have."""
     tree = counts.groupBy(*node).agg(
         F.max(F.when(F.col("kind") == 0, F.col("k"))).alias("pages"),
-        F.sum(F.when(F.col("kind") == 1, F.col("k") * F.log(F.col("k").cast("double")))).alias("shared"),
+        F.sum(F.when(F.col("kind") == 1, F.col("k") * F.log(F.greatest("k", F.lit(1.0))))).alias("shared"),
         F.sum(F.when(F.col("kind") == 1, F.col("k"))).alias("contents"),
         F.count(F.when(F.col("kind") == 2, True)).alias("styles")).where("pages is not null")
-    entropy = F.col("shared") / F.col("contents") / F.log(F.col("pages").cast("double"))
-    return tree.select(*node, "pages", "styles",
+    entropy = F.col("shared") / F.col("contents") / F.log("pages")
+    return tree.select(*node, F.col("pages").cast("long").alias("pages"), "styles",
                        F.when(F.col("pages") < MIN_PAGES, 1.0).otherwise(1.0 - entropy).alias("importance"))
 
 

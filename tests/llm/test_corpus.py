@@ -179,6 +179,23 @@ def test_a_wrapper_that_repeats_a_line_keeps_what_is_below_it(spark):
     extracted(spark, rows)
 
 
+def test_copies_of_a_page_are_no_boilerplate(spark):
+    page = lambda t: f"<body><div class=text><p>{t}</p></div></body>"
+    rows = [("http://copies.example/x", page("one text in four rows"), "one text in four rows")] * 4
+    rows += [("http://half.example/x", page("half of the rows"), "half of the rows")] * 20
+    rows += [("http://half.example/x", page(f"own text {k}"), f"own text {k}") for k in range(20)]
+    mirror = "<body><section id=only><p>mirrored</p></section></body>"
+    rows += [(f"http://mirror{k}.example/x", mirror, "mirrored") for k in range(6)]
+    extracted(spark, rows)
+
+
+def test_a_large_host_does_not_decide_for_others_and_small_hosts_share_a_tree(spark):
+    rows = [("http://big.example/x", f"<html><body><p>Terms of use</p><p>All rights</p><div>big {k}</div></body></html>", f"big {k}") for k in range(60)]
+    rows += [(f"http://s{k % 15}.example/x", f"<html><body><p>article {k}</p></body></html>", f"article {k}") for k in range(30)]
+    rows += [(f"http://t{k}.example/x", f"<html><body><ul class=legal><li>Imprint</ul><p>text {k}</p></body></html>", f"text {k}") for k in range(9)]
+    extracted(spark, rows)
+
+
 def test_extraction_joins_the_removed_paths_when_they_are_many(spark, monkeypatch):
     pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html")
     small = {r["page_id"]: r["text"] for r in rows_of(html_extract.extract(pages))}
