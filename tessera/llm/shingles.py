@@ -54,7 +54,9 @@ def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
     rolled = hashes.copy()
     with np.errstate(over="ignore"):
         for k in range(1, size):  # a window that begins at each word
-            rolled[:len(hashes) - k] = rolled[:len(hashes) - k] * _B + hashes[k:] if len(hashes) > k else rolled[:0]
+            if len(hashes) <= k:
+                break
+            rolled[:len(hashes) - k] = rolled[:len(hashes) - k] * _B + hashes[k:]
         rolled = _mix(rolled)
         for n in counts.tolist():
             if n >= size:

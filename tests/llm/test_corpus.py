@@ -319,6 +319,15 @@ def test_near_duplicates_of_odd_rows(spark, odd, empty):
     assert near_dup.deduplicate(odd).columns == odd.columns
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 4])
+def test_near_duplicates_of_a_table_with_one_short_text(spark, n):
+    text = " ".join(["one", "two", "three", "four"][:n])
+    out = rows_of(near_dup.near_duplicates(spark.createDataFrame([(1, text)], DOCS)))
+    assert [(r["doc_id"], r["component_id"], r["kept"]) for r in out] == [(1, 1, True)]
+    alone, among = shingle_sets(pa.array([text, None])), shingle_sets(pa.array([text, "more words in the same slice"]))
+    assert len(alone[0]) == 1 and alone[0].tolist() == among[0].tolist() and len(alone[1]) == 0
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (7, 7)], "a long, b long")
     labels = {r["node"]: r["label"] for r in near_dup.components(links).collect()}
