@@ -7,9 +7,12 @@ non-overlapping per kind, with matches under a least length dropped.
 credential context (``password is ...``, ``pwd: ...``) is cut by dynamic
 programming into words, dates, repeats, keyboard walks and brute-force
 characters so that the sum of log2 guesses is least. A value whose cheapest
-segmentation still costs ``min_bits`` is a secret (kind ``guess``), unless it
-overlaps a base span. Values are taken whole, whatever their length; each step
-of the program looks at spans of bounded length only, so it is linear.
+segmentation still costs ``min_bits`` is a secret (kind ``guess``), unless a base
+span holds all of it. A value that goes on behind a base span is one secret to its
+end, whatever its cost; base spans stay as they are. Only after ``is`` must a value
+have two kinds of characters: elsewhere a bare word is no prose. Values are taken
+whole, whatever their length (in quotes to the closing one); each step of the
+program looks at spans of bounded length only, so it is linear.
 
 Spans are code points, end exclusive. Defined cases: null and empty texts have
 no spans; repeated rows each give a row; an empty table gives no rows.
@@ -33,8 +36,8 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # a whole run or nothing, so the same as dropping short runs
 _CONTEXT = re.compile(
-    r"""(?<![A-Za-z0-9])(?:password|passwd|passphrase|pwd|secret|token|api[_ -]?key|access[_ -]?key|"""
-    r"""credentials?)["']?\s{0,3}(?:[:=]>?|=>|is\b)\s{0,3}["'`]?([^\s"'`<>]{6,})""", re.IGNORECASE | re.ASCII)
+    r"""(?:password|passwd|passphrase|pwd|secret|token|api[_ -]?key|access[_ -]?key|"""  # whatever stands before: dbPassword
+    r"""credentials?)["']?\s{0,3}([:=]>?|=>|is\b)\s{0,3}(["'`]?)([^\s"'`<>]{6,})""", re.IGNORECASE | re.ASCII)
 _NAMES = ("pass", "pwd", "secret", "token", "key", "credential")
 MIN_BITS = 36.0
 
@@ -146,11 +149,14 @@ def scan(text: str, min_bits: float = MIN_BITS) -> list[tuple[int, int, int, int
         found.append((m.start(), 2, m.end(), m.start()))
     base = sorted(found)
     for m in _CONTEXT.finditer(text) if named else ():
-        value = m.group(1).rstrip(".,;:!?)]}")
-        start, end = m.start(1), m.start(1) + len(value)
-        if len(value) < 6 or not _mixed(value) or any(s < end and start < e for s, _, e, _ in base):
+        joint, quote, value = m.groups()
+        if not (quote and text.startswith(quote, m.end())):
+            value = value.rstrip(".,;:!?)]}")
+        start, end = m.start(3), m.start(3) + len(value)
+        if len(value) < 6 or any(s <= start and end <= e for s, _, e, _ in base):
             continue
-        if guess_bits(value) >= min_bits:
+        beyond = any(s <= start < e for s, _, e, _ in base)
+        if beyond or (_mixed(value) or joint.lower() != "is") and guess_bits(value) >= min_bits:
             found.append((start, 3, end, start))
     return sorted(found)
 

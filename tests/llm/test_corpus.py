@@ -483,6 +483,17 @@ def test_context_values_add_spans_and_base_spans_stay():
     assert secrets.scan("the password is required and the token is here") == []
 
 
+@pytest.mark.parametrize("text, masked", [
+    ('password = "Tr0ub4dorhorse!Xy9#Q" ok', 'password = "[SECRET]" ok'), ('password = "Tr0ub4dorhorse!" ok', 'password = "[SECRET]" ok'),
+    ("password=aaaaaaaaaaaa!aa, ok", "password=[SECRET], ok"), ("pwd: 84719305627184.", "pwd: [SECRET]."),
+    ("passphrase: xkqzjvwpytrb", "passphrase: [SECRET]"), ('dbPassword = "x9$Kq!2zW"', 'dbPassword = "[SECRET]"'),
+    ("clientSecret: q$7Lm!x2Zr", "clientSecret: [SECRET]"), ("the password is xkqzjvwpytrb", "the password is xkqzjvwpytrb"),
+    ('token = "0123456789abcdef0123"', 'token = "[SECRET]"')])
+def test_every_context_value_is_scored_and_masked_to_its_end(text, masked):
+    assert secrets.redact_text(text) == masked and secrets.redact_text(masked) == masked
+    assert [s[:3] for s in secrets.scan(text) if s[1] < 3] == brute_base(text)
+
+
 def test_secrets_of_odd_rows(spark, odd, empty):
     out = rows_of(secrets.secret_spans(odd))
     assert len(out) == len(ODD) and [r["spans"] for r in out if r["doc_id"] == 1] == [""]
