@@ -52,7 +52,8 @@ def str_texts(column: pa.Array) -> list[str]:
     return [v or "" for v in column.to_pylist()]
 
 
-def map_slices(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def map_slices(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str,
+               limit: int = SLICE_BYTES) -> DataFrame:
     """``mapInArrow`` with bounded slices; the text is the second column of ``df``.
 
     Runs where the rows lie: no shuffle, one pass, and a lost executor only
@@ -60,7 +61,7 @@ def map_slices(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch]
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=limit):
                 yield kernel(part)
 
     return df.mapInArrow(run, schema)

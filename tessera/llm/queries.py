@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, html_extract, near_dup, pieces, quality, rules, secrets, token_counts, url_filter
+from tessera.llm import chat, decontaminate, html_extract, near_dup, pieces, quality, rules, runs, secrets, token_counts, url_filter
 from tessera.llm.common import read
 
 
@@ -97,9 +97,34 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(given.unionByName(own)))
 
 
+_WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
+
+
+def planted_repeats(documents: DataFrame) -> DataFrame:
+    """doc_id and text; a tenth of the documents, by a hash of the id, repeat a stretch of their words up to the end.
+
+    A null id has no hash: its text stays as it is.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    own = documents.select("doc_id", F.col("text").cast("string").alias("text"), h.alias("h"),
+                           (h / 10).cast("long").alias("g"))
+    words = F.when(F.col("h") % 10 == 0, F.filter(F.split("text", _WORD_SPLIT), lambda w: w != ""))
+    own = own.withColumn("words", words).withColumn("n", F.size("words"))
+    start = F.expr("g % greatest(n, 1)").cast("int")
+    own = own.withColumn("a", start).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)").cast("int"))
+    again = F.expr("array_join(transform(sequence(0, n - 1), i -> words[if(i < a, i, a + (i - a) % p)]), ' ')")
+    return own.select("doc_id", F.when(F.col("n") > 0, again).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = planted_repeats(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return runs.run_digests(runs.periodic_runs(docs))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_quality_classifier, op3_html_extraction, op4_quality_rules, op5_near_duplicates,
-    op6_url_filters, op7_sentencepiece, op8_token_counts, op9_secret_scan, op10_chat_format)}
+    op6_url_filters, op7_sentencepiece, op8_token_counts, op9_secret_scan, op10_chat_format,
+    op13_periodic_runs)}
 
 
 def _op10_sql() -> str:
@@ -192,4 +217,35 @@ _OP6_SQL = """
     FROM given g LEFT JOIN active a ON g.page_id = a.page_id AND g.url = a.url AND g.day = a.day
 """
 
-ORACLES = {"op1_decontamination": _OP1_SQL, "op6_url_filters": _OP6_SQL, "op10_chat_format": _op10_sql()}
+_OP13_SQL = """
+    WITH own AS (
+      SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+             xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ord(c)::BIGINT)),
+               lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), list_transform(range(8), lambda k: 0::BIGINT)),
+                 lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)), 4294967295) AS h
+      FROM documents),
+    sized AS (SELECT *, len(w) AS n, (h // 10) % greatest(len(w), 1) AS a FROM own),
+    planted AS (
+      SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n),
+               lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END])
+             ELSE w END AS w FROM sized),
+    word AS (SELECT r, n, unnest(w) AS v, unnest(range(0, n)) AS i FROM planted),
+    same AS (SELECT x.r, x.i, y.i - x.i AS q FROM word x JOIN word y ON x.r = y.r AND x.v = y.v AND y.i > x.i
+             AND 4 * (y.i - x.i) <= x.n),
+    island AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS g FROM same),
+    stretch AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM island GROUP BY r, q, g
+                HAVING count(*) + q >= greatest(6, 4 * q)),
+    run AS (SELECT r, start, length, min(q) AS period FROM stretch GROUP BY r, start, length),
+    listed AS (
+      SELECT r, count(*) AS n_runs, min({'a': -length, 'start': start, 'period': period}) AS best,
+             string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+      FROM run GROUP BY r),
+    gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM run),
+    kept AS (SELECT r, string_agg(v, ' ' ORDER BY i) AS text FROM word ANTI JOIN gone USING (r, i) GROUP BY r)
+    SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, -best.a AS length, best.period AS period,
+           -1000 * best.a // best.period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+           sha256(coalesce(kept.text, '')) AS collapsed_sha256
+    FROM planted LEFT JOIN listed USING (r) LEFT JOIN kept USING (r)
+"""
+
+ORACLES = {"op13_periodic_runs": _OP13_SQL, "op1_decontamination": _OP1_SQL, "op6_url_filters": _OP6_SQL, "op10_chat_format": _op10_sql()}
