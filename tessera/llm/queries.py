@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, html_extract, near_dup, pieces, quality, rules, runs, secrets, token_counts, url_filter
+from tessera.llm import chat, decontaminate, html_extract, near_dup, packing, pieces, quality, rules, runs, secrets, token_counts, url_filter, whitening
 from tessera.llm.common import read
 
 
@@ -97,6 +97,19 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(given.unionByName(own)))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(
+        read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = whitening.whole_vectors(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    return whitening.whiten_all(vectors)
+
+
 _WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
 
 
@@ -124,7 +137,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_quality_classifier, op3_html_extraction, op4_quality_rules, op5_near_duplicates,
     op6_url_filters, op7_sentencepiece, op8_token_counts, op9_secret_scan, op10_chat_format,
-    op13_periodic_runs)}
+    op11_best_fit_packing, op12_embedding_whitening, op13_periodic_runs)}
 
 
 def _op10_sql() -> str:
