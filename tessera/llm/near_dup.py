@@ -1,6 +1,7 @@
 """Near duplicates: a multi-index Hamming join of b-bit MinHash signatures.
 
-Rows with equal shingle sets are one class, named by its least id. A class has
+Rows with equal shingle sets are one class, which has a number of its own and a
+least id. A class has
 a signature of 64 MinHash symbols of 15 bits, in 16 chunks of 4. Two signatures
 that differ in at most 31 symbols have a chunk with at most one error
 (31 < 16 * 2, pigeonhole), so each chunk is indexed four times with one symbol
@@ -25,8 +26,12 @@ tasks carry texts (they compress, shingle hashes don't) and rebuild the sets.
 
 Defined cases: a null or empty text has no shingles, is its own component and
 kept; a null id is linked with nothing: its component is null and it is kept;
-rows that share an id are one node; repeated rows each give a row; an empty
-table gives no rows.
+repeated rows each give a row; an empty table gives no rows; ids may be of any
+type that can be ordered; extra columns are not read, whatever their names; a
+very long text is one set, and a side of a block task alone. Rows that share an
+id are one node of ``component_id``, so an id with several texts connects all
+that is near to one of them. ``deduplicate`` looks at (id, class) instead: a row
+goes only if a near copy of its own text stays.
 """
 
 from __future__ import annotations
@@ -35,8 +40,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tessera.llm.common import map_slices, write_stage
+from tessera.llm.common import map_slices, slices, write_stage
 from tessera.llm.shingles import LANE, SYMBOLS, set_key, shingle_sets, signature
 
 MAX_DISTANCE = 31  # symbols
@@ -166,13 +172,12 @@ def block_links(reps: list, texts: list[str], labels: list, left: list[bool], ri
 
 def _block_tasks(rows: DataFrame, hub_only: bool) -> DataFrame:
     """Runs ``block_links`` on the rows of each (hub, i, j); a task holds one group at a time."""
-    kind = rows.schema["rep"].dataType.simpleString()
     names = ["hub", "i", "j", "rep", "label", "as_left", "as_right", "text"]
 
     def run(batches):
         held, key = [], None
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (r for part in slices(batch, names.index("text")) for r in part.to_pylist()):
                 own = (row["hub"], row["i"], row["j"])
                 if own != key and held:
                     yield from finish(held)
@@ -186,14 +191,10 @@ def _block_tasks(rows: DataFrame, hub_only: bool) -> DataFrame:
         links = block_links(*([r[c] for r in held] for c in ("rep", "text", "label", "as_left", "as_right")), hub_only)
         if links:
             a, b = zip(*links)
-            yield pa.RecordBatch.from_arrays([pa.array(a, held_type(kind)), pa.array(b, held_type(kind))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     ordered = rows.select(*names).repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
-    return ordered.mapInArrow(run, f"a {kind}, b {kind}")
-
-
-def held_type(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    return ordered.mapInArrow(run, "a long, b long")
 
 
 def _blocks(count, shingles) -> F.Column:
@@ -235,55 +236,133 @@ def cross_links(family: DataFrame, labels: DataFrame, texts: DataFrame) -> DataF
     return _block_tasks(rows.join(texts, "rep"), False)
 
 
-def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document row: doc_id, n_shingles, class_id, component_id, kept."""
-    sigs = write_stage(signatures(documents, id_col, text_col), "near-signatures")
-    classes = write_stage(
-        sigs.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2")
-        .agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"), F.min("n_shingles").alias("size")), "near-classes")
+def set_names(documents: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows as they are, with the 128-bit name of their shingle set (``_h1``, ``_h2``)."""
+    field = documents.columns.index(text_col)
+    names = [*documents.columns, "_h1", "_h2"]
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, field):
+                own = [set_key(s) for s in shingle_sets(part.column(field))]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array([a for a, _ in own], pa.int64()), pa.array([b for _, b in own], pa.int64())], names)
+
+    schema = StructType([*documents.schema.fields, StructField("_h1", LongType()), StructField("_h2", LongType())])
+    return documents.mapInArrow(run, schema)
+
+
+def class_texts(documents: DataFrame, classes: DataFrame, repeated: DataFrame, wanted: int) -> DataFrame:
+    """(rep, text): one text of each class, the text of its least id."""
+    own = F.broadcast(classes) if wanted <= BROADCAST_IDS else classes  # counted; else the texts are shuffled by id
+    single = own.join(repeated, own["least"] == repeated["doc_id"], "left_anti").select("rep", "least")
+    single = F.broadcast(single) if wanted <= BROADCAST_IDS else single
+    texts = documents.join(single, documents["doc_id"] == single["least"]).select("rep", "text")
+    if repeated.isEmpty():
+        return texts
+    # an id of several rows: the row of the class is known by its set
+    several = set_names(documents.join(repeated, "doc_id", "left_semi"))
+    several = several.groupBy("doc_id", "_h1", "_h2").agg(F.min("text").alias("text"))
+    several = several.join(classes, (several["doc_id"] == classes["least"]) & (several["_h1"] == classes["h1"])
+                           & (several["_h2"] == classes["h2"])).select("rep", "text")
+    return texts.unionByName(several)
+
+
+def linked_classes(documents: DataFrame, classes: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Connected components (node, label) of the classes that have a near copy, by links of their texts alone."""
     family = write_stage(families(classes), "near-families")
-    involved = family.select("rep").distinct()
-    if family.count() <= BROADCAST_IDS:  # else the texts are shuffled by id
-        involved = F.broadcast(involved)
-    texts = write_stage(documents.select(F.col(id_col).alias("rep"), F.col(text_col).cast("string").alias("text"))
-                        .join(involved, "rep", "left_semi"), "near-texts")
+    involved = classes.join(family.select("rep").distinct(), "rep", "left_semi").select("rep", "least", "h1", "h2")
+    involved = write_stage(involved, "near-involved")
+    texts = write_stage(class_texts(documents, involved, repeated, involved.count()), "near-texts")
     star = write_stage(star_links(family, texts), "near-star")
     labels = write_stage(components(star), "near-labels")
     cross = cross_links(family, labels, texts)
     # links between labels: the first components stay whole
+    return write_stage(joined_components(labels, cross), "near-components")
+
+
+def joined_components(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label) after further links (a, b): components of ``labels`` that they connect become one."""
     of = labels.select(F.col("node").alias("n"), F.col("label").alias("l"))
-    named = cross
+    named = links
     for c in ("a", "b"):
         named = (named.join(of, named[c] == of["n"], "left").withColumn(c, F.coalesce("l", c)).drop("n", "l"))
     more = components(named).select(F.col("node").alias("n"), F.col("label").alias("top"))
-    final = labels.join(more, labels["label"] == more["n"], "left").select(
-        "node", F.coalesce("top", "label").alias("component"))
-    alone = more.join(labels, more["n"] == labels["node"], "left_anti").select(F.col("n").alias("node"), F.col("top").alias("component"))
-    final = final.unionByName(alone)
-    named = classes.join(final, classes["rep"] == final["node"], "left").select(
-        "h1", "h2", "rep", F.coalesce("component", "rep").alias("component"))
-    named = write_stage(named, "near-named")
-    out = sigs.drop("sig").join(named, ["h1", "h2"], "left")
+    final = labels.join(more, labels["label"] == more["n"], "left").select("node", F.coalesce("top", "label").alias("label"))
+    alone = more.join(labels, more["n"] == labels["node"], "left_anti").select(F.col("n").alias("node"), F.col("top").alias("label"))
+    return final.unionByName(alone)
+
+
+def _least_ids(classes: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """(rep, name): the least (id, class) of each class's component, for classes that have one."""
+    named = classes.select("rep", "least").join(labels, classes["rep"] == labels["node"]).select("rep", "least", "label")
+    first = named.groupBy("label").agg(F.min(F.struct("least", "rep")).alias(name))
+    return named.join(first, "label").select("rep", name)
+
+
+def judged(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Written rows (doc_id, n_shingles, h1, h2, class_id, component_id, leader), and ids of several rows.
+
+    ``leader`` tells whether the row's text stays when near copies go: its id is
+    the least of those whose texts are connected with its own.
+    """
+    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    sigs = write_stage(signatures(docs), "near-signatures")
+    real = sigs.where("n_shingles > 0 and doc_id is not null")
+    classes = (real.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.min("sig").alias("sig"), F.min("n_shingles").alias("size"))
+               .withColumn("rep", F.monotonically_increasing_id()))
+    classes = write_stage(classes, "near-classes")  # the numbers hold, as they are read from here on
+    key = F.struct("h1", "h2")
+    ids = sigs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min(key).alias("a"), F.max(key).alias("b"))
+    ids = write_stage(ids.where("n > 1"), "near-repeated")
+    repeated, several = ids.select("doc_id"), ids.where("a <> b").select("doc_id")
+    labels = linked_classes(docs, classes, repeated)
+    nodes = labels
+    if not several.isEmpty():  # classes of one id are one node
+        own = real.join(several, "doc_id").select("doc_id", "h1", "h2").distinct()
+        own = write_stage(own.join(classes, ["h1", "h2"]).select("doc_id", "rep"), "near-several")
+        star = own.join(own.groupBy("doc_id").agg(F.min("rep").alias("b")), "doc_id").select(F.col("rep").alias("a"), "b")
+        nodes = write_stage(joined_components(labels, star), "near-nodes")
+    named = classes.select("h1", "h2", "rep", F.struct("least", "rep").alias("self"))
+    named = named.join(_least_ids(classes, nodes, "node"), "rep", "left").join(_least_ids(classes, labels, "text"), "rep", "left")
+    named = named.select("h1", "h2", "rep", F.col("self.least").alias("class_id"),
+                         F.coalesce("node.least", "self.least").alias("component"), F.coalesce("text", "self").alias("first"))
+    out = sigs.drop("sig").join(write_stage(named, "near-named"), ["h1", "h2"], "left")
     none = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
-    component = F.when(none, F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", F.when(none, F.col("doc_id")).otherwise(F.col("rep")).alias("class_id"),
-                      component.alias("component_id"),
-                      (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
+    leader = none | ((F.col("first.least") == F.col("doc_id")) & (F.col("first.rep") == F.col("rep")))
+    out = out.select("doc_id", "n_shingles", "h1", "h2", F.when(none, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+                     F.when(none, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), leader.alias("leader"))
+    return out, repeated
+
+
+def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document row: doc_id, n_shingles, component_id, kept, class_id."""
+    rows, _ = judged(documents, id_col, text_col)
+    return rows.select("doc_id", "n_shingles", "component_id",
+                       (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"), "class_id")
 
 
 def deduplicate(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents kept: one row of each group, all columns as they are.
+    """The documents kept: one row of each group of near copies, all columns as they are.
 
-    Of rows that repeat an id the least by content stays; rows without an id all stay.
+    Of equal texts with one id the row that is least by all columns stays; rows
+    without an id or without words all stay.
     """
-    near = write_stage(near_duplicates(documents, id_col, text_col), "near-result")
-    gone = near.where("not kept").select(F.col("doc_id").alias("_id")).distinct()
-    gone = F.broadcast(gone) if near.where("not kept").count() <= BROADCAST_IDS else gone  # else by a shuffle
+    rows, repeated = judged(documents, id_col, text_col)
+    near = write_stage(rows, "near-result")
+    followers = near.where("not leader")
+    gone = followers.join(repeated, "doc_id", "left_anti").select(F.col("doc_id").alias("_id"))
+    gone = F.broadcast(gone) if followers.count() <= BROADCAST_IDS else gone  # else by a shuffle
     left = documents.join(gone, documents[id_col] == gone["_id"], "left_anti")
-    twice = near.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n")).where("n > 1")
-    if twice.isEmpty():
+    if repeated.isEmpty():
         return left
-    single = left.join(twice, left[id_col] == twice["_id"], "left_anti")
-    several = left.join(twice, left[id_col] == twice["_id"], "left_semi")
-    one = several.groupBy(F.col(id_col).alias("_id")).agg(F.min(F.struct(*documents.columns)).alias("r")).select("r.*")
-    return single.unionByName(one)
+    repeated = repeated.select(F.col("doc_id").alias("_id"))
+    single = left.join(repeated, left[id_col] == repeated["_id"], "left_anti")
+    several = set_names(documents.join(repeated, documents[id_col] == repeated["_id"], "left_semi"), text_col)
+    stay = near.where("leader").select(F.col("doc_id").alias("_id"), F.col("h1").alias("_k1"), F.col("h2").alias("_k2"),
+                                       (F.col("n_shingles") == 0).alias("_none")).distinct()
+    several = several.join(stay, (several[id_col] == stay["_id"]) & (several["_h1"] == stay["_k1"]) & (several["_h2"] == stay["_k2"]))
+    bare = several.where("_none").select(*documents.columns)
+    one = (several.where("not _none").groupBy("_id", "_h1", "_h2")
+           .agg(F.min(F.struct(*documents.columns)).alias("_row")).select("_row.*"))
+    return single.unionByName(bare).unionByName(one)

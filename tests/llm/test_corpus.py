@@ -250,22 +250,32 @@ def test_rules_on_odd_rows(spark, odd, empty, documents):
 
 # -- 5: near duplicates ------------------------------------------------------
 
+def plain_shingles(text):
+    """The contract's sets, by Python's own strings."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", low(text))
+    return {tuple(words[k:k + 4]) for k in range(max(1, len(words) - 3))} if words else set()
+
+
+def brute_links(rows):
+    """Pairs of row numbers whose sets have a similarity of 0.8 or more."""
+    sets = [plain_shingles(t) for _, t in rows]
+    return [(k, j) for k, a in enumerate(sets) for j, b in enumerate(sets[:k])
+            if a and b and rows[k][0] is not None and rows[j][0] is not None
+            and 100 * len(a & b) >= 80 * len(a | b)]
+
+
 def brute_components(rows):
-    texts = [(i, s) for i, s in zip([r[0] for r in rows], shingle_sets(pa.array([r[1] for r in rows], pa.string())))]
-    parent = {i: i for i, _ in texts}
+    parent = {i: i for i, _ in rows if i is not None}
 
     def find(i):
         while parent[i] != i:
             i = parent[i]
         return i
 
-    for k, (i, a) in enumerate(texts):
-        for j, b in texts[:k]:
-            common = len(np.intersect1d(a, b))
-            if len(a) and len(b) and near_dup.linked(len(a), len(b), common):
-                x, y = sorted((find(i), find(j)))
-                parent[y] = x
-    return {i: find(i) for i, _ in texts}
+    for k, j in brute_links(rows):
+        x, y = sorted((find(rows[k][0]), find(rows[j][0])))
+        parent[y] = x
+    return {i: find(i) for i in parent}
 
 
 def test_near_duplicates_equal_brute_force(spark, monkeypatch):
@@ -287,6 +297,51 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     assert all(r["kept"] == (r["doc_id"] == want[r["doc_id"]]) for r in out)
 
 
+def test_near_duplicates_with_repeated_ids(spark):
+    rng = random.Random(29)
+    words = [f"W{k}" for k in range(500)] + ["Ünd", "x\u00a0y"]
+    text = lambda n: rng.choice([" ", "\t", "\n\r "]).join(rng.choices(words, k=n))
+    a, b = text(40), text(40)
+    rows = [(2, a), (5, a), (5, b), (7, b)]
+    for k in range(60):
+        base = rng.choice([a, b, text(30)])
+        rows.append((rng.randrange(10, 40), rng.choice([str.upper, str.lower, str])(base) + rng.choice(["", " end", "\n"])))
+    rows += [(50, None), (50, ""), (51, a + " end of it"), (51, a + " end of it"), (None, a), (52, "x"), (52, "X "), (52, "x y")]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, DOCS).repartition(5)
+    out = rows_of(near_dup.near_duplicates(df))
+    want = brute_components(rows)
+    assert len(out) == len(rows) and {r["doc_id"]: r["component_id"] for r in out} == {None: None, **want}
+    assert want[7] == 2 and all(r["n_shingles"] in {len(plain_shingles(t)) for i, t in rows if i == r["doc_id"]} for r in out)
+    # rows are nodes: one row stays of each group of near copies
+    parent = list(range(len(rows)))
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for k, j in brute_links(rows):
+        parent[find(k)] = find(j)
+    groups = {}
+    for k, (i, t) in enumerate(rows):
+        if i is not None and plain_shingles(t):
+            groups.setdefault(find(k), []).append((i, t))
+    left = [tuple(r) for r in near_dup.deduplicate(df).collect()]
+    assert len(left) == len(groups) + sum(i is None or not plain_shingles(t) for i, t in rows)
+    for group in groups.values():
+        stays = [r for r in left if r in group and r[0] is not None]
+        assert len(stays) == 1 and stays[0][0] == min(i for i, _ in group)
+    four = spark.createDataFrame([(2, a), (5, a), (5, b), (7, b)], DOCS)
+    assert [r["component_id"] for r in rows_of(near_dup.near_duplicates(four))] == [2, 2, 2, 2]
+    assert sorted(tuple(r) for r in near_dup.deduplicate(four).collect()) == [(2, a), (5, b)]
+
+
+def test_near_duplicates_of_other_id_types(spark):
+    df = spark.createDataFrame([(1.5, "a b c d e"), (0.5, "A b c d e"), (7.0, "z")], "doc_id decimal(9,1), text string".replace("decimal(9,1)", "double"))
+    assert sorted((r["doc_id"], r["component_id"]) for r in near_dup.near_duplicates(df).collect()) == [(0.5, 0.5), (1.5, 0.5), (7.0, 7.0)]
+
+
 def test_every_signature_pair_within_the_distance_shares_a_key(spark):
     rng = np.random.default_rng(4)
     symbols = rng.integers(0, 1 << 15, (200, 64))
