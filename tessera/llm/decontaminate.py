@@ -13,14 +13,17 @@ texts advance together in numpy.
 
 Scale: the documents are read once and never shuffled. The pattern tables are
 built from a measured number of benchmark bytes: up to ``block_bytes`` they
-are one broadcast; a larger benchmark is cut into blocks by item, each block
-is one pass over the documents, and the hits of a text meet in one
-aggregation keyed by the text (nothing is dropped).
+are one broadcast (about eight times as many bytes: 46 a window and the texts);
+a larger benchmark is cut into blocks by a hash of its rows, each block is one
+pass over the documents, and the hits of a text meet in one aggregation keyed by
+the text (nothing is dropped). A single item text is never cut.
 
 Defined cases: a null or empty text has no words and no hits; a null item
 text has no windows; items that share an id count once; a null item id reads
 ``null``; repeated document rows each give a row; an empty documents table
-gives no rows, an empty benchmark no hits.
+gives no rows, an empty benchmark no hits; extra columns are not read, whatever
+their names; a very long text is searched whole, and of a very long window the
+first ``REACH`` bytes are in the tables and all are compared.
 """
 
 from __future__ import annotations
@@ -45,6 +48,25 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
+def _ranks(code: np.ndarray, n: int) -> np.ndarray:
+    """Equal numbers for equal windows of n codes, at each place (those that reach beyond the end mean nothing).
+
+    Windows of 1, 2, 4, ... codes are numbered in turn; n is the sum of some.
+    """
+    level, size = code, 1
+    out, reach = None, 0
+    while size <= n:
+        if n & size:
+            out, reach = (level, size) if out is None else (_pairs(out, level, reach), reach + size)
+        level, size = _pairs(level, level, size), 2 * size
+    return out
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, step: int) -> np.ndarray:
+    later = np.concatenate([b[step:], np.full(min(step, len(b)), -1)])
+    return np.unique(a * (int(b.max(initial=0)) + 2) + later + 1, return_inverse=True)[1]
+
+
 class WuManber:
     """Pattern tables over windows of the given items.
 
@@ -54,53 +76,74 @@ class WuManber:
 
     PAD = 8
     LANE = 256
+    REACH = 1024
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = 10):
-        buf, first, owners = bytearray(b"\0" * self.PAD), {}, []
         self.ids = sorted({i for i, _ in items})
         number = {i: k for k, i in enumerate(self.ids)}
-        offs, lens, n_words = [], [], []
+        buf, vocabulary, codes, counts, owner = bytearray(b"\0" * self.PAD), {}, [], [], []
+        begins = []
         for item_id, text in items:
             words = words_of(text)
             if not words:
                 continue
-            at = len(buf)
-            buf += b" " + b" ".join(words) + b" "
-            starts = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])]) + at
-            size = min(window, len(words))
-            for k in range(len(words) - size + 1):
-                lo, hi = int(starts[k]), int(starts[k + size]) + 1
-                key = bytes(buf[lo:hi])
-                p = first.get(key)
-                if p is None:
-                    p = first[key] = len(offs)
-                    offs.append(lo)
-                    lens.append(hi - lo)
-                    n_words.append(size)
-                    owners.append(set())
-                owners[p].add(number[item_id])
-            buf += b"\0"
+            begins.append(len(buf) + 1)
+            buf += b" " + b" ".join(words) + b" \0"
+            codes.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int64, len(words)))
+            counts.append(len(words))
+            owner.append(number[item_id])
         buf += b"\0" * self.PAD
         self.buf = bytes(buf)
-        self.off, self.len = np.array(offs, np.int64), np.array(lens, np.int64)
-        self.n_words = np.array(n_words, np.int64)
-        self.owners = [sorted(x) for x in owners]
+        size = np.fromiter((len(w) for w in vocabulary), np.int64, len(vocabulary))
+        code = np.concatenate(codes) if codes else np.zeros(0, np.int64)
+        counts, owner = np.array(counts, np.int64), np.array(owner, np.int64)
+        self._windows(code, counts, owner, np.array(begins, np.int64), size, window)
         # windows of few bytes would force short shifts on the others
         self.groups = [g for g in (np.flatnonzero(self.len < 16), np.flatnonzero(self.len >= 16)) if len(g)]
         self.tables = [self._table(g) for g in self.groups]
 
+    def _windows(self, code, counts, owner, begins, size, window: int) -> None:
+        """Distinct windows: offset and length in the buffer, words, and the items that have them."""
+        item = np.repeat(np.arange(len(counts)), counts)
+        first_word = np.cumsum(counts) - counts
+        place = np.arange(len(code)) - first_word[item]
+        step = size[code] + 1
+        before = np.cumsum(step) - step
+        start = begins[item] + before - before[first_word][item] if len(code) else np.zeros(0, np.int64)
+        off, length, words, owners, owned = [], [], [], [], 0
+        for n in sorted(set(np.minimum(counts, window).tolist())):
+            whole = counts >= window if n == window else counts == n
+            at = np.flatnonzero(whole[item] & (place + n <= counts[item]))
+            _, one, same = np.unique(_ranks(code, n)[at], return_index=True, return_inverse=True)
+            last = at[one] + n - 1
+            off.append(start[at[one]] - 1)
+            length.append(start[last] + step[last] - off[-1])
+            words.append(np.full(len(one), n))
+            owners.append(np.unique((same + owned) * (len(self.ids) + 1) + owner[item[at]]))
+            owned += len(one)
+        joined = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+        self.off, self.len, self.n_words = joined(off, np.int64), joined(length, np.int64), joined(words, np.int32)
+        pairs = joined(owners, np.int64)
+        self.owner = (pairs % (len(self.ids) + 1)).astype(np.int32)
+        self.owner_from = np.searchsorted(pairs // (len(self.ids) + 1), np.arange(owned + 1)).astype(np.int64)
+
+    def owners(self, patterns: np.ndarray) -> list[int]:
+        """Numbers of the items that have any of the windows."""
+        own = [self.owner[self.owner_from[p]:self.owner_from[p + 1]] for p in np.unique(patterns).tolist()]
+        return np.unique(np.concatenate(own)).tolist() if own else []
+
     @staticmethod
     def _view(buf: np.ndarray) -> np.ndarray:
         """The 8 bytes at every offset, as one number each."""
         return np.ndarray((max(0, len(buf) - 7),), "<u8", buf, 0, (1,))
 
     def _table(self, group: np.ndarray) -> dict:
-        m = int(self.len[group].min())
+        m = min(int(self.len[group].min()), self.REACH)  # only the first m bytes of a window are in the tables
         block = min(8, m)
         drop = np.uint64(8 * (8 - block))
         view = self._view(np.frombuffer(self.buf, np.uint8))
         off = self.off[group]
-        bits = int(np.clip(np.ceil(np.log2(len(group) * (m - block + 1) + 1)) + 4, 12, 24))
+        bits = int(np.clip(np.ceil(np.log2(len(group) * (m - block + 1) + 1)) + 4, 12, 22))
         down = np.uint64(64 - bits)
         shift = np.full(1 << bits, m - block + 1, np.uint16)
         for end in range(block, m + 1):  # the block that ends after `end` bytes
@@ -110,7 +153,7 @@ class WuManber:
         order = np.argsort(suffix, kind="stable")
         prefix = view[off] << drop  # the first `block` bytes
         return {"m": m, "drop": drop, "down": down, "shift": shift, "suffix": suffix[order],
-                "pattern": group[order], "prefix": prefix[order]}
+                "pattern": group[order].astype(np.int32), "prefix": prefix[order]}
 
     def find(self, hay: bytes) -> tuple[np.ndarray, np.ndarray]:
         """(start offset, pattern) of every occurrence. ``hay`` has PAD zero bytes at either end."""
@@ -168,18 +211,17 @@ class WuManber:
         hay += b"\0" * self.PAD
         hay = bytes(hay)
         at, pattern = self.find(hay)
-        hits: dict[int, tuple[set, set]] = {}
+        hits: dict[int, tuple[list, list]] = {}
         if len(at):
             order = np.lexsort((at,))
             at, pattern = at[order], pattern[order]
             doc = np.searchsorted(np.array(begin), at, "right") - 1
-            for d in np.unique(doc).tolist():
-                mine = doc == d
-                spaces = np.flatnonzero(np.frombuffer(hay, np.uint8)[begin[d]:int(at[mine].max()) + 1] == 32)
-                first = np.searchsorted(spaces, at[mine] - begin[d])
-                spans = set(zip(first.tolist(), self.n_words[pattern[mine]].tolist()))
-                items = {o for p in set(pattern[mine].tolist()) for o in self.owners[p]}
-                hits[d] = (sorted(spans), sorted(items))
+            found, first_hit = np.unique(doc, return_index=True)
+            for d, lo, hi in zip(found.tolist(), first_hit.tolist(), [*first_hit[1:].tolist(), len(doc)]):
+                spaces = np.flatnonzero(np.frombuffer(hay, np.uint8)[begin[d]:int(at[hi - 1]) + 1] == 32)
+                first = np.searchsorted(spaces, at[lo:hi] - begin[d])
+                spans = set(zip(first.tolist(), self.n_words[pattern[lo:hi]].tolist()))
+                hits[d] = (sorted(spans), self.owners(pattern[lo:hi]))
         return n_words, hits
 
 
@@ -203,7 +245,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-size // block_bytes))
     for b in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == b)
+        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b)
         yield n, b, [(r["item"], bytes(r["text"])) for r in part.collect()]
 
 
@@ -228,9 +270,10 @@ def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
                    F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")))
     # repeated rows of one text were counted; each is given back
     merged = merged.select("*", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("copy"))
-    hit = F.udf(lambda spans: covered([(s[0], s[1]) for s in spans]), "long")
+    covered_words = F.expr("""aggregate(array_sort(spans), named_struct('n', 0L, 'reach', 0L), (t, s) -> named_struct(
+        'n', t.n + greatest(0L, s.first + s.n - greatest(t.reach, s.first)), 'reach', greatest(t.reach, s.first + s.n)), t -> t.n)""")
     return merged.select(
-        "doc_id", "n_words", hit("spans").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items",
+        "doc_id", "n_words", covered_words.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items",
         F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"),
         (F.size("items") > 0).alias("contaminated"))
 

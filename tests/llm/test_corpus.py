@@ -105,6 +105,29 @@ def test_contamination_of_odd_rows(spark, odd, empty):
     assert kept.columns == odd.columns and kept.count() == len(ODD) - 2
 
 
+def test_long_items_and_many_hits():
+    rng = random.Random(8)
+    text = lambda n: " ".join(rng.choice(["aa", "b", "cc", "d" * 9]) for _ in range(n)).encode()
+    items = [("long", b"z" * 70_000), ("longer", b" ".join([b"y" * 80_000] * 12)), ("i", text(300)), ("j", text(40)), ("k", b"b cc")]
+    search = decontaminate.WuManber(items)
+    assert [t["m"] for t in search.tables][-1] <= 1024
+    docs = [b"x " + items[0][1] + b" y", items[1][1], b"y" * 80_000, text(5000), b"", b"b cc"] + [text(30) for _ in range(200)]
+    got = search.search(docs)
+    want = brute_contamination([(k, d.decode()) for k, d in enumerate(docs)], [(i, t.decode()) for i, t in items])
+    for k, row in enumerate(want):
+        spans, found = got[1].get(k, ([], []))
+        assert (got[0][k], decontaminate.covered(spans), len(found)) == row[1:4]
+
+
+def test_tables_stay_small():
+    rng = random.Random(9)
+    items = [(str(k), " ".join(f"w{rng.randrange(9000)}" for _ in range(2000)).encode()) for k in range(60)]
+    search = decontaminate.WuManber(items)
+    arrays = [search.off, search.len, search.n_words, search.owner, search.owner_from,
+              *(v for t in search.tables for k, v in t.items() if isinstance(v, np.ndarray) and k != "shift")]
+    assert sum(a.nbytes for a in arrays) <= 64 * len(search.off) and max(t["shift"].nbytes for t in search.tables) <= 8 << 20
+
+
 # -- 2: quality classifier ---------------------------------------------------
 
 def test_ordinal_model_orders_grades_on_held_out_rows(spark):
