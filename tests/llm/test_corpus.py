@@ -219,6 +219,67 @@ def test_a_large_host_does_not_decide_for_others_and_small_hosts_share_a_tree(sp
     extracted(spark, rows)
 
 
+def test_markup_that_never_closes_is_read_once():
+    import time
+
+    began = time.time()
+    for page in ("<b" * 200_000, '<a "' * 100_000, '<a =">"' * 50_000 + "'", '<a ="x>' * 50_001, "<p a='" * 50_000, "<div>" * 50_000,
+                 "<li><div>" * 30_000, "<" * 200_000 + ">", "<!--" * 50_000):
+        html_extract.main_text(page)
+    assert time.time() - began < 20
+    text = lambda page: html_extract.main_text(page)[0]
+    assert text("a < b <b") == "a < b <b" and text('x <a href="u>v">y</a> z') == "x y z" and text('<p a="b>c') == "c"
+
+
+def test_names_count_only_if_all_their_words_say_so():
+    page = ("<body><article><section class='related-work'>kept</section><div class='comment-list'>gone</div><div class=reply>answer</div>"
+            "<div class=related>gone</div><div class='has-sidebar'>body</div><div id='site-footer'>gone</div></article></body>")
+    assert html_extract.main_text(page)[0] == "kept answer body"
+
+
+def brute_importance(pages):
+    """(node, importance) of one host's distinct pages, from the definition."""
+    seen = [html_extract.blocks(p) for p in dict.fromkeys(pages)]
+    nodes = {}
+    for found, styles in seen:
+        for path in {b.path for b in found}:
+            node = nodes.setdefault(path, {"pages": 0, "texts": {}, "styles": {}})
+            node["pages"] += 1
+            for t in {b.text for b in found if b.path == path}:
+                node["texts"][t] = node["texts"].get(t, 0) + 1
+            if path in styles:
+                node["styles"][styles[path]] = node["styles"].get(styles[path], 0) + 1
+    out = {}
+    for path, node in nodes.items():
+        m = node["pages"]
+        if m < html_extract.MIN_PAGES:
+            out[path] = 1.0
+            continue
+        weights = list(node["texts"].values())
+        content = 1 - sum(k * np.log(k) for k in weights) / sum(weights) / np.log(m)
+        shares = np.array(list(node["styles"].values()) or [1.0])
+        shares = shares / shares.sum()
+        out[path] = html_extract.CONTENT * content + (1 - html_extract.CONTENT) * float(-(shares * np.log(shares)).sum() / np.log(m))
+    return out
+
+
+def test_tree_equals_its_definition_and_judges_articles(spark):
+    rng = random.Random(3)
+    pages = []
+    for k in range(12):
+        extra = "".join(f"<{t}>{rng.choice(['x', 'y', str(k)])}</{t}>" for t in rng.choices(["p", "ul", "pre"], k=rng.randint(0, 4)))
+        pages.append(f"<body><article><h1>Title {k}</h1><div class=byline>By our staff</div><p>text {k}<p>more {k}{extra}</article></body>")
+    pages = [p.replace(f"Title {k}", f"Title {k // 6}") for k, p in enumerate(pages)]  # titles that pages share
+    pages += pages[:3]
+    df = spark.createDataFrame([(k, "http://h.example/", p, "x") for k, p in enumerate(pages)], "page_id long, url string, html string, text string")
+    trees = html_extract.style_trees(df.select("url", "html"))
+    assert {r["path"]: round(r["importance"], 9) for r in trees.collect()} == {k: round(float(v), 9) for k, v in brute_importance(pages).items()}
+    low = {k for k, v in brute_importance(pages).items() if v < html_extract.LOW}
+    out = {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()}
+    assert out == {k: " ".join(b.text for b in html_extract.blocks(p)[0] if b.prose or b.path not in low) for k, p in enumerate(pages)}
+    assert all("staff" not in t and "Title" in t for t in out.values())
+
+
 def test_extraction_joins_the_removed_paths_when_they_are_many(spark, monkeypatch):
     pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html")
     small = {r["page_id"]: r["text"] for r in rows_of(html_extract.extract(pages))}
