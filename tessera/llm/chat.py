@@ -126,8 +126,12 @@ def format_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: st
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """Counts and digests of formatted conversations, all read back from them."""
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    """Counts and digests of formatted conversations, all read back from them; the loss is what lies under the mask."""
+    # cut by the mask out of the formatted text; four bytes a code point, so a cut costs what it takes
+    wide = F.encode("formatted", "UTF-32")
+    cut = lambda s: F.decode(F.substring(F.col("wide"), s["start"] * 4 + 1, (s["end"] - s["start"]) * 4), "UTF-32")
+    formatted = formatted.withColumn("wide", wide)
+    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(cut(s))), "")
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     sha = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
     return formatted.select(

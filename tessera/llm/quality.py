@@ -15,8 +15,10 @@ fixed size); nothing is shuffled.
 
 Defined cases: null and empty texts have no tokens and get the score 0; a
 document with several labels takes the lowest grade; labels with a null are not
-used; without labels of two grades every document is kept with a null score;
-repeated rows each give a row; an empty table gives no rows.
+used; without labels of two grades every document is kept with a null score; of
+rows that share a labelled id one is learned from; repeated rows each give a row;
+an empty table gives no rows; extra columns are kept by ``keep`` and not read
+otherwise, whatever their names; a very long text is scored whole.
 """
 
 from __future__ import annotations
@@ -140,7 +142,10 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
               .groupBy("id").agg(F.min("grade").alias("grade"))
               .orderBy(F.xxhash64("id"), "id").limit(max_train))
     texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    chosen = texts.join(F.broadcast(graded), "id").select("id", "text", "grade")  # max_train rows of two numbers
+    chosen = texts.join(F.broadcast(graded), "id")  # max_train rows of two numbers
+    # one text an id, that of the least hash, so that the bound holds for rows
+    chosen = (chosen.groupBy("id", "grade").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+              .select("id", "t.text", "grade"))
     id_type = chosen.schema["id"].dataType.simpleString()
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:

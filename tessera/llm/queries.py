@@ -33,7 +33,7 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     learned = rules.train(docs, read(spark, sf_dir, "labels"))
-    return rules.statistics(docs).withColumn("rule", rules.matched(learned)).withColumn("kept", rules.verdict(learned))
+    return rules.statistics(docs).withColumn("kept", rules.verdict(learned)).withColumn("rule", rules.matched(learned))
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,7 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Entries of the lists, by a hash of the pattern: (list, share of patterns, days listed).
 _LISTS = (("block", 3, 90), ("allow", 7, 45))
 _YEAR = 365
+_DEEPEST = 8
 
 
 def url_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,8 +55,9 @@ def url_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def url_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dated entries for hosts, their parent domains and path prefixes that the pages have."""
     found = read(spark, sf_dir, "pages", "url").where("url is not null").distinct()
+    upto = list(range(1, _DEEPEST + 1))  # labels of a host, segments of a path
     patterns = found.select(F.explode(url_filter.patterns_of(
-        url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url")))).alias("pattern")).distinct()
+        url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url")), upto, upto)).alias("pattern")).distinct()
     number = F.conv(F.substring(F.md5(F.encode("pattern", "UTF-8")), 1, 6), 16, 10).cast("int")
     parts = []
     for k, (name, share, days) in enumerate(_LISTS):
@@ -79,7 +81,8 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secret_spans(read(spark, sf_dir, "documents", "doc_id", "text"))
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return secrets.secret_spans(docs, letters=secrets.letter_costs(docs))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,7 +214,8 @@ _OP6_SQL = """
         list_transform(range(1, len(steps) + 1), lambda k: host || '/' || array_to_string(steps[:k], '/'))))) AS pattern
       FROM split WHERE host <> ''),
     pattern AS (
-      SELECT DISTINCT pattern, CAST('0x' || substr(md5(pattern), 1, 6) AS INTEGER) AS number FROM asked),
+      SELECT DISTINCT pattern, CAST('0x' || substr(md5(pattern), 1, 6) AS INTEGER) AS number FROM asked
+      WHERE len(string_split(pattern, '/')) <= 9 AND (contains(pattern, '/') OR len(string_split(pattern, '.')) <= 8)),
     entry AS (
       SELECT list, pattern, number % 365 + shift * days AS day, shift <> 1 AS listed
       FROM pattern JOIN (VALUES ('block', 3, 0, 90), ('allow', 7, 1, 45)) l(list, share, k, days) ON number % share = k,

@@ -18,8 +18,11 @@ hash of their id): eight numbers each come to the driver.
 
 Defined cases: null and empty texts have no words (and fail the base rule); a
 document with several labels takes the lowest; labels with a null are not used;
-without both classes the list is empty and keeps what passes the base rule;
-repeated rows each give a row; an empty table gives no rows.
+without both classes the list is empty and keeps what passes the base rule; of
+rows that share a labelled id one is learned from; repeated rows each give a row;
+an empty table gives no rows; extra columns are not read, whatever their names; a
+very long text is counted whole. A rule has at most ``MAX_CONDITIONS`` conditions
+and the list ``MAX_RULES`` rules.
 """
 
 from __future__ import annotations
@@ -37,6 +40,7 @@ from tessera.llm.common import byte_texts, map_slices
 from tessera.llm.shingles import _mix, word_hashes
 
 MAX_TRAIN = 20_000
+MAX_CONDITIONS, MAX_RULES = 6, 32  # length of a rule and of the list, so that they stay readable
 WINDOW = 3
 _SYMBOLS = b"#*$%&|<>"
 _NOT_CHARS = b"\x20\x09\x0a\x0b\x0c\x0d" + bytes(range(0x80, 0xC0))  # white space, and later bytes of a character
@@ -135,7 +139,7 @@ def _best_condition(x: dict, bad: np.ndarray, inside: np.ndarray) -> tuple[float
 
 def _grow(x: dict, bad: np.ndarray) -> Rule | None:
     conditions, inside = [], np.ones(len(bad), bool)
-    while len(conditions) < 6 and (found := _best_condition(x, bad, inside)):
+    while len(conditions) < MAX_CONDITIONS and (found := _best_condition(x, bad, inside)):
         conditions.append(found[1])
         inside &= Rule((found[1],)).covers(x)
     return Rule(tuple(conditions)) if conditions else None
@@ -156,7 +160,7 @@ def _prune(rule: Rule, x: dict, bad: np.ndarray) -> Rule:
 
 
 def learn(x: dict[str, np.ndarray], bad: np.ndarray, ids: list, min_precision: float = 0.8, min_cover: int = 3,
-          max_rules: int = 32) -> list[Rule]:
+          max_rules: int = MAX_RULES) -> list[Rule]:
     """An ordered decision list; rows are split into growing and pruning rows by a hash of their id."""
     bad = np.asarray(bad, bool)
     if not bad.any() or bad.all():
@@ -180,11 +184,13 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, ids: list, min_precision: f
 def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           max_train: int = MAX_TRAIN) -> list[Rule]:
     """Rules for labelled documents of low quality that pass the base rule; only those texts are counted."""
-    marked = (labels.where("doc_id is not null and quality is not null").groupBy("doc_id")
-              .agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train))
+    marked = (labels.select(F.col(id_col).alias("doc_id"), "quality").where("doc_id is not null and quality is not null")
+              .groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train))
     marked = F.broadcast(marked)  # max_train rows of two numbers
-    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    stats = statistics(docs.join(marked, "doc_id", "left_semi"))
+    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(marked, "doc_id", "left_semi")
+    # one text an id, that of the least hash, so that the bound holds for rows
+    docs = docs.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", "t.text")
+    stats = statistics(docs)
     features = [F.expr(e).alias(n) for n, e in FEATURES.items()]
     rows = (stats.where("not base_failed").join(marked, "doc_id")
             .select("doc_id", "quality", *features).toPandas().sort_values(["doc_id", *FEATURES]))

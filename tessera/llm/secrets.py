@@ -9,13 +9,17 @@ programming into words, dates, repeats, keyboard walks and brute-force
 characters so that the sum of log2 guesses is least. A value whose cheapest
 segmentation still costs ``min_bits`` is a secret (kind ``guess``), unless a base
 span holds all of it. A value that goes on behind a base span is one secret to its
-end, whatever its cost; base spans stay as they are. Only after ``is`` must a value
-have two kinds of characters: elsewhere a bare word is no prose. Values are taken
-whole, whatever their length (in quotes to the closing one); each step of the
-program looks at spans of bounded length only, so it is linear.
+end, whatever its cost; base spans stay as they are. A value that is one word of
+letters may be prose (``the password: something about ...``): it must also cost
+``WORD_BITS`` (``IS_BITS`` after ``is``) by the corpus's own letter pairs, which ``letter_costs`` counts over
+all documents (27 x 27 numbers), so words that read like the corpus pass up to
+some 15 letters and a random or joined word doesn't. Values are taken whole,
+whatever their length (in quotes to the closing one); each step of the program
+looks at spans of bounded length only, so it is linear.
 
 Spans are code points, end exclusive. Defined cases: null and empty texts have
-no spans; repeated rows each give a row; an empty table gives no rows.
+no spans; repeated rows each give a row; an empty table gives no rows; extra
+columns are kept by ``redact`` and not read otherwise, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,11 +28,12 @@ import hashlib
 import math
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_slices, slices, str_texts
+from tessera.llm.common import byte_texts, map_slices, slices, str_texts
 
 KINDS = ("assign", "access", "hex", "guess")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -37,9 +42,10 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # a whole run or nothing, so the same as dropping short runs
 _CONTEXT = re.compile(
     r"""(?:password|passwd|passphrase|pwd|secret|token|api[_ -]?key|access[_ -]?key|"""  # whatever stands before: dbPassword
-    r"""credentials?)["']?\s{0,3}([:=]>?|=>|is\b)\s{0,3}(["'`]?)([^\s"'`<>]{6,})""", re.IGNORECASE | re.ASCII)
+    r"""credentials?)["']?\s{0,3}([:=]>?|=>|is\b)\s{0,3}(["'`]?)([^\s"'`<>]+)""", re.IGNORECASE | re.ASCII)
 _NAMES = ("pass", "pwd", "secret", "token", "key", "credential")
 MIN_BITS = 36.0
+WORD_BITS, IS_BITS = 60.0, 80.0  # of a value that is one word of letters; of one after ``is``
 
 # Common password words, most guessed first.
 WORDS = (
@@ -129,13 +135,59 @@ def guess_bits(value: str) -> float:
     return segment(value)[0]
 
 
-def _mixed(value: str) -> bool:
-    """Two kinds of characters at least: a bare word after ``password is`` is prose."""
-    return (any(c.isdigit() for c in value) + any(c.isalpha() and c == c.lower() for c in value)
-            + any(c.isupper() for c in value) + any(not c.isalnum() for c in value)) >= 2
+def _pairs(raw: np.ndarray) -> np.ndarray:
+    """How often each letter (1-26 for a-z, 0 for all else) follows another."""
+    letter = raw | 0x20
+    code = np.where((letter >= 97) & (letter <= 122), letter - 96, 0).astype(np.int64)
+    return np.bincount(code[:-1] * 27 + code[1:], minlength=27 * 27)
 
 
-def scan(text: str, min_bits: float = MIN_BITS) -> list[tuple[int, int, int, int]]:
+def _pair_bits(count: np.ndarray) -> np.ndarray:
+    """The known words' pairs and some in equal shares are added; no letter costs more than log2(52)."""
+    known = _pairs(np.frombuffer((" " + " ".join(WORDS) + " ").encode(), np.uint8))
+    count = (count + 2 * known).reshape(27, 27).astype(float)
+    count[:, 0] = 0
+    share = (count + 0.5) / (count + 0.5).sum(1, keepdims=True)
+    return -np.log2(0.5 * share + 0.5 / 26)
+
+
+def letter_costs(documents: DataFrame, text_col: str = "text") -> np.ndarray:
+    """Bits of each letter (1-26 for a-z) after another (0: the begin of a word), counted over all texts."""
+    def run(batches):
+        total = np.zeros(27 * 27, np.int64)
+        for batch in batches:
+            for part in slices(batch, 0):
+                total += _pairs(np.frombuffer(b" " + b" ".join(byte_texts(part.column(0))) + b" ", np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(27 * 27)), pa.array(total)], ["pair", "n"])
+
+    texts = documents.select(F.col(text_col).cast("string").alias("text"))
+    found = texts.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()  # 729 numbers
+    count = np.zeros(27 * 27)
+    for r in found:
+        count[r["pair"]] = r["n"]
+    return _pair_bits(count)
+
+
+_KNOWN_WORDS = _pair_bits(np.zeros(27 * 27))
+
+
+def letter_bits(word: str, letters: np.ndarray | None = None) -> float:
+    """Bits of a word of letters a-z, letter after letter."""
+    code = [ord(c) - 96 for c in word.lower()]
+    costs = _KNOWN_WORDS if letters is None else letters
+    return float(sum(costs[a, b] for a, b in zip([0, *code], code)))
+
+
+_LETTERS = re.compile(r"[A-Za-z]?[a-z]*|[A-Z]*", re.ASCII)
+
+
+def is_secret(value: str, joint: str, min_bits: float, letters: np.ndarray | None) -> bool:
+    if _LETTERS.fullmatch(value) and letter_bits(value, letters) < (IS_BITS if joint.lower() == "is" else WORD_BITS):
+        return False
+    return guess_bits(value) >= min_bits
+
+
+def scan(text: str, min_bits: float = MIN_BITS, letters: np.ndarray | None = None) -> list[tuple[int, int, int, int]]:
     """(start, kind number, end, start of the secret value), sorted: by start, then kind as listed."""
     found, low = [], text.lower()
     named = any(word in low for word in _NAMES)  # a text without any of them has no context to look for
@@ -153,10 +205,10 @@ def scan(text: str, min_bits: float = MIN_BITS) -> list[tuple[int, int, int, int
         if not (quote and text.startswith(quote, m.end())):
             value = value.rstrip(".,;:!?)]}")
         start, end = m.start(3), m.start(3) + len(value)
-        if len(value) < 6 or any(s <= start and end <= e for s, _, e, _ in base):
+        if not value or any(s <= start and end <= e for s, _, e, _ in base):
             continue
         beyond = any(s <= start < e for s, _, e, _ in base)
-        if beyond or (_mixed(value) or joint.lower() != "is") and guess_bits(value) >= min_bits:
+        if beyond or is_secret(value, joint, min_bits, letters):
             found.append((start, 3, end, start))
     return sorted(found)
 
@@ -166,28 +218,31 @@ def _joined(spans) -> str:
 
 
 def secret_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 min_bits: float = MIN_BITS) -> DataFrame:
-    """One row per document row: counts of the base kinds, digest of the base spans, all spans."""
+                 min_bits: float = MIN_BITS, letters: np.ndarray | None = None) -> DataFrame:
+    """One row per document row: counts of the base kinds, digest of the base spans, all spans, count of ``guess``.
+
+    ``letters`` are the corpus's ``letter_costs``; without them those of ``WORDS`` are used.
+    """
     id_type = documents.schema[id_col].dataType.simpleString()
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [scan(t, min_bits) for t in str_texts(batch.column(1))]
+        rows = [scan(t, min_bits, letters) for t in str_texts(batch.column(1))]
         count = lambda kind: pa.array([sum(s[1] == kind for s in r) for r in rows], pa.int64())
         digest = [hashlib.sha256(_joined([s for s in r if s[1] < 3]).encode()).hexdigest() for r in rows]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), count(0), count(1), count(2), count(3), pa.array(digest, pa.string()),
-             pa.array([_joined(r) for r in rows], pa.string())],
-            ["doc_id", "n_assign", "n_access", "n_hex", "n_guess", "base_sha256", "spans"])
+            [batch.column(0), count(0), count(1), count(2), pa.array(digest, pa.string()),
+             pa.array([_joined(r) for r in rows], pa.string()), count(3)],
+            ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess"])
 
-    return map_slices(docs, kernel, f"doc_id {id_type}, n_assign long, n_access long, n_hex long, n_guess long, "
-                                    "base_sha256 string, spans string")
+    return map_slices(docs, kernel, f"doc_id {id_type}, n_assign long, n_access long, n_hex long, "
+                                    "base_sha256 string, spans string, n_guess long")
 
 
-def redact_text(text: str, mask: str = "[SECRET]", min_bits: float = MIN_BITS) -> str:
+def redact_text(text: str, mask: str = "[SECRET]", min_bits: float = MIN_BITS, letters: np.ndarray | None = None) -> str:
     """Every secret value replaced by ``mask``; overlapping values become one."""
     out, at = [], 0
-    for value, end in sorted((v, e) for _, _, e, v in scan(text, min_bits)):
+    for value, end in sorted((v, e) for _, _, e, v in scan(text, min_bits, letters)):
         if value >= at:
             out += [text[at:value], mask]
         at = max(at, end)
@@ -195,7 +250,7 @@ def redact_text(text: str, mask: str = "[SECRET]", min_bits: float = MIN_BITS) -
 
 
 def redact(documents: DataFrame, text_col: str = "text", count_col: str | None = "n_chars",
-           mask: str = "[SECRET]") -> DataFrame:
+           mask: str = "[SECRET]", letters: np.ndarray | None = None) -> DataFrame:
     """The documents with secrets masked (and their length column kept true); no row is dropped."""
     field = documents.columns.index(text_col)
 
@@ -203,7 +258,7 @@ def redact(documents: DataFrame, text_col: str = "text", count_col: str | None =
         for batch in batches:
             for part in slices(batch, field):
                 texts = part.column(field).to_pylist()
-                masked = pa.array([t and redact_text(t, mask) for t in texts], part.schema.field(field).type)
+                masked = pa.array([t and redact_text(t, mask, letters=letters) for t in texts], part.schema.field(field).type)
                 yield part.set_column(field, part.schema.field(field), masked)
 
     out = documents.mapInArrow(run, documents.schema)

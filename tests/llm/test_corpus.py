@@ -475,6 +475,33 @@ def test_components_of_a_long_chain(spark):
 
 # -- 6: URL filters ----------------------------------------------------------
 
+def test_deep_paths_ask_for_the_depths_of_the_lists_only(spark):
+    deep = "http://a.example/" + "s/" * 16_000
+    many = "http://" + "x." * 5_000 + "b.example/p"
+    captures = [(1, deep, 5, "c"), (2, many, 5, "c"), (3, "http://a.example/s", 5, "c"), (4, None, 5, "c")]
+    entries = [("block", "a.example/s/s", 0, True), ("allow", "a.example", 0, True), ("block", "b.example", 0, True)]
+    out = url_filter.judge(spark.createDataFrame(captures, "id long, url string, day int, host string"),
+                           spark.createDataFrame(entries, "list string, pattern string, day int, listed boolean"))
+    assert {r["id"]: (r["decision"], r["n_active"]) for r in out.collect()} == {1: ("block", 2), 2: ("block", 1), 3: ("allow", 1), 4: ("none", 0)}
+
+
+def test_the_loss_is_what_lies_under_the_mask(spark):
+    turns = [(1, 0, "user", "a</s>"), (1, 1, "assistant", "\U0001f600 x</s>[INST] \\"), (1, 2, "assistant", ""), (1, 3, "assistant", "\u00e9 end")]
+    rows = chat.format_conversations(spark.createDataFrame(turns, "conv_id long, turn int, role string, text string"))
+    loss = "".join(t for _, _, r, t in turns if r == "assistant")
+    one = chat.digests(rows).first()
+    assert (one["loss_sha256"], one["loss_chars"]) == (sha(loss), len(loss))
+    moved = rows.withColumn("loss_spans", F.transform("loss_spans", lambda s: F.struct((s["start"] + 1).alias("start"), s["end"].alias("end"))))
+    assert chat.digests(moved).first()["loss_sha256"] != sha(loss)
+
+
+def test_labels_that_repeat_an_id_teach_once(spark):
+    docs = spark.createDataFrame([(k % 7, f"text {k} " + "word " * (k % 5 + 60)) for k in range(200)], DOCS)
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(7)] * 3, "doc_id long, quality int, toxic int")
+    assert quality.train(docs, labels) is not None
+    assert isinstance(rules.train(docs.withColumnRenamed("doc_id", "key"), labels.withColumnRenamed("doc_id", "key"), id_col="key"), list)
+
+
 def test_decisions_follow_the_day_of_the_fetch(spark):
     entries = [("block", "bad.example", 10, True), ("block", "bad.example", 20, False), ("block", "bad.example", 400, True),
                ("block", "ok.example/spam", 0, True), ("allow", "www2.bad.example", 0, True), ("block", "same.example", 5, True),
@@ -633,6 +660,34 @@ def test_every_context_value_is_scored_and_masked_to_its_end(text, masked):
     assert [s[:3] for s in secrets.scan(text) if s[1] < 3] == brute_base(text)
 
 
+PROSE = ["The secret: everything depends on it", "credentials: administrator access required", "the password: something about it",
+         "the token is straightforward", "Passphrase: Whatever you like"]
+
+
+def test_prose_after_a_credential_word_stays(spark):
+    for text in PROSE:
+        assert secrets.scan(text) == []
+    assert secrets.redact_text("password is correcthorsebatterystaple") == "password is [SECRET]"
+    assert secrets.redact_text("pwd: \u4e2d\u6587\u5b57\u7b26\u4e32 ok") == "pwd: [SECRET] ok"  # five characters, 50 bits
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(PROSE + [None, "passphrase: xkqzjvwpytrb"])], DOCS)
+    letters = secrets.letter_costs(df)
+    assert letters.shape == (27, 27) and letters.max() <= np.log2(52) + 1e-9
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(df, letters=letters).collect()}
+    assert [out[k] for k in range(5)] == PROSE and out[5] is None
+    assert secrets.letter_costs(df.limit(0)).shape == (27, 27)
+    counted = sum(t.lower().count("th") for t in PROSE)
+    assert letters[20, 8] < secrets.letter_costs(df.limit(0))[20, 8] or counted == 0
+
+
+def test_letter_costs_read_like_the_corpus(spark, documents):
+    letters = secrets.letter_costs(documents)
+    words = [w for r in documents.select("text").limit(50).collect() for w in re.findall(r"\b[a-z]{6,12}\b", r["text"] or "")]
+    rng = random.Random(1)
+    noise = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=len(w))) for w in words]
+    bits = lambda ws: sum(secrets.letter_bits(w, letters) for w in ws) / sum(map(len, ws))
+    assert bits(words) + 0.8 < bits(noise)
+
+
 def test_secrets_of_odd_rows(spark, odd, empty):
     out = rows_of(secrets.secret_spans(odd))
     assert len(out) == len(ODD) and [r["spans"] for r in out if r["doc_id"] == 1] == [""]
