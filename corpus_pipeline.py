@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's ``docs``. All but the last return
 the columns of ``documents``.
+
+Defined cases of every stage: an empty table gives no rows; a null or empty text
+has no tokens, no copies, no passages and no secrets, so it stays unless the
+classifier rejects it, and has no ids at the end; rows without an id stay; rows
+that repeat an id are judged by their own text, and of equal ones the near-
+duplicate stage keeps one; very long texts are read whole; extra columns, whatever
+their names, go through all stages but the last.
 """
 
 from __future__ import annotations
@@ -36,7 +43,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secret values masked."""
     ship_package(spark)
-    return secrets.redact(docs)
+    return secrets.redact(docs, letters=secrets.letter_costs(docs))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
