@@ -32,12 +32,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.session import cut_lineage, ship_package
+from tessera.session import ship_package
 
 DEFAULT_BLOCK_ROWS = 2048
-DEFAULT_BLOCK_WEIGHT = 2_000_000  # tokens per block side for token-list kernels
+DEFAULT_BLOCK_WEIGHT = 2_000_000  # numbers per block side
 STAT_PREFIX = "#"
-PACK_MAX_GROUP_PAIRS = 65536  # larger groups of a pack are scored one by one
 
 
 # ---------------------------------------------------------------- kernels
@@ -75,126 +74,6 @@ def dense_cosine(qv: pd.Series, bv: pd.Series) -> np.ndarray:
     return out
 
 
-def _flat(tok_lists: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """Row index and token of every token of a column of token arrays."""
-    lens = np.fromiter((0 if t is None else len(t) for t in tok_lists), dtype=np.int64,
-                       count=len(tok_lists))
-    if lens.sum() == 0:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=object)
-    flat = np.concatenate([np.asarray(t, dtype=object) for t in tok_lists if t is not None and len(t)])
-    return np.repeat(np.arange(len(tok_lists)), lens), flat
-
-
-def _tf(rows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, token id, term frequency) from per-token rows and ids."""
-    if not len(rows):
-        e = np.zeros(0, dtype=np.int64)
-        return e, e, np.zeros(0)
-    pair = rows * (1 << 32) + ids
-    uniq, tf = np.unique(pair, return_counts=True)
-    return uniq >> 32, uniq & ((1 << 32) - 1), tf.astype(np.float64)
-
-
-def _postings_pair(qt: pd.Series, bt: pd.Series):
-    """Term-frequency postings of both sides over one shared vocabulary
-    (token ids from a single hash pass in C)."""
-    qrow, qflat = _flat(qt)
-    brow, bflat = _flat(bt)
-    ids, vocab = pd.factorize(np.concatenate([qflat, bflat]))
-    return (_tf(qrow, ids[:len(qflat)].astype(np.int64)), _tf(brow, ids[len(qflat):].astype(np.int64)),
-            len(vocab))
-
-
-def sparse_dot(qt: pd.Series, bt: pd.Series, dense_cols: int = 1024,
-               chunk_pairs: int = 4_000_000):
-    """Dot products of term-frequency vectors of every row pair, plus norms.
-
-    Exact. Tokens shared by many rows on both sides (largest df_q x df_b) are
-    scored by a dense matmul over at most ``dense_cols`` columns; the rest by
-    joining postings on the token in chunks of at most ``chunk_pairs``
-    products, so memory stays bounded however common a token is.
-    Returns ``(dots, q_norms, b_norms)``.
-    """
-    nq, nb = len(qt), len(bt)
-    (qr, qc, qw), (br, bc, bw), v = _postings_pair(qt, bt)
-    s = np.zeros((nq, nb))
-    if len(qc) and len(bc):
-        dfq = np.bincount(qc, minlength=v)
-        dfb = np.bincount(bc, minlength=v)
-        work = dfq.astype(np.float64) * dfb
-        shared = np.nonzero(work > 0)[0]
-        order = shared[np.argsort(-work[shared], kind="stable")]
-        dense_ids = order[:dense_cols]
-        if len(dense_ids):
-            col = np.full(v, -1)
-            col[dense_ids] = np.arange(len(dense_ids))
-            qd = np.zeros((nq, len(dense_ids)))
-            bd = np.zeros((nb, len(dense_ids)))
-            m = col[qc] >= 0
-            qd[qr[m], col[qc[m]]] = qw[m]
-            m = col[bc] >= 0
-            bd[br[m], col[bc[m]]] = bw[m]
-            s += qd @ bd.T
-        rest = order[dense_cols:]
-        if len(rest):
-            qdf = pd.DataFrame({"t": qc, "r": qr, "w": qw})
-            bdf = pd.DataFrame({"t": bc, "r": br, "w": bw})
-            qdf = qdf[np.isin(qdf["t"].to_numpy(), rest)]
-            bdf = bdf[np.isin(bdf["t"].to_numpy(), rest)]
-            cost = np.cumsum(work[rest])
-            chunk_id = (cost // chunk_pairs).astype(np.int64)
-            tok_chunk = pd.Series(chunk_id, index=rest)
-            qdf = qdf.assign(k=tok_chunk.reindex(qdf["t"].to_numpy()).to_numpy())
-            bdf = bdf.assign(k=tok_chunk.reindex(bdf["t"].to_numpy()).to_numpy())
-            flat = s.reshape(-1)
-            for key, qpart in qdf.groupby("k", sort=False):
-                bpart = bdf[bdf["k"] == key]
-                j = qpart.merge(bpart, on="t", suffixes=("_q", "_b"))
-                if len(j):
-                    idx = j["r_q"].to_numpy() * nb + j["r_b"].to_numpy()
-                    flat += np.bincount(idx, weights=j["w_q"].to_numpy() * j["w_b"].to_numpy(),
-                                        minlength=nq * nb)
-    qn = np.sqrt(np.bincount(qr, weights=qw * qw, minlength=nq)) if len(qr) else np.zeros(nq)
-    bn = np.sqrt(np.bincount(br, weights=bw * bw, minlength=nb)) if len(br) else np.zeros(nb)
-    return s, qn, bn
-
-
-def sparse_cosine(qt: pd.Series, bt: pd.Series) -> np.ndarray:
-    """Cosine of term-frequency vectors of every row pair (empty -> 0)."""
-    s, qn, bn = sparse_dot(qt, bt)
-    # dot / (|q| |b|) exactly as written (same IEEE operations as the SQL
-    # oracle; dots and squared norms are exact integer sums), in place
-    denom = np.multiply.outer(qn, bn)
-    np.divide(s, denom, out=s, where=denom > 0)
-    return s
-
-
-def sparse_pack_pairs(qt: pd.Series, qg: np.ndarray, bt: pd.Series, bg: np.ndarray):
-    """Positive word-count cosines of every same-group row pair of a pack of
-    many small groups, in one postings merge on (group, token): ``(qi, bi,
-    sim)``. Pairs absent from the result score 0."""
-    (qr, qc, qw), (br, bc, bw), _ = _postings_pair(qt, bt)
-    nq, nb = len(qt), len(bt)
-    qn = np.sqrt(np.bincount(qr, weights=qw * qw, minlength=nq)) if len(qr) else np.zeros(nq)
-    bn = np.sqrt(np.bincount(br, weights=bw * bw, minlength=nb)) if len(br) else np.zeros(nb)
-    if not len(qr) or not len(br):
-        e = np.zeros(0, dtype=np.int64)
-        return e, e, np.zeros(0)
-    codes, _ = pd.factorize(np.concatenate([np.asarray(qg, dtype=object), np.asarray(bg, dtype=object)]))
-    qgc, bgc = codes[:nq], codes[nq:]
-    qdf = pd.DataFrame({"g": qgc[qr], "t": qc, "q": qr, "wq": qw})
-    bdf = pd.DataFrame({"g": bgc[br], "t": bc, "b": br, "wb": bw})
-    j = qdf.merge(bdf, on=["g", "t"])
-    if not len(j):
-        e = np.zeros(0, dtype=np.int64)
-        return e, e, np.zeros(0)
-    j["x"] = j["wq"].to_numpy() * j["wb"].to_numpy()
-    dot = j.groupby(["q", "b"], sort=False)["x"].sum()
-    qi = dot.index.get_level_values(0).to_numpy()
-    bi = dot.index.get_level_values(1).to_numpy()
-    return qi, bi, dot.to_numpy() / (qn[qi] * bn[bi])
-
-
 # ---------------------------------------------------------------- local top-k
 
 
@@ -250,29 +129,19 @@ class Kernel:
     b_cols: list[str]
     score: object
     modes: list[str] = field(default_factory=lambda: ["sim"])
-    # optional: scores of a pack of small groups at once, (q_pdf, b_pdf, group
-    # col) -> (qi, bi, sim) for positive pairs (absent pairs score 0, no
-    # negative scores); only for the single mode "sim" without stats
-    pack: object = None
     # optional row weights (functions of the functions module -> Column) that
-    # bound a block's total weight, e.g. the number of tokens of a document
+    # bound a block's total weight, e.g. the numbers of its vectors
     q_weight: object = None
     b_weight: object = None
 
 
 def dense_kernel(q_vec: str, b_vec: str) -> Kernel:
-    return Kernel([q_vec], [b_vec], lambda q, b: ({"sim": dense_cosine(q[q_vec], b[b_vec])}, {}))
-
-
-def sparse_kernel(q_tok: str, b_tok: str) -> Kernel:
-    return Kernel([q_tok], [b_tok], lambda q, b: ({"sim": sparse_cosine(q[q_tok], b[b_tok])}, {}),
-                  pack=lambda q, b, g: sparse_pack_pairs(q[q_tok], q[g].to_numpy(),
-                                                         b[b_tok], b[g].to_numpy()),
-                  q_weight=token_weight(q_tok), b_weight=token_weight(b_tok))
+    return Kernel([q_vec], [b_vec], lambda q, b: ({"sim": dense_cosine(q[q_vec], b[b_vec])}, {}),
+                  q_weight=vector_weight(q_vec), b_weight=vector_weight(b_vec))
 
 
-def token_weight(col: str):
-    """Weight of a row = number of tokens in its token-list column."""
+def vector_weight(col: str):
+    """Weight of a row = numbers in its vector."""
     return lambda f: f.coalesce(f.size(f.col(col)), f.lit(0)).cast("long")
 
 
@@ -283,7 +152,7 @@ def _spark_type(df: DataFrame, c: str) -> T.DataType:
 def grid_scores(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str,
                 kernel: Kernel, k: int, tie_cols: list[str] | None = None,
                 group: str | None = None, exclude_self: bool = False,
-                block_rows: int = DEFAULT_BLOCK_ROWS, materialize: bool = False,
+                block_rows: int = DEFAULT_BLOCK_ROWS,
                 block_weight: float = DEFAULT_BLOCK_WEIGHT,
                 broadcast_small: bool = True) -> DataFrame:
     """Local top-k rows of every tile: ``q_key, b_key, tie cols, mode, sim``.
@@ -296,13 +165,8 @@ def grid_scores(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str,
     ship_package(spark)
     q = queries.select(q_key, *([group] if group else []), *kernel.q_cols)
     b = bank.select(b_key, *([group] if group else []), *tie_cols, *kernel.b_cols)
-    if materialize:
-        # Both sides are used more than once (grid shape, replication); write
-        # them once to the shared checkpoint folder instead of recomputing
-        # their lineage, which also cuts it before the expensive tile stage.
-        q, b = cut_lineage(q), cut_lineage(b)
-    # Row weights: a tile is bounded by rows and, for weighted kernels (token
-    # lists), by total weight, so long documents make more, smaller blocks.
+    # Row weights: a tile is bounded by rows and, for weighted kernels
+    # (vectors), by total weight, so long rows make more, smaller blocks.
     qw = kernel.q_weight(F) if kernel.q_weight else F.lit(1)
     bw = kernel.b_weight(F) if kernel.b_weight else F.lit(1)
     wmax = block_weight
@@ -373,15 +237,6 @@ def grid_scores(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str,
             return pd.DataFrame({n: [] for n in names})
         if group is not None and qpdf[gcol].nunique() > 1:
             outs = []
-            if kernel.pack is not None:
-                qn = qpdf[gcol].value_counts()
-                bn = bpdf[gcol].value_counts()
-                pairs = (qn * bn.reindex(qn.index).fillna(0))
-                small = pairs.index[(pairs > 0) & (pairs <= PACK_MAX_GROUP_PAIRS)]
-                qs = qpdf[qpdf[gcol].isin(small)]
-                if len(qs):
-                    outs.append(packed(qs, bpdf[bpdf[gcol].isin(small)]))
-                qpdf = qpdf[~qpdf[gcol].isin(small)]
             if len(qpdf):
                 bgroups = dict(tuple(bpdf.groupby(gcol, sort=False)))
                 outs += [one_group(qg, bgroups[g]) for g, qg in qpdf.groupby(gcol, sort=False)
@@ -390,42 +245,6 @@ def grid_scores(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str,
             return pd.concat(outs, ignore_index=True) if outs else pd.DataFrame({n: [] for n in names})
         return one_group(qpdf, bpdf)
 
-    def packed(qpdf: pd.DataFrame, bpdf: pd.DataFrame) -> pd.DataFrame:
-        """Many small groups at once: positive pairs from one merge, zero
-        scores from each group's first k bank rows in tie order (a question
-        with p positive pairs needs at most k - p zeros, all among them; one
-        more row when the question itself is excluded)."""
-        qpdf = qpdf.reset_index(drop=True)
-        bpdf = bpdf.reset_index(drop=True)
-        qkeys, bkeys = qpdf[q_key].to_numpy(), bpdf[b_key].to_numpy()
-        order_keys = [bkeys] + [bpdf[c].to_numpy() for c in reversed(tie_cols)]
-        tie_rank = np.empty(len(bpdf), dtype=np.int64)
-        tie_rank[np.lexsort(order_keys)] = np.arange(len(bpdf))
-        pq, pb, ps = kernel.pack(qpdf, bpdf, gcol)
-        firsts = (pd.DataFrame({"g": bpdf[gcol].to_numpy(), "tr": tie_rank, "b": np.arange(len(bpdf))})
-                  .sort_values("tr").groupby("g", sort=False).head(k + int(exclude_self)))
-        zeros = pd.DataFrame({"g": qpdf[gcol].to_numpy(), "q": np.arange(len(qpdf))}).merge(firsts, on="g")
-        qi = np.concatenate([pq, zeros["q"].to_numpy()])
-        bi = np.concatenate([pb, zeros["b"].to_numpy()])
-        sc = np.concatenate([np.round(ps, 6), np.zeros(len(zeros))])
-        # a pair listed twice keeps its positive score (listed first)
-        uniq = ~pd.DataFrame({"q": qi, "b": bi}).duplicated().to_numpy()
-        qi, bi, sc = qi[uniq], bi[uniq], sc[uniq]
-        if exclude_self:
-            keep = qkeys[qi] != bkeys[bi]
-            qi, bi, sc = qi[keep], bi[keep], sc[keep]
-        o = np.lexsort((tie_rank[bi], -sc, qi))
-        qi, bi, sc = qi[o], bi[o], sc[o]
-        first = np.searchsorted(qi, qi, side="left")
-        keep = (np.arange(len(qi)) - first) < k
-        qi, bi, sc = qi[keep], bi[keep], sc[keep]
-        d = {q_key: qkeys[qi], b_key: bkeys[bi]}
-        for c in tie_cols:
-            d[c] = bpdf[c].to_numpy()[bi]
-        d["mode"] = "sim"
-        d["sim"] = sc
-        return pd.DataFrame(d)[names]
-
     def one_group(qpdf: pd.DataFrame, bpdf: pd.DataFrame) -> pd.DataFrame:
         bpdf = bpdf.reset_index(drop=True)
         qpdf = qpdf.reset_index(drop=True)

@@ -1,8 +1,8 @@
 """Retrieval of solved examples: de-duplication, similarity and top-k.
 
-All pair scoring goes through the block grid (:mod:`tessera.operators.blocks`),
-so no operator here builds a cross join. Sparse text similarity is cosine
-over term-frequency vectors of lower-cased words: the reference embeds text
+Texts are scored as word bags in joins (:mod:`tessera.operators.bags`), vectors
+in the block grid (:mod:`tessera.operators.blocks`), so no operator here builds
+a cross join. Text similarity is cosine over counts of lower-cased words: the reference embeds text
 with a neural model, which is not part of this engine; vectors supplied as a
 column are scored with the dense kernel instead.
 """
@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import casefold, decode_code_newlines, mask_literals, min_ngram, words
-from tessera.operators import blocks
-from tessera.operators.blocks import Kernel, dense_cosine, sparse_cosine
+from tessera.operators import bags, blocks
+from tessera.operators.blocks import Kernel, dense_cosine
+from tessera.session import write_stage
 
 
 def bank_dedup_last(bank: DataFrame, text_col: str, seq_cols: list[str]) -> DataFrame:
@@ -40,68 +41,35 @@ def bank_dedup_last(bank: DataFrame, text_col: str, seq_cols: list[str]) -> Data
                                         *["first_" + c for c in seq_cols], "n_dup")
 
 
-def _token_texts(df: DataFrame, key: str, text: str, group: str | None, sets: bool) -> tuple[DataFrame, DataFrame]:
-    """Rows with the id of their word bag, and the bags' word counts with their squared norm.
+def _order(tie_cols: list[str] | None, b_key: str) -> list[str]:
+    return [*(tie_cols or []), b_key]
 
-    Texts with equal bags (or sets) of words score alike with everything, so
-    only distinct bags are paired: ``rows(key, _g, _t)``, ``words(_g, _t, _w, _n, _norm)``.
-    """
-    bag = words(text)
-    bag = F.array_sort(F.array_distinct(bag) if sets else bag)
-    rows = df.withColumn("_g", F.col(group).cast("string") if group else F.lit("")).withColumn("_bag", bag)
-    rows = rows.withColumn("_t", F.unhex(F.sha2(F.encode(F.array_join("_bag", " "), "UTF-8"), 256)))
-    one = rows.select("_g", "_t", "_bag").dropDuplicates(["_g", "_t"])
-    counts = one.select("_g", "_t", F.explode("_bag").alias("_w")).groupBy("_g", "_t", "_w").agg(F.count("*").alias("_n"))
-    norm = counts.groupBy("_g", "_t").agg(F.sum(F.col("_n") * F.col("_n")).alias("_norm"))
-    return rows.drop("_bag"), counts.join(norm, ["_g", "_t"])
 
+def _best_rows(pairs: DataFrame, bank: bags.Bags, order: list[str], k: int) -> DataFrame:
+    """``_g, _qt, order, sim``: the k best bank rows of each question bag, of scored pairs of bags."""
+    # the first rows of each distinct bag stand for it
+    own = Window.partitionBy("_g", "_bt").orderBy(*order)
+    members = (bank.rows.select("_g", F.col("_t").alias("_bt"), *order)
+               .withColumn("_m", F.row_number().over(own)).filter(F.col("_m") <= k))
+    first = members.filter(F.col("_m") == 1).select("_g", "_bt", F.struct(*order).alias("_first"))
+    best = Window.partitionBy("_g", "_qt").orderBy(F.col("sim").desc(), "_first")
+    top = (pairs.join(first, ["_g", "_bt"]).withColumn("_r", F.row_number().over(best))
+           .filter(F.col("_r") <= k).drop("_r", "_first"))
+    return top.join(members.drop("_m"), ["_g", "_bt"]).select("_g", "_qt", *order, "sim")
 
-def token_topk(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str, q_text: str, b_text: str, k: int,
-               tie_cols: list[str] | None = None, group: str | None = None, exclude_self: bool = False,
-               sets: bool = False, fill: DataFrame | None = None) -> DataFrame:
-    """Top-k bank rows per question by word-count cosine (``sets``: by Jaccard), exact, in built-in operations.
 
-    Words are joined on (group, word), dot products are summed per pair of
-    distinct bags (combined before the shuffle), and the k best bags per
-    question bag are kept by a group limit. Ordering: score rounded to 6 dp,
-    then tie columns, then key. A question with fewer than k related rows is
-    filled with score 0 from the first bank rows in tie order (those of its
-    group, or of ``fill``), of which ``2k + 1`` suffice.
+def _filled(found: DataFrame, keys: DataFrame, filler: DataFrame, *, q_key: str, b_key: str, order: list[str], k: int,
+            exclude_self: bool) -> DataFrame:
+    """``found`` (q_key, order, sim) filled with score 0 by the first rows of ``filler``, ranked.
+
+    ``2k + 1`` rows of the filler suffice, as one value that every question reads.
     """
-    tie_cols = list(tie_cols or [])
-    order = [*tie_cols, b_key]
-    kk = k + int(exclude_self)
-    q, q_words = _token_texts(queries, q_key, q_text, group, sets)
-    b, b_words = _token_texts(bank, b_key, b_text, group, sets)
-    q = q.select(q_key, F.col("_g").alias("_qg"), F.col("_t").alias("_qt"))
-    b = b.select(*[F.col(c) for c in order], F.col("_g").alias("_bg"), F.col("_t").alias("_bt"))
-    # the first rows of each distinct bag stand for it
-    own = Window.partitionBy("_bg", "_bt").orderBy(*order)
-    members = b.withColumn("_m", F.row_number().over(own)).filter(F.col("_m") <= kk)
-    first = members.filter(F.col("_m") == 1).select("_bg", "_bt", F.struct(*order).alias("_first"))
-    qw = q_words.select(F.col("_g").alias("_qg"), F.col("_t").alias("_qt"), "_w", F.col("_n").alias("_qn"), F.col("_norm").alias("_qnorm"))
-    bw = b_words.select(F.col("_g").alias("_bg"), F.col("_t").alias("_bt"), F.col("_w").alias("_bw"),
-                        F.col("_n").alias("_bn"), F.col("_norm").alias("_bnorm"))
-    pairs = (qw.join(bw, (qw["_qg"] == bw["_bg"]) & (qw["_w"] == bw["_bw"]))
-             .groupBy("_qg", "_qt", "_bt", "_qnorm", "_bnorm").agg(F.sum(F.col("_qn") * F.col("_bn")).alias("_dot")))
-    score = (F.col("_dot") / (F.col("_qnorm") + F.col("_bnorm") - F.col("_dot")) if sets else
-             F.col("_dot") / F.sqrt(F.col("_qnorm").cast("double")) / F.sqrt(F.col("_bnorm").cast("double")))
-    pairs = pairs.select("_qg", "_qt", "_bt", F.round(score, 6).alias("sim"))
-    pairs = pairs.join(first, (pairs["_qg"] == first["_bg"]) & (pairs["_bt"] == first["_bt"])).select(
-        "_qg", "_qt", pairs["_bt"], "sim", "_first")
-    best = Window.partitionBy("_qg", "_qt").orderBy(F.col("sim").desc(), "_first")
-    top = pairs.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= kk).drop("_r", "_first")
-    held = members.select(F.col("_bg").alias("_mg"), F.col("_bt").alias("_mt"), *order)
-    related = top.join(held, (top["_qg"] == held["_mg"]) & (top["_bt"] == held["_mt"])).select("_qg", "_qt", *order, "sim")
-    if group and fill is None:
-        ahead = Window.partitionBy("_bg").orderBy(*order)
-        filler = b.withColumn("_r", F.row_number().over(ahead)).filter(F.col("_r") <= 2 * k + 1)
-        filler = filler.select(F.col("_bg").alias("_qg"), *order)
-        zeros = q.join(filler, "_qg").select(q_key, *order, F.lit(0.0).alias("sim"))
-    else:  # 2k + 1 rows, as one value that every question reads
-        filler = (b if fill is None else fill).orderBy(*order).limit(2 * k + 1).agg(F.collect_list(F.struct(*order)).alias("rows"))
-        zeros = q.select(q_key, F.explode(filler.scalar()).alias("f")).select(q_key, "f.*", F.lit(0.0).alias("sim"))
-    found = q.join(related, ["_qg", "_qt"]).select(q_key, *order, "sim").unionByName(zeros)
+    ahead = filler.select(*order).orderBy(*order).limit(2 * k + 1).agg(F.collect_list(F.struct(*order)).alias("rows"))
+    zeros = keys.select(q_key, F.explode(ahead.scalar()).alias("f")).select(q_key, "f.*", F.lit(0.0).alias("sim"))
+    return _ranked(found.unionByName(zeros), q_key=q_key, b_key=b_key, order=order, k=k, exclude_self=exclude_self)
+
+
+def _ranked(found: DataFrame, *, q_key: str, b_key: str, order: list[str], k: int, exclude_self: bool = False) -> DataFrame:
     if exclude_self:
         found = found.filter(F.col(q_key) != F.col(b_key))
     found = found.groupBy(q_key, *order).agg(F.max("sim").alias("sim"))
@@ -109,6 +77,32 @@ def token_topk(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str, q
     return found.withColumn("rank", F.row_number().over(rank).cast("long")).filter(F.col("rank") <= k)
 
 
+def token_topk(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str, q_text: str, b_text: str, k: int,
+               tie_cols: list[str] | None = None, group: str | None = None, exclude_self: bool = False,
+               sets: bool = False, direct_rows: int | None = None) -> DataFrame:
+    """Top-k bank rows per question by word-count cosine (``sets``: by Jaccard), exact, in built-in operations.
+
+    Distinct bags of words are scored (:mod:`tessera.operators.bags`), the k best
+    bags per question bag are kept by a group limit, and rows with equal bags are
+    expanded after it. Ordering: score rounded to 6 dp, then tie columns, then
+    key. A question with fewer than k related rows is filled with score 0 from
+    the first bank rows in tie order (with ``group``: of its group).
+    """
+    order, kk = _order(tie_cols, b_key), k + int(exclude_self)
+    q = bags.index(queries, [q_key], q_text, group, sets)
+    b = bags.index(bank, order, b_text, group, sets)
+    related = _best_rows(bags.pairs(q, b, kk, sets, direct_rows), b, order, kk)
+    keys = q.rows.select(q_key, "_g", F.col("_t").alias("_qt"))
+    found = keys.join(related, ["_g", "_qt"]).select(q_key, *order, "sim")
+    how = dict(q_key=q_key, b_key=b_key, order=order, k=k, exclude_self=exclude_self)
+    if not group:
+        return _filled(found, keys, b.rows, **how)
+    ahead = Window.partitionBy("_g").orderBy(*order)
+    filler = b.rows.select("_g", *order).withColumn("_r", F.row_number().over(ahead)).filter(F.col("_r") <= 2 * k + 1)
+    zeros = keys.join(filler.drop("_r"), "_g").select(q_key, *order, F.lit(0.0).alias("sim"))
+    return _ranked(found.unionByName(zeros), **how)
+
+
 def sparse_topk(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str,
                 q_text: str, b_text: str, k: int, tie_cols: list[str] | None = None,
                 group: str | None = None, exclude_self: bool = False) -> DataFrame:
@@ -146,6 +140,15 @@ def vector_pairs_above(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key
 # ------------------------------------------------------------ keyword gate
 
 
+def _words_with(kws: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``_kw, _tok``: the distinct words that contain each keyword's first word."""
+    kws = kws.withColumn("_head", F.split_part("_kw", F.lit(" "), F.lit(1))).withColumn("_gram", F.substring("_head", 1, 3))
+    grams = lambda size: F.transform(F.sequence(F.lit(1), F.greatest(F.length("_tok") - size + 1, F.lit(1))),
+                                     lambda at: F.substr(F.col("_tok"), at, F.lit(size)))
+    vocabulary = vocabulary.select("_tok", F.explode(F.array_distinct(F.concat(grams(2), grams(3)))).alias("_gram"))
+    return kws.join(vocabulary, "_gram").filter(F.contains("_tok", "_head")).select("_kw", "_tok")
+
+
 def keyword_rows(queries: DataFrame, bank: DataFrame, *, b_key: str, q_text: str, b_text: str, n: int = 1) -> DataFrame:
     """``_kw, b_key``: each distinct keyword with the bank rows whose lower-cased text contains it.
 
@@ -156,14 +159,8 @@ def keyword_rows(queries: DataFrame, bank: DataFrame, *, b_key: str, q_text: str
     joined back to the rows that have the word.
     """
     kws = queries.select(min_ngram(q_text, n).alias("_kw")).filter("_kw is not null").distinct()
-    kws = kws.withColumn("_head", F.split_part("_kw", F.lit(" "), F.lit(1))).withColumn("_gram", F.substring("_head", 1, 3))
     tokens = bank.select(b_key, F.explode(F.array_distinct(words(b_text))).alias("_tok"))
-    grams = lambda size: F.transform(F.sequence(F.lit(1), F.greatest(F.length("_tok") - size + 1, F.lit(1))),
-                                     lambda at: F.substr(F.col("_tok"), at, F.lit(size)))
-    vocabulary = tokens.select("_tok").distinct().select(
-        "_tok", F.explode(F.array_distinct(F.concat(grams(2), grams(3)))).alias("_gram"))
-    inside = kws.join(vocabulary, "_gram").filter(F.contains("_tok", "_head")).select("_kw", "_tok")
-    found = inside.join(tokens, "_tok").select("_kw", b_key).distinct()
+    found = _words_with(kws, tokens.select("_tok").distinct()).join(tokens, "_tok").select("_kw", b_key).distinct()
     if n > 1:  # the other words, with the space between
         texts = bank.select(b_key, casefold(b_text).alias("_nl"))
         found = found.join(texts, b_key).filter(F.contains("_nl", "_kw")).select("_kw", b_key)
@@ -177,13 +174,47 @@ def keyword_gate(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str,
     An example keeps its score only if its lower-cased question contains the
     keyword; the others score 0. If no example of the whole bank contains it,
     every example keeps its score.
+
+    Bags are scored once, without the bank's texts; the gate is a table of
+    (keyword, bag) that the scored pairs are joined to. A keyword of one word
+    lies inside a word, so a bag has it or not; with longer ones the bags of
+    different texts are kept apart (by the text as their group in the gate).
     """
-    cols = dict(q_key=q_key, b_key=b_key, q_text=q_text, b_text=b_text, k=k, tie_cols=tie_cols)
-    rows = keyword_rows(queries, bank, b_key=b_key, q_text=q_text, b_text=b_text, n=n)
-    q = queries.withColumn("_kw", F.coalesce(min_ngram(q_text, n), F.lit("")))
-    hit = rows.select("_kw").distinct()
-    gated = token_topk(q.join(hit, "_kw", "left_semi"), bank.join(rows, b_key), group="_kw", fill=bank, **cols)
-    return gated.unionByName(token_topk(q.join(hit, "_kw", "left_anti"), bank, **cols))
+    order = _order(tie_cols, b_key)
+    kw = F.coalesce(min_ngram(q_text, n), F.lit(""))
+    q = bags.index(queries.withColumn("_kw", kw), [q_key, "_kw"], q_text)
+    b = bags.index(bank, order, b_text)
+    asked = write_stage(q.rows.select(q_key, "_kw", "_g", F.col("_t").alias("_qt")), "gate-questions")
+    hits = write_stage(_keyword_hits(asked.select("_kw").where("_kw <> ''").distinct(), b, bank, b_key, b_text, n), "gate-hits")
+    plain = write_stage(bags.pairs(q, b, k, direct_rows=1 << 62), "gate-pairs")  # a gate may let any pair in
+    # questions with the same bag and keyword share their examples
+    each = asked.select("_g", "_qt", "_kw").distinct()
+    open_ = each.join(hits.select("_kw").distinct(), "_kw", "left_anti").select("_g", "_qt")
+    free = _best_rows(plain.join(open_.distinct(), ["_g", "_qt"]), b, order, k)
+    found = asked.join(hits.select("_kw").distinct(), "_kw", "left_anti").join(free, ["_g", "_qt"]).select(q_key, *order, "sim")
+    gated = each.join(plain, ["_g", "_qt"]).select("_qt", "_kw", "_bt", "sim")
+    rows = b.rows.select(F.col("_t").alias("_bt"), *order)
+    if n == 1:
+        gated = gated.join(hits, ["_kw", "_bt"])
+        own = Window.partitionBy("_bt").orderBy(*order)
+        rows = rows.withColumn("_m", F.row_number().over(own)).filter(F.col("_m") <= k).drop("_m")
+        gated = gated.join(rows, "_bt")
+    else:
+        gated = gated.join(rows, "_bt").join(hits.drop("_bt"), ["_kw", b_key])
+    best = Window.partitionBy("_qt", "_kw").orderBy(F.col("sim").desc(), *order)
+    gated = gated.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k).select("_qt", "_kw", *order, "sim")
+    found = found.unionByName(asked.join(gated, ["_qt", "_kw"]).select(q_key, *order, "sim"))
+    return _filled(found, asked, b.rows, q_key=q_key, b_key=b_key, order=order, k=k, exclude_self=False)
+
+
+def _keyword_hits(keywords: DataFrame, bank: bags.Bags, texts: DataFrame, b_key: str, b_text: str, n: int) -> DataFrame:
+    """``_kw, _bt``: the bags that have each keyword; for longer keywords ``_kw, _bt, b_key``, tested on the text."""
+    tokens = bank.words("b").select("_bt", F.col("_w").alias("_tok"))
+    found = _words_with(keywords, tokens.select("_tok").distinct()).join(tokens, "_tok").select("_kw", "_bt").distinct()
+    if n == 1:
+        return found
+    rows = bank.rows.select(F.col("_t").alias("_bt"), b_key).join(texts.select(b_key, casefold(b_text).alias("_nl")), b_key)
+    return found.join(rows, "_bt").filter(F.contains("_nl", "_kw")).select("_kw", "_bt", b_key)
 
 
 def keyword_stats(queries: DataFrame, bank: DataFrame, *, b_key: str, q_text: str, b_text: str, n: int = 1,
@@ -217,31 +248,59 @@ def threshold_rank_topk(queries: DataFrame, bank: DataFrame, *, q_key: str, b_ke
                         include_self: bool = True) -> DataFrame:
     """Two signals: an example whose gate similarity is **strictly greater**
     than ``threshold`` is ranked by its rank similarity, every other example
-    scores 0. ``kind`` is ``dense`` (vector columns) or ``sparse`` (texts)."""
+    scores 0. ``kind`` is ``dense`` (vector columns, in tiles) or ``sparse``
+    (texts, in joins)."""
     if kind == "sparse":
-        queries = queries.withColumn("_qg", words(q_gate)).withColumn("_qr", words(q_rank))
-        bank = bank.withColumn("_bg", words(b_gate)).withColumn("_br", words(b_rank))
-        q_gate, q_rank, b_gate, b_rank = "_qg", "_qr", "_bg", "_br"
-        sim = sparse_cosine
-    else:
-        sim = dense_cosine
+        return _threshold_rank_texts(queries, bank, q_key=q_key, b_key=b_key, q_gate=q_gate, b_gate=b_gate, q_rank=q_rank,
+                                     b_rank=b_rank, k=k, threshold=threshold, order=_order(tie_cols, b_key),
+                                     exclude_self=not include_self)
 
     def score(q, b):
-        g = sim(q[q_gate], b[b_gate])
-        r = sim(q[q_rank], b[b_rank])
+        g = dense_cosine(q[q_gate], b[b_gate])
+        r = dense_cosine(q[q_rank], b[b_rank])
         return {"sim": np.where(g > threshold, r, 0.0)}, {}
 
     kernel = Kernel([q_gate, q_rank], [b_gate, b_rank], score)
-    if kind == "sparse":
-        kernel.q_weight = lambda f: f.size(f.col(q_gate)) + f.size(f.col(q_rank))
-        kernel.b_weight = lambda f: f.size(f.col(b_gate)) + f.size(f.col(b_rank))
     return blocks.topk(queries, bank, q_key=q_key, b_key=b_key, kernel=kernel, k=k,
                        tie_cols=tie_cols, exclude_self=not include_self)
 
 
+def _threshold_rank_texts(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str, q_gate: str, b_gate: str,
+                          q_rank: str, b_rank: str, k: int, threshold: float, order: list[str], exclude_self: bool) -> DataFrame:
+    """The gate is a cosine threshold join of distinct bags; a gate bag of the bank is then a group.
+
+    A question joins the groups that its own gate bag passes, and the rank signal
+    is scored inside these groups only.
+    """
+    kk = k + int(exclude_self)
+    gq, gb = bags.index(queries, [q_key], q_gate), bags.index(bank, [b_key], b_gate)
+    passed = write_stage(bags.pairs_above(gq, gb, threshold).select("_qt", "_bt"), "gate-passed")
+    asked = gq.rows.select(q_key, F.col("_t").alias("_qt")).join(passed, "_qt").select(q_key, F.col("_bt").alias("_gate"))
+    held = gb.rows.select(b_key, F.col("_t").alias("_gate")).join(passed.select(F.col("_bt").alias("_gate")).distinct(), "_gate", "left_semi")
+    q = bags.index(queries.join(asked, q_key), [q_key], q_rank, "_gate")
+    b = bags.index(bank.join(held, b_key), order, b_rank, "_gate")
+    related = _best_rows(bags.pairs(q, b, kk), b, order, kk)
+    found = q.rows.select(q_key, "_g", F.col("_t").alias("_qt")).join(related, ["_g", "_qt"]).select(q_key, *order, "sim")
+    return _filled(found, queries, bank, q_key=q_key, b_key=b_key, order=order, k=k, exclude_self=exclude_self)
+
+
 # ------------------------------------------------------------ table, then question
 
 
+def head_topk(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str, q_text: str, b_text: str, k: int) -> DataFrame:
+    """Top-k of texts that share words in all rows (table heads): the same scores as ``token_topk``.
+
+    The words of all bank texts are one constant for each question bag; only
+    other words are joined.
+    """
+    q, b = bags.index(queries, [q_key], q_text), bags.index(bank, [b_key], b_text)
+    firsts = b.rows.groupBy(F.col("_t").alias("_bt")).agg(F.min(b_key).alias(b_key))
+    related = _best_rows(bags.pairs_with_constant(q, b, firsts, k, [b_key]), b, [b_key], k)
+    keys = q.rows.select(q_key, "_g", F.col("_t").alias("_qt"))
+    found = keys.join(related, ["_g", "_qt"]).select(q_key, b_key, "sim")
+    return _filled(found, keys, b.rows, q_key=q_key, b_key=b_key, order=[b_key], k=k, exclude_self=False)
+
+
 def table_then_question(questions: DataFrame, bank: DataFrame, q_heads: DataFrame,
                         b_heads: DataFrame, *, q_key: str, b_key: str,
                         q_text: str, b_text: str, tie_cols: list[str] | None = None) -> DataFrame:
@@ -262,9 +321,10 @@ def table_then_question(questions: DataFrame, bank: DataFrame, q_heads: DataFram
                    .select(F.col("table_id").alias("qtab"), F.col("text").alias("qhead")))
     bt = (bank.select("table_id").distinct().join(b_heads, "table_id")
               .select(F.col("table_id").alias("btab"), F.col("text").alias("bhead")))
-    best_tab = sparse_topk(qt, bt, q_key="qtab", b_key="btab", q_text="qhead", b_text="bhead", k=1)
+    best_tab = head_topk(qt, bt, q_key="qtab", b_key="btab", q_text="qhead", b_text="bhead", k=1)
     best_tab = best_tab.select("qtab", F.col("btab").alias("example_table"),
                                F.col("sim").alias("table_sim"))
+    best_tab = write_stage(best_tab, "best-tables")
     q2 = (questions.join(best_tab, questions["table_id"] == best_tab["qtab"])
                    .select(q_key, q_text, "example_table", "table_sim"))
     b2 = bank.withColumnRenamed("table_id", "example_table")

@@ -66,11 +66,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint to the shared folder (never a local checkpoint),
-    so a lost executor does not recompute the expensive stages above."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def write_stage(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder and read back: what follows reads it any number
+    of times, and a lost executor doesn't recompute the stages above."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _SHIPPED: set[str] = set()
