@@ -1,7 +1,7 @@
 """Word bags: distinct texts as counted words, and exact scores of pairs of them.
 
 Texts with equal bags (or sets) of words score alike with everything, so each
-distinct bag is numbered, counted and written once, and everything later reads
+distinct bag is named, counted and written once, and everything later reads
 these narrow tables. Scores are sums of whole numbers over whole-number norms,
 so ties are exact.
 
@@ -37,9 +37,13 @@ SLACK = 2e-6  # scores are compared after rounding to 6 places
 
 @dataclass
 class Bags:
-    """``rows(keys, _g, _t)``: the bag of each row; ``bags(_g, _t, _words, _norm)``: each distinct bag."""
+    """``rows(keys, _g, _t)``: the bag of each row; ``bags(_g, _t, _words, _norm)``: each distinct bag.
 
-    rows: DataFrame
+    An index made for ``k`` best rows has ``_top`` in ``bags``, the first k rows
+    of the bag as structs in order, and no ``rows``.
+    """
+
+    rows: DataFrame | None
     bags: DataFrame
 
     def words(self, side: str) -> DataFrame:
@@ -55,21 +59,36 @@ def counted(bag: Column) -> Column:
                       lambda i: (i == 0) | (F.get(bag, i) != F.get(bag, i - 1)))
     starts = F.when(F.size(bag) > 0, starts).otherwise(F.array().cast("array<int>"))
     ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(F.size(bag)))
-    return F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")),
-                       lambda z: F.struct(F.get(bag, z["s"]).alias("w"), (z["e"] - z["s"]).cast("long").alias("n")))
+    return F.zip_with(starts, ends, lambda s, e: F.struct(F.get(bag, s).alias("w"), (e - s).cast("long").alias("n")))
 
 
-def index(df: DataFrame, keys: list[str], text: str, group: str | None = None, sets: bool = False) -> Bags:
-    """The bags of a text column, written; ``group`` keeps equal bags of different groups apart."""
+def _bagged(df: DataFrame, keys: list[str], text: str, group: str | None, sets: bool) -> DataFrame:
+    """``keys, _g, _t, _bag``: the bag's name is a 128-bit hash of its sorted words."""
     bag = words(text)
     bag = F.coalesce(F.array_sort(F.array_distinct(bag) if sets else bag), F.array().cast("array<string>"))
     rows = df.select(*keys, (F.coalesce(F.col(group).cast("string"), F.lit("")) if group else F.lit("")).alias("_g"), bag.alias("_bag"))
-    rows = write_stage(rows.withColumn("_h", F.unhex(F.sha2(F.encode(F.array_join("_bag", " "), "UTF-8"), 256))), "bag-rows")
-    one = rows.select("_g", "_h", "_bag").dropDuplicates(["_g", "_h"])
-    one = one.select("_g", "_h", counted(F.col("_bag")).alias("_words"))
-    norm = F.aggregate("_words", F.lit(0).cast("long"), lambda s, x: s + x["n"] * x["n"])
-    one = write_stage(one.select("_g", "_h", F.monotonically_increasing_id().alias("_t"), "_words", norm.alias("_norm")), "bags")
-    return Bags(rows.drop("_bag").join(one.select("_g", "_h", "_t"), ["_g", "_h"]).drop("_h"), one.drop("_h"))
+    name = F.substring(F.unhex(F.sha2(F.encode(F.array_join("_bag", " "), "UTF-8"), 256)), 1, 16)
+    return rows.withColumn("_t", name)
+
+
+def _norm(counts: Column) -> Column:
+    return F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x["n"] * x["n"])
+
+
+def index(df: DataFrame, keys: list[str], text: str, group: str | None = None, sets: bool = False) -> Bags:
+    """The bags of a text column, with all rows; ``group`` keeps equal bags of different groups apart."""
+    rows = _bagged(df, keys, text, group, sets).withColumn("_words", counted(F.col("_bag"))).drop("_bag")
+    rows = write_stage(rows.withColumn("_norm", _norm(F.col("_words"))), "bag-rows")
+    return Bags(rows.select(*keys, "_g", "_t"), rows.select("_g", "_t", "_words", "_norm").dropDuplicates(["_g", "_t"]))
+
+
+def index_best(df: DataFrame, order: list[str], text: str, k: int, group: str | None = None, sets: bool = False) -> Bags:
+    """The distinct bags of a text column, each with its first k rows by ``order``: one shuffle, limited below it."""
+    first = Window.partitionBy("_g", "_t").orderBy(*order)
+    rows = _bagged(df, order, text, group, sets).withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k)
+    one = rows.groupBy("_g", "_t").agg(F.first("_bag").alias("_bag"), F.array_sort(F.collect_list(F.struct(*order))).alias("_top"))
+    one = one.select("_g", "_t", counted(F.col("_bag")).alias("_words"), "_top")
+    return Bags(None, write_stage(one.withColumn("_norm", _norm(F.col("_words"))), "bags"))
 
 
 def score(dot, qnorm, bnorm, sets: bool) -> Column:
@@ -146,7 +165,9 @@ def pairs(q: Bags, b: Bags, k: int, sets: bool = False, direct_rows: int | None
     """``_g, _qt, _bt, sim`` (rounded): all pairs that can be among a question bag's k best of score above 0."""
     qw, bw = q.words("q"), b.words("b")
     direct_rows = DIRECT_ROWS if direct_rows is None else direct_rows
-    if met_rows(qw, bw) <= direct_rows * max(1, q.bags.count()):
+    asked = max(1, q.bags.count())
+    few = direct_rows >= DIRECT_ROWS and b.bags.count() <= direct_rows  # then no question can meet many
+    if few or direct_rows >= 1 << 62 or met_rows(qw, bw) <= direct_rows * asked:
         found = _meet(qw, bw)
     else:
         ranked = write_stage(_ranked_words(qw, bw, sets), "bag-ranked")
@@ -171,27 +192,54 @@ def common_words(b: Bags) -> DataFrame:
     return b.words("b").groupBy("_w").agg(F.count("*").alias("_df"), F.min("_bn").alias("_least")).where(F.col("_df") == total).drop("_df")
 
 
-def pairs_with_constant(q: Bags, b: Bags, firsts: DataFrame, k: int, order: list[str]) -> DataFrame:
+def pairs_with_constant(q: Bags, b: Bags, k: int) -> DataFrame:
     """Like ``pairs`` for one group whose bags share words: those are a constant of the question.
 
     Joined are the counts above the least one. A pair that shares nothing else
     scores the constant over the norms, so of these only the first bags of each
-    norm can be among the best: ``firsts(_bt, order)`` gives their order.
+    norm (in the order of their rows) can be among the best.
     """
     qw, bw = q.words("q"), b.words("b")
     shared = write_stage(common_words(b), "bag-common")  # words of all examples: few
-    fixed = qw.join(F.broadcast(shared), "_w").groupBy("_qt").agg(F.sum(F.col("_qn") * F.col("_least")).alias("_fixed"))
+    fixed = qw.join(F.broadcast(shared), "_w").groupBy("_qt", "_qnorm").agg(F.sum(F.col("_qn") * F.col("_least")).alias("_fixed"))
     rest = (bw.join(F.broadcast(shared), "_w", "left").withColumn("_bn", F.col("_bn") - F.coalesce("_least", F.lit(0)))
             .where("_bn > 0").drop("_least"))
     joined = _meet(qw, rest).select("_qt", "_bt", "_qnorm", "_bnorm", "_dot")
-    near = Window.partitionBy("_bnorm").orderBy(*order)
-    stand = (b.bags.select(F.col("_t").alias("_bt"), F.col("_norm").alias("_bnorm")).join(firsts, "_bt")
-             .withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= k).select("_bt", "_bnorm"))
-    asked = fixed.join(q.bags.select(F.col("_t").alias("_qt"), F.col("_norm").alias("_qnorm")), "_qt")
-    norms = stand.groupBy().agg(F.collect_list(F.struct("_bt", "_bnorm")).alias("s"))  # k rows a distinct norm
-    alone = asked.select("_qt", "_qnorm", F.explode(norms.scalar()).alias("s")).select(
+    near = Window.partitionBy("_norm").orderBy(F.col("_top")[0])
+    stand = b.bags.withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= k)
+    norms = stand.groupBy().agg(F.collect_list(F.struct(F.col("_t").alias("_bt"), F.col("_norm").alias("_bnorm"))).alias("s"))
+    alone = fixed.select("_qt", "_qnorm", F.explode(norms.scalar()).alias("s")).select(  # k rows a distinct norm
         "_qt", "s._bt", "_qnorm", "s._bnorm", F.lit(0).cast("long").alias("_dot"))
     every = joined.unionByName(alone).groupBy("_qt", "_bt", "_qnorm", "_bnorm").agg(F.max("_dot").alias("_dot"))
-    every = every.join(fixed, "_qt", "left").withColumn("_dot", F.col("_dot") + F.coalesce("_fixed", F.lit(0)))
+    every = every.join(fixed.drop("_qnorm"), "_qt", "left").withColumn("_dot", F.col("_dot") + F.coalesce("_fixed", F.lit(0)))
     return every.where("_dot > 0").select(F.lit("").alias("_g"), "_qt", "_bt", F.round(
         score(F.col("_dot"), F.col("_qnorm"), F.col("_bnorm"), False), 6).alias("sim"))
+
+
+def best_lists(found: DataFrame, b: Bags, k: int, by: list[str]) -> DataFrame:
+    """``by, _found``: at most k*k of the best rows as (neg, row) structs, from scored pairs that have ``_bt``.
+
+    ``b`` has the first k rows of each bag; a bag's first row stands for it in ties.
+    """
+    tops = b.bags.select("_g", F.col("_t").alias("_bt"), "_top")
+    best = Window.partitionBy(*by).orderBy(F.col("sim").desc(), F.col("_top")[0])
+    top = found.join(tops, ["_g", "_bt"]).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k)
+    scored = F.transform("_top", lambda r: F.struct((-F.col("sim")).alias("neg"), r.alias("row")))
+    return top.groupBy(*by).agg(F.flatten(F.collect_list(scored)).alias("_found"))
+
+
+def ranked(asked: DataFrame, q_key: str, fill: Column, k: int, exclude: str | None = None) -> DataFrame:
+    """``q_key, row columns, sim, rank`` of ``asked(q_key, _found)``: filled with score 0 by the rows of ``fill``.
+
+    ``exclude`` names the row column that must differ from the question's key.
+    """
+    asked = asked.withColumn("_zero", fill)
+    none = F.array().cast(asked.schema["_found"].dataType)
+    found = F.coalesce("_found", none)
+    zeros = F.filter(F.coalesce("_zero", F.array().cast(asked.schema["_zero"].dataType)), lambda f: ~F.exists(found, lambda r: r["row"].eqNullSafe(f)))
+    every = F.concat(found, F.transform(zeros, lambda f: F.struct(F.lit(-0.0).alias("neg"), f.alias("row"))))
+    if exclude:
+        every = F.filter(every, lambda r: r["row"][exclude] != F.col(q_key))
+    # ties by the row's columns in order
+    out = asked.select(q_key, F.posexplode(F.slice(F.array_sort(every), 1, k)).alias("_at", "r"))
+    return out.select(q_key, "r.row.*", (F.lit(0.0) - F.col("r.neg")).alias("sim"), (F.col("_at") + 1).cast("long").alias("rank"))

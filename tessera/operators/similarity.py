@@ -45,36 +45,16 @@ def _order(tie_cols: list[str] | None, b_key: str) -> list[str]:
     return [*(tie_cols or []), b_key]
 
 
-def _best_rows(pairs: DataFrame, bank: bags.Bags, order: list[str], k: int) -> DataFrame:
-    """``_g, _qt, order, sim``: the k best bank rows of each question bag, of scored pairs of bags."""
-    # the first rows of each distinct bag stand for it
-    own = Window.partitionBy("_g", "_bt").orderBy(*order)
-    members = (bank.rows.select("_g", F.col("_t").alias("_bt"), *order)
-               .withColumn("_m", F.row_number().over(own)).filter(F.col("_m") <= k))
-    first = members.filter(F.col("_m") == 1).select("_g", "_bt", F.struct(*order).alias("_first"))
-    best = Window.partitionBy("_g", "_qt").orderBy(F.col("sim").desc(), "_first")
-    top = (pairs.join(first, ["_g", "_bt"]).withColumn("_r", F.row_number().over(best))
-           .filter(F.col("_r") <= k).drop("_r", "_first"))
-    return top.join(members.drop("_m"), ["_g", "_bt"]).select("_g", "_qt", *order, "sim")
-
-
-def _filled(found: DataFrame, keys: DataFrame, filler: DataFrame, *, q_key: str, b_key: str, order: list[str], k: int,
-            exclude_self: bool) -> DataFrame:
-    """``found`` (q_key, order, sim) filled with score 0 by the first rows of ``filler``, ranked.
-
-    ``2k + 1`` rows of the filler suffice, as one value that every question reads.
-    """
-    ahead = filler.select(*order).orderBy(*order).limit(2 * k + 1).agg(F.collect_list(F.struct(*order)).alias("rows"))
-    zeros = keys.select(q_key, F.explode(ahead.scalar()).alias("f")).select(q_key, "f.*", F.lit(0.0).alias("sim"))
-    return _ranked(found.unionByName(zeros), q_key=q_key, b_key=b_key, order=order, k=k, exclude_self=exclude_self)
+def _first_of(rows: DataFrame, order: list[str], k: int) -> F.Column:
+    """The first 2k + 1 rows by ``order``, as one value."""
+    first = rows.select(F.struct(*order).alias("row")).orderBy("row").limit(2 * k + 1)
+    return first.agg(F.array_sort(F.collect_list("row")).alias("rows")).scalar()
 
 
-def _ranked(found: DataFrame, *, q_key: str, b_key: str, order: list[str], k: int, exclude_self: bool = False) -> DataFrame:
-    if exclude_self:
-        found = found.filter(F.col(q_key) != F.col(b_key))
-    found = found.groupBy(q_key, *order).agg(F.max("sim").alias("sim"))
-    rank = Window.partitionBy(q_key).orderBy(F.col("sim").desc(), *order)
-    return found.withColumn("rank", F.row_number().over(rank).cast("long")).filter(F.col("rank") <= k)
+def _first_rows(bank: bags.Bags, k: int) -> F.Column:
+    """The first 2k + 1 rows of the whole bank, as one value that every question reads; more are never needed as filler."""
+    rows = bank.bags.select(F.explode("_top").alias("row")).orderBy("row").limit(2 * k + 1)
+    return rows.agg(F.array_sort(F.collect_list("row")).alias("rows")).scalar()
 
 
 def token_topk(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str, q_text: str, b_text: str, k: int,
@@ -90,17 +70,15 @@ def token_topk(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str, q
     """
     order, kk = _order(tie_cols, b_key), k + int(exclude_self)
     q = bags.index(queries, [q_key], q_text, group, sets)
-    b = bags.index(bank, order, b_text, group, sets)
-    related = _best_rows(bags.pairs(q, b, kk, sets, direct_rows), b, order, kk)
-    keys = q.rows.select(q_key, "_g", F.col("_t").alias("_qt"))
-    found = keys.join(related, ["_g", "_qt"]).select(q_key, *order, "sim")
-    how = dict(q_key=q_key, b_key=b_key, order=order, k=k, exclude_self=exclude_self)
+    b = bags.index_best(bank, order, b_text, kk, group, sets)
+    found = bags.best_lists(bags.pairs(q, b, kk, sets, direct_rows), b, kk, ["_g", "_qt"])
+    asked = q.rows.withColumnRenamed("_t", "_qt").join(found, ["_g", "_qt"], "left")
     if not group:
-        return _filled(found, keys, b.rows, **how)
-    ahead = Window.partitionBy("_g").orderBy(*order)
-    filler = b.rows.select("_g", *order).withColumn("_r", F.row_number().over(ahead)).filter(F.col("_r") <= 2 * k + 1)
-    zeros = keys.join(filler.drop("_r"), "_g").select(q_key, *order, F.lit(0.0).alias("sim"))
-    return _ranked(found.unionByName(zeros), **how)
+        return bags.ranked(asked, q_key, _first_rows(b, kk), k, b_key if exclude_self else None)
+    ahead = Window.partitionBy("_g").orderBy("row")
+    filler = b.bags.select("_g", F.explode("_top").alias("row")).withColumn("_r", F.row_number().over(ahead))
+    filler = filler.where(F.col("_r") <= 2 * kk + 1).groupBy("_g").agg(F.array_sort(F.collect_list("row")).alias("_fill"))
+    return bags.ranked(asked.join(filler, "_g"), q_key, F.col("_fill"), k, b_key if exclude_self else None)
 
 
 def sparse_topk(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str,
@@ -175,46 +153,40 @@ def keyword_gate(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str,
     keyword; the others score 0. If no example of the whole bank contains it,
     every example keeps its score.
 
-    Bags are scored once, without the bank's texts; the gate is a table of
-    (keyword, bag) that the scored pairs are joined to. A keyword of one word
-    lies inside a word, so a bag has it or not; with longer ones the bags of
-    different texts are kept apart (by the text as their group in the gate).
+    Bags are scored once, without the bank's texts: a keyword of one word lies
+    inside a word, so a bag has it or not, and the gate is a table of (keyword,
+    bag) that the scored pairs are joined to.
     """
     order = _order(tie_cols, b_key)
-    kw = F.coalesce(min_ngram(q_text, n), F.lit(""))
-    q = bags.index(queries.withColumn("_kw", kw), [q_key, "_kw"], q_text)
-    b = bags.index(bank, order, b_text)
-    asked = write_stage(q.rows.select(q_key, "_kw", "_g", F.col("_t").alias("_qt")), "gate-questions")
-    hits = write_stage(_keyword_hits(asked.select("_kw").where("_kw <> ''").distinct(), b, bank, b_key, b_text, n), "gate-hits")
-    plain = write_stage(bags.pairs(q, b, k, direct_rows=1 << 62), "gate-pairs")  # a gate may let any pair in
-    # questions with the same bag and keyword share their examples
+    queries = queries.withColumn("_kw", F.coalesce(min_ngram(q_text, n), F.lit("")))
+    if n > 1:
+        return _long_keyword_gate(queries, bank, order, q_key=q_key, b_key=b_key, q_text=q_text, b_text=b_text, k=k, n=n)
+    q, b = bags.index(queries, [q_key, "_kw"], q_text), bags.index_best(bank, order, b_text, k)
+    asked = q.rows.withColumnRenamed("_t", "_qt")
     each = asked.select("_g", "_qt", "_kw").distinct()
-    open_ = each.join(hits.select("_kw").distinct(), "_kw", "left_anti").select("_g", "_qt")
-    free = _best_rows(plain.join(open_.distinct(), ["_g", "_qt"]), b, order, k)
-    found = asked.join(hits.select("_kw").distinct(), "_kw", "left_anti").join(free, ["_g", "_qt"]).select(q_key, *order, "sim")
-    gated = each.join(plain, ["_g", "_qt"]).select("_qt", "_kw", "_bt", "sim")
-    rows = b.rows.select(F.col("_t").alias("_bt"), *order)
-    if n == 1:
-        gated = gated.join(hits, ["_kw", "_bt"])
-        own = Window.partitionBy("_bt").orderBy(*order)
-        rows = rows.withColumn("_m", F.row_number().over(own)).filter(F.col("_m") <= k).drop("_m")
-        gated = gated.join(rows, "_bt")
-    else:
-        gated = gated.join(rows, "_bt").join(hits.drop("_bt"), ["_kw", b_key])
-    best = Window.partitionBy("_qt", "_kw").orderBy(F.col("sim").desc(), *order)
-    gated = gated.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k).select("_qt", "_kw", *order, "sim")
-    found = found.unionByName(asked.join(gated, ["_qt", "_kw"]).select(q_key, *order, "sim"))
-    return _filled(found, asked, b.rows, q_key=q_key, b_key=b_key, order=order, k=k, exclude_self=False)
-
-
-def _keyword_hits(keywords: DataFrame, bank: bags.Bags, texts: DataFrame, b_key: str, b_text: str, n: int) -> DataFrame:
-    """``_kw, _bt``: the bags that have each keyword; for longer keywords ``_kw, _bt, b_key``, tested on the text."""
-    tokens = bank.words("b").select("_bt", F.col("_w").alias("_tok"))
-    found = _words_with(keywords, tokens.select("_tok").distinct()).join(tokens, "_tok").select("_kw", "_bt").distinct()
-    if n == 1:
-        return found
-    rows = bank.rows.select(F.col("_t").alias("_bt"), b_key).join(texts.select(b_key, casefold(b_text).alias("_nl")), b_key)
-    return found.join(rows, "_bt").filter(F.contains("_nl", "_kw")).select("_kw", "_bt", b_key)
+    tokens = b.words("b").select("_bt", F.col("_w").alias("_tok"))
+    kws = each.select("_kw").where("_kw <> ''").distinct()
+    hits = _words_with(kws, tokens.select("_tok").distinct()).join(tokens, "_tok").select("_kw", "_bt").distinct()
+    hits = write_stage(hits, "gate-hits")
+    open_ = each.join(hits.select("_kw").distinct(), "_kw", "left_anti")
+    plain = bags.pairs(q, b, k, direct_rows=1 << 62)  # a gate may let any pair in
+    let_in = plain.join(each, ["_g", "_qt"]).join(hits, ["_kw", "_bt"]).unionByName(plain.join(open_, ["_g", "_qt"]))
+    found = bags.best_lists(let_in, b, k, ["_g", "_qt", "_kw"])
+    return bags.ranked(asked.join(found, ["_g", "_qt", "_kw"], "left"), q_key, _first_rows(b, k), k)
+
+
+def _long_keyword_gate(queries: DataFrame, bank: DataFrame, order: list[str], *, q_key: str, b_key: str, q_text: str,
+                       b_text: str, k: int, n: int) -> DataFrame:
+    """Keywords of several words are tested on texts: each is a group of the rows that have it."""
+    rows = write_stage(keyword_rows(queries, bank, b_key=b_key, q_text=q_text, b_text=b_text, n=n), "gate-rows")
+    hit = rows.select("_kw").distinct()
+    q = bags.index(queries.join(hit, "_kw", "left_semi"), [q_key], q_text, "_kw")
+    b = bags.index_best(bank.join(rows, b_key), order, b_text, k, "_kw")
+    found = bags.best_lists(bags.pairs(q, b, k), b, k, ["_g", "_qt"])
+    asked = q.rows.withColumnRenamed("_t", "_qt").join(found, ["_g", "_qt"], "left")
+    gated = bags.ranked(asked, q_key, _first_of(bank, order, k), k)
+    return gated.unionByName(token_topk(queries.join(hit, "_kw", "left_anti"), bank, q_key=q_key, b_key=b_key, q_text=q_text,
+                                        b_text=b_text, k=k, tie_cols=order[:-1]))
 
 
 def keyword_stats(queries: DataFrame, bank: DataFrame, *, b_key: str, q_text: str, b_text: str, n: int = 1,
@@ -275,13 +247,18 @@ def _threshold_rank_texts(queries: DataFrame, bank: DataFrame, *, q_key: str, b_
     kk = k + int(exclude_self)
     gq, gb = bags.index(queries, [q_key], q_gate), bags.index(bank, [b_key], b_gate)
     passed = write_stage(bags.pairs_above(gq, gb, threshold).select("_qt", "_bt"), "gate-passed")
-    asked = gq.rows.select(q_key, F.col("_t").alias("_qt")).join(passed, "_qt").select(q_key, F.col("_bt").alias("_gate"))
-    held = gb.rows.select(b_key, F.col("_t").alias("_gate")).join(passed.select(F.col("_bt").alias("_gate")).distinct(), "_gate", "left_semi")
+    asked = gq.rows.select(q_key, F.col("_t").alias("_qt")).join(passed, "_qt").select(q_key, F.hex("_bt").alias("_gate"))
+    held = gb.rows.select(b_key, F.col("_t").alias("_bt")).join(passed.select("_bt").distinct(), "_bt", "left_semi")
     q = bags.index(queries.join(asked, q_key), [q_key], q_rank, "_gate")
-    b = bags.index(bank.join(held, b_key), order, b_rank, "_gate")
-    related = _best_rows(bags.pairs(q, b, kk), b, order, kk)
-    found = q.rows.select(q_key, "_g", F.col("_t").alias("_qt")).join(related, ["_g", "_qt"]).select(q_key, *order, "sim")
-    return _filled(found, queries, bank, q_key=q_key, b_key=b_key, order=order, k=k, exclude_self=exclude_self)
+    b = bags.index_best(bank.join(held.select(b_key, F.hex("_bt").alias("_gate")), b_key), order, b_rank, kk, "_gate")
+    found = bags.best_lists(bags.pairs(q, b, kk), b, kk, ["_g", "_qt"])
+    found = q.rows.withColumnRenamed("_t", "_qt").join(found, ["_g", "_qt"])
+    # the best of all groups that a question passes
+    best = Window.partitionBy(q_key).orderBy("r")
+    found = found.select(q_key, F.explode("_found").alias("r")).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= kk)
+    found = found.groupBy(q_key).agg(F.collect_list("r").alias("_found"))
+    return bags.ranked(queries.select(q_key).join(found, q_key, "left"), q_key, _first_of(bank, order, kk), k,
+                       b_key if exclude_self else None)
 
 
 # ------------------------------------------------------------ table, then question
@@ -293,12 +270,10 @@ def head_topk(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str, q_
     The words of all bank texts are one constant for each question bag; only
     other words are joined.
     """
-    q, b = bags.index(queries, [q_key], q_text), bags.index(bank, [b_key], b_text)
-    firsts = b.rows.groupBy(F.col("_t").alias("_bt")).agg(F.min(b_key).alias(b_key))
-    related = _best_rows(bags.pairs_with_constant(q, b, firsts, k, [b_key]), b, [b_key], k)
-    keys = q.rows.select(q_key, "_g", F.col("_t").alias("_qt"))
-    found = keys.join(related, ["_g", "_qt"]).select(q_key, b_key, "sim")
-    return _filled(found, keys, b.rows, q_key=q_key, b_key=b_key, order=[b_key], k=k, exclude_self=False)
+    q, b = bags.index(queries, [q_key], q_text), bags.index_best(bank, [b_key], b_text, k)
+    found = bags.best_lists(bags.pairs_with_constant(q, b, k), b, k, ["_g", "_qt"])
+    asked = q.rows.withColumnRenamed("_t", "_qt").join(found, ["_g", "_qt"], "left")
+    return bags.ranked(asked, q_key, _first_rows(b, k), k)
 
 
 def table_then_question(questions: DataFrame, bank: DataFrame, q_heads: DataFrame,
@@ -338,31 +313,62 @@ def table_then_question(questions: DataFrame, bank: DataFrame, q_heads: DataFram
 # ------------------------------------------------------------ row selection
 
 
+ROW_BUCKET = 4096  # rows of a table that meet in one place
+IN_PLACE = 1 << 22  # word comparisons of a row with its question in place
+
+
+def _joined_dot(q: F.Column, r: F.Column) -> F.Column:
+    """Sum of products over two long word lists, by sorting their words together."""
+    both = F.array_sort(F.concat(q, r))  # a shared word stands twice in a row
+    step = lambda acc, x: F.struct(
+        F.when(acc["w"] == x["w"], acc["s"] + acc["n"] * x["n"]).otherwise(acc["s"]).alias("s"), x["w"].alias("w"), x["n"].alias("n"))
+    start = F.struct(F.lit(0).cast("long").alias("s"), F.lit(None).cast("string").alias("w"), F.lit(0).cast("long").alias("n"))
+    return F.aggregate(both, start, step, lambda acc: acc["s"])
+
+
 def select_rows(rows: DataFrame, questions: DataFrame, *, k: int = 5) -> DataFrame:
     """The ``k`` table rows most similar to the table's question, most similar
     first, appended to the header piece with ROWSEP.
 
     ``rows``: ``table_id, row_idx, row_text`` (row_idx 0 is the header piece);
-    ``questions``: ``table_id, question``. Pairs are formed inside a table
-    only (grouped tiles). Returns ``table_id, text``.
+    ``questions``: ``table_id, question``, one per table. A row meets its
+    question where both lie: rows are dealt by (table, bucket of ``ROW_BUCKET``
+    rows), the question goes to every bucket of its table, and the words of both
+    are compared in place (shared words first, by a hash set). The best of each
+    bucket meet once more. Lines whose distinct words times the question's exceed
+    ``IN_PLACE`` are scored by joined words instead. Returns ``table_id, text``.
     """
     from tessera.functions.literals import ROWSEP
 
-    body = rows.filter(F.col("row_idx") > 0)
-    q = questions.withColumn("qkey", F.col("table_id"))
-    top = sparse_topk(q, body, q_key="qkey", b_key="row_idx", q_text="question", b_text="row_text",
-                      k=k, group="table_id")
-    picked = top.join(body.select(F.col("table_id").alias("qkey"), "row_idx", "row_text"),
-                      ["qkey", "row_idx"])
-    sel = (picked.groupBy(F.col("qkey").alias("table_id"))
-                 .agg(F.array_join(F.transform(F.array_sort(F.collect_list(
-                     F.struct("rank", "row_text"))), lambda s: s["row_text"]), ROWSEP).alias("sel")))
-    header = rows.filter(F.col("row_idx") == 0).select("table_id", F.col("row_text").alias("head"))
-    return (header.join(sel, "table_id", "left")
-                  .select("table_id",
-                          F.when(F.col("sel").isNull(), F.col("head"))
-                           .otherwise(F.concat(F.col("head"), F.lit(ROWSEP), F.col("sel")))
-                           .alias("text")))
+    bucket = F.floor(F.col("row_idx") / F.lit(ROW_BUCKET))
+    sizes = rows.groupBy("table_id").agg(F.max(bucket).alias("_last"))
+    bag = lambda c: F.coalesce(F.array_sort(words(c)), F.array().cast("array<string>"))
+    asked = questions.join(sizes, "table_id").withColumn("_bag", bag("question")).withColumn("_q", bags.counted(F.col("_bag")))
+    asked = asked.select("table_id", "_q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("_b"))
+    lines = rows.withColumn("_b", bucket).join(asked, ["table_id", "_b"], "left")
+    lines = lines.withColumn("_bag", bag("row_text")).withColumn("_r", bags.counted(F.col("_bag"))).drop("_bag")
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x["n"] * x["n"]).cast("double"))
+    only = lambda c: F.filter(c, lambda x: F.array_contains(F.col("_common"), x["w"]))
+    lines = lines.withColumn("_common", F.array_intersect(F.transform("_q", lambda x: x["w"]), F.transform("_r", lambda x: x["w"])))
+    # both are sorted by word, so the shared words stand at the same places
+    in_place = F.size("_common") * F.greatest(F.size("_q"), F.size("_r")) <= F.lit(IN_PLACE)
+    dot = F.aggregate(F.zip_with(only("_q"), only("_r"), lambda a, b: a["n"] * b["n"]), F.lit(0).cast("long"), lambda s, x: s + x)
+    lines = lines.withColumn("_dot", F.when(in_place, dot).otherwise(_joined_dot(F.col("_q"), F.col("_r"))))
+    sim = F.when(F.col("_dot") > 0, F.round(F.col("_dot") / norm("_q") / norm("_r"), 6)).otherwise(F.lit(0.0))
+    body = lines.where((F.col("row_idx") > 0) & F.col("_q").isNotNull())
+    body = body.select("table_id", "_b", F.struct((-sim).alias("neg"), "row_idx", "row_text").alias("r"))
+    near = Window.partitionBy("table_id", "_b").orderBy("r")
+    best = body.withColumn("_n", F.row_number().over(near)).where(F.col("_n") <= k)
+    whole = Window.partitionBy("table_id").orderBy("r")
+    best = best.withColumn("_n", F.row_number().over(whole)).where(F.col("_n") <= k).select("table_id", "r", F.lit(None).cast("string").alias("head"))
+    heads = rows.filter(F.col("row_idx") == 0).select("table_id", F.lit(None).cast(best.schema["r"].dataType).alias("r"),
+                                                      F.struct("row_text").alias("head"))
+    every = best.withColumn("head", F.lit(None).cast("struct<row_text:string>")).unionByName(heads)
+    out = every.groupBy("table_id").agg(F.max("head").alias("head"), F.array_sort(F.collect_list("r")).alias("sel"))
+    out = out.where("head is not null")
+    sel = F.array_join(F.transform("sel", lambda s: s["row_text"]), ROWSEP)
+    return out.select("table_id", F.when(F.size("sel") == 0, F.col("head.row_text"))
+                      .otherwise(F.concat(F.col("head.row_text"), F.lit(ROWSEP), sel)).alias("text"))
 
 
 # ------------------------------------------------------------ random few-shot

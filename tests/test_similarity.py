@@ -240,3 +240,77 @@ def test_bad_vectors_score_zero(spark):
                               "b long, v array<double>")
     got = spark_topk(S.vector_topk(q, b, q_key="q", b_key="b", q_vec="v", b_vec="v", k=2), "q", "b")
     assert got == {1: [(11, 1.0), (12, 0.0)], 2: [(11, 0.0), (12, 0.0)], 3: [(13, 1.0), (11, 0.0)], 4: [(11, 0.0), (12, 0.0)]}
+
+
+@pytest.mark.parametrize("sets", [False, True])
+def test_bounds_give_the_scores_of_the_direct_join(spark, sets):
+    """Both ways of scoring equal brute force, ties and repeated texts included."""
+    rng = np.random.default_rng(21)
+    vocab = [f"w{k}" for k in range(40)]
+    share = 1.0 / np.arange(1, 41)
+    text = lambda: " ".join(rng.choice(vocab, size=int(rng.integers(0, 9)), p=share / share.sum()))
+    qs, bs = [text() for _ in range(25)], [text() for _ in range(70)]
+    bs[30:36] = [bs[5]] * 6
+    q = spark.createDataFrame(list(enumerate(qs)), "q long, t string")
+    b = spark.createDataFrame(list(enumerate(bs)), "b long, t string")
+    words = sorted(set(vocab))
+    count = lambda texts: np.array([[(min(1, t.split().count(w)) if sets else t.split().count(w)) for w in words] for t in texts], float)
+    mq, mb = count(qs), count(bs)
+    dot, nq, nb = mq @ mb.T, (mq * mq).sum(1), (mb * mb).sum(1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        s = dot / (nq[:, None] + nb[None] - dot) if sets else dot / np.sqrt(nq)[:, None] / np.sqrt(nb)[None]
+    want = brute_topk(np.nan_to_num(s), list(range(25)), list(range(70)), list(range(70)), 3)
+    for direct in (None, 0):  # 0: by bounds
+        got = spark_topk(S.token_topk(q, b, q_key="q", b_key="b", q_text="t", b_text="t", k=3, sets=sets, direct_rows=direct), "q", "b")
+        assert got == want
+
+
+def test_heads_share_a_constant(spark):
+    rng = np.random.default_rng(22)
+    head = lambda: "turn role text " + " ".join(rng.choice(["user", "text", "hello", "there", "role"], size=int(rng.integers(0, 4))))
+    qs, bs = [head() for _ in range(20)] + ["", "other words"], [head() for _ in range(50)]
+    q = spark.createDataFrame(list(enumerate(qs)), "q long, t string")
+    b = spark.createDataFrame(list(enumerate(bs)), "b long, t string")
+    cols = dict(q_key="q", b_key="b", q_text="t", b_text="t", k=2)
+    assert spark_topk(S.head_topk(q, b, **cols), "q", "b") == spark_topk(S.token_topk(q, b, **cols), "q", "b")
+
+
+def test_two_signals_on_texts_equal_brute_force(spark):
+    rng = np.random.default_rng(23)
+    gates = ["a1 b1 c1", "a1 b1 c1 d1", "x1 y1", "", "a1 b1"]
+    rank = lambda: " ".join(rng.choice(["red", "fox", "blue", "sky"], size=3))
+    qs = [(k, gates[k % 5], rank()) for k in range(15)]
+    bs = [(k, gates[int(rng.integers(0, 5))], rank()) for k in range(40)]
+    q = spark.createDataFrame(qs, "q long, g string, r string")
+    b = spark.createDataFrame(bs, "b long, g string, r string")
+
+    def cos(x, y):
+        words = sorted(set(x.split()) | set(y.split()))
+        u, v = (np.array([t.split().count(w) for w in words], float) for t in (x, y))
+        return u @ v / np.sqrt(u @ u) / np.sqrt(v @ v) if u.sum() and v.sum() else 0.0
+
+    s = np.array([[cos(x[2], y[2]) if cos(x[1], y[1]) > 0.8 else 0.0 for y in bs] for x in qs])
+    got = spark_topk(S.threshold_rank_topk(q, b, q_key="q", b_key="b", q_gate="g", b_gate="g", q_rank="r", b_rank="r", k=3,
+                                           threshold=0.8, kind="sparse"), "q", "b")
+    assert got == brute_topk(s, list(range(15)), list(range(40)), list(range(40)), 3)
+
+
+def test_row_selection_over_buckets_and_long_lines(spark, monkeypatch):
+    monkeypatch.setattr(S, "ROW_BUCKET", 3)
+    rng = np.random.default_rng(24)
+    line = lambda: " ".join(rng.choice(["aa", "bb", "cc", "dd"], size=int(rng.integers(0, 6))))
+    rows = [(t, k, line()) for t in ("x", "y", "z") for k in range(1 if t == "z" else 20)]
+    df = spark.createDataFrame(rows, "table_id string, row_idx long, row_text string")
+    qs = df.where("row_idx = 0").select("table_id", F.col("row_text").alias("question"))
+    out = {r["table_id"]: r["text"] for r in S.select_rows(df, qs, k=4).collect()}
+    monkeypatch.setattr(S, "IN_PLACE", 0)
+    assert {r["table_id"]: r["text"] for r in S.select_rows(df, qs, k=4).collect()} == out
+    from tessera.functions.literals import ROWSEP
+    for t in ("x", "y", "z"):
+        own = [r[2] for r in rows if r[0] == t]
+        body = [(k, own[k]) for k in range(1, len(own))]
+        words = ["aa", "bb", "cc", "dd"]
+        vec = lambda s: np.array([s.split().count(w) for w in words], float)
+        sim = lambda a, b: float(a @ b / np.sqrt(a @ a) / np.sqrt(b @ b)) if a.any() and b.any() else 0.0
+        best = sorted(body, key=lambda r: (-round(sim(vec(own[0]), vec(r[1])), 6), r[0]))[:4]
+        assert out[t] == ROWSEP.join([own[0], *(r[1] for r in best)])
