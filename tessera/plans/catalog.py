@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as TX
@@ -513,27 +513,44 @@ def q_src_questions_tsv(spark, d):
     return files.read_questions_tsv(spark, path)
 
 
-@register("src_bank_json", "WITH " + roles.CODE_SQL + """
+BANK_JSON_SQL = "WITH " + roles.CODE_SQL + """
 SELECT p.p_brand AS table_id, c.code, p.p_name AS question, c.pred AS prompt,
        CAST(p.p_retailprice AS VARCHAR) AS answer, CAST(p.p_size AS VARCHAR) AS prediction,
        CASE WHEN p.p_size > 30 THEN 1 WHEN p.p_size > 10 THEN 0 ELSE -1 END AS correct,
        p.p_type AS reply, p.p_partkey AS seq
-FROM part p JOIN code c USING (p_partkey)""")
-def q_src_bank_json(spark, d):
-    from tessera.sources import files
+FROM part p JOIN code c USING (p_partkey)"""
+
+
+def _bank_records(spark, d):
     p = roles.table(spark, d, "part")
     c = roles.code_strings(spark, d)
-    recs = p.join(c, "p_partkey").select(
+    return p.join(c, "p_partkey").select(
         F.col("p_brand").alias("table_id"), "code", F.col("p_name").alias("question"),
         F.col("pred").alias("prompt"), F.col("p_retailprice").cast("string").alias("answer"),
         F.col("p_size").cast("string").alias("prediction"),
         F.when(F.col("p_size") > 30, 1).when(F.col("p_size") > 10, 0).otherwise(-1).alias("correct"),
         F.col("p_type").alias("reply"), F.col("p_partkey").alias("seq"))
+
+
+@register("src_bank_json", BANK_JSON_SQL)
+def q_src_bank_json(spark, d):
+    from tessera.sources import files
     path = _scratch(spark, "bank-json")
-    files.write_json_records(recs, path)
+    files.write_json_records(_bank_records(spark, d), path)
     return files.read_bank_json(spark, path)
 
 
+@register("src_bank_json_array", BANK_JSON_SQL)
+def q_src_bank_json_array(spark, d):
+    """The bank as arrays of records, one array a table, cut at the bounds of its records."""
+    from tessera.sources import files
+    path = _scratch(spark, "bank-array")
+    recs = _bank_records(spark, d)
+    arrays = recs.groupBy("table_id").agg(F.to_json(F.collect_list(F.struct(*recs.columns))).alias("array"))
+    arrays.select("array").write.text(path)
+    return files.read_bank_json(spark, path, array_file=True)
+
+
 @register("src_results_jsonl", """
 SELECT CAST(doc_id AS VARCHAR) AS key, CAST(quality AS VARCHAR) AS prediction FROM labels""")
 def q_src_results_jsonl(spark, d):
@@ -573,8 +590,8 @@ def q_src_pipe_tables(spark, d):
     texts = _nation_pipe_text(spark, d)
     path = _scratch(spark, "pipe-tables")
     texts.write.mode("overwrite").partitionBy("table_id").text(path)
-    return tables.parse_pipe_tables(
-        spark.read.text(path, wholetext=True).select("table_id", F.col("value").alias("raw")))
+    return tables.read_pipe_tables(spark, path).withColumn(
+        "table_id", F.regexp_extract("table_id", "table_id=([^/]+)", 1))
 
 
 @register("ingest_chain", """
@@ -621,6 +638,39 @@ def q_src_html_tables(spark, d):
     return tables.parse_html_tables(html)
 
 
+SPANNED_SQL = """
+WITH o AS (SELECT o_custkey, o_orderkey, o_orderstatus, o_totalprice, o_orderpriority,
+                  CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS BIGINT) AS row_idx
+           FROM orders)
+SELECT CAST(o_custkey AS VARCHAR) AS table_id, row_idx, 0::BIGINT AS col_idx, 'Customer' AS col_name,
+       'Customer ' || o_custkey || chr(233) AS value FROM o
+UNION ALL SELECT CAST(o_custkey AS VARCHAR), row_idx, 1, 'Key', CAST(o_orderkey AS VARCHAR) FROM o
+UNION ALL SELECT CAST(o_custkey AS VARCHAR), row_idx, 2, 'Status',
+       CASE WHEN o_orderstatus = 'O' THEN o_orderpriority ELSE o_orderstatus END FROM o
+UNION ALL SELECT CAST(o_custkey AS VARCHAR), row_idx, 3, 'Priority', o_orderpriority FROM o"""
+
+
+@register("src_html_spans", SPANNED_SQL)
+def q_src_html_spans(spark, d):
+    """Orders of each customer as a table with spans: the customer's cell covers all rows, a heading
+    of two levels, one cell over two columns where an order is open, character references."""
+    from tessera.operators.sequence import ordered_concat
+    from tessera.sources import tables
+    o = roles.table(spark, d, "orders").withColumn("page_id", F.col("o_custkey").cast("string"))
+    first = F.row_number().over(Window.partitionBy("page_id").orderBy("o_orderkey")) == 1
+    two = F.when(F.col("o_orderstatus") == "O", F.concat(F.lit("<td colspan='2'>"), "o_orderpriority", F.lit("</td>"))).otherwise(
+        F.concat(F.lit("<td>"), "o_orderstatus", F.lit("</td><td>"), "o_orderpriority", F.lit("</td>")))
+    tr = F.concat(F.lit("<tr>"),
+                  F.when(first, F.concat(F.lit("<td rowspan=0>Customer "), "page_id", F.lit("&#xE9;</td>"))).otherwise(""),
+                  F.lit("<td>"), F.col("o_orderkey").cast("string"), F.lit("</td>"), two, F.lit("</tr>"))
+    body = ordered_concat(o.withColumn("tr", tr), "page_id", "o_orderkey", "tr", "\n")
+    html = body.select("page_id", F.concat(
+        F.lit("<!-- <table> --><table><tr><th rowspan=2>Customer</th><th colspan=3>Order</th></tr>"
+              "<tr><th>Key</th><th>Status</th><th>Priority</th></tr>\n"),
+        F.col("tr"), F.lit("</table><table><tr><td>next</td></tr></table>")).alias("html"))
+    return tables.parse_html_tables(html)
+
+
 @register("snk_prompt_json", "WITH " + roles.QUESTIONS_SQL + " SELECT qid, question, table_id FROM questions")
 def q_snk_prompt_json(spark, d):
     from tessera.sources import files

@@ -1,8 +1,8 @@
 """Readers and writers of question sets, example banks, prompts and logs.
 
 Every reader takes an explicit schema (no inference pass over the data).
-Question sets are written one record per line, so they split per block. JSON arrays (one array per file, as small hand-made banks are stored) are
-read with ``multiLine``; at scale write JSON lines, which split per block.
+Question sets are written one record per line, so they split per block. A JSON
+array file is cut at the bounds of its records and splits per block as well.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.sources.splits import json_records, read_pieces
+
 QUESTION_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("utterance", T.StringType()),
@@ -78,12 +80,12 @@ def write_questions_tsv(df: DataFrame, path: str) -> None:
 
 def read_bank_json(spark: SparkSession, path: str, schema: T.StructType = BANK_SCHEMA,
                    array_file: bool = False) -> DataFrame:
-    """Example bank: JSON lines, or (``array_file``) one JSON array per file.
+    """Example bank: JSON lines, or (``array_file``) files of JSON arrays.
     Answers and predictions are read as strings, never inferred."""
-    r = spark.read.schema(schema)
     if array_file:
-        r = r.option("multiLine", True)
-    return r.json(path)
+        records = json_records(read_pieces(spark, path, "}"))
+        return records.select(F.from_json("json", schema).alias("r")).select("r.*")
+    return spark.read.schema(schema).json(path)
 
 
 def read_results_jsonl(spark: SparkSession, path: str, schema: T.StructType = RESULT_SCHEMA) -> DataFrame:

@@ -1,107 +1,219 @@
 """Small semi-structured tables -> the long cell table, with Spark built-ins.
 
 ``cells(table_id, row_idx, col_idx, col_name, value)``: one DataFrame for
-all tables. Parsing is ``split``/``regexp_extract_all`` + ``posexplode``; a
-table's rows are spread over tasks like any other rows.
+all tables. Parsing is ``split`` + ``posexplode``, windows and, for spans, a
+fold; a table's rows are spread over tasks like any other rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+from html.entities import name2codepoint
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.literals import PIPE_RE, PIPE_RE2
 from tessera.functions.text import py_strip
+from tessera.operators.sequence import BUCKET
+from tessera.sources.splits import read_pieces, running
+
 
+def read_pipe_tables(spark: SparkSession, path: str) -> DataFrame:
+    """Cells of every pipe-text file under ``path``; ``table_id`` is the file path.
 
-def read_text_tables(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: ``table_id`` (the file path), ``raw`` (its text)."""
-    return (spark.read.text(path, wholetext=True)
-            .select(F.col("_metadata.file_path").alias("table_id"), F.col("value").alias("raw")))
+    Files are read line by line in blocks (see ``splits``): none is one value.
+    """
+    lines = read_pieces(spark, path)
+    return parse_pipe_lines(lines.select(F.col("file").alias("table_id"), "block", "place",
+                                         F.regexp_replace("piece", "\r$", "").alias("line")))
 
 
 def parse_pipe_tables(raw: DataFrame) -> DataFrame:
-    """``raw(table_id, raw)`` pipe text -> cells.
+    """``raw(table_id, raw)``, one text a table -> cells, as ``parse_pipe_lines`` gives them."""
+    lines = raw.select("table_id", F.posexplode(F.split(F.col("raw"), "\r?\n", -1)).alias("place", "line"))
+    return parse_pipe_lines(lines.withColumn("block", F.floor(F.col("place") / F.lit(BUCKET))))
+
+
+def parse_pipe_lines(lines: DataFrame) -> DataFrame:
+    """``lines(table_id, block, place, line)``, in order of (block, place) -> cells.
 
     Lines split on PIPE_RE with the border columns dropped. A table where a
     row has more cells than the header (a ragged table, which the first
     reading rejects) is split on PIPE_RE2 instead, keeping every column,
     each cell stripped. A row shorter than the header ends in null cells.
-    Blank lines are skipped; the first line is the header.
+    Blank lines are skipped; the first other line is the header. Rows are
+    numbered by blocks, so a huge table is not one task; the header meets a
+    row last, just before the row becomes cells.
     """
-    lines = (raw.select("table_id", F.posexplode(F.split(F.col("raw"), "\r?\n", -1))
-                        .alias("line_idx", "line"))
-                .filter(F.trim(F.col("line")) != ""))
-    p1 = F.split(F.col("line"), PIPE_RE, -1)
-    p1 = F.slice(p1, 2, F.greatest(F.size(p1) - 2, F.lit(0)))
-    lines = lines.withColumn("_p1", p1)
+    def plain(line):
+        parts = F.split(line, PIPE_RE, -1)
+        return F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
+
+    def ragged(line):
+        return F.transform(F.split(line, PIPE_RE2, -1), lambda x: py_strip(x))
+
+    lines = lines.filter(F.trim(F.col("line")) != "")
     shape = (lines.groupBy("table_id")
-                  .agg(F.min_by("_p1", "line_idx").alias("_h1"),
-                       F.min("line_idx").alias("_hidx"),
-                       F.max(F.size("_p1")).alias("_w"),
-                       F.min_by(F.col("line"), F.col("line_idx")).alias("_hline")))
-    shape = shape.withColumn("_ragged", F.col("_w") > F.size("_h1"))
-    j = lines.join(shape, "table_id")
-    p2 = F.transform(F.split(F.col("line"), PIPE_RE2, -1), lambda x: py_strip(x))
-    h2 = F.transform(F.split(F.col("_hline"), PIPE_RE2, -1), lambda x: py_strip(x))
-    j = j.select("table_id", "line_idx", "_hidx",
-                 F.when(F.col("_ragged"), p2).otherwise(F.col("_p1")).alias("cells"),
-                 F.when(F.col("_ragged"), h2).otherwise(F.col("_h1")).alias("header"))
+                  .agg(F.min_by("line", F.struct("block", "place")).alias("_hline"),
+                       F.max(F.size(plain(F.col("line")))).alias("_w")))
+    shape = shape.withColumn("_ragged", F.col("_w") > F.size(plain(F.col("_hline"))))
+    shape = shape.select("table_id", "_ragged", F.when(F.col("_ragged"), ragged(F.col("_hline")))
+                         .otherwise(plain(F.col("_hline"))).alias("header"))
+    data = running(lines, {"_n": F.lit(1)}, "table_id").filter(F.col("_n") > 1)
+    j = data.join(shape, "table_id").withColumn(
+        "cells", F.when(F.col("_ragged"), ragged(F.col("line"))).otherwise(plain(F.col("line"))))
     missing = F.greatest(F.size("header") - F.size("cells"), F.lit(0))
-    data = j.filter(F.col("line_idx") > F.col("_hidx")).withColumn(
-        "cells", F.concat("cells", F.array_repeat(F.lit(None).cast("string"), missing)))
-    # row_idx = rank among the non-blank data lines (dense, as renderers
-    # assume), by the skew-safe running count: a huge table is not one task
-    from tessera.operators.sequence import positions
-    data = positions(data, "table_id", ["line_idx"], "row_idx").withColumn(
-        "row_idx", F.col("row_idx") - 1)
-    cells = data.select("table_id", "row_idx", "header",
-                        F.posexplode("cells").alias("col_idx", "value"))
-    return cells.select("table_id", F.col("row_idx").cast("long"), F.col("col_idx").cast("long"),
+    cells = j.select("table_id", (F.col("_n") - 2).cast("long").alias("row_idx"), "header", F.posexplode(
+        F.concat("cells", F.array_repeat(F.lit(None).cast("string"), missing))).alias("col_idx", "value"))
+    return cells.select("table_id", "row_idx", F.col("col_idx").cast("long"),
                         F.get(F.col("header"), F.col("col_idx")).alias("col_name"), "value")
 
 
-def read_pipe_tables(spark: SparkSession, path: str) -> DataFrame:
-    return parse_pipe_tables(read_text_tables(spark, path))
+_HIDDEN_RE = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b[^<>]*>.*?(?:</\1\s*>|\z)"
+_PART_RE = r"(?i)<(?=/?(?:table|tr|td|th)[\s/>])"
+_TAG_RE = r"""(?s)^(?:[^>"']|"[^"]*+"|'[^']*+')*+>(.*)$"""
+_MARKUP_RE = r"</?[A-Za-z!][^<>]*>"
+_REF_RE = r"(?s)^(#[xX][0-9a-fA-F]+|#[0-9]+|[A-Za-z][A-Za-z0-9]*(?=;));?(.*)$"
+MAX_ROWSPAN, MAX_COLSPAN = 65534, 1000  # fixed values: larger spans in HTML count as these
+
 
+def _references(c) -> Column:
+    """Character references replaced: numbers in both bases, names closed by ``;``.
 
-_TABLE_RE = r"(?is)<table[^>]*>(.*?)</table>"
-_TR_RE = r"(?is)<tr[^>]*>(.*?)</tr>"
-_CELL_RE = r"(?is)<t[hd][^>]*>(.*?)</t[hd]>"
-_TD_RE = r"(?i)<td"
+    A no-break space is a space; a number of no character is U+FFFD; unknown
+    names stay as written.
+    """
+    names = F.from_json(F.lit(json.dumps({n: chr(v) for n, v in name2codepoint.items()} | {"apos": "'"})),
+                        "map<string,string>")
+    c1 = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(128, 160))
+
+    def char(ref):
+        digits = F.regexp_replace(ref, "^#[xX]?0*", "")
+        code = F.when(F.length(digits) > 7, F.lit(0)).when(
+            ref.rlike("^#[xX]"), F.conv(F.concat(F.lit("0"), digits), 16, 10).cast("long")).otherwise(
+            F.concat(F.lit("0"), digits).try_cast("long"))
+        valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
+        shown = F.when(valid, code).otherwise(F.lit(0xFFFD))
+        return F.when(shown.between(128, 159), F.substring(F.lit(c1), (shown - 127).cast("int"), F.lit(1))).otherwise(
+            F.decode(F.unhex(F.lpad(F.hex(shown), 8, "0")), "UTF-32"))
+
+    def piece(p, i):
+        ref = F.regexp_extract(p, _REF_RE, 1)
+        put = F.when(ref == "", F.lit(None)).when(ref.startswith("#"), char(ref)).otherwise(F.try_element_at(names, ref))
+        return F.when(i == 0, p).when(put.isNull(), F.concat(F.lit("&"), p)).otherwise(
+            F.concat(put, F.regexp_extract(p, _REF_RE, 2)))
+
+    text = F.array_join(F.transform(F.split(c, "&", -1), piece), "")
+    return F.when(F.contains(c, F.lit("&")), F.replace(text, F.lit("\u00a0"), F.lit(" "))).otherwise(c)
+
+
+def _cell_text(c) -> Column:
+    return py_strip(_references(F.regexp_replace(c, _MARKUP_RE, "")))
+
+
+def _span(attrs, name: str, most: int) -> Column:
+    n = F.regexp_extract(attrs, rf"(?i)[\s/\"']{name}\s*=\s*[\"']?\s*([0-9]{{1,9}})", 1).try_cast("int")
+    return F.least(F.coalesce(n, F.lit(1)), F.lit(most))
+
+
+def _table_cells(pages: DataFrame, key: str) -> DataFrame:
+    """``table_id, _h, row, cells`` of each page's first table: every cell as it is
+    written, with its spans; ``_h`` tells pages of one key apart."""
+    t = pages.filter(F.col("html").rlike(r"(?i)<table[\s/>]")).groupBy(
+        F.col(key).alias("table_id"), F.md5("html").alias("_h")).agg(F.any_value("html").alias("_t"))
+    src = F.replace(F.regexp_replace("_t", _HIDDEN_RE, ""), F.lit("\u0001"), F.lit(""))
+    parts = F.split(F.regexp_replace(src, _PART_RE, "\u0001"), "\u0001", -1)
+    t = t.select("table_id", "_h", F.posexplode(parts).alias("pos", "part")).filter("pos > 0")
+    t = t.select("table_id", "_h", "pos", "part", F.lower(F.regexp_extract("part", "^/?[A-Za-z]+", 0)).alias("tag"))
+    page = Window.partitionBy("table_id", "_h")
+    so_far = page.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    opens, closes = (F.col("tag") == "table").cast("int"), (F.col("tag") == "/table").cast("int")
+    t = t.withColumn("_open", F.sum(opens).over(so_far)).filter("_open > 0")
+    t = t.withColumn("depth", F.sum(opens - closes).over(so_far))
+    t = t.withColumn("_least", F.min("depth").over(so_far)).filter("_least > 0")
+    own = (F.col("depth") == 1) & ~F.col("tag").isin("table", "/table")
+    is_cell = own & F.col("tag").isin("td", "th")
+    t = t.select("*", is_cell.alias("_cell"),
+                 F.sum((own & (F.col("tag") == "tr")).cast("int")).over(so_far).alias("row"),
+                 F.sum(is_cell.cast("int")).over(so_far).alias("cell"),
+                 F.last(F.when(own, is_cell), ignorenulls=True).over(so_far).alias("_within"))
+    # what follows a cell's mark up to its end is its text, a nested table's text included
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.regexp_extract("part", _TAG_RE, 1).alias("s")))),
+                        lambda x: x["s"])
+    t = t.filter("_within").groupBy("table_id", "_h", "row", "cell").agg(
+        F.array_join(texts, "").alias("s"), F.max(F.when(F.col("_cell"), F.col("part"))).alias("_mark"))
+    attrs = F.regexp_extract("_mark", r"""(?s)^(?:[^>"']|"[^"]*+"|'[^']*+')*+""", 0)
+    down = _span(attrs, "rowspan", MAX_ROWSPAN)
+    one = F.struct("cell", F.col("_mark").rlike("(?i)^td").alias("data"),
+                   F.greatest(_span(attrs, "colspan", MAX_COLSPAN), F.lit(1)).alias("wide"),
+                   F.when(down == 0, MAX_ROWSPAN).otherwise(down).alias("down"),
+                   _cell_text(F.col("s")).alias("v"))
+    return t.groupBy("table_id", "_h", "row").agg(F.array_sort(F.collect_list(one)).alias("cells"))
+
+
+def _place(state, row) -> Column:
+    """One row of the grid: its cells go to the columns that no cell above covers.
+
+    ``carry`` has, for each column, the last row that its cell covers and its text.
+    """
+    at = row["row"].cast("long")
 
+    def covered(rest):
+        free = F.array_position(F.transform(rest, lambda c: c["until"] < at), F.lit(True)).cast("int")
+        return F.slice(rest, F.lit(1), F.when(free > 0, free - 1).otherwise(F.size(rest)))
 
-def _cell_text(c):
-    t = F.regexp_replace(c, r"<[^>]+>", "")
-    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-                    ("&nbsp;", " "), ("&apos;", "'"), ("&ndash;", "–"), ("&mdash;", "—"), ("&minus;", "−"), ("&deg;", "°"),
-                    ("&copy;", "©"), ("&middot;", "·"), ("&hellip;", "…"), ("&times;", "×"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(ent), F.lit(ch))
-    return py_strip(t)
+    def after(done):
+        return F.slice(state["carry"], F.size(done) + 1, F.size(state["carry"]))
+
+    def put(done, cell):
+        mine = F.struct((at + cell["down"] - 1).alias("until"), cell["v"].alias("v"))
+        return F.concat(done, covered(after(done)), F.array_repeat(mine, cell["wide"]))
+
+    none = F.slice(state["carry"], 1, 0)
+    placed = F.aggregate(row["cells"], none, put)
+    return F.aggregate(F.array(placed), none, lambda _, done: F.concat(done, F.transform(
+        after(done), lambda c: F.struct(c["until"].alias("until"),
+                                        F.when(c["until"] >= at, c["v"]).alias("v")))))
 
 
 def parse_html_tables(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """The first ``<table>`` of each page -> cells.
+    """The first ``<table>`` of each page -> cells of its grid.
 
+    A cell with ``rowspan`` or ``colspan`` stands in every place it covers; cells
+    of later rows move to the next free column; ``rowspan=0`` reaches to the end.
     Header = the last all-``th`` row before the first data row (the second
     level of a two-level header; a footer in ``th`` is no header); data rows =
-    rows holding a ``td``. Pages without a table give no rows.
+    rows holding a ``td``. A nested table is text of its cell. Comments, scripts
+    and styles are skipped, character references decoded. A table without an end
+    reaches to the page's end. Pages without a table, or null, give no rows; rows of one
+    key with the same page are read once. Other columns of ``pages`` are not read.
+
+    Marks are numbered by windows in the page (a page is one value already). Rows
+    that a span ties together are folded in order; other rows stand alone.
     """
-    t = pages.select(F.col(key).alias("table_id"),
-                     F.regexp_extract(F.col("html"), _TABLE_RE, 1).alias("_t"))
-    t = t.filter(F.col("_t") != "")
-    rows = F.regexp_extract_all(F.col("_t"), F.lit(_TR_RE), 1)
-    t = t.select("table_id", rows.alias("_rows"))
-    first = F.array_position(F.transform("_rows", lambda r: r.rlike(_TD_RE)), F.lit(True))  # 0: no data row
-    above = F.when(first > 0, F.slice("_rows", F.lit(1), first.cast("int") - 1)).otherwise(F.col("_rows"))
-    t = t.select("table_id", F.filter("_rows", lambda r: r.rlike(_TD_RE)).alias("_data"),
-                 F.try_element_at(above, F.lit(-1)).alias("_head"))
-    t = t.withColumn("header", F.transform(
-        F.coalesce(F.regexp_extract_all(F.col("_head"), F.lit(_CELL_RE), 1), F.array().cast("array<string>")),
-        lambda c: _cell_text(c)))
-    r = t.select("table_id", "header", F.posexplode("_data").alias("row_idx", "_row"))
-    c = r.select("table_id", "row_idx", "header",
-                 F.posexplode(F.regexp_extract_all(F.col("_row"), F.lit(_CELL_RE), 1)).alias("col_idx", "_v"))
-    return c.select("table_id", F.col("row_idx").cast("long"), F.col("col_idx").cast("long"),
-                    F.get(F.col("header"), F.col("col_idx")).alias("col_name"),
-                    _cell_text(F.col("_v")).alias("value"))
+    rows = _table_cells(pages, key)
+    page = Window.partitionBy("table_id", "_h")
+    above = page.orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.col("row") + F.array_max(F.transform("cells", lambda c: c["down"])) - 1
+    rows = rows.withColumn("_free", F.coalesce(F.max(reach).over(above) < F.col("row"), F.lit(True)).cast("int"))
+    rows = rows.withColumn("tied", F.sum("_free").over(page.orderBy("row").rowsBetween(Window.unboundedPreceding, 0)))
+    tied = rows.groupBy("table_id", "_h", "tied").agg(F.array_sort(F.collect_list(F.struct("row", "cells"))).alias("_rows"))
+    start = F.from_json(F.lit('{"carry": [], "out": []}'),
+                        "carry array<struct<until:bigint,v:string>>, out array<struct<row:bigint,data:boolean,vals:array<string>>>")
+
+    def step(state, row):
+        grid = _place(state, row)
+        return F.aggregate(F.array(grid), state, lambda s, g: F.struct(g.alias("carry"), F.concat(s["out"], F.array(F.struct(
+            row["row"].cast("long").alias("row"), F.exists(row["cells"], lambda c: c["data"]).alias("data"),
+            F.transform(g, lambda c: c["v"]).alias("vals")))).alias("out")))
+
+    grid = tied.select("table_id", "_h", F.inline(F.aggregate("_rows", start, step, lambda s: s["out"])))
+    grid = grid.withColumn("_first", F.min(F.when(F.col("data"), F.col("row"))).over(page))
+    head = F.max(F.when(F.col("row") < F.col("_first"), F.struct("row", "vals"))).over(page)
+    grid = grid.withColumn("_head", head["vals"]).filter("data")
+    number = F.row_number().over(page.orderBy("row"))
+    c = grid.withColumn("row_idx", (number - 1).cast("long")).select(
+        "table_id", "row_idx", "_head", F.posexplode("vals").alias("col_idx", "value"))
+    return c.select("table_id", "row_idx", F.col("col_idx").cast("long"),
+                    F.get(F.col("_head"), F.col("col_idx")).alias("col_name"), "value")

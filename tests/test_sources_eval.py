@@ -54,6 +54,109 @@ def test_bank_json_array_file(spark):
     assert got == [("Q", "12", 1), ("Q2", "x", -1)]  # answers stay strings
 
 
+def test_bank_json_array_of_many_blocks_equals_the_whole_file_reader(spark):
+    path = scratch_path(spark, "bank-blocks")
+    local = path[len("file:"):] if path.startswith("file:") else path
+    os.makedirs(local)
+    odd = ['{"a": [1, 2}', 'quote " and \\ slash', '}\\"}{', "", "line\nend", "\u00e9\U0001f600", "[" * 40, "\\\\", None]
+    recs = [{"table_id": f"csv/{i % 7}.csv", "question": odd[i % len(odd)], "prompt": odd[(i // 3) % len(odd)],
+             "code": "x}" * (i % 50), "answer": i, "correct": i % 2, "seq": i, "more": {"deep": [{"q": odd[i % 4]}]}}
+            for i in range(700)]
+    for name, indent, part in (("a", None, recs[:400]), ("b", 1, recs[400:]), ("empty", None, [])):
+        with open(os.path.join(local, name + ".json"), "w") as f:
+            json.dump(part, f, indent=indent, ensure_ascii=False)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+        assert files.read_pieces(spark, path, "}").rdd.getNumPartitions() > 8
+        got = sorted(files.read_bank_json(spark, path, array_file=True).collect(), key=lambda r: r.seq)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    whole = spark.read.schema(files.BANK_SCHEMA).option("multiLine", True).json(path)
+    assert got == sorted(whole.collect(), key=lambda r: r.seq) and len(got) == 700
+
+
+def test_bank_json_array_odd_files(spark):
+    def read(text):
+        path = scratch_path(spark, "bank-odd")
+        local = path[len("file:"):] if path.startswith("file:") else path
+        os.makedirs(local)
+        with open(os.path.join(local, "x.json"), "w") as f:
+            f.write(text)
+        return sorted((r.question for r in files.read_bank_json(spark, path, array_file=True).collect()), key=str)
+
+    assert read("") == [] and read("[]") == [] and read(" [ ]\n") == []
+    assert read('{"question": "one"}') == ["one"]
+    assert read('[null, 3, "a{", {"question": "x"}, {}]') == [None, "x"]
+    assert read('[{"question": "x"}, {"question": "cut') == ["x"]
+    assert read('[{"question": "x"}, {"question": "cut"') == ["x"]
+    assert read('[{"question": "x"}]\n[{"question": "y"}]\n') == ["x", "y"]
+
+
+def test_pipe_file_of_many_blocks(spark):
+    path = scratch_path(spark, "pipe-blocks")
+    local = path[len("file:"):] if path.startswith("file:") else path
+    os.makedirs(local)
+    with open(os.path.join(local, "big.table"), "w") as f:
+        f.write("\r\n| n | word |\r\n" + "".join(f"| {i} | w{i} |\r\n" + "\r\n" * (i % 3 == 0) for i in range(3000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+        cells = tables.read_pipe_tables(spark, path).toPandas()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    cells = cells.sort_values(["row_idx", "col_idx"])
+    assert list(cells.row_idx) == [i for i in range(3000) for _ in (0, 1)]
+    assert list(cells.value) == [v for i in range(3000) for v in (str(i), f"w{i}")]
+    assert list(cells.col_name[:2]) == ["n", "word"]
+
+
+def _grid(spark, html):
+    rows = tables.parse_html_tables(spark.createDataFrame([(1, html)], "page_id long, html string")).collect()
+    wide = {}
+    for r in rows:
+        wide.setdefault(r.row_idx, {})[r.col_idx] = r.value
+    names = {r.col_idx: r.col_name for r in rows}
+    return ([names[c] for c in sorted(names)],
+            [[wide[r].get(c) for c in range(max(wide[r]) + 1)] for r in sorted(wide)])
+
+
+def test_html_spans_nested_tables_and_references(spark):
+    head = "<tr><th>a</th><th>b</th><th>c</th></tr>"
+    # a cell down three rows in the middle column, one across after it
+    assert _grid(spark, f"<table>{head}<tr><td>1<td rowspan=3>m<td>2</tr><tr><td>3<td>4</tr><tr><td>5</td><td>6</table>") == (
+        ["a", "b", "c"], [["1", "m", "2"], ["3", "m", "4"], ["5", "m", "6"]])
+    assert _grid(spark, f"<table>{head}<tr><td colspan=2>w</td><td>x</td></tr><tr><td>1</td><td>2</td><td>3</td></tr></table>")[1] == [
+        ["w", "w", "x"], ["1", "2", "3"]]
+    # both at once; the next row starts beyond the block; a row without cells still counts
+    assert _grid(spark, f"<table>{head}<tr><td rowspan='2' colspan=\"2\">q</td><td>x</td></tr><tr><td>y</td></tr></table>")[1] == [
+        ["q", "q", "x"], ["q", "q", "y"]]
+    assert _grid(spark, f"<table>{head}<tr><td rowspan=2>q</td><td>x</td></tr><tr></tr><tr><td>y</td></tr></table>")[1] == [["q", "x"], ["y"]]
+    # a covered last column ends a short row; places that nothing covers are null
+    assert _grid(spark, f"<table>{head}<tr><td>1</td><td>2</td><td rowspan=2>z</td></tr><tr><td>3</td></tr></table>")[1] == [
+        ["1", "2", "z"], ["3", None, "z"]]
+    # a heading cell over two levels
+    assert _grid(spark, "<table><tr><th rowspan=2>k</th><th colspan=2>top</th></tr><tr><th>l</th><th>r</th></tr>"
+                 "<tr><td>1</td><td>2</td><td>3</td></tr></table>") == (["k", "l", "r"], [["1", "2", "3"]])
+    nested = "<table><tr><td>in</td><td>ner</td></tr></table>"
+    assert _grid(spark, f"</table><TABLE>{head}<tr><td>1</td><td>x{nested}y</td><td>3</td></tr><tr><td>4</td></tr></table>")[1] == [
+        ["1", "xinnery", "3"], ["4"]]
+    text = "&#233;&#xe9;&eacute; &amp;lt; &#128; &#0;&#xD800;&#99999999; &nope; &#65 &AT&T &minus;"
+    assert _grid(spark, f"<table><tr><th>a</th></tr><tr><td title='1 > 0'>{text}</td></tr></table>")[1] == [
+        ["\u00e9\u00e9\u00e9 &lt; \u20ac \ufffd\ufffd\ufffd &nope; A &AT&T \u2212"]]
+    assert _grid(spark, "<!-- <table><tr><td>no</td></tr></table> --><table><tr><td>1 < 2</td></tr>") == ([None], [["1 < 2"]])
+
+
+def test_html_tables_odd_rows(spark):
+    t = "<table><tr><th>a</th></tr><tr><td>1</td></tr></table>"
+    pages = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, t, "x"), (3, t, "y"), (None, t, "z"), (4, "<table>", "x"),
+                                   (5, "<td " * 200_000 + "<table" * 1000, "x")], "page_id long, html string, value string")
+    rows = tables.parse_html_tables(pages).collect()
+    assert sorted(((r.table_id, r.value) for r in rows), key=str) == [(3, "1"), (None, "1")]
+    many = "<table>" + "".join(f"<tr><td>{i}</td><td>v</td></tr>" for i in range(20_000)) + "</table>"
+    assert tables.parse_html_tables(spark.createDataFrame([(1, many)], "page_id long, html string")).count() == 40_000
+
+
 def test_questions_tsv_round_trip_with_newlines(spark):
     q = spark.createDataFrame([("1", "a\tb\nc", "csv/1.csv", "x"), ("2", 'say "hi"', "csv/2.csv", None),
                                ("3", "back\\\\slash \\n not a line\r", "c", "\\")], files.QUESTION_SCHEMA)
