@@ -9,9 +9,13 @@ order column cuts each key into buckets of ``BUCKET`` consecutive values:
    the buckets of the key, which gives each bucket's offset;
 3. offsets are joined back on (key, bucket): running sum = local + offset.
 
-All of it is built-in windows and joins: no job runs while a plan is built,
-and both uses of the local sums share one exchange. Keys are compared
-null-safe, so rows without a key keep theirs.
+All of it is built-in windows and joins, and both uses of the local sums share
+one exchange. Keys are compared null-safe, so rows without a key keep theirs.
+
+An order column that is no integer (times, strings, decimals) has no such values.
+Then the rows are range-partitioned by (key, order) and written; the buckets are
+the ranges, which follow the rows themselves, so a hot key spans several. Only
+this case runs a job while the plan is built, as two reads must see one cut.
 """
 
 from __future__ import annotations
@@ -20,14 +24,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.session import write_stage
+
 BUCKET = 4096
 
 
-def _bucket(df: DataFrame, column: str) -> F.Column:
-    """Bucket of an integer order column; other types have one bucket per key."""
-    if isinstance(df.schema[column].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return F.floor(F.col(column) / F.lit(BUCKET))
-    return F.lit(0).cast("long")
+def _bucketed(df: DataFrame, key: str, order_cols: list[str]) -> DataFrame:
+    """Rows with ``_b``, their bucket; buckets of a key follow its order."""
+    if isinstance(df.schema[order_cols[0]].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return df.withColumn("_b", F.floor(F.col(order_cols[0]) / F.lit(BUCKET)))
+    ranges = df.repartitionByRange(key, *order_cols).withColumn("_b", F.spark_partition_id().cast("long"))
+    return write_stage(ranges, "ranges")
 
 
 def running_sum(df: DataFrame, key: str, order_cols: list[str], value_cols: list[str],
@@ -36,7 +43,7 @@ def running_sum(df: DataFrame, key: str, order_cols: list[str], value_cols: list
     ``key``, in ``order_cols`` order (which must be unique within the key)."""
     outs = [out_prefix + v for v in value_cols]
     own = Window.partitionBy(key, "_b").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
-    local = df.withColumn("_b", _bucket(df, order_cols[0]))
+    local = _bucketed(df, key, order_cols)
     local = local.select("*", *[F.sum(v).over(own).alias(o) for v, o in zip(value_cols, outs)])
     last = F.struct(*[F.col(c) for c in order_cols])
     totals = local.groupBy(F.col(key).alias("_of_key"), F.col("_b").alias("_of_bucket")).agg(

@@ -271,6 +271,16 @@ def test_heads_and_budget_rank_rows_whatever_their_index(spark):
     assert R.budgeted_tables(rows, 1000).filter("table_id = 't'").first().n_rows == 3
 
 
+def test_positions_by_times_and_strings_with_a_hot_key(spark):
+    from tessera.operators.sequence import positions
+    rows = (spark.range(6000).withColumn("k", F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 2 > 0, F.concat(
+        F.lit("k"), (F.col("id") % 40).cast("string")))).withColumn("o", F.xxhash64("id")))
+    for order in (F.timestamp_micros(F.col("o") % 10**15), F.format_string("%020d", F.abs("o")), F.col("o").cast("decimal(20,0)")):
+        got = positions(rows.withColumn("at", order).repartition(7), "k", ["at", "id"], "pos").toPandas().sort_values(["at", "id"])
+        assert len(got) == 6000
+        assert (got.pos == got.groupby("k", dropna=False).cumcount() + 1).all()
+
+
 def test_positions_keep_rows_without_a_key(spark):
     from tessera.operators.sequence import BUCKET, positions, running_sum
     rows = [("a", BUCKET * k + k) for k in range(5)] + [(None, 3), (None, 10 * BUCKET)]
