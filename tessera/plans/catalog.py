@@ -15,6 +15,7 @@ from tessera.functions import text as TX
 from tessera.functions.literals import TRIM_RE, WORD_RE
 from tessera.operators import render as R
 from tessera.operators import similarity as S
+from tessera.operators import vector_cells
 from tessera.plans import roles, strategies
 from tessera.plans import sqlgen as G
 
@@ -107,16 +108,32 @@ def _emb(spark, d, name):
     return roles.table(spark, d, "embeddings").select(F.col("vec_id").alias(name), "embedding")
 
 
-@register("vec_topk", """WITH e AS (SELECT vec_id, embedding FROM embeddings)"""
-          + G.dense_pairs_sql("e", "vec_id", "qq.embedding", "e", "vec_id", "bb.embedding",
-                              where="qq.vec_id <> bb.vec_id")
-          + G.topk_select("q_vec", "b_vec", K_VEC))
+VEC_TOPK_SQL = ("""WITH e AS (SELECT vec_id, embedding FROM embeddings)"""
+                + G.dense_pairs_sql("e", "vec_id", "qq.embedding", "e", "vec_id", "bb.embedding",
+                                    where="qq.vec_id <> bb.vec_id")
+                + G.topk_select("q_vec", "b_vec", K_VEC))
+
+
+@register("vec_topk", VEC_TOPK_SQL)
 def q_vec_topk(spark, d):
     return S.vector_topk(_emb(spark, d, "q_vec"), _emb(spark, d, "b_vec"), q_key="q_vec",
                          b_key="b_vec", q_vec="embedding", b_vec="embedding", k=K_VEC,
                          include_self=False)
 
 
+@register("vec_topk_cells", VEC_TOPK_SQL)
+def q_vec_topk_cells(spark, d):
+    return vector_cells.exact_topk(_emb(spark, d, "q_vec"), _emb(spark, d, "b_vec"), q_key="q_vec", b_key="b_vec",
+                                   q_vec="embedding", b_vec="embedding", k=K_VEC, include_self=False)
+
+
+@register("vec_topk_probed")
+def q_vec_topk_probed(spark, d):
+    q = _emb(spark, d, "q_vec").filter(F.col("q_vec") % 100 == 0)  # the search's query set, against all rows
+    return vector_cells.probed_topk(q, _emb(spark, d, "b_vec"), q_key="q_vec", b_key="b_vec", q_vec="embedding",
+                                    b_vec="embedding", k=K_VEC, include_self=False)
+
+
 @register("vec_topk_self", """WITH e AS (SELECT vec_id, embedding FROM embeddings)"""
           + G.dense_pairs_sql("e", "vec_id", "qq.embedding", "e", "vec_id", "bb.embedding")
           + G.topk_select("q_vec", "b_vec", K_VEC))
@@ -136,6 +153,12 @@ def q_vec_cosine_pairs(spark, d):
                                 threshold=PAIR_THRESHOLD)
 
 
+@register("vec_cosine_pairs_cells", ORACLES["vec_cosine_pairs"])
+def q_vec_cosine_pairs_cells(spark, d):
+    return vector_cells.pairs_above(_emb(spark, d, "q_vec"), _emb(spark, d, "b_vec"), q_key="q_vec", b_key="b_vec",
+                                    q_vec="embedding", b_vec="embedding", threshold=PAIR_THRESHOLD)
+
+
 @register("join_question_table", _with(roles.QUESTIONS_SQL, roles.CONV_ROWS_SQL) + """,
 t AS (SELECT table_id,
              ' | ' || max(header_text) || ' | ' || chr(10) || ' | ' ||
