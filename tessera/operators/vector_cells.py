@@ -14,8 +14,10 @@ away (triangle inequality of angles), so the cosine of that is an upper bound.
   measured on the sample, so that the wanted recall is met there.
 * :func:`pairs_above` scores the bands whose bound reaches the threshold.
 
-Scoring is done by the block grid (``blocks.grid_scores``) with cells or bands as
-groups, so a cell that holds a third of all rows is split over many tasks.
+Near cells are bundled, about a grid block of bank rows in each, and scoring is done
+by the block grid (``blocks.grid_scores``) with bundles as groups: a question travels
+once to a bundle, with the list of the cells or bands it meets there, and the tile
+scores these only. A bundle that holds a third of all rows is split over many tasks.
 
 Only vectors of the commonest width have cells. Rows of another width are one
 group a width, scored by the questions of that width; any other pair (other
@@ -30,7 +32,7 @@ side gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -39,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators import blocks
-from tessera.operators.blocks import Kernel, dense_cosine
+from tessera.operators.blocks import Kernel
 from tessera.session import write_stage
 
 SAMPLE_ROWS = 8192
@@ -57,11 +59,12 @@ ALL = 1 << 30
 @dataclass
 class Cells:
     """Fitted centres (unit rows) of vectors of ``width`` numbers, and how many
-    nearest cells reached the wanted recall on the sample."""
+    nearest cells reached the wanted recall on the sample; ``bundle`` of every cell."""
 
     width: int
     centres: np.ndarray
     probes: int
+    bundle: np.ndarray
 
 
 def _chunks(batches):
@@ -119,7 +122,12 @@ def fit_cells(bank: DataFrame, b_key: str, b_vec: str, *, k: int, recall: float
     distinct = rows[np.sort(np.unique(np.round(rows, 6), axis=0, return_index=True)[1])]
     n_cells = min(cells or math.ceil(math.sqrt(n)), MAX_CELLS, max(1, len(distinct) // 2))
     centres = _kmeans(distinct, n_cells, seed)
-    return Cells(width, centres, _probes(distinct, centres, k, recall))
+    bundles = min(len(centres), math.ceil(n / blocks.DEFAULT_BLOCK_ROWS))
+    bundle = (centres @ _kmeans(centres, bundles, seed).T).argmax(axis=1)
+    return Cells(width, centres, _probes(distinct, centres, k, recall), bundle)
+
+
+NOTHING = Cells(1, np.ones((1, 1)), 1, np.zeros(1, dtype=np.int64))  # no direction: every pair scores 0
 
 
 def _place(df: DataFrame, key: str, vec: str, model: Cells) -> DataFrame:
@@ -161,23 +169,45 @@ def _band() -> F.Column:
     return F.least(F.floor(F.col("_angle") / BAND), F.lit(BANDS - 1)).cast("int")
 
 
+def _meetings(pdf: pd.DataFrame, met: np.ndarray, ids: np.ndarray, bundle: np.ndarray, q_key: str, q_vec: str):
+    """The questions of a chunk once for every bundle in which they meet something."""
+    for g in np.unique(bundle):
+        here = bundle == g
+        rows = np.flatnonzero(met[:, here].any(axis=1))
+        if len(rows):
+            some = pdf.iloc[rows]
+            yield pd.DataFrame({q_key: some[q_key], q_vec: some[q_vec], "_group": np.int32(g),
+                                "_meets": [ids[here][met[r, here]].tolist() for r in rows]})
+
+
+def _meeting_schema(questions: DataFrame, q_key: str, q_vec: str) -> T.StructType:
+    return T.StructType([*questions.select(q_key, q_vec).schema.fields, T.StructField("_group", T.IntegerType()),
+                         T.StructField("_meets", T.ArrayType(T.IntegerType()))])
+
+
+def _places(cos: np.ndarray) -> np.ndarray:
+    """Place of every cell in each question's order of nearness, from 0."""
+    place = np.empty(cos.shape, dtype=np.int64)
+    np.put_along_axis(place, np.argsort(-cos, axis=1, kind="stable"), np.arange(cos.shape[1])[None, :], axis=1)
+    return place
+
+
 def _nearest(questions: DataFrame, q_key: str, q_vec: str, model: Cells) -> DataFrame:
-    """A row of each question for every one of its nearest cells (``_group``); a question
-    of another width has the group of that width, one without a direction none."""
-    fixed = questions.sparkSession.sparkContext.broadcast(model.centres)
-    width, take = model.width, min(model.probes, len(model.centres))
+    """Meetings of the questions with their nearest cells (``_group, _meets``); a question
+    of another width meets the group of that width, one without a direction none."""
+    fixed = questions.sparkSession.sparkContext.broadcast((model.centres, model.bundle))
+    width, probes = model.width, model.probes
 
     def run(batches):
+        centres, bundle = fixed.value
         for pdf in _chunks(batches):
-            unit = blocks._matrix(pdf[q_vec], width)
-            near = np.argsort(-(unit @ fixed.value.T), axis=1, kind="stable")[:, :take]
-            yield pd.DataFrame({q_key: pdf[q_key], q_vec: pdf[q_vec], "_group": [r.tolist() for r in near]})
+            met = _places(blocks._matrix(pdf[q_vec], width) @ centres.T) < probes
+            yield from _meetings(pdf, met, np.arange(len(centres)), bundle, q_key, q_vec)
 
-    schema = T.StructType([*questions.select(q_key, q_vec).schema.fields,
-                           T.StructField("_group", T.ArrayType(T.IntegerType()))])
-    inner = (questions.filter(F.col("_cell") >= 0).select(q_key, q_vec).mapInPandas(run, schema)
-             .select(q_key, q_vec, F.explode("_group").alias("_group")))
-    return inner.unionByName(_other_widths(questions).select(q_key, q_vec, "_group"))
+    inner = (questions.filter(F.col("_cell") >= 0).select(q_key, q_vec)
+             .mapInPandas(run, _meeting_schema(questions, q_key, q_vec)))
+    others = _other_widths(questions).withColumn("_meets", F.array("_group"))
+    return inner.unionByName(others.select(q_key, q_vec, "_group", "_meets"))
 
 
 def _other_widths(rows: DataFrame) -> DataFrame:
@@ -185,39 +215,37 @@ def _other_widths(rows: DataFrame) -> DataFrame:
 
 
 def _reached(questions: DataFrame, q_key: str, q_vec: str, bands: pd.DataFrame, model: Cells, probed: int) -> DataFrame:
-    """A row of each question for every band (``_group``) outside its ``probed`` nearest cells
-    whose bound reaches the question's ``_floor``."""
+    """Meetings of the questions with the bands outside their ``probed`` nearest cells whose
+    bound reaches the question's ``_floor``."""
     fixed = questions.sparkSession.sparkContext.broadcast(
-        (model.centres, bands["_cell"].to_numpy(), bands["_band"].to_numpy(), bands["lo"].to_numpy(),
-         bands["hi"].to_numpy()))
+        (model.centres, model.bundle, *(bands[c].to_numpy() for c in ("_cell", "_band", "lo", "hi"))))
     width = model.width
 
     def run(batches):
-        centres, cell, band, lo, hi = fixed.value
+        centres, bundle, cell, band, lo, hi = fixed.value
         for pdf in _chunks(batches):
             cos = blocks._matrix(pdf[q_vec], width) @ centres.T
-            angle = np.arccos(np.clip(cos, -1.0, 1.0))
-            place = np.empty(cos.shape, dtype=np.int64)
-            np.put_along_axis(place, np.argsort(-cos, axis=1, kind="stable"), np.arange(cos.shape[1])[None, :], axis=1)
-            t = angle[:, cell]
+            t = np.arccos(np.clip(cos, -1.0, 1.0))[:, cell]
             away = np.maximum(np.maximum(t - hi[None, :], lo[None, :] - t), 0.0)
-            reach = (np.cos(away) >= pdf["_floor"].to_numpy()[:, None] - SLACK) & (place[:, cell] >= probed)
-            ids = (cell * BANDS + band).astype(np.int32)
-            yield pd.DataFrame({q_key: pdf[q_key], q_vec: pdf[q_vec], "_group": [ids[r].tolist() for r in reach]})
+            met = (np.cos(away) >= pdf["_floor"].to_numpy()[:, None] - SLACK) & (_places(cos)[:, cell] >= probed)
+            yield from _meetings(pdf, met, cell * BANDS + band, bundle[cell], q_key, q_vec)
 
-    schema = T.StructType([*questions.select(q_key, q_vec).schema.fields,
-                           T.StructField("_group", T.ArrayType(T.IntegerType()))])
-    return (questions.filter(F.col("_cell") >= 0).select(q_key, q_vec, "_floor").mapInPandas(run, schema)
-            .select(q_key, q_vec, F.explode("_group").alias("_group")))
+    return (questions.filter(F.col("_cell") >= 0).select(q_key, q_vec, "_floor")
+            .mapInPandas(run, _meeting_schema(questions, q_key, q_vec)))
 
 
-def _in_cells(bank: DataFrame) -> DataFrame:
-    return (bank.filter(F.col("_cell") >= 0).withColumn("_group", F.col("_cell"))
-            .unionByName(_other_widths(bank)))
+def _bundled(bank: DataFrame, model: Cells) -> DataFrame:
+    of_cell = F.array(*[F.lit(int(g)) for g in model.bundle])  # MAX_CELLS numbers at most
+    return bank.filter(F.col("_cell") >= 0).withColumn("_group", F.get(of_cell, F.col("_cell")))
 
 
-def _in_bands(bank: DataFrame) -> DataFrame:
-    return bank.filter(F.col("_cell") >= 0).withColumn("_group", F.col("_cell") * BANDS + _band())
+def _in_cells(bank: DataFrame, model: Cells) -> DataFrame:
+    return (_bundled(bank, model).withColumn("_at", F.col("_cell"))
+            .unionByName(_other_widths(bank).withColumn("_at", F.col("_group"))))
+
+
+def _in_bands(bank: DataFrame, model: Cells) -> DataFrame:
+    return _bundled(bank, model).withColumn("_at", F.col("_cell") * BANDS + _band())
 
 
 def _zero_pairs(questions: DataFrame, bank: DataFrame, q_key: str, b_key: str, k: int, exclude_self: bool) -> DataFrame:
@@ -239,9 +267,32 @@ def _zero_pairs(questions: DataFrame, bank: DataFrame, q_key: str, b_key: str, k
     return pairs.filter(F.col(q_key) != F.col(b_key)) if exclude_self else pairs
 
 
+def _kernel(q_vec: str, b_vec: str, least: float = -math.inf) -> Kernel:
+    """Scores a question with the rows of the cells or bands it meets; other pairs of the tile,
+    and scores under ``least``, are left out. All vectors of a group have one width."""
+
+    def score(q, b):
+        width = len(b[b_vec].iloc[0])
+        qm, bm = blocks._matrix(q[q_vec], width), blocks._matrix(b[b_vec], width)
+        out = np.full((len(q), len(b)), -np.inf)
+        ids, at = np.unique(b["_at"].to_numpy(), return_inverse=True)
+        lists = [np.asarray(m, dtype=np.int64) for m in q["_meets"]]
+        owner = np.repeat(np.arange(len(lists)), [len(m) for m in lists])
+        flat = np.concatenate(lists)
+        for j, one in enumerate(ids):
+            rows, cols = owner[flat == one], np.flatnonzero(at == j)
+            if len(rows):
+                s = qm[rows] @ bm[cols].T
+                out[np.ix_(rows, cols)] = np.where(np.round(s, 6) >= least, s, -np.inf)
+        return {"sim": out}, {}
+
+    return Kernel([q_vec, "_meets"], [b_vec, "_at"], score,
+                  q_weight=blocks.vector_weight(q_vec), b_weight=blocks.vector_weight(b_vec))
+
+
 def _scored(questions: DataFrame, bank: DataFrame, q_key: str, b_key: str, q_vec: str, b_vec: str, k: int,
             exclude_self: bool, block_rows: int) -> DataFrame:
-    tiles = blocks.grid_scores(questions, bank, q_key=q_key, b_key=b_key, kernel=blocks.dense_kernel(q_vec, b_vec), k=k,
+    tiles = blocks.grid_scores(questions, bank, q_key=q_key, b_key=b_key, kernel=_kernel(q_vec, b_vec), k=k,
                                group="_group", exclude_self=exclude_self, block_rows=block_rows)
     return tiles.select(q_key, b_key, "sim")
 
@@ -264,13 +315,13 @@ def _search(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str, q_ve
             include_self: bool, cells: int | None, probes: int | None, recall: float, block_rows: int) -> Search:
     same = Window.partitionBy(b_vec).orderBy(b_key)
     model = fit_cells(bank, b_key, b_vec, k=k, recall=recall, cells=cells)
-    model = model or Cells(1, np.ones((1, 1)), 1)  # nothing has a direction: every pair scores 0
+    model = model or NOTHING
     if probes:
-        model = Cells(model.width, model.centres, probes)
+        model = replace(model, probes=probes)
     kept = bank.select(b_key, b_vec).withColumn("_r", F.row_number().over(same)).filter(F.col("_r") <= k + 1).drop("_r")
     b = _place(kept, b_key, b_vec, model)
     q = _place(queries, q_key, q_vec, model)
-    near = _scored(_nearest(q, q_key, q_vec, model), _in_cells(b), q_key, b_key, q_vec, b_vec, k, not include_self, block_rows)
+    near = _scored(_nearest(q, q_key, q_vec, model), _in_cells(b, model), q_key, b_key, q_vec, b_vec, k, not include_self, block_rows)
     zero = _zero_pairs(q, b, q_key, b_key, k, not include_self)
     return Search(model, q, b, _best(near.unionByName(zero), q_key, b_key, k))
 
@@ -293,7 +344,7 @@ def exact_topk(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str, q
                 cells=cells, probes=probes, recall=recall, block_rows=block_rows)
     first = write_stage(s.best, "vector-first")
     rest = _scored(_reached(_with_floor(s, first, q_key, k), q_key, q_vec, _bands(s.bank), s.model, s.model.probes),
-                   _in_bands(s.bank), q_key, b_key, q_vec, b_vec, k, not include_self, block_rows)
+                   _in_bands(s.bank, s.model), q_key, b_key, q_vec, b_vec, k, not include_self, block_rows)
     return _best(first.select(q_key, b_key, "sim").unionByName(rest), q_key, b_key, k)
 
 
@@ -309,17 +360,12 @@ def pairs_above(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str,
     if threshold <= 0:
         raise ValueError("threshold must be above 0")
 
-    def score(q, b):
-        s = dense_cosine(q[q_vec], b[b_vec])
-        return {"sim": np.where(np.round(s, 6) >= threshold, s, -np.inf)}, {}
-
-    model = fit_cells(bank, b_key, b_vec, k=1, cells=cells) or Cells(1, np.ones((1, 1)), 1)
+    model = fit_cells(bank, b_key, b_vec, k=1, cells=cells) or NOTHING
     b, q = _place(bank, b_key, b_vec, model), _place(queries, q_key, q_vec, model)
-    kernel = Kernel([q_vec], [b_vec], score, q_weight=blocks.vector_weight(q_vec), b_weight=blocks.vector_weight(b_vec))
     met = _reached(q.withColumn("_floor", F.lit(float(threshold))), q_key, q_vec, _bands(b), model, 0)
-    met = met.unionByName(_other_widths(q).select(q_key, q_vec, "_group"))
-    rows = _in_bands(b).unionByName(_other_widths(b))
-    return blocks.grid_scores(met, rows, q_key=q_key, b_key=b_key, kernel=kernel, k=ALL, group="_group",
+    met = met.unionByName(_other_widths(q).withColumn("_meets", F.array("_group")).select(q_key, q_vec, "_group", "_meets"))
+    rows = _in_bands(b, model).unionByName(_other_widths(b).withColumn("_at", F.col("_group")))
+    return blocks.grid_scores(met, rows, q_key=q_key, b_key=b_key, kernel=_kernel(q_vec, b_vec, threshold), k=ALL, group="_group",
                               block_rows=block_rows).select(q_key, b_key, "sim")
 
 
@@ -330,10 +376,12 @@ def skipped_share(queries: DataFrame, bank: DataFrame, *, q_key: str, b_key: str
     s = _search(queries, bank, q_key=q_key, b_key=b_key, q_vec=q_vec, b_vec=b_vec, k=k, include_self=include_self,
                 cells=cells, probes=None, recall=recall, block_rows=blocks.DEFAULT_BLOCK_ROWS)
     first = write_stage(s.best, "vector-first")
-    per = lambda rows: rows.groupBy("_group").agg(F.count("*").alias("n"))
-    met = per(_nearest(s.questions, q_key, q_vec, s.model)).withColumnRenamed("n", "m").join(per(_in_cells(s.bank)), "_group")
+    per = lambda rows, at, n: rows.groupBy(at.alias("_at")).agg(F.count("*").alias(n))
+    near = _nearest(s.questions, q_key, q_vec, s.model).select(F.explode("_meets").alias("_m"))
+    met = per(near, F.col("_m"), "m").join(per(_in_cells(s.bank, s.model), F.col("_at"), "n"), "_at")
     reached = _reached(_with_floor(s, first, q_key, k), q_key, q_vec, _bands(s.bank), s.model, s.model.probes)
-    later = per(reached).withColumnRenamed("n", "m").join(per(_in_bands(s.bank)), "_group")
+    later = per(reached.select(F.explode("_meets").alias("_m")), F.col("_m"), "m").join(
+        per(_in_bands(s.bank, s.model), F.col("_at"), "n"), "_at")
     scored = met.unionByName(later).agg(F.coalesce(F.sum(F.col("m") * F.col("n")), F.lit(0)).alias("n_scored"))
     n_pairs = s.questions.count() * s.bank.count()
     return scored.select(F.lit(n_pairs).alias("n_pairs"), "n_scored",
