@@ -5,11 +5,14 @@ distinct bag is named, counted and written once, and everything later reads
 these narrow tables. Scores are sums of whole numbers over whole-number norms,
 so ties are exact.
 
-Two ways lead to the same scores. Measured by the number of postings that meet
+Three ways lead to the same scores. Measured by the number of postings that meet
 (the sum over words of questions times examples that have it):
 
-* up to ``DIRECT_ROWS`` a bag the words are joined and summed;
-* beyond, words of a question are taken from the rarest on. With the score that
+* up to ``DIRECT_ROWS`` a bag, and ``DIRECT_MOST`` in all, the words are joined and summed;
+* beyond, where most pairs share words, blocks of questions meet blocks of examples
+  in the grid (:mod:`tessera.operators.blocks`): a tile multiplies their word counts
+  and gives its k best, so that neither postings nor pairs are shuffled;
+* beyond, where over ``PAIRS_A_POSTING`` pairs come to a posting, words of a question are taken from the rarest on. With the score that
   its k-th example surely reaches, words whose remaining bound can't reach that
   score are not joined; the bound of a tail of words is the lesser of its norm
   (Cauchy-Schwarz) and of the sum of the words' largest impacts, or for sets the
@@ -23,14 +26,24 @@ question: only counts above the least one are joined.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import words
+from tessera.operators import blocks
 from tessera.session import write_stage
 
 DIRECT_ROWS = 4096  # postings that may meet for each question bag before bounds are used
+DIRECT_MOST = 1 << 22  # postings that may meet in all
+PAIRS_A_POSTING = 1000  # pairs for each posting beyond which bounds are used instead of tiles
+WORD_WEIGHT = 8  # a word of a block weighs as much as so many numbers of a vector
+DENSE_WORDS = 1024  # words of a tile that are multiplied as columns of a matrix
+DENSE_SHARE = 400  # such a word meets in at least one of so many pairs
+MET_AT_ONCE = 1 << 21  # postings of other words that meet at once
 SEED_WORDS = 4  # rarest words of a question that give its first examples
 SLACK = 2e-6  # scores are compared after rounding to 6 places
 
@@ -161,20 +174,142 @@ def met_rows(qw: DataFrame, bw: DataFrame) -> int:
     return int(q.join(b, ["_g", "_w"]).agg(F.sum(F.col("_a").cast("decimal(38,0)") * F.col("_b"))).first()[0] or 0)
 
 
+def n_pairs(q: Bags, b: Bags) -> int:
+    """How many pairs of bags the groups have."""
+    qn, bn = q.bags.groupBy("_g").agg(F.count("*").alias("_a")), b.bags.groupBy("_g").agg(F.count("*").alias("_b"))
+    return int(qn.join(bn, "_g").agg(F.sum(F.col("_a").cast("decimal(38,0)") * F.col("_b"))).first()[0] or 0)
+
+
 def pairs(q: Bags, b: Bags, k: int, sets: bool = False, direct_rows: int | None = None) -> DataFrame:
     """``_g, _qt, _bt, sim`` (rounded): all pairs that can be among a question bag's k best of score above 0."""
     qw, bw = q.words("q"), b.words("b")
     direct_rows = DIRECT_ROWS if direct_rows is None else direct_rows
     asked = max(1, q.bags.count())
-    few = direct_rows >= DIRECT_ROWS and b.bags.count() <= direct_rows  # then no question can meet many
-    if few or direct_rows >= 1 << 62 or met_rows(qw, bw) <= direct_rows * asked:
+    few = direct_rows >= DIRECT_ROWS and b.bags.count() <= direct_rows and asked * direct_rows <= DIRECT_MOST  # then few can meet
+    met = 0 if few else met_rows(qw, bw)
+    if met <= min(direct_rows * asked, DIRECT_MOST):
         found = _meet(qw, bw)
+    elif direct_rows and n_pairs(q, b) <= PAIRS_A_POSTING * met:
+        return pairs_by_tiles(q, b, k, sets)
     else:
         ranked = write_stage(_ranked_words(qw, bw, sets), "bag-ranked")
         found = _by_bounds(ranked, bw, _reached(ranked, bw, k, sets), sets)
+    return _scored(found, sets)
+
+
+def _scored(found: DataFrame, sets: bool) -> DataFrame:
     return found.select("_g", "_qt", "_bt", F.round(score(F.col("_dot"), F.col("_qnorm"), F.col("_bnorm"), sets), 6).alias("sim"))
 
 
+def pairs_by_tiles(q: Bags, b: Bags, k: int, sets: bool = False, gate: DataFrame | None = None) -> DataFrame:
+    """``_g, _qt, _bt, sim`` (rounded, above 0): the k best of each question bag in each tile.
+
+    ``b`` has the first rows of its bags; they are numbered in the order of these,
+    which decides ties. ``gate(_g, _qt, _gate, _open)`` lets in only examples whose
+    ``_gates`` (a column of ``b.bags``) has the question's ``_gate``, or all if ``_open``.
+    """
+    counts = [F.transform("_words", lambda x: x["w"]).alias("_w"), F.transform("_words", lambda x: x["n"]).alias("_n"), "_norm"]
+    asked = q.bags.where("_norm > 0").withColumnRenamed("_t", "_qt")
+    if gate is not None:
+        asked = asked.join(gate, ["_g", "_qt"])
+    gates = ([], []) if gate is None else (["_gate", "_open"], ["_gates"])
+    asked = write_stage(asked.select("_g", "_qt", *counts, *gates[0], F.monotonically_increasing_id().alias("_q")), "tile-questions")
+    held = b.bags.where("_norm > 0").orderBy(F.col("_top")[0])
+    held = write_stage(held.select("_g", F.col("_t").alias("_bt"), *counts, *gates[1], F.monotonically_increasing_id().alias("_b")), "tile-examples")
+    groups = asked.select("_g").union(held.select("_g")).distinct().limit(2).count()
+    weight = lambda f: (f.size("_w") * f.lit(WORD_WEIGHT)).cast("long")
+    kernel = blocks.Kernel(["_w", "_n", "_norm", *gates[0]], ["_w", "_n", "_norm", *gates[1]], _tile_scores(sets, gate is not None),
+                           q_weight=weight, b_weight=weight, rounded=round_half_up)
+    tiles = blocks.grid_scores(asked, held, q_key="_q", b_key="_b", kernel=kernel, k=k, group="_g" if groups > 1 else None)
+    best = blocks.merge_topk(tiles.where("sim > 0"), "_q", "_b", k)
+    return best.join(asked.select("_g", "_qt", "_q"), "_q").join(held.select("_bt", "_b"), "_b").select("_g", "_qt", "_bt", "sim")
+
+
+def round_half_up(score: np.ndarray) -> np.ndarray:
+    """To 6 decimals as Spark rounds a double: halves of its shortest decimal form go up."""
+    scaled = score * 1e6
+    out = np.floor(scaled + 0.5) / 1e6
+    near = np.abs(scaled - np.floor(scaled) - 0.5) < 1e-6
+    if near.any():
+        exact, at = np.unique(score[near], return_inverse=True)
+        out[near] = np.array([float(Decimal(repr(float(x))).quantize(Decimal("0.000001"), ROUND_HALF_UP)) for x in exact])[at]
+    return out
+
+
+def _tile_scores(sets: bool, gated: bool):
+    """Kernel of a tile of bags: word counts are multiplied; pairs that no gate lets in are left out."""
+
+    def run(q: pd.DataFrame, b: pd.DataFrame):
+        dots = count_products(q["_w"], q["_n"], b["_w"], b["_n"])
+        qnorm, bnorm = q["_norm"].to_numpy().astype(float)[:, None], b["_norm"].to_numpy().astype(float)[None]
+        if gated:
+            ones = lambda lists: [np.ones(len(x)) for x in lists]
+            own = [np.array([x]) for x in q["_gate"]]
+            let_in, every = count_products(own, ones(own), b["_gates"], ones(b["_gates"])), q["_open"].to_numpy().astype(bool)[:, None]
+
+        def strip(rows: slice) -> np.ndarray:
+            dot = dots(rows)
+            s = dot / (qnorm[rows] + bnorm - dot) if sets else dot / np.sqrt(qnorm[rows]) / np.sqrt(bnorm)
+            return np.where(every[rows] | (let_in(rows) > 0), s, -np.inf) if gated else s
+
+        return {"sim": strip}, {}
+
+    return run
+
+
+def count_products(qw, qn, bw, bn):
+    """Function of a slice of questions: dot products of their counts with all examples, exact.
+
+    ``qw`` and ``bw`` list the distinct words of each row, ``qn`` and ``bn`` their counts.
+    Words that meet in many pairs are columns of a matrix product; the others are
+    added posting by posting.
+    """
+    nq, nb = len(qw), len(bw)
+    codes = pd.factorize(np.concatenate([*qw, *bw]))[0]
+    sizes = [np.array([len(x) for x in lists], dtype=np.int64) for lists in (qw, bw)]
+    q_row, b_row = np.repeat(np.arange(nq), sizes[0]), np.repeat(np.arange(nb), sizes[1])
+    q_code, b_code = codes[:len(q_row)], codes[len(q_row):]
+    q_n, b_n = np.concatenate([*qn]).astype(float), np.concatenate([*bn]).astype(float)
+    n = int(codes.max(initial=-1)) + 1
+    q_df, b_df = np.bincount(q_code, minlength=n), np.bincount(b_code, minlength=n)
+    often = np.argsort(-(q_df * b_df), kind="stable")[:DENSE_WORDS]
+    often = often[(q_df * b_df)[often] * DENSE_SHARE > nq * nb]
+    column = np.full(n, -1)
+    column[often] = np.arange(len(often))
+    most = np.sqrt(np.bincount(q_row, q_n * q_n).max(initial=0)) * np.sqrt(np.bincount(b_row, b_n * b_n).max(initial=0))
+    kind = np.float32 if most < 1 << 24 else np.float64  # whole numbers below are exact
+
+    def dense(rows, code, counts, height):
+        out, at = np.zeros((height, len(often)), dtype=kind), column[code] >= 0
+        out[rows[at], column[code[at]]] = counts[at]
+        return out
+
+    q_dense, b_dense = dense(q_row, q_code, q_n, nq), dense(b_row, b_code, b_n, nb)
+    rare = (column[q_code] < 0) & (b_df[q_code] > 0)
+    q_row, q_code, q_n = q_row[rare], q_code[rare], q_n[rare]
+    by_word = np.argsort(b_code, kind="stable")
+    b_row, b_n = b_row[by_word], b_n[by_word]
+    first = np.cumsum(b_df) - b_df
+
+    def products(rows: slice) -> np.ndarray:
+        out = (q_dense[rows] @ b_dense.T).astype(np.float64)
+        flat = out.ravel()
+        at, end = np.searchsorted(q_row, [rows.start, rows.stop])
+        until = np.cumsum(b_df[q_code[at:end]])
+        start = 0
+        while at + start < end:
+            before = until[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(until, before + MET_AT_ONCE, "right")))
+            some = slice(at + start, at + stop)
+            times = b_df[q_code[some]]
+            place = np.arange(times.sum()) + np.repeat(first[q_code[some]] - (np.cumsum(times) - times), times)
+            np.add.at(flat, np.repeat((q_row[some] - rows.start) * nb, times) + b_row[place], np.repeat(q_n[some], times) * b_n[place])
+            start = stop
+        return out
+
+    return products
+
+
 def pairs_above(q: Bags, b: Bags, threshold: float) -> DataFrame:
     """``_g, _qt, _bt``: pairs of bags of a cosine strictly above ``threshold`` (a similarity join).
 
@@ -197,13 +332,16 @@ def pairs_with_constant(q: Bags, b: Bags, k: int) -> DataFrame:
 
     Joined are the counts above the least one. A pair that shares nothing else
     scores the constant over the norms, so of these only the first bags of each
-    norm (in the order of their rows) can be among the best.
+    norm (in the order of their rows) can be among the best. Where more than
+    ``DIRECT_MOST`` other postings meet, bags are scored whole in tiles.
     """
     qw, bw = q.words("q"), b.words("b")
     shared = write_stage(common_words(b), "bag-common")  # words of all examples: few
     fixed = qw.join(F.broadcast(shared), "_w").groupBy("_qt", "_qnorm").agg(F.sum(F.col("_qn") * F.col("_least")).alias("_fixed"))
     rest = (bw.join(F.broadcast(shared), "_w", "left").withColumn("_bn", F.col("_bn") - F.coalesce("_least", F.lit(0)))
             .where("_bn > 0").drop("_least"))
+    if met_rows(qw, rest) > DIRECT_MOST:
+        return pairs_by_tiles(q, b, k)
     joined = _meet(qw, rest).select("_qt", "_bt", "_qnorm", "_bnorm", "_dot")
     near = Window.partitionBy("_norm").orderBy(F.col("_top")[0])
     stand = b.bags.withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= k)

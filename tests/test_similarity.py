@@ -314,3 +314,91 @@ def test_row_selection_over_buckets_and_long_lines(spark, monkeypatch):
         sim = lambda a, b: float(a @ b / np.sqrt(a @ a) / np.sqrt(b @ b)) if a.any() and b.any() else 0.0
         best = sorted(body, key=lambda r: (-round(sim(vec(own[0]), vec(r[1])), 6), r[0]))[:4]
         assert out[t] == ROWSEP.join([own[0], *(r[1] for r in best)])
+
+
+def zipf_texts(rng, n, most=9):
+    vocab = [f"w{k}" for k in range(40)]
+    share = 1.0 / np.arange(1, 41)
+    return [" ".join(rng.choice(vocab, size=int(rng.integers(0, most)), p=share / share.sum())) for _ in range(n)]
+
+
+@pytest.fixture
+def tiled(monkeypatch):
+    """Texts are scored in tiles of a few rows; counts the uses."""
+    from tessera.operators import bags
+    used, whole = [], bags.pairs_by_tiles
+    monkeypatch.setattr(bags, "DIRECT_MOST", 0)
+    monkeypatch.setattr(blocks, "DEFAULT_BLOCK_ROWS", 8)
+    monkeypatch.setattr(blocks, "MAX_BLOCK_ROWS", 8)
+    monkeypatch.setattr(bags, "pairs_by_tiles", lambda *a, **b: used.append(1) or whole(*a, **b))
+    return used
+
+
+@pytest.mark.parametrize("sets,group,exclude_self", [(False, False, False), (True, False, False), (False, True, True)])
+def test_tiles_of_texts_equal_brute_force(spark, tiled, sets, group, exclude_self):
+    rng = np.random.default_rng(31)
+    bs = zipf_texts(rng, 60)
+    bs[30:36] = [bs[5]] * 6
+    qs = bs[:25]
+    q = spark.createDataFrame([(i, i % 3, t) for i, t in enumerate(qs)], "q long, g long, t string")
+    b = spark.createDataFrame([(i, i % 3, t) for i, t in enumerate(bs)], "b long, g long, t string")
+    words = sorted({w for t in bs for w in t.split()})
+    count = lambda texts: np.array([[(min(1, t.split().count(w)) if sets else t.split().count(w)) for w in words] for t in texts], float)
+    mq, mb = count(qs), count(bs)
+    dot, nq, nb = mq @ mb.T, (mq * mq).sum(1), (mb * mb).sum(1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        s = dot / (nq[:, None] + nb[None] - dot) if sets else dot / np.sqrt(nq)[:, None] / np.sqrt(nb)[None]
+    valid = np.array([[(not group or i % 3 == j % 3) and not (exclude_self and i == j) for j in range(60)] for i in range(25)])
+    got = spark_topk(S.token_topk(q, b, q_key="q", b_key="b", q_text="t", b_text="t", k=3, sets=sets,
+                                  group="g" if group else None, exclude_self=exclude_self), "q", "b")
+    assert tiled and got == brute_topk(np.nan_to_num(s), list(range(25)), list(range(60)), list(range(60)), 3, valid)
+
+
+def test_table_heads_in_tiles_equal_the_direct_way(spark, tiled):
+    rng = np.random.default_rng(32)
+    heads = ["turn role text " + t for t in zipf_texts(rng, 60)]
+    q = spark.createDataFrame(list(enumerate([*heads[:20], "", "other words"])), "q long, t string")
+    b = spark.createDataFrame(list(enumerate(heads)), "b long, t string")
+    got = spark_topk(S.head_topk(q, b, q_key="q", b_key="b", q_text="t", b_text="t", k=2), "q", "b")
+    assert tiled and got == spark_topk(S.token_topk(q, b, q_key="q", b_key="b", q_text="t", b_text="t", k=2, direct_rows=0), "q", "b")
+
+
+def test_keyword_gate_in_tiles_equals_the_direct_way(spark, tiled, monkeypatch):
+    from tessera.operators import bags
+    rng = np.random.default_rng(33)
+    bs = zipf_texts(rng, 60)
+    qs = [*zipf_texts(rng, 25), "", "zz w1 w2", "zz", "w39 w38"]
+    q = spark.createDataFrame(list(enumerate(qs)), "q long, t string")
+    b = spark.createDataFrame(list(enumerate(bs)), "b long, t string")
+    names = dict(q_key="q", b_key="b", q_text="t", b_text="t", k=3)
+    got = spark_topk(S.keyword_gate(q, b, **names), "q", "b")
+    assert tiled
+    monkeypatch.setattr(bags, "DIRECT_MOST", 1 << 22)
+    assert got == spark_topk(S.keyword_gate(q, b, **names), "q", "b")
+
+
+def test_count_products_are_exact(monkeypatch):
+    from tessera.operators import bags
+    rng = np.random.default_rng(34)
+    m = rng.integers(0, 4, size=(30, 50)) * (rng.random((30, 50)) < 0.2)
+    m[3, 2] = 1 << 25  # beyond whole numbers of 32-bit floats
+    lists = [[np.array([f"w{c}" for c in np.flatnonzero(r)], dtype=object) for r in m], [r[r > 0] for r in m]]
+    monkeypatch.setattr(bags, "MET_AT_ONCE", 7)
+    for dense, share in ((1024, 400), (0, 400), (1024, 5)):
+        monkeypatch.setattr(bags, "DENSE_WORDS", dense)
+        monkeypatch.setattr(bags, "DENSE_SHARE", share)
+        dots = bags.count_products(lists[0][:20], lists[1][:20], *lists)
+        assert (np.vstack([dots(slice(0, 7)), dots(slice(7, 20))]) == m[:20] @ m.T).all()
+    got = bags.round_half_up(np.array([0.0078125, 3 / 128, 0.1234565, 0.5, 2 / 3]))
+    assert got.tolist() == [0.007813, 0.023438, 0.123457, 0.5, 0.666667]
+
+
+def test_ordered_topk_equals_local_topk(monkeypatch):
+    monkeypatch.setattr(blocks, "FIRST_COLUMNS", 4)
+    rng = np.random.default_rng(35)
+    for _ in range(200):
+        nq, nb, k = (int(rng.integers(1, top)) for top in (9, 40, 6))
+        s = rng.integers(0, 5, size=(nq, nb)) / 3.0
+        s[rng.random((nq, nb)) > 0.7] = -np.inf
+        got, want = blocks.ordered_topk(s, k), blocks.local_topk(s, None, np.arange(nb), k)
+        assert sorted(zip(*got)) == sorted(zip(*want))
