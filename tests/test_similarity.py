@@ -227,6 +227,30 @@ def test_grid_merge_limits_before_the_shuffle(spark):
     assert re.search(r"WindowGroupLimit .*Partial", plan)
 
 
+def test_large_grid_moves_each_row_once(spark, monkeypatch):
+    """Beyond COPIED_AT_MOST rows are packed into blocks: not copied to tiles, with the same pairs for
+    repeated keys, ties, a null key, null and bad vectors and tie columns that are strings."""
+    rng = np.random.default_rng(12)
+    vecs = [v.tolist() for v in rng.integers(-2, 3, size=(60, 4)).astype(float)] + [None, [], [None, 1.0, 1.0, 1.0], [1.0]]
+    rows = [(i % 50 if i != 7 else None, f"t{i % 3}", v) for i, v in enumerate(vecs)]
+    q = spark.createDataFrame(rows, "q long, t string, v array<double>")
+    b = spark.createDataFrame(rows, "b long, t string, v array<double>")
+
+    def run(include_self):
+        top = S.vector_topk(q, b, q_key="q", b_key="b", q_vec="v", b_vec="v", k=3, tie_cols=["t"], block_rows=9,
+                            include_self=include_self)
+        pairs = S.vector_pairs_above(q, b, q_key="q", b_key="b", q_vec="v", b_vec="v", threshold=0.5)
+        plan = top._jdf.queryExecution().executedPlan().toString()
+        return plan, *[sorted(map(repr, df.collect())) for df in (top, pairs)]
+
+    copied = [run(x) for x in (True, False)]
+    monkeypatch.setattr(blocks, "COPIED_AT_MOST", 0)
+    moved = [run(x) for x in (True, False)]
+    assert [x[1:] for x in moved] == [x[1:] for x in copied]
+    for plan, *_ in moved:
+        assert "Generate" not in plan and "CoGroups" not in plan and re.search(r"WindowGroupLimit .*Partial", plan)
+
+
 def test_token_topk_plan_is_built_in(spark):
     q = spark.createDataFrame([(1, "a b")], "q long, t string")
     b = spark.createDataFrame([(2, "b c")], "b long, t string")
