@@ -1,8 +1,8 @@
 """Small semi-structured tables -> the long cell table, with Spark built-ins.
 
 ``cells(table_id, row_idx, col_idx, col_name, value)``: one DataFrame for
-all tables. Parsing is ``split`` + ``posexplode``, windows and, for spans, a
-fold; a table's rows are spread over tasks like any other rows.
+all tables. Parsing is ``split`` + ``posexplode`` and, in HTML, folds over the
+parts of a page; rows of pipe tables are spread over tasks like any other rows.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 from html.entities import name2codepoint
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.literals import PIPE_RE, PIPE_RE2
@@ -75,6 +75,7 @@ _PART_RE = r"(?i)<(?=/?(?:table|tr|td|th)[\s/>])"
 _TAG_RE = r"""(?s)^(?:[^>"']|"[^"]*+"|'[^']*+')*+>(.*)$"""
 _MARKUP_RE = r"</?[A-Za-z!][^<>]*>"
 _REF_RE = r"(?s)^(#[xX][0-9a-fA-F]+|#[0-9]+|[A-Za-z][A-Za-z0-9]*(?=;));?(.*)$"
+FOLD = 256  # items of a list that are folded in one go
 MAX_ROWSPAN, MAX_COLSPAN = 65534, 1000  # fixed values: larger spans in HTML count as these
 
 
@@ -113,49 +114,101 @@ def _cell_text(c) -> Column:
 
 
 def _span(attrs, name: str, most: int) -> Column:
-    n = F.regexp_extract(attrs, rf"(?i)[\s/\"']{name}\s*=\s*[\"']?\s*([0-9]{{1,9}})", 1).try_cast("int")
+    n = F.regexp_extract(attrs, rf"(?i)[\s/\"']{name}\s*=\s*[\"']?\s*([0-9]{{1,9}})", 1)
+    n = F.when(n != "", n).try_cast("int")  # the cast of an empty text throws inside, which takes longer than the rest
     return F.least(F.coalesce(n, F.lit(1)), F.lit(most))
 
 
-def _table_cells(pages: DataFrame, key: str) -> DataFrame:
-    """``table_id, _h, row, cells`` of each page's first table: every cell as it is
-    written, with its spans; ``_h`` tells pages of one key apart."""
+def _folded(items, start, step) -> Column:
+    """What ``step(carry, item)``, a struct of ``carry`` and ``out`` (a list), puts out over the items
+    in order, with the last carry. Items are folded by ``FOLD``: lists grow by few copies.
+    """
+    def one(state, item):
+        return F.aggregate(F.array(step(state["carry"], item)), state, lambda s, r: F.struct(
+            r["carry"].alias("carry"), F.concat(s["out"], r["out"]).alias("out")))
+
+    def some(state, at):
+        few = F.aggregate(F.slice(items, at * FOLD + 1, F.lit(FOLD)), F.struct(
+            state["carry"].alias("carry"), F.slice(F.flatten(state["out"]), 1, 0).alias("out")), one)
+        return F.aggregate(F.array(few), state, lambda s, r: F.struct(
+            r["carry"].alias("carry"), F.concat(s["out"], F.array(r["out"])).alias("out")))
+
+    parts = F.sequence(F.lit(0), F.floor(F.size(items) / F.lit(FOLD)).cast("int"))
+    return F.aggregate(parts, start, some, lambda s: F.struct(s["carry"].alias("carry"), F.flatten(s["out"]).alias("out")))
+
+
+def _text_of(part) -> Column:
+    """What follows the tag that a part begins with."""
+    return F.regexp_extract(part, _TAG_RE, 1)
+
+
+def _own_parts(after) -> Column:
+    """The parts of a table that are its own, from the text after ``<table``: each begins with a
+    tag of rows or cells, ``more`` has the texts of the tables nested behind it."""
+    cut = lambda c: F.slice(F.split(F.regexp_replace(c, _PART_RE, "\u0001"), "\u0001", -1), 2, 1 << 30)
+    inner = F.get(F.split(after, r"(?i)</table(?=[\s/>])", 2), F.lit(0))
+    plain = F.transform(cut(inner), lambda p: F.struct(p.alias("part"), F.lit("").alias("more")))
+    start = F.from_json(F.lit('{"carry": {"depth": 1, "more": []}, "out": []}'),
+                        "carry struct<depth:int,part:string,more:array<string>>, out array<array<struct<part:string,more:string>>>")
+
+    def done(c):  # the last own part, with what is nested behind it
+        return F.when(c["part"].isNotNull(), F.array(F.struct(c["part"].alias("part"), F.array_join(c["more"], "").alias("more")))).otherwise(
+            F.array().cast("array<struct<part:string,more:string>>"))
+
+    def step(c, part):
+        depth = c["depth"] + F.when(part.rlike("(?i)^table"), 1).when(part.rlike("(?i)^/table"), -1).otherwise(0)
+        own = (c["depth"] == 1) & ~part.rlike("(?i)^/?table")
+        state = lambda d, p, more: F.struct(d.cast("int").alias("depth"), p.alias("part"), more.alias("more"))
+        none = F.slice(c["more"], 1, 0)
+        put = lambda carry, out: F.struct(carry.alias("carry"), out.alias("out"))
+        nothing = F.array().cast("array<struct<part:string,more:string>>")
+        return F.when(c["depth"] <= 0, put(c, nothing)).when(own, put(state(depth, part, none), done(c))).otherwise(
+            put(state(depth, c["part"], F.when(depth <= 0, c["more"]).otherwise(F.concat(c["more"], F.array(_text_of(part))))), nothing))
+
+    nested = F.aggregate(F.array(_folded(cut(after), start, step)), F.array().cast("array<struct<part:string,more:string>>"),
+                         lambda _, r: F.concat(r["out"], done(r["carry"])))
+    return F.when(inner.rlike(r"(?i)<table[\s/>]"), nested).otherwise(plain)
+
+
+def _cells(parts) -> Column:
+    """The cells of a row as they are written, with their spans."""
+    def cell(p):
+        attrs = F.regexp_extract(p["part"], r"""(?s)^(?:[^>"']|"[^"]*+"|'[^']*+')*+""", 0)
+        down = _span(attrs, "rowspan", MAX_ROWSPAN)
+        return F.struct(p["part"].rlike("(?i)^td").alias("data"),
+                        F.greatest(_span(attrs, "colspan", MAX_COLSPAN), F.lit(1)).alias("wide"),
+                        F.when(down == 0, MAX_ROWSPAN).otherwise(down).alias("down"),
+                        _cell_text(F.concat(_text_of(p["part"]), p["more"])).alias("v"))
+
+    return F.transform(F.filter(parts, lambda p: p["part"].rlike("(?i)^t[dh]")), cell)
+
+
+def _table_rows(pages: DataFrame, key: str) -> DataFrame:
+    """``table_id, _rows`` of each page's first table: the rows that have cells, numbered among all rows.
+
+    Rows of one key with the same page are read once.
+    """
     t = pages.filter(F.col("html").rlike(r"(?i)<table[\s/>]")).groupBy(
         F.col(key).alias("table_id"), F.md5("html").alias("_h")).agg(F.any_value("html").alias("_t"))
     src = F.replace(F.regexp_replace("_t", _HIDDEN_RE, ""), F.lit("\u0001"), F.lit(""))
-    parts = F.split(F.regexp_replace(src, _PART_RE, "\u0001"), "\u0001", -1)
-    t = t.select("table_id", "_h", F.posexplode(parts).alias("pos", "part")).filter("pos > 0")
-    t = t.select("table_id", "_h", "pos", "part", F.lower(F.regexp_extract("part", "^/?[A-Za-z]+", 0)).alias("tag"))
-    page = Window.partitionBy("table_id", "_h")
-    so_far = page.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    opens, closes = (F.col("tag") == "table").cast("int"), (F.col("tag") == "/table").cast("int")
-    t = t.withColumn("_open", F.sum(opens).over(so_far)).filter("_open > 0")
-    t = t.withColumn("depth", F.sum(opens - closes).over(so_far))
-    t = t.withColumn("_least", F.min("depth").over(so_far)).filter("_least > 0")
-    own = (F.col("depth") == 1) & ~F.col("tag").isin("table", "/table")
-    is_cell = own & F.col("tag").isin("td", "th")
-    t = t.select("*", is_cell.alias("_cell"),
-                 F.sum((own & (F.col("tag") == "tr")).cast("int")).over(so_far).alias("row"),
-                 F.sum(is_cell.cast("int")).over(so_far).alias("cell"),
-                 F.last(F.when(own, is_cell), ignorenulls=True).over(so_far).alias("_within"))
-    # what follows a cell's mark up to its end is its text, a nested table's text included
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.regexp_extract("part", _TAG_RE, 1).alias("s")))),
-                        lambda x: x["s"])
-    t = t.filter("_within").groupBy("table_id", "_h", "row", "cell").agg(
-        F.array_join(texts, "").alias("s"), F.max(F.when(F.col("_cell"), F.col("part"))).alias("_mark"))
-    attrs = F.regexp_extract("_mark", r"""(?s)^(?:[^>"']|"[^"]*+"|'[^']*+')*+""", 0)
-    down = _span(attrs, "rowspan", MAX_ROWSPAN)
-    one = F.struct("cell", F.col("_mark").rlike("(?i)^td").alias("data"),
-                   F.greatest(_span(attrs, "colspan", MAX_COLSPAN), F.lit(1)).alias("wide"),
-                   F.when(down == 0, MAX_ROWSPAN).otherwise(down).alias("down"),
-                   _cell_text(F.col("s")).alias("v"))
-    return t.groupBy("table_id", "_h", "row").agg(F.array_sort(F.collect_list(one)).alias("cells"))
-
-
-def _place(state, row) -> Column:
+    t = t.select("table_id", F.get(F.split(src, r"(?i)<table(?=[\s/>])", 2), F.lit(1)).alias("_after")).filter("_after is not null")
+    t = t.select("table_id", _own_parts(F.col("_after")).alias("_parts"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("_parts")), lambda i: F.get(F.col("_parts"), i)["part"].rlike("(?i)^tr"))
+    t = t.select("table_id", "_parts", F.concat(F.array(F.lit(0)), starts, F.array(F.size("_parts"))).alias("_at"))
+
+    def row(at, i):
+        until = F.get(F.col("_at"), i + 1)
+        return F.struct(i.alias("row"), _cells(F.slice("_parts", at + 1, until - at)).alias("cells"))
+
+    rows = F.transform(F.slice("_at", 1, F.size("_at") - 1), row)
+    return t.select("table_id", F.filter(rows, lambda r: F.size(r["cells"]) > 0).alias("_rows"))
+
+
+def _place(carry, row) -> Column:
     """One row of the grid: its cells go to the columns that no cell above covers.
 
-    ``carry`` has, for each column, the last row that its cell covers and its text.
+    ``carry`` has the last row that a cell reaches and, for each column, the last row
+    that its cell covers and its text; a row that no cell above reaches begins anew.
     """
     at = row["row"].cast("long")
 
@@ -163,18 +216,20 @@ def _place(state, row) -> Column:
         free = F.array_position(F.transform(rest, lambda c: c["until"] < at), F.lit(True)).cast("int")
         return F.slice(rest, F.lit(1), F.when(free > 0, free - 1).otherwise(F.size(rest)))
 
-    def after(done):
-        return F.slice(state["carry"], F.size(done) + 1, F.size(state["carry"]))
+    def placed(above):
+        def after(done):
+            return F.slice(above, F.size(done) + 1, F.size(above))
+
+        def put(done, cell):
+            mine = F.struct((at + cell["down"] - 1).alias("until"), cell["v"].alias("v"))
+            return F.concat(done, covered(after(done)), F.array_repeat(mine, cell["wide"]))
 
-    def put(done, cell):
-        mine = F.struct((at + cell["down"] - 1).alias("until"), cell["v"].alias("v"))
-        return F.concat(done, covered(after(done)), F.array_repeat(mine, cell["wide"]))
+        return F.aggregate(F.array(F.aggregate(row["cells"], none, put)), none, lambda _, done: F.concat(done, F.transform(
+            after(done), lambda c: F.struct(c["until"].alias("until"), F.when(c["until"] >= at, c["v"]).alias("v")))))
 
-    none = F.slice(state["carry"], 1, 0)
-    placed = F.aggregate(row["cells"], none, put)
-    return F.aggregate(F.array(placed), none, lambda _, done: F.concat(done, F.transform(
-        after(done), lambda c: F.struct(c["until"].alias("until"),
-                                        F.when(c["until"] >= at, c["v"]).alias("v")))))
+    none = F.slice(carry["cols"], 1, 0)
+    above = F.when(carry["reach"] >= at, carry["cols"]).otherwise(none)
+    return F.aggregate(F.array(above), none, lambda _, above: placed(above))
 
 
 def parse_html_tables(pages: DataFrame, key: str = "page_id") -> DataFrame:
@@ -189,31 +244,26 @@ def parse_html_tables(pages: DataFrame, key: str = "page_id") -> DataFrame:
     reaches to the page's end. Pages without a table, or null, give no rows; rows of one
     key with the same page are read once. Other columns of ``pages`` are not read.
 
-    Marks are numbered by windows in the page (a page is one value already). Rows
-    that a span ties together are folded in order; other rows stand alone.
+    A page is one value, and so are its parts, rows and grid: all is done where the
+    page lies, and rows are folded in order.
     """
-    rows = _table_cells(pages, key)
-    page = Window.partitionBy("table_id", "_h")
-    above = page.orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.col("row") + F.array_max(F.transform("cells", lambda c: c["down"])) - 1
-    rows = rows.withColumn("_free", F.coalesce(F.max(reach).over(above) < F.col("row"), F.lit(True)).cast("int"))
-    rows = rows.withColumn("tied", F.sum("_free").over(page.orderBy("row").rowsBetween(Window.unboundedPreceding, 0)))
-    tied = rows.groupBy("table_id", "_h", "tied").agg(F.array_sort(F.collect_list(F.struct("row", "cells"))).alias("_rows"))
-    start = F.from_json(F.lit('{"carry": [], "out": []}'),
-                        "carry array<struct<until:bigint,v:string>>, out array<struct<row:bigint,data:boolean,vals:array<string>>>")
-
-    def step(state, row):
-        grid = _place(state, row)
-        return F.aggregate(F.array(grid), state, lambda s, g: F.struct(g.alias("carry"), F.concat(s["out"], F.array(F.struct(
-            row["row"].cast("long").alias("row"), F.exists(row["cells"], lambda c: c["data"]).alias("data"),
-            F.transform(g, lambda c: c["v"]).alias("vals")))).alias("out")))
-
-    grid = tied.select("table_id", "_h", F.inline(F.aggregate("_rows", start, step, lambda s: s["out"])))
-    grid = grid.withColumn("_first", F.min(F.when(F.col("data"), F.col("row"))).over(page))
-    head = F.max(F.when(F.col("row") < F.col("_first"), F.struct("row", "vals"))).over(page)
-    grid = grid.withColumn("_head", head["vals"]).filter("data")
-    number = F.row_number().over(page.orderBy("row"))
-    c = grid.withColumn("row_idx", (number - 1).cast("long")).select(
-        "table_id", "row_idx", "_head", F.posexplode("vals").alias("col_idx", "value"))
-    return c.select("table_id", "row_idx", F.col("col_idx").cast("long"),
+    carries = "struct<reach:bigint,cols:array<struct<until:bigint,v:string>>>"
+    start = F.from_json(F.lit('{"carry": {"reach": -1, "cols": []}, "out": []}'),
+                        f"carry {carries}, out array<array<struct<data:boolean,vals:array<string>>>>")
+
+    def step(carry, row):
+        data = F.exists(row["cells"], lambda c: c["data"])
+        reach = F.greatest(carry["reach"], row["row"] + F.array_max(F.transform(row["cells"], lambda c: c["down"])).cast("long") - 1)
+        return F.aggregate(F.array(_place(carry, row)), F.lit(None).cast(f"struct<carry:{carries},out:array<struct<data:boolean,vals:array<string>>>>"),
+            lambda _, g: F.struct(F.struct(reach.alias("reach"), g.alias("cols")).alias("carry"), F.array(F.struct(data.alias("data"), F.transform(g, lambda c: c["v"]).alias("vals"))).alias("out")))
+
+    t = _table_rows(pages, key)
+    t = t.select("table_id", _folded(F.col("_rows"), start, step)["out"].alias("_grid"))
+    first = F.array_position(F.transform("_grid", lambda r: r["data"]), F.lit(True)).cast("int")
+    # outer: an inferred filter on the lists would compute them twice
+    t = t.select("table_id", F.when(first > 1, F.get(F.col("_grid"), first - 2)["vals"]).alias("_head"),
+                 F.filter("_grid", lambda r: r["data"]).alias("_data"))
+    t = t.select("table_id", "_head", F.posexplode_outer("_data").alias("row_idx", "_row")).filter("row_idx is not null")
+    c = t.select("table_id", "row_idx", "_head", F.posexplode(F.col("_row.vals")).alias("col_idx", "value"))
+    return c.select("table_id", F.col("row_idx").cast("long"), F.col("col_idx").cast("long"),
                     F.get(F.col("_head"), F.col("col_idx")).alias("col_name"), "value")

@@ -336,3 +336,22 @@ def test_a_cluster_needs_a_shared_checkpoint_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         ensure_checkpoint_dir(Session())
+
+
+def test_html_tables_are_read_where_the_page_lies(spark):
+    """One shuffle of pages and no windows over their parts; folds cross their blocks (``FOLD`` items)."""
+    n = 2 * tables.FOLD + 7
+    spanned = "<table><tr><th>k<th>v</tr><tr><td rowspan=0>all<td>0" + "".join(f"<tr><td>{i}" for i in range(1, n)) + "</table>"
+    nested = "<table><tr><td>a" + "".join(f"<table><tr><td>{i}</table>" for i in range(n)) + "z</td><td>b</td></table>"
+    # the first row's last cell reaches to the end under a cell that is put over it
+    over = "<table><tr><td>1<td rowspan=0>2</tr><tr><td colspan=3>3</tr><tr><td>4</tr></table>"
+    pages = spark.createDataFrame([("s", spanned), ("n", nested), ("o", over)], "page_id string, html string")
+    cells = tables.parse_html_tables(pages)
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange") == 1
+    rows = sorted((r["table_id"], r["row_idx"], r["col_idx"], r["col_name"], r["value"]) for r in cells.filter("table_id = 's'").collect())
+    assert rows == [("s", i, c, name, value) for i in range(n) for c, name, value in ((0, "k", "all"), (1, "v", str(i)))]
+    got = {(r["table_id"], r["row_idx"], r["col_idx"]): r["value"] for r in cells.filter("table_id <> 's'").collect()}
+    assert got == {("n", 0, 0): "a" + "".join(map(str, range(n))) + "z", ("n", 0, 1): "b",
+                   ("o", 0, 0): "1", ("o", 0, 1): "2", ("o", 1, 0): "3", ("o", 1, 1): "3", ("o", 1, 2): "3",
+                   ("o", 2, 0): "4", ("o", 2, 1): None, ("o", 2, 2): None}
