@@ -40,6 +40,7 @@ from tessera.session import write_stage
 DIRECT_ROWS = 4096  # postings that may meet for each question bag before bounds are used
 DIRECT_MOST = 1 << 22  # postings that may meet in all
 PAIRS_A_POSTING = 1000  # pairs for each posting beyond which bounds are used instead of tiles
+GROUP_PAIRS = 1 << 16  # pairs of a small group
 WORD_WEIGHT = 8  # a word of a block weighs as much as so many numbers of a vector
 DENSE_WORDS = 1024  # words of a tile that are multiplied as columns of a matrix
 DENSE_SHARE = 400  # such a word meets in at least one of so many pairs
@@ -76,12 +77,18 @@ def counted(bag: Column) -> Column:
 
 
 def _bagged(df: DataFrame, keys: list[str], text: str, group: str | None, sets: bool) -> DataFrame:
-    """``keys, _g, _t, _bag``: the bag's name is a 128-bit hash of its sorted words."""
+    """``keys, _g, _t, _bag``: sorted words, joined (a list of words takes twice the room); a 128-bit hash is the bag's name."""
     bag = words(text)
-    bag = F.coalesce(F.array_sort(F.array_distinct(bag) if sets else bag), F.array().cast("array<string>"))
+    bag = F.coalesce(F.array_join(F.array_sort(F.array_distinct(bag) if sets else bag), " "), F.lit(""))
     rows = df.select(*keys, (F.coalesce(F.col(group).cast("string"), F.lit("")) if group else F.lit("")).alias("_g"), bag.alias("_bag"))
-    name = F.substring(F.unhex(F.sha2(F.encode(F.array_join("_bag", " "), "UTF-8"), 256)), 1, 16)
-    return rows.withColumn("_t", name)
+    return rows.withColumn("_t", F.substring(F.unhex(F.sha2(F.encode("_bag", "UTF-8"), 256)), 1, 16))
+
+
+def _counted_bags(bags: DataFrame, name: str) -> DataFrame:
+    """``_bag`` as ``_words`` and their ``_norm``, written."""
+    counts = bags.withColumn("_bag", F.filter(F.split("_bag", " "), lambda x: x != ""))  # once, not in each step of counted()
+    counts = counts.withColumn("_words", counted(F.col("_bag"))).drop("_bag")
+    return write_stage(counts.withColumn("_norm", _norm(F.col("_words"))), name)
 
 
 def _norm(counts: Column) -> Column:
@@ -90,9 +97,9 @@ def _norm(counts: Column) -> Column:
 
 def index(df: DataFrame, keys: list[str], text: str, group: str | None = None, sets: bool = False) -> Bags:
     """The bags of a text column, with all rows; ``group`` keeps equal bags of different groups apart."""
-    rows = _bagged(df, keys, text, group, sets).withColumn("_words", counted(F.col("_bag"))).drop("_bag")
-    rows = write_stage(rows.withColumn("_norm", _norm(F.col("_words"))), "bag-rows")
-    return Bags(rows.select(*keys, "_g", "_t"), rows.select("_g", "_t", "_words", "_norm").dropDuplicates(["_g", "_t"]))
+    rows = write_stage(_bagged(df, keys, text, group, sets), "bag-rows")
+    one = rows.groupBy("_g", "_t").agg(F.first("_bag").alias("_bag"))
+    return Bags(rows.select(*keys, "_g", "_t"), _counted_bags(one, "bags"))
 
 
 def index_best(df: DataFrame, order: list[str], text: str, k: int, group: str | None = None, sets: bool = False) -> Bags:
@@ -100,8 +107,7 @@ def index_best(df: DataFrame, order: list[str], text: str, k: int, group: str |
     first = Window.partitionBy("_g", "_t").orderBy(*order)
     rows = _bagged(df, order, text, group, sets).withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k)
     one = rows.groupBy("_g", "_t").agg(F.first("_bag").alias("_bag"), F.array_sort(F.collect_list(F.struct(*order))).alias("_top"))
-    one = one.select("_g", "_t", counted(F.col("_bag")).alias("_words"), "_top")
-    return Bags(None, write_stage(one.withColumn("_norm", _norm(F.col("_words"))), "bags"))
+    return Bags(None, _counted_bags(one, "bags"))
 
 
 def score(dot, qnorm, bnorm, sets: bool) -> Column:
@@ -110,6 +116,41 @@ def score(dot, qnorm, bnorm, sets: bool) -> Column:
     return dot / F.sqrt(qnorm.cast("double")) / F.sqrt(bnorm.cast("double"))
 
 
+def joined_dot(q: Column, r: Column) -> Column:
+    """Sum of products over two long word lists, by sorting their words together."""
+    both = F.array_sort(F.concat(q, r))  # a shared word stands twice in a row
+    step = lambda acc, x: F.struct(
+        F.when(acc["w"] == x["w"], acc["s"] + acc["n"] * x["n"]).otherwise(acc["s"]).alias("s"), x["w"].alias("w"), x["n"].alias("n"))
+    start = F.struct(F.lit(0).cast("long").alias("s"), F.lit(None).cast("string").alias("w"), F.lit(0).cast("long").alias("n"))
+    return F.aggregate(both, start, step, lambda acc: acc["s"])
+
+
+def _slim(bags: DataFrame, side: str) -> DataFrame:
+    """``_g, _{side}t, _{side}w, _{side}c, _{side}norm`` of bags with words: words joined and their counts, to be shuffled."""
+    return bags.where("_norm > 0").select("_g", F.col("_t").alias(f"_{side}t"), F.array_join(F.transform("_words", lambda x: x["w"]), " ").alias(f"_{side}w"),
+                                          F.transform("_words", lambda x: x["n"]).alias(f"_{side}c"), F.col("_norm").alias(f"_{side}norm"))
+
+
+def _in_place(q: DataFrame, b: DataFrame) -> DataFrame:
+    """Like ``_meet``: each bag meets the bags of its group whole, so that no postings are shuffled."""
+    counts = lambda side: F.zip_with(F.split(f"_{side}w", " "), f"_{side}c", lambda w, n: F.struct(w.alias("w"), n.alias("n")))
+    met = _slim(q, "q").join(_slim(b, "b"), "_g").withColumn("_dot", joined_dot(counts("q"), counts("b")))
+    return met.where("_dot > 0").select("_g", "_qt", "_bt", "_qnorm", "_bnorm", "_dot")
+
+
+def pairs_in_groups(q: Bags, b: Bags, k: int, sets: bool = False, direct_rows: int | None = None) -> DataFrame:
+    """Like ``pairs``, where groups are many and small: up to ``GROUP_PAIRS`` pairs a group meet in place, other groups by ``pairs``."""
+    most = min(GROUP_PAIRS, DIRECT_MOST)
+    qn, bn = q.bags.groupBy("_g").agg(F.count("*").alias("_a")), b.bags.groupBy("_g").agg(F.count("*").alias("_b"))
+    large = qn.join(bn, "_g").where(F.col("_a").cast("decimal(38,0)") * F.col("_b") > most).select("_g")
+    large = write_stage(large, "bag-groups")
+    if large.isEmpty():
+        return _scored(_in_place(q.bags, b.bags), sets)
+    small = _in_place(q.bags.join(large, "_g", "left_anti"), b.bags.join(large, "_g", "left_anti"))
+    rest = [Bags(None, x.bags.join(large, "_g", "left_semi")) for x in (q, b)]
+    return _scored(small, sets).unionByName(pairs(*rest, k, sets, direct_rows))
+
+
 def _meet(qw: DataFrame, bw: DataFrame) -> DataFrame:
     """``_g, _qt, _bt, _qnorm, _bnorm, _dot``: sums over the words that two bags share."""
     return (qw.join(bw, ["_g", "_w"]).groupBy("_g", "_qt", "_bt", "_qnorm", "_bnorm")
@@ -201,26 +242,39 @@ def _scored(found: DataFrame, sets: bool) -> DataFrame:
     return found.select("_g", "_qt", "_bt", F.round(score(F.col("_dot"), F.col("_qnorm"), F.col("_bnorm"), sets), 6).alias("sim"))
 
 
+def first_word(counts: str = "_words") -> Column:
+    """The alphabetically first word of a bag, null if it has none."""
+    return F.get(counts, 0)["w"]
+
+
+def _numbered(bags: DataFrame, name: str, number: str, *own: str, order: Column | None = None) -> DataFrame:
+    """``_g, {name}, _w, _n, _norm, {number}`` of the bags that have words, written; words are joined while they are sorted."""
+    words = F.transform("_words", lambda x: x["w"])
+    rows = bags.where("_norm > 0").select("_g", F.col("_t").alias(name), F.array_join(words, " ").alias("_w"), F.transform("_words", lambda x: x["n"]).alias("_n"),
+                                          "_norm", *own, *([order.alias("_o")] if order is not None else []))
+    rows = rows.orderBy("_o").drop("_o") if order is not None else rows
+    return write_stage(rows.withColumns({"_w": F.split("_w", " "), number: F.monotonically_increasing_id()}), "tile-bags")
+
+
 def pairs_by_tiles(q: Bags, b: Bags, k: int, sets: bool = False, gate: DataFrame | None = None) -> DataFrame:
     """``_g, _qt, _bt, sim`` (rounded, above 0): the k best of each question bag in each tile.
 
     ``b`` has the first rows of its bags; they are numbered in the order of these,
-    which decides ties. ``gate(_g, _qt, _gate, _open)`` lets in only examples whose
-    ``_gates`` (a column of ``b.bags``) has the question's ``_gate``, or all if ``_open``.
+    which decides ties. With ``gate(_kw)`` a question whose first word is in it meets
+    only examples of which a word contains that first word.
     """
-    counts = [F.transform("_words", lambda x: x["w"]).alias("_w"), F.transform("_words", lambda x: x["n"]).alias("_n"), "_norm"]
-    asked = q.bags.where("_norm > 0").withColumnRenamed("_t", "_qt")
+    asked = q.bags
     if gate is not None:
-        asked = asked.join(gate, ["_g", "_qt"])
-    gates = ([], []) if gate is None else (["_gate", "_open"], ["_gates"])
-    asked = write_stage(asked.select("_g", "_qt", *counts, *gates[0], F.monotonically_increasing_id().alias("_q")), "tile-questions")
-    held = b.bags.where("_norm > 0").orderBy(F.col("_top")[0])
-    held = write_stage(held.select("_g", F.col("_t").alias("_bt"), *counts, *gates[1], F.monotonically_increasing_id().alias("_b")), "tile-examples")
+        asked = asked.withColumn("_kw", first_word()).join(gate.withColumn("_shut", F.lit(True)), "_kw", "left")
+        asked = asked.withColumn("_open", F.col("_shut").isNull())
+    own = [] if gate is None else ["_kw", "_open"]
+    asked = _numbered(asked, "_qt", "_q", *own)
+    held = _numbered(b.bags, "_bt", "_b", order=F.col("_top")[0])
     groups = asked.select("_g").union(held.select("_g")).distinct().limit(2).count()
     weight = lambda f: (f.size("_w") * f.lit(WORD_WEIGHT)).cast("long")
-    kernel = blocks.Kernel(["_w", "_n", "_norm", *gates[0]], ["_w", "_n", "_norm", *gates[1]], _tile_scores(sets, gate is not None),
+    kernel = blocks.Kernel(["_w", "_n", "_norm", *own], ["_w", "_n", "_norm"], _tile_scores(sets, gate is not None),
                            q_weight=weight, b_weight=weight, rounded=round_half_up)
-    tiles = blocks.grid_scores(asked, held, q_key="_q", b_key="_b", kernel=kernel, k=k, group="_g" if groups > 1 else None)
+    tiles = blocks.grid_scores(asked, held, q_key="_q", b_key="_b", kernel=kernel, k=k, group="_g" if groups > 1 else None, in_place=True)
     best = blocks.merge_topk(tiles.where("sim > 0"), "_q", "_b", k)
     return best.join(asked.select("_g", "_qt", "_q"), "_q").join(held.select("_bt", "_b"), "_b").select("_g", "_qt", "_bt", "sim")
 
@@ -242,21 +296,47 @@ def _tile_scores(sets: bool, gated: bool):
     def run(q: pd.DataFrame, b: pd.DataFrame):
         dots = count_products(q["_w"], q["_n"], b["_w"], b["_n"])
         qnorm, bnorm = q["_norm"].to_numpy().astype(float)[:, None], b["_norm"].to_numpy().astype(float)[None]
-        if gated:
-            ones = lambda lists: [np.ones(len(x)) for x in lists]
-            own = [np.array([x]) for x in q["_gate"]]
-            let_in, every = count_products(own, ones(own), b["_gates"], ones(b["_gates"])), q["_open"].to_numpy().astype(bool)[:, None]
+        let_in = containing(q["_kw"].where(~q["_open"].astype(bool), None), b["_w"]) if gated else None
 
         def strip(rows: slice) -> np.ndarray:
             dot = dots(rows)
             s = dot / (qnorm[rows] + bnorm - dot) if sets else dot / np.sqrt(qnorm[rows]) / np.sqrt(bnorm)
-            return np.where(every[rows] | (let_in(rows) > 0), s, -np.inf) if gated else s
+            return np.where(let_in(rows), s, -np.inf) if gated else s
 
         return {"sim": strip}, {}
 
     return run
 
 
+def containing(keywords: pd.Series, bw):
+    """Function of a slice of questions: which bags have a word that contains the question's keyword (null: all).
+
+    Every part of a distinct word that is as long as some keyword is looked up.
+    """
+    nb = len(bw)
+    own, known = pd.factorize(keywords)  # null: -1
+    number = {w: n for n, w in enumerate(known)}
+    lengths = sorted({len(w) for w in known})
+    codes, vocabulary = pd.factorize(np.concatenate([*bw]))
+    held = [{number[w[at:at + n]] for n in lengths if n <= len(w) for at in range(len(w) - n + 1) if w[at:at + n] in number} for w in vocabulary]
+    sizes = np.array([len(x) for x in held], dtype=np.int64)
+    found = np.fromiter((n for x in held for n in x), np.int64, sizes.sum())
+    first = np.cumsum(sizes) - sizes
+    times = sizes[codes]
+    place = np.arange(times.sum()) + np.repeat(first[codes] - (np.cumsum(times) - times), times)
+    row = np.repeat(np.repeat(np.arange(nb), [len(x) for x in bw]), times)
+    keyword, row = np.divmod(np.unique(found[place] * nb + row), max(1, nb))
+    ends = np.searchsorted(keyword, np.arange(len(known) + 1))
+
+    def let_in(rows: slice) -> np.ndarray:
+        out = np.zeros((len(own[rows]), nb), dtype=bool)
+        for at, n in enumerate(own[rows]):
+            out[at, row[ends[n]:ends[n + 1]] if n >= 0 else slice(None)] = True
+        return out
+
+    return let_in
+
+
 def count_products(qw, qn, bw, bn):
     """Function of a slice of questions: dot products of their counts with all examples, exact.
 

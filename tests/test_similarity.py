@@ -401,6 +401,60 @@ def test_keyword_gate_in_tiles_equals_the_direct_way(spark, tiled, monkeypatch):
     assert got == spark_topk(S.keyword_gate(q, b, **names), "q", "b")
 
 
+def stages_of(monkeypatch):
+    """Names of the stages written from now on."""
+    from tessera.operators import bags
+    names, whole = [], bags.write_stage
+    for module in (bags, blocks, S):
+        monkeypatch.setattr(module, "write_stage", lambda df, name, **b: names.append(name) or whole(df, name, **b))
+    return names
+
+
+def test_gate_in_tiles_lists_no_bags_of_a_keyword_and_shuffles_no_blocks(spark, tiled, monkeypatch):
+    rng = np.random.default_rng(36)
+    monkeypatch.setattr(blocks, "COPIED_AT_MOST", 0)
+    names = stages_of(monkeypatch)
+    monkeypatch.setattr(blocks, "_packed", None)  # blocks of rows that lie together
+    q = spark.createDataFrame(list(enumerate([*zipf_texts(rng, 25), "", "zz w1 w2", "zz"])), "q long, t string")
+    b = spark.createDataFrame(list(enumerate([*zipf_texts(rng, 60), "xzzy w1"])), "b long, t string")
+    got = spark_topk(S.keyword_gate(q, b, q_key="q", b_key="b", q_text="t", b_text="t", k=3), "q", "b")
+    assert got[27][0] == (0, 0.0) and "grid-blocks" in names and "gate-hits" not in names
+    assert len(got) == 28 and all(len(x) == 3 for x in got.values())
+
+
+def test_containing_equals_a_search_in_each_word():
+    from tessera.operators import bags
+    keywords = pd.Series(["ab", None, "b1", "zz", "ab", "abc", "é_"])
+    words = [np.array(x, dtype=object) for x in (["abc", "xab"], ["b1"], ["ab1", "qq"], ["aé_", "zz"], ["a"])]
+    let_in = bags.containing(keywords, pd.Series(words))
+    want = [[kw is None or any(kw in w for w in ws) for ws in words] for kw in keywords]
+    assert np.vstack([let_in(slice(0, 3)), let_in(slice(3, 7))]).tolist() == want
+
+
+def test_blocks_packed_in_place_hold_every_row_once(spark):
+    df = spark.createDataFrame([(i, "x" * (i % 7)) for i in range(100)], "k long, t string").repartition(5).withColumn("_weight", F.length("t").cast("double"))
+    rows = blocks._packed_in_place(df, 8, 100, 294.0, "_q").collect()
+    assert sorted((r.k, r.t) for x in rows for r in x._q) == [(i, "x" * (i % 7)) for i in range(100)]
+    assert len({x._qn for x in rows}) == len(rows) >= 8
+    assert all(len(x._q) <= 13 and (sum(len(r.t) for r in x._q) <= 37 or len(x._q) == 1) for x in rows)
+
+
+def test_small_groups_meet_in_place_and_large_ones_by_words(spark, monkeypatch):
+    from tessera.operators import bags
+    rng = np.random.default_rng(37)
+    texts = [*zipf_texts(rng, 80), "w1 w1 w2", ""]
+    q = spark.createDataFrame([(i, 0 if i < 20 else i % 9, t) for i, t in enumerate(texts)], "q long, g long, t string")
+    b = spark.createDataFrame([(i, 0 if i < 20 else i % 7, t) for i, t in enumerate(texts)], "b long, g long, t string")
+    names = dict(q_key="q", b_key="b", q_text="t", b_text="t", k=2, group="g")
+    want = spark_topk(S.token_topk(q, b, **names, direct_rows=0), "q", "b")
+    used = []
+    monkeypatch.setattr(bags, "met_rows", lambda *a, whole=bags.met_rows: used.append(1) or whole(*a))
+    assert spark_topk(S.token_topk(q, b, **names), "q", "b") == want and not used
+    monkeypatch.setattr(bags, "DIRECT_ROWS", 0)
+    monkeypatch.setattr(bags, "GROUP_PAIRS", 200)
+    assert spark_topk(S.token_topk(q, b, **names), "q", "b") == want and used
+
+
 def test_count_products_are_exact(monkeypatch):
     from tessera.operators import bags
     rng = np.random.default_rng(34)
