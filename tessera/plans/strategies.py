@@ -16,6 +16,9 @@ Generic inputs (any source can provide them):
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,11 +31,13 @@ from tessera.functions.literals import (
     ROW_SELECT_K,
     TABLE_BUDGET,
 )
-from tessera.functions.text import min_ngram
+from tessera.functions.text import casefold, min_ngram
 from tessera.operators import prompts as P
 from tessera.operators import render as R
 from tessera.operators import similarity as S
+from tessera.operators.select import with_keys
 from tessera.plans import roles
+from tessera.session import write_stage
 
 BANK_TIES = ["first_conv_id", "first_turn"]
 
@@ -54,9 +59,23 @@ def fewshot(ranked: DataFrame, dbank: DataFrame) -> DataFrame:
     return P.fewshot_block(ex, "qid")
 
 
+def asked_tables(questions: DataFrame, rows: DataFrame, budget: int = TABLE_BUDGET) -> DataFrame:
+    """Budgeted texts of the tables that questions ask about."""
+    return R.budgeted_tables(with_keys(rows, questions, ["table_id"]), budget)
+
+
+def _chosen(ranked: DataFrame, dbank: DataFrame, bank: DataFrame, seq_cols: list[str], lookup=None) -> DataFrame:
+    """``bid, nl, code`` of the ranked entries of the de-duplicated bank, read again by position; ``ranked`` lies in files."""
+    names = ["bid", "nl", *seq_cols]
+    wanted = write_stage(with_keys(dbank, ranked, ["bid"]).select(*names).distinct(), "chosen")
+    found = (lookup(wanted) if lookup else bank).withColumn("nl", casefold("question"))
+    w = wanted.select(*[F.col(c).alias("_" + c) for c in names])
+    return found.join(w, reduce(and_, [F.col(c).eqNullSafe(F.col("_" + c)) for c in names]), "left_semi").select("bid", "nl", "code")
+
+
 def _code_prompts(questions: DataFrame, ranked: DataFrame, dbank: DataFrame, rows: DataFrame,
                   budget: int) -> DataFrame:
-    qt = R.join_question_table(questions, R.budgeted_tables(rows, budget))
+    qt = R.join_question_table(questions, asked_tables(questions, rows, budget))
     return P.code_prompt(qt, fewshot(ranked, dbank), "qid")
 
 
@@ -70,12 +89,17 @@ def nl_plan(questions: DataFrame, bank: DataFrame, rows: DataFrame, seq_cols: li
 
 
 def keyword_plan(questions: DataFrame, bank: DataFrame, rows: DataFrame, seq_cols: list[str],
-                 k: int = FEW_SHOT, n: int = KEYWORD_NGRAM, budget: int = TABLE_BUDGET) -> DataFrame:
-    """Question similarity gated by the question's keyword: ``qid, prompt, keyword``."""
-    b = dedup(bank, seq_cols)
+                 k: int = FEW_SHOT, n: int = KEYWORD_NGRAM, budget: int = TABLE_BUDGET, lookup=None) -> DataFrame:
+    """Question similarity gated by the question's keyword: ``qid, prompt, keyword``.
+
+    Questions of the de-duplicated bank are written without codes; the codes of the ranked examples
+    are read afterwards, by ``lookup(positions)`` (bank rows at ``seq_cols``) if there is one.
+    """
+    b = write_stage(dedup(bank, seq_cols).select("bid", "nl", *seq_cols, *_ties(seq_cols)), "bank-questions")
     ranked = S.keyword_gate(questions, b, q_key="qid", b_key="bid", q_text="question", b_text="nl", k=k, n=n,
                             tie_cols=_ties(seq_cols))
-    out = _code_prompts(questions, ranked, b, rows, budget)
+    ranked = write_stage(ranked.select("qid", "bid", "rank"), "ranked")
+    out = _code_prompts(questions, ranked, _chosen(ranked, b, bank, seq_cols, lookup), rows, budget)
     kw = questions.select("qid", min_ngram("question", n).alias("keyword"))
     return out.join(kw, "qid", "left")
 
@@ -140,21 +164,32 @@ def agent_plan(questions: DataFrame, rows: DataFrame, row_selection: bool = Fals
     return P.agent_prompt(qt, "qid")
 
 
+def table_examples(tq: DataFrame, rows: DataFrame, bank: DataFrame, n_text_rows: int, lookup=None) -> DataFrame:
+    """``qid, example_table_text, example_question, example_answer`` of the examples found by ``table_then_question``.
+
+    Texts are read of the examples and tables found; ``lookup(positions)`` gives the bank rows at ``conv_id, turn``.
+    """
+    tq = write_stage(tq, "table-examples")
+    found = with_keys(bank, tq.where("bid is not null"), ["bid"])
+    if lookup:
+        found = lookup(found.select("conv_id", "turn"))
+    tables = tq.select(F.col("example_table").alias("table_id"))
+    heads = R.render_head(with_keys(rows, tables, ["table_id"]), n_text_rows).select(
+        F.col("table_id").alias("example_table"), F.col("text").alias("example_table_text"))
+    return (tq.join(found.select("bid", casefold("question").alias("example_question"), F.col("answer").alias("example_answer")), "bid")
+              .join(heads, "example_table", "left").select("qid", "example_table_text", "example_question", "example_answer"))
+
+
 def table_plan(questions: DataFrame, bank: DataFrame, rows: DataFrame, seq_cols: list[str],
-               budget: int = TABLE_BUDGET) -> DataFrame:
+               budget: int = TABLE_BUDGET, lookup=None) -> DataFrame:
     """Best example table by header + first row, then its best question;
     agent prompt with that example: ``qid, prompt``."""
     b = bank.withColumn("nl", F.lower("question"))
     heads = R.render_head(rows, HEAD_ROWS_FOR_TABLE_SIM)
     tq = S.table_then_question(questions, b, heads, heads, q_key="qid", b_key="bid",
                                q_text="question", b_text="nl", tie_cols=seq_cols)
-    ex_tables = R.render_head(rows, EXAMPLE_TABLE_ROWS).select(
-        F.col("table_id").alias("example_table"), F.col("text").alias("example_table_text"))
-    ex = (tq.join(b.select("bid", F.col("nl").alias("example_question"),
-                           F.col("answer").alias("example_answer")), "bid")
-            .join(ex_tables, "example_table", "left")
-            .select("qid", "example_table_text", "example_question", "example_answer"))
-    qt = R.join_question_table(questions, R.budgeted_tables(rows, budget)).join(ex, "qid", "left")
+    ex = table_examples(tq, rows, b, EXAMPLE_TABLE_ROWS, lookup)
+    qt = R.join_question_table(questions, asked_tables(questions, rows, budget)).join(ex, "qid", "left")
     return P.table_example_prompt(qt, "qid")
 
 
